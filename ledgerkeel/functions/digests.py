@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Digest names a ledger header may carry.
 SHA2 = "sha2-256"
@@ -22,7 +23,7 @@ def hexdigest(payload: bytes, algorithm: str = SHA2) -> str:
     raise ValueError(f"unknown digest {algorithm!r}; known: {', '.join(ALGORITHMS)}")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _blake2b(payload: pd.Series) -> pd.Series:
     return payload.map(lambda raw: None if raw is None else hexdigest(raw, BLAKE2B))
 

@@ -121,6 +121,10 @@ def _nested_content(text: Column) -> Column:
     )
 
 
+def is_blank(text: Column) -> Column:
+    return ~F.rlike(text, F.lit(rf"[^{_ANY_BLANK}]"))
+
+
 def excerpt(text: Column, limit: int = EXCERPT_LIMIT) -> Column:
     """Blanks folded, cut to ``limit`` characters with an ellipsis."""
     folded = F.trim(F.regexp_replace(text, rf"[{_ANY_BLANK}]+", " "))

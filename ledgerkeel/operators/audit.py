@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.entries import basename, version_of
 from ..functions.sections import (
     has_content,
+    is_blank,
     marker_has_flag,
     marker_kinds,
     split_sections,
@@ -20,7 +21,7 @@ from ..functions.sections import (
 )
 from . import findings as codes
 from .mutate import union_all
-from .ordering import HOT_ROWS, previous_value, same, with_first
+from .ordering import HOT_ROWS, attach, previous_value, with_first
 
 # Levels of the audit rules.
 LEVELS = {
@@ -76,7 +77,7 @@ def content_findings(corpus: DataFrame, rules: tuple[str, ...] | None = None) ->
     marked = split_sections(texts, "_text", "_up", "_down").withColumns(
         {
             "_problem": directive_problem(marker_kinds(F.col("_text"))),
-            "_down_blank": ~F.rlike(F.col("_down"), F.lit(r"[^\s\x1c-\x1f\x85\xa0  -     　]")),
+            "_down_blank": is_blank(F.col("_down")),
             "_down_runs": has_content(F.col("_down")),
         }
     )
@@ -152,9 +153,7 @@ def shared_basenames(corpus: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("entries"), F.min("path").alias("first"))
         .where(F.col("entries") > 1)
     )
-    return names.join(groups, same(names, groups, ["grp", "basename"])).select(
-        *[names[c] for c in names.columns], groups["first"], groups["entries"]
-    )
+    return attach(names, groups, ["grp", "basename"], ["first", "entries"], "inner")
 
 
 def audit_basenames(corpus: DataFrame) -> DataFrame:

@@ -12,6 +12,13 @@ from .mutate import union_all
 
 SIGNATURE = ("version", "entry", "payload_digest")
 
+# How a divergence names the field that differs.
+FIELD_NAMES = {
+    "version": "version",
+    "entry": "migration_file",
+    "payload_digest": "migration_digest",
+}
+
 
 def first_divergence(base: DataFrame, head: DataFrame) -> DataFrame:
     """First position where two step lists of a group differ.
@@ -26,7 +33,7 @@ def first_divergence(base: DataFrame, head: DataFrame) -> DataFrame:
     b, h = F.col("b"), F.col("h")
     differing = F.when(b.isNull() | h.isNull(), _difference("step_count", F.lit(None), F.lit(None)))
     for name in SIGNATURE:
-        differing = differing.when(b[name] != h[name], _difference(name, b[name], h[name]))
+        differing = differing.when(b[name] != h[name], _difference(FIELD_NAMES[name], b[name], h[name]))
     joined = left.join(right, ["grp", "idx"], "full_outer")
     per_group = (
         joined.select("grp", "idx", b.isNotNull().alias("in_base"), h.isNotNull().alias("in_head"), differing.alias("d"))

@@ -25,8 +25,16 @@ def largest_group(df: DataFrame, group: list[str]) -> int:
     return df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
 
 
-def same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in columns])
+def attach(df: DataFrame, other: DataFrame, keys: list[str], values: list[str], how: str = "left") -> DataFrame:
+    """Join ``values`` of ``other`` on ``keys`` (null equals null), keeping ``df``'s columns.
+
+    The other side's keys are renamed, so both sides may come from one frame.
+    """
+    renamed = other.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], *values)
+    equal = reduce(
+        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)]
+    )
+    return df.join(renamed, equal, how).select(*df.columns, *values)
 
 
 def _in_parts(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
@@ -36,10 +44,7 @@ def _in_parts(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
 
 def _with_edges(parts: DataFrame, edges: DataFrame, group: list[str], values: list[str]) -> DataFrame:
     # Only groups that cross a part border have an edge: at most one per part.
-    keys = [*group, "_part"]
-    return parts.join(edges, same(parts, edges, keys), "left").select(
-        *[parts[c] for c in parts.columns], *[edges[v] for v in values]
-    )
+    return attach(parts, edges, [*group, "_part"], values)
 
 
 def ordinal(
@@ -129,9 +134,7 @@ def nearest_flagged(
     points = _with_edges(placed, edges, group, ["_edge"]).select(
         *group, order, F.coalesce("_near", "_edge").alias(name)
     )
-    return df.join(points, same(df, points, [*group, order]), "left").select(
-        *[df[c] for c in df.columns], points[name]
-    )
+    return attach(df, points, [*group, order], [name])
 
 
 def _nearest(group: list[str], order: str, marked: Column, ahead: bool) -> Column:
@@ -148,6 +151,4 @@ def with_first(df: DataFrame, keys: list[str], position: str, name: str) -> Data
     copies shrinks before the shuffle and its probe side can be split.
     """
     first = df.groupBy(*keys).agg(F.min(position).alias(name))
-    return df.join(first, same(df, first, keys), "left").select(
-        *[df[c] for c in df.columns], first[name]
-    )
+    return attach(df, first, keys, [name])

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..errors import StateError
 from .compare import equal_states
-from .ordering import HOT_ROWS, nearest_flagged, same
+from .ordering import HOT_ROWS, attach, nearest_flagged
 
 
 def change_sets(changes: DataFrame) -> DataFrame:
@@ -59,8 +59,7 @@ def validity_ranges(
     else:
         replaced = next_replace(all_sets, rows, hot_rows)
         dated = (
-            timed.join(replaced, same(timed, replaced, ["grp", "idx"]), "left")
-            .select(*[timed[c] for c in timed.columns], replaced["_replace"])
+            attach(timed, replaced, ["grp", "idx"], ["_replace"])
             .withColumn("valid_to", F.least(ended, F.col("_replace")))
             .drop("_replace")
         )
