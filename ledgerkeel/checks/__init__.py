@@ -1,6 +1,6 @@
 """Every operator over the given tables, with the SQL that must agree."""
 
-from . import datasets, histories, ledgers
-from .registry import ORACLES, QUERIES
+from . import audits, datasets, histories, ledgers, replays
+from .registry import QUERIES, oracles
 
-__all__ = ["ORACLES", "QUERIES", "datasets", "histories", "ledgers"]
+__all__ = ["QUERIES", "audits", "datasets", "histories", "ledgers", "oracles", "replays"]

@@ -287,3 +287,27 @@ def rollback(ranges: DataFrame, applied: DataFrame, steps: int = 1) -> DataFrame
 def verified_equal(live: DataFrame, expected: DataFrame) -> DataFrame:
     """Groups whose states differ; empty when an operation reached its goal."""
     return equal_states(live, expected).where(~F.col("matches"))
+
+
+def schema_plan(
+    plan: DataFrame, replayed: DataFrame, committed: DataFrame, roundtrip: DataFrame | None = None
+) -> DataFrame:
+    """Replayed against committed head state of each group of ``plan`` (``anchor_tail``).
+
+    DataFrame[grp, divergence_index, anchor_index, tail_count, matches] and, with
+    a round trip given, the numbers of checked, mismatching and skipped steps.
+    """
+    compared = equal_states(replayed, committed).select("grp", "matches")
+    summary = plan.join(compared, "grp", "left").select(
+        "grp",
+        "divergence_index",
+        "anchor_index",
+        "tail_count",
+        F.coalesce("matches", F.lit(True)).alias("matches"),
+    )
+    if roundtrip is None:
+        return summary
+    counts = roundtrip.groupBy("grp").agg(
+        *[F.count_if(F.col("status") == s).alias(s) for s in ("checked", "mismatch", "skipped")]
+    )
+    return summary.join(counts, "grp", "left").fillna(0, ["checked", "mismatch", "skipped"])
