@@ -166,7 +166,7 @@ def jsonl_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------- mutation
 
-NEW_ROW = "o_orderkey, NULL AS o_custkey, o_orderstatus, o_cents, NULL AS o_day, NULL AS o_orderpriority"
+NEW_ROW = "o_orderkey, o_custkey, o_orderstatus, o_cents, NULL AS o_day, NULL AS o_orderpriority"
 
 
 @check("apply_insert", f"SELECT * FROM ord UNION ALL SELECT {NEW_ROW} FROM new_orders")
@@ -176,11 +176,13 @@ def apply_insert(spark: SparkSession, sf: str) -> DataFrame:
 
 @check(
     "apply_replace",
-    "SELECT c_custkey AS s_suppkey, c_name AS s_name, c_nationkey AS s_nationkey, CAST(NULL AS BIGINT) AS s_cents FROM customer",
+    "SELECT c_custkey AS s_suppkey, CAST(NULL AS VARCHAR) AS s_name, c_nationkey AS s_nationkey, CAST(round(c_acctbal * 100) AS BIGINT) AS s_cents FROM customer",
 )
 def apply_replace(spark: SparkSession, sf: str) -> DataFrame:
     target = I.table(spark, sf, "supplier").withColumn("s_cents", I.cents("s_acctbal")).drop("s_acctbal")
-    rows = I.table(spark, sf, "customer").selectExpr("c_custkey AS s_suppkey", "c_name AS s_name", "c_nationkey AS s_nationkey")
+    rows = I.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("s_suppkey"), F.col("c_nationkey").alias("s_nationkey"), I.cents("c_acctbal").alias("s_cents")
+    )
     return mutate.apply_replace(target, rows)
 
 
@@ -203,7 +205,7 @@ def apply_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 @check(
     "apply_upsert_keep",
-    f"""SELECT o.o_orderkey, o_custkey, coalesce(c.o_orderstatus, o.o_orderstatus) AS o_orderstatus, o.o_cents, o_day, o_orderpriority
+    f"""SELECT o.o_orderkey, o.o_custkey, coalesce(c.o_orderstatus, o.o_orderstatus) AS o_orderstatus, o.o_cents, o_day, o_orderpriority
     FROM ord o LEFT JOIN corrections c USING (o_orderkey)
     UNION ALL SELECT {NEW_ROW} FROM new_orders""",
 )
@@ -289,24 +291,24 @@ def _data_set(spark: SparkSession, sf: str) -> tuple[DataSet, dict[str, str]]:
     return DataSet("core", files), {"orders": orders_table, "events": events_table, "names": names_table}
 
 
+def _as_text(df: DataFrame, name: str) -> DataFrame:
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in df.columns]
+    return df.select(F.lit(name).alias("name"), F.concat_ws("|", *cells).alias("row"))
+
+
 @check(
     "apply_dataset",
-    f"""SELECT * FROM ord o WHERE NOT EXISTS (SELECT 1 FROM corrections c WHERE c.o_orderkey = o.o_orderkey)
-    UNION ALL SELECT {NEW_ROW} FROM corrections
-    UNION ALL SELECT event_id, user_id, event_type, NULL, 'events', NULL FROM events
-    UNION ALL SELECT -1 - page_id, NULL, 'page', NULL, 'events', NULL FROM pages
-    UNION ALL SELECT p_partkey, NULL, p_name, NULL, 'names', NULL FROM part""",
+    f"""SELECT 'orders' AS name, o_orderkey || '|' || o_custkey || '|' || o_orderstatus || '|' || o_cents || '|' || coalesce(o_day, 'null') || '|' || coalesce(o_orderpriority, 'null') AS row FROM (
+      SELECT * FROM ord o WHERE NOT EXISTS (SELECT 1 FROM corrections c WHERE c.o_orderkey = o.o_orderkey)
+      UNION ALL SELECT {NEW_ROW} FROM corrections)
+    UNION ALL SELECT 'events', event_id || '|' || user_id || '|' || event_type FROM events
+    UNION ALL SELECT 'events', (-1 - page_id) || '|null|page' FROM pages
+    UNION ALL SELECT 'names', p_partkey || '|' || p_name FROM part""",
 )
 def apply_dataset(spark: SparkSession, sf: str) -> DataFrame:
     data_set, names = _data_set(spark, sf)
     dataset.apply_dataset(spark, data_set)
-    events = spark.table(names["events"]).selectExpr(
-        "event_id AS o_orderkey", "user_id AS o_custkey", "event_type AS o_orderstatus", "CAST(NULL AS BIGINT) AS o_cents", "'events' AS o_day", "CAST(NULL AS STRING) AS o_orderpriority"
-    )
-    parts = spark.table(names["names"]).selectExpr(
-        "key AS o_orderkey", "CAST(NULL AS BIGINT) AS o_custkey", "name AS o_orderstatus", "CAST(NULL AS BIGINT) AS o_cents", "'names' AS o_day", "CAST(NULL AS STRING) AS o_orderpriority"
-    )
-    return spark.table(names["orders"]).unionByName(events).unionByName(parts)
+    return mutate.union_all([_as_text(spark.table(table), name) for name, table in names.items()])
 
 
 @check(

@@ -105,9 +105,10 @@ cte(
 )
 
 
-@check("anchor_tail", "SELECT * FROM anchors")
+@check("anchor_tail", "SELECT * REPLACE (coalesce(divergence_index, 0) AS divergence_index) FROM anchors")
 def anchor_tail(spark: SparkSession, sf: str) -> DataFrame:
-    return history.anchor_tail(I.plain_input_steps(spark, sf), _divergence(spark, sf))
+    plan = history.anchor_tail(I.plain_input_steps(spark, sf), _divergence(spark, sf))
+    return plan.fillna(0, ["divergence_index"])
 
 
 @check(
@@ -242,7 +243,7 @@ def keyed_difference(spark: SparkSession, sf: str) -> DataFrame:
 
     columns = ["o_orderkey", "o_orderstatus", "o_cents", "o_day"]
     old = I.orders(spark, sf).select(*columns)
-    rows = I.corrections(spark, sf).withColumn("present", F.array(F.lit("o_orderkey"), F.lit("o_orderstatus")))
+    rows = I.corrections(spark, sf).drop("o_custkey").withColumn("present", F.array(F.lit("o_orderkey"), F.lit("o_orderstatus")))
     new = mutate.apply_upsert(old, rows, ["o_orderkey"], missing="keep", present="present")
     return compare.keyed_difference(old, new, ["o_orderkey"])
 

@@ -53,8 +53,8 @@ def corrections(spark: SparkSession, sf: str) -> DataFrame:
         table(spark, sf, "lineitem")
         .where(F.col("l_returnflag") == "R")
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
-        .agg(F.count("*").alias("o_cents"))
-        .select("o_orderkey", F.lit("R").alias("o_orderstatus"), "o_cents")
+        .agg(F.min("l_partkey").alias("o_custkey"), F.count("*").alias("o_cents"))
+        .select("o_orderkey", "o_custkey", F.lit("R").alias("o_orderstatus"), "o_cents")
     )
     return returned.unionByName(new_orders(spark, sf))
 
@@ -62,6 +62,7 @@ def corrections(spark: SparkSession, sf: str) -> DataFrame:
 def new_orders(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select(
         (-1 - F.col("c_custkey")).alias("o_orderkey"),
+        F.col("c_custkey").alias("o_custkey"),
         F.lit("N").alias("o_orderstatus"),
         cents("c_acctbal").alias("o_cents"),
     )
@@ -69,12 +70,12 @@ def new_orders(spark: SparkSession, sf: str) -> DataFrame:
 
 cte(
     "new_orders",
-    """SELECT -1 - c_custkey AS o_orderkey, 'N' AS o_orderstatus,
+    """SELECT -1 - c_custkey AS o_orderkey, c_custkey AS o_custkey, 'N' AS o_orderstatus,
     CAST(round(c_acctbal * 100) AS BIGINT) AS o_cents FROM customer""",
 )
 cte(
     "corrections",
-    """SELECT l_orderkey AS o_orderkey, 'R' AS o_orderstatus, count(*) AS o_cents
+    """SELECT l_orderkey AS o_orderkey, min(l_partkey) AS o_custkey, 'R' AS o_orderstatus, count(*) AS o_cents
     FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey
     UNION ALL SELECT * FROM new_orders""",
 )

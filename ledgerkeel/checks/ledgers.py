@@ -120,7 +120,7 @@ def applied_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 @check(
     "applied_scan_counts",
-    """SELECT grp, listed, declared, CASE WHEN bad > 0 THEN 'unreadable' WHEN declared <> listed THEN 'mismatch' ELSE 'ok' END AS status FROM (
+    """SELECT grp, listed, coalesce(declared, -1) AS declared, CASE WHEN bad > 0 THEN 'unreadable' WHEN declared <> listed THEN 'mismatch' ELSE 'ok' END AS status FROM (
       SELECT user_id AS grp, count(*) FILTER (WHERE event_type NOT IN ('view', 'signup')) AS listed,
         arg_max(CASE WHEN value < 5 THEN CAST(regexp_extract(props, '[0-9]+') AS BIGINT) END, event_id) FILTER (WHERE event_type = 'signup' AND value < 5) AS declared0,
         max(event_id) FILTER (WHERE event_type = 'signup' AND value < 5) AS d_at, max(event_id) FILTER (WHERE event_type = 'signup' AND value >= 5 AND value < 6) AS b_at,
@@ -129,7 +129,7 @@ def applied_scan(spark: SparkSession, sf: str) -> DataFrame:
       FROM events GROUP BY user_id)""",
 )
 def applied_scan_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return status.status_check(status_lines(spark, sf))
+    return status.status_check(status_lines(spark, sf)).fillna(-1, ["declared"])
 
 
 # -------------------------------------------------------------------------- ledger

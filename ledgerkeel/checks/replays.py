@@ -56,10 +56,10 @@ def replay_upserts(spark: SparkSession, sf: str) -> DataFrame:
     return replay.replay_upserts(I.event_changes(spark, sf), ["event_type"])
 
 
-@check("capture_checkpoints", "SELECT grp, hr, event_id, valid_from, valid_to FROM mixed_ranges")
+@check("capture_checkpoints", "SELECT grp, hr, event_id, valid_from, coalesce(valid_to, 0) AS valid_to FROM mixed_ranges")
 def capture_checkpoints(spark: SparkSession, sf: str) -> DataFrame:
     ranges = replay.capture_checkpoints(I.mixed_changes(spark, sf), ["hr"])
-    return ranges.select("grp", "hr", "event_id", "valid_from", "valid_to")
+    return ranges.select("grp", "hr", "event_id", "valid_from", F.coalesce("valid_to", F.lit(0)).alias("valid_to"))
 
 
 @check(
@@ -113,7 +113,7 @@ def rollback_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 @check(
     "schema_plan",
-    """SELECT e.grp, NULL AS divergence_index, a.applied_count AS anchor_index, count(*) FILTER (WHERE e.idx > a.applied_count) AS tail_count, true AS matches,
+    """SELECT e.grp, a.applied_count + 1 AS divergence_index, a.applied_count AS anchor_index, count(*) FILTER (WHERE e.idx > a.applied_count) AS tail_count, true AS matches,
       count(*) FILTER (WHERE t.status = 'checked') AS checked, count(*) FILTER (WHERE t.status = 'mismatch') AS mismatch, count(*) FILTER (WHERE t.status = 'skipped') AS skipped
     FROM ev e JOIN ev_applied a USING (grp) JOIN roundtrips t ON t.grp = e.grp AND t.idx = e.idx GROUP BY e.grp, a.applied_count""",
 )
@@ -128,7 +128,7 @@ def schema_plan(spark: SparkSession, sf: str) -> DataFrame:
     counts = changes.groupBy("grp").agg(F.count("*").alias("_n"))
     plan = counts.join(applied, "grp").select(
         "grp",
-        F.lit(None).cast("bigint").alias("divergence_index"),
+        (F.col("applied_count") + 1).alias("divergence_index"),
         F.col("applied_count").alias("anchor_index"),
         (F.col("_n") - F.col("applied_count")).alias("tail_count"),
     )

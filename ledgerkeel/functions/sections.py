@@ -16,12 +16,18 @@ _LINE_ENDS = r"\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 _BLANKS = r"\t \x1f\xa0\u1680\u2000-\u200a\u202f\u205f\u3000"
 _ANY_BLANK = _LINE_ENDS + _BLANKS
 
-# A marker takes a whole line; group 1 is its kind, group 2 the rest of the line.
-# Every repetition is possessive or over one class, so long texts stay linear.
-_MARKER_LINE = (
-    rf"(?<![^{_LINE_ENDS}])[{_BLANKS}]*+--[{_BLANKS}]*+(?i:migrate:(up|down))(?![\p{{L}}\p{{N}}_])"
-    rf"([^{_LINE_ENDS}]*+)(?:\r\n|[{_LINE_ENDS}]|\z)"
+# A marker takes a whole line, whatever ends the line before it. Java's multiline
+# caret is several times faster than a look-behind and knows all line ends but the
+# rare ones, so only texts that hold one of those use the look-behind. Repetitions
+# are possessive or over one class: long texts stay linear.
+_RARE_LINE_ENDS = r"\x0b\x0c\x1c\x1d\x1e"
+_MARKER = (
+    rf"[{_BLANKS}]*+--[{_BLANKS}]*+(?i:{UP_MARKER}|{DOWN_MARKER})(?![\p{{L}}\p{{N}}_])"
 )
+_AT_MARKER = rf"(?m)^(?={_MARKER})"
+_AT_MARKER_ANY_END = rf"(?<![^{_LINE_ENDS}])(?={_MARKER})"
+_MARKER_LINE = rf"\A{_MARKER}[^{_LINE_ENDS}]*+(?:\r\n|[{_LINE_ENDS}]|\z)"
+_UP_LINE = rf"(?i){UP_MARKER}(?![\p{{L}}\p{{N}}_])"
 
 # Blanks, line comments and flat block comments at the head of a text.
 _LEADING_NOISE = rf"\A(?:[{_ANY_BLANK}]++|--[^\n]*+|/\*[\s\S]*?(?:\*/|\z))*+"
@@ -38,50 +44,63 @@ def utf8_check(payload: Column) -> Column:
     return F.is_valid_utf8(payload.cast("string"))
 
 
-def marker_kinds(text: Column) -> Column:
-    """Lower-case kinds of the marker lines in order."""
-    return F.transform(F.regexp_extract_all(text, F.lit(_MARKER_LINE), F.lit(1)), F.lower)
+def _pieces(text: Column) -> Column:
+    """The text cut before every marker line, as structs of marker line and piece."""
+    rare = F.rlike(text, F.lit(f"[{_RARE_LINE_ENDS}]"))
+    cut = F.when(rare, F.split(text, _AT_MARKER_ANY_END)).otherwise(F.split(text, _AT_MARKER))
+    return F.transform(
+        cut,
+        lambda piece: F.struct(
+            F.regexp_extract(piece, _MARKER_LINE, 0).alias("marker"), piece.alias("piece")
+        ),
+    )
 
 
-def marker_has_flag(text: Column, flag: str = TRANSACTION_FLAG) -> Column:
-    rests = F.regexp_extract_all(text, F.lit(_MARKER_LINE), F.lit(2))
-    return F.exists(rests, lambda rest: F.contains(F.lower(rest), F.lit(flag)))
+def _kind(marker: Column) -> Column:
+    return F.when(marker == "", F.lit(None)).when(F.rlike(marker, F.lit(_UP_LINE)), "up").otherwise("down")
 
 
-def split_sections(df: DataFrame, text: str, up: str = "up", down: str = "down") -> DataFrame:
+def split_sections(
+    df: DataFrame, text: str, up: str = "up", down: str = "down", kinds: str | None = None, flagged: str | None = None
+) -> DataFrame:
     """Add the text above/below the markers as two columns, marker lines dropped.
 
-    The text is cut once at its marker lines; each piece belongs to the marker
-    before it and the first piece to the up section. No shuffle, linear per row.
+    The text is cut once before its marker lines; each piece belongs to the
+    marker it starts with and a first piece without one to the up section. One
+    pass per row and no shuffle. ``kinds`` and ``flagged`` name columns for the
+    marker kinds in order and for "a marker carries the transaction flag".
     """
-    pieces = F.split(F.col(text), _MARKER_LINE)
-    kinds = F.concat(F.array(F.lit("up")), marker_kinds(F.col(text)))
-    paired = F.zip_with(
-        pieces, kinds, lambda piece, kind: F.struct(kind.alias("kind"), piece.alias("piece"))
-    )
+    whole = F.col("_section_pieces")
 
     def joined(kind: str) -> Column:
-        own = F.filter(F.col("_pieces"), lambda item: item["kind"] == kind)
-        return F.array_join(F.transform(own, lambda item: item["piece"]), "")
-
-    return (
-        df.withColumn("_pieces", paired)
-        .withColumns({up: joined("up"), down: joined("down")})
-        .drop("_pieces")
-    )
+        own = F.filter(whole, lambda item: F.coalesce(_kind(item["marker"]), F.lit("up")) == kind)
+        bodies = F.transform(
+            own, lambda item: F.substring(item["piece"], F.length(item["marker"]) + 1, F.length(item["piece"]))
+        )
+        return F.array_join(bodies, "")
+
+    added = {up: joined("up"), down: joined("down")}
+    if kinds:
+        added[kinds] = F.array_compact(F.transform(whole, lambda item: _kind(item["marker"])))
+    if flagged:
+        added[flagged] = F.exists(
+            whole, lambda item: F.contains(F.lower(item["marker"]), F.lit(TRANSACTION_FLAG))
+        )
+    return df.withColumn("_section_pieces", _pieces(F.col(text))).withColumns(added).drop("_section_pieces")
 
 
 def has_content(text: Column) -> Column:
     """True when anything but blanks and comments is in the text.
 
     The first character outside comments decides. Texts with at most one block
-    comment opener need one anchored regex; only the others, where comments may
-    nest, fold over their tokens. A lone quote that ends the text is not content.
+    comment opener need one anchored match of what leads the text; only the
+    others, where comments may nest, fold over their tokens. A lone quote that
+    ends the text is not content.
     """
     second_opener = F.locate("/*", F.substring(text, F.locate("/*", text) + 2, F.length(text)))
     nested = F.contains(text, F.lit("/*")) & (second_opener > 0)
-    rest = F.regexp_replace(text, _LEADING_NOISE, "")
-    flat = (rest != "") & ~rest.isin(*_QUOTES)
+    left_over = F.length(text) - F.length(F.regexp_extract(text, _LEADING_NOISE, 0))
+    flat = (left_over > 1) | ((left_over == 1) & ~F.right(text, F.lit(1)).isin(*_QUOTES))
     return F.when(nested, _nested_content(text)).otherwise(flat)
 
 

@@ -14,11 +14,10 @@ from ..functions.entries import basename, version_of
 from ..functions.sections import (
     has_content,
     is_blank,
-    marker_has_flag,
-    marker_kinds,
     split_sections,
     valid_text,
 )
+from ..session import written
 from . import findings as codes
 from .mutate import union_all
 from .ordering import HOT_ROWS, attach, previous_value, with_first
@@ -74,9 +73,9 @@ def directive_problem(kinds: Column) -> Column:
 def content_findings(corpus: DataFrame, rules: tuple[str, ...] | None = None) -> DataFrame:
     """L001, L004, L005, L101-L103 and L106 in one pass over the texts."""
     texts = corpus.select("grp", F.col("entry").alias("path"), valid_text(F.col("payload")).alias("_text"))
-    marked = split_sections(texts, "_text", "_up", "_down").withColumns(
+    marked = split_sections(texts, "_text", "_up", "_down", "_kinds", "_flagged").withColumns(
         {
-            "_problem": directive_problem(marker_kinds(F.col("_text"))),
+            "_problem": directive_problem(F.col("_kinds")),
             "_down_blank": is_blank(F.col("_down")),
             "_down_runs": has_content(F.col("_down")),
         }
@@ -86,7 +85,7 @@ def content_findings(corpus: DataFrame, rules: tuple[str, ...] | None = None) ->
     checks = {
         "L004": [_rule(~readable, "L004", "payload is not UTF-8")],
         "L001": [_rule(F.col("_problem").isNotNull(), "L001", F.col("_problem"))],
-        "L106": [_rule(marker_has_flag(F.col("_text")), "L106", "marker turns the transaction off")],
+        "L106": [_rule(F.col("_flagged"), "L106", "marker turns the transaction off")],
         "L005": [_rule(readable & ~has_content(F.col("_up")), "L005", "up section has no content")],
         "L101": [_rule(readable & blank, "L101", "no down section")],
         "L102": [_rule(readable & ~blank & ~runs, "L102", "down section has no content")],
@@ -223,8 +222,12 @@ def audit_findings(corpus: DataFrame, *others: DataFrame, hot_rows: int = HOT_RO
 
 
 def audit_report(found: DataFrame) -> DataFrame:
-    """Findings in report order: by group, path, code and message."""
-    return found.select(*FINDING_COLUMNS).orderBy("grp", "path", "code", "message")
+    """Findings in report order: by group, path, code and message.
+
+    A global sort first samples its input. The findings are written once before,
+    so the texts are read once and not a second time for the sample.
+    """
+    return written(found.select(*FINDING_COLUMNS), "findings").orderBy("grp", "path", "code", "message")
 
 
 def exit_codes(found: DataFrame) -> DataFrame:

@@ -323,6 +323,9 @@ def ledger_state(
         ledger.digested_snapshots(snapshots, policy), policy.checkpoints_dir, position
     )
     usable, scan_findings = ledger_scan(locked, policy)
+    # Both are narrow (paths and digests) and read by several checks below.
+    usable = written(usable, "usable")
+    kept_snapshots = written(kept_snapshots, "snapshots")
     steps = written(ledger.build_steps(kept, kept_snapshots, headers, policy), "steps")
     found = union_all(
         [
