@@ -11,12 +11,22 @@ SNAPSHOT_DIR = "checkpoints"
 ENTRY_SUFFIX = ".sql"
 
 
-def _segments(path: Column) -> Column:
-    return F.filter(F.split(path, "/"), lambda part: (part != "") & (part != "."))
+# Some segment is empty, "." or ".."; most entries have none and skip the rest.
+_UNTIDY = r"(?:\A|/)\.{0,2}(?:/|\z)"
+
+
+def _untidy(path: Column) -> Column:
+    return F.rlike(path, F.lit(_UNTIDY))
+
+
+def _tidied(path: Column) -> Column:
+    """Without empty and "." segments; a leading slash is dropped too."""
+    folded = F.regexp_replace(path, r"(?:\A|(?<=/))\.?/", "")
+    return F.regexp_replace(folded, r"(?:/|\A)\.?\z", "")
 
 
 def basename(path: Column) -> Column:
-    return F.coalesce(F.try_element_at(_segments(path), F.lit(-1)), F.lit(""))
+    return F.substring_index(F.when(_untidy(path), _tidied(path)).otherwise(path), "/", -1)
 
 
 def version_of(entry: Column) -> Column:
@@ -39,19 +49,41 @@ def companion_entry(
     ).otherwise(entry)
 
 
-def normalize_entry(path: Column) -> Column:
-    """struct(value, error): error is null, ``empty``, ``absolute`` or ``dot_segment``."""
-    segments = _segments(path)
-    error = (
-        F.when(F.startswith(path, F.lit("/")), F.lit("absolute"))
-        .when(F.size(segments) == 0, F.lit("empty"))
-        .when(F.array_contains(segments, ".."), F.lit("dot_segment"))
+def entry_error(path: Column) -> Column:
+    """Null for a usable relative path, else ``empty``, ``absolute`` or ``dot_segment``."""
+    return (
+        F.when(~_untidy(path), F.lit(None))
+        .when(F.startswith(path, F.lit("/")), F.lit("absolute"))
+        .when(_tidied(path) == "", F.lit("empty"))
+        .when(F.rlike(path, F.lit(r"(?:\A|/)\.\.(?:/|\z)")), F.lit("dot_segment"))
     )
-    return F.struct(
-        F.when(error.isNull(), F.array_join(segments, "/")).alias("value"), error.alias("error")
+
+
+def entry_value(path: Column) -> Column:
+    """The normalised path, null where it has an error."""
+    return F.when(~_untidy(path), path).when(entry_error(path).isNull(), _tidied(path))
+
+
+def entry_within(path: Column, folder: str, suffix: str = "") -> Column:
+    """Whether the normalised path is usable, below ``folder`` and ends with ``suffix``.
+
+    A predicate of its own, so a filter on it costs one match for a tidy path
+    even where the optimiser copies it below a projection.
+    """
+
+    def fits(value: Column) -> Column:
+        return F.startswith(value, F.lit(f"{folder}/")) & F.endswith(value, F.lit(suffix))
+
+    return F.when(~_untidy(path), fits(path)).otherwise(
+        entry_error(path).isNull() & fits(_tidied(path))
     )
 
 
+def normalize_entry(path: Column) -> Column:
+    """struct(value, error) of a path."""
+    return F.struct(entry_value(path).alias("value"), entry_error(path).alias("error"))
+
+
 def _forward(path: Column) -> Column:
     return F.translate(path, "\\", "/")
 
@@ -63,11 +95,12 @@ def status_basename(path: Column) -> Column:
 def status_path(path: Column) -> Column:
     """Slashes unified, repeated separators and dot segments folded."""
     forward = _forward(path)
-    joined = F.array_join(_segments(forward), "/")
+    tidied = _tidied(forward)
     return (
-        F.when(F.startswith(forward, F.lit("/")), F.concat(F.lit("/"), joined))
-        .when(joined == "", F.lit("."))
-        .otherwise(joined)
+        F.when(~_untidy(forward), forward)
+        .when(F.startswith(forward, F.lit("/")), F.concat(F.lit("/"), tidied))
+        .when(tidied == "", F.lit("."))
+        .otherwise(tidied)
     )
 
 

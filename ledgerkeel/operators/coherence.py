@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.digests import text_digest
-from ..functions.entries import normalize_entry
+from ..functions.entries import entry_error, entry_value, entry_within
 from ..functions.sections import valid_text
 from ..session import written
 from . import findings as codes
 from . import ledger
 from .ledger import DEFAULT_POLICY, LedgerPolicy
 from .mutate import union_all
-from .ordering import HOT_ROWS, ordinal, with_first
+from .ordering import HOT_ROWS, largest_group, ordinal, with_first
 
 
 def _when(failed: Column, code: str, path: Column, detail: Column | str) -> Column:
@@ -181,37 +181,34 @@ def check_ledger_paths(locked: DataFrame, policy: LedgerPolicy = DEFAULT_POLICY)
     folder; only then is the second kind of finding given.
     """
     names = (("entry", policy.migrations_dir), ("snapshot_entry", policy.checkpoints_dir))
-    judged = locked
-    for name, _ in names:
-        judged = judged.withColumn(f"_{name}", normalize_entry(F.col(name)))
-    all_valid = F.lit(True)
-    all_inside = F.lit(True)
+    all_valid, all_inside = F.lit(True), F.lit(True)
     for name, folder in names:
-        all_valid = all_valid & F.col(f"_{name}")["error"].isNull()
-        all_inside = all_inside & F.startswith(F.col(f"_{name}")["value"], F.lit(f"{folder}/"))
+        all_valid = all_valid & entry_error(F.col(name)).isNull()
+        all_inside = all_inside & entry_within(F.col(name), folder)
     checks = []
     for name, folder in names:
-        parsed = F.col(f"_{name}")
+        error, value = entry_error(F.col(name)), entry_value(F.col(name))
         checks.append(
             _when(
-                parsed["error"].isNotNull(),
+                error.isNotNull(),
                 codes.LOCKFILE_STEP_PATH_INVALID,
                 F.col(name),
-                F.concat(F.lit("bad path: "), parsed["error"]),
+                F.concat(F.lit("bad path: "), error),
             )
         )
         checks.append(
             _when(
-                all_valid & ~F.startswith(parsed["value"], F.lit(f"{folder}/")),
+                all_valid & ~F.startswith(value, F.lit(f"{folder}/")),
                 codes.LOCKFILE_STEP_PATH_MISMATCH,
-                parsed["value"],
+                value,
                 f"not under {folder}/",
             )
         )
-    kept = judged.where(all_valid & all_inside)
-    for name, _ in names:
-        kept = kept.withColumn(name, F.col(f"_{name}")["value"])
-    return kept.drop("_entry", "_snapshot_entry"), _explode(judged, checks)
+    renamed = dict(names)
+    kept = locked.where(all_inside).select(
+        *[entry_value(F.col(c)).alias(c) if c in renamed else F.col(c) for c in locked.columns]
+    )
+    return kept, _explode(locked.where(~all_inside), checks)
 
 
 def duplicate_ledger_steps(locked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -316,6 +313,7 @@ def ledger_state(
 
     The step findings concern groups that have a ledger; the input findings all.
     """
+    largest = largest_group(entries, ["grp"])
     kept, entry_findings = ledger.filter_entries(
         ledger.digested_entries(entries, policy), policy.migrations_dir, position
     )
@@ -326,7 +324,7 @@ def ledger_state(
     # Both are narrow (paths and digests) and read by several checks below.
     usable = written(usable, "usable")
     kept_snapshots = written(kept_snapshots, "snapshots")
-    steps = written(ledger.build_steps(kept, kept_snapshots, headers, policy), "steps")
+    steps = written(ledger.build_steps(kept, kept_snapshots, headers, policy, largest=largest), "steps")
     found = union_all(
         [
             scan_findings,

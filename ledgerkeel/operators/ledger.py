@@ -28,13 +28,15 @@ from ..functions.entries import (
     PAYLOAD_DIR,
     SNAPSHOT_DIR,
     companion_entry,
-    normalize_entry,
+    entry_error,
+    entry_value,
+    entry_within,
     version_of,
 )
 from ..functions.sections import valid_text
 from ..session import written
 from . import findings as codes
-from .ordering import HOT_ROWS, ordinal, with_first
+from .ordering import HOT_ROWS, largest_group, ordinal, with_first
 
 SEGMENT_ROWS = 1_000_000
 
@@ -58,21 +60,27 @@ def _finding(code: str, path: Column, detail: Column | str) -> Column:
     return F.struct(F.lit(code).alias("code"), path.alias("path"), text.alias("detail"))
 
 
-def _judged_entries(entries: DataFrame, required_dir: str, position: str | None, content: list[str]) -> DataFrame:
-    """Entries with their normalised path and the reason to reject them."""
-    path = F.col("_n")["value"]
+def _named_entries(entries: DataFrame, position: str | None, content: list[str]) -> DataFrame:
+    return entries.select(
+        "grp",
+        entry_value(F.col("entry")).alias("path"),
+        F.col(position or "entry").alias("arrival"),
+        *content,
+    )
+
+
+def _rejected_entries(entries: DataFrame, required_dir: str) -> DataFrame:
+    error, value = entry_error(F.col("entry")), entry_value(F.col("entry"))
     reason = (
-        F.when(F.col("_n")["error"].isNotNull(), F.concat(F.lit("bad path: "), F.col("_n")["error"]))
-        .when(~F.startswith(path, F.lit(f"{required_dir}/")), F.lit(f"not under {required_dir}/"))
-        .when(~F.endswith(path, F.lit(ENTRY_SUFFIX)), F.lit(f"does not end with {ENTRY_SUFFIX}"))
+        F.when(error.isNotNull(), F.concat(F.lit("bad path: "), error))
+        .when(~F.startswith(value, F.lit(f"{required_dir}/")), F.lit(f"not under {required_dir}/"))
+        .otherwise(F.lit(f"does not end with {ENTRY_SUFFIX}"))
     )
-    arrival = F.col(position) if position else F.col("entry")
-    return entries.withColumn("_n", normalize_entry(F.col("entry"))).select(
+    return entries.where(~entry_within(F.col("entry"), required_dir, ENTRY_SUFFIX)).select(
         "grp",
-        F.coalesce(path, "entry").alias("path"),
-        reason.alias("reason"),
-        F.struct(arrival.alias("position"), F.col("entry").alias("raw")).alias("arrival"),
-        *content,
+        F.lit(codes.INPUT_PATH_INVALID).alias("code"),
+        F.coalesce(value, "entry").alias("path"),
+        reason.alias("detail"),
     )
 
 
@@ -82,23 +90,21 @@ def filter_entries(
     """Good entries under their normalised path, and findings for the rejected.
 
     Of entries that normalise to the same path the first by ``position`` wins
-    (by raw path when no position column is named). The winner is found by an
-    aggregate, so very many copies of one path shrink before the shuffle.
+    (by raw path when no position column is named; either is unique in a group).
+    The winner is found by an aggregate, so very many copies of one path shrink
+    before the shuffle.
     """
     content = [c for c in entries.columns if c not in ("grp", "entry", position)]
-    judged = _judged_entries(entries, required_dir, position, content)
-    good = judged.where(F.col("reason").isNull())
+    good = entries.where(entry_within(F.col("entry"), required_dir, ENTRY_SUFFIX))
     kept = (
-        good.groupBy("grp", "path")
+        _named_entries(good, position, content)
+        .groupBy("grp", "path")
         .agg(F.min_by(F.struct(*content), "arrival").alias("_row"))
         .select("grp", F.col("path").alias("entry"), "_row.*")
     )
-    rejected = judged.where(F.col("reason").isNotNull()).select(
-        "grp", F.lit(codes.INPUT_PATH_INVALID).alias("code"), "path", F.col("reason").alias("detail")
-    )
-    narrow = _judged_entries(entries, required_dir, position, [])
+    rejected = _rejected_entries(entries, required_dir)
     repeated = (
-        with_first(narrow.where(F.col("reason").isNull()), ["grp", "path"], "arrival", "first")
+        with_first(_named_entries(good, position, []), ["grp", "path"], "arrival", "first")
         .where(F.col("arrival") > F.col("first"))
         .select(
             "grp",
@@ -119,7 +125,10 @@ def chain_seed(engine: str, target: str, policy: LedgerPolicy = DEFAULT_POLICY)
 
 
 def chain_hash(
-    steps: DataFrame, policy: LedgerPolicy = DEFAULT_POLICY, segment_rows: int = SEGMENT_ROWS
+    steps: DataFrame,
+    policy: LedgerPolicy = DEFAULT_POLICY,
+    segment_rows: int = SEGMENT_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add ``chain_hash`` to steps that carry ``engine`` and ``target``.
 
@@ -129,8 +138,11 @@ def chain_hash(
     group. A group longer than ``segment_rows`` is walked in segments, one job
     each, the last hash carried over through the shared folder; a task thus
     never holds more than a segment of a group and a lost executor repeats only
-    that. Groups that are done leave after their last segment.
+    that. Groups that are done leave after their last segment. ``largest`` is an
+    upper bound on the group size where the caller knows one.
     """
+    if largest is not None and largest <= segment_rows:
+        return _fold_segment(steps.withColumn("_carry", F.lit(None).cast("string")), policy)
     longest = steps.agg(F.max("idx")).first()[0] or 0
     if longest <= segment_rows:
         return _fold_segment(steps.withColumn("_carry", F.lit(None).cast("string")), policy)
@@ -218,11 +230,12 @@ def plain_steps(
     snapshots: DataFrame | None = None,
     policy: LedgerPolicy = DEFAULT_POLICY,
     hot_rows: int = HOT_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Steps without their chain: payloads are digested first, so only 64-char
     digests reach the shuffles."""
     digested = digested_entries(entries, policy)
-    placed = ordinal(digested, ["grp"], ["entry"], "idx", hot_rows)
+    placed = ordinal(digested, ["grp"], ["entry"], "idx", hot_rows, largest)
     steps = placed.select(
         "grp",
         "idx",
@@ -248,10 +261,16 @@ def build_steps(
     policy: LedgerPolicy = DEFAULT_POLICY,
     hot_rows: int = HOT_ROWS,
     segment_rows: int = SEGMENT_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
-    """Steps of the filtered entries of every group, in path order from 1."""
-    steps = plain_steps(entries, snapshots, policy, hot_rows)
-    return chain_hash(_seeds(steps, headers), policy, segment_rows).drop("engine", "target")
+    """Steps of the filtered entries of every group, in path order from 1.
+
+    The largest group is counted once, over the group column only, for both the
+    positions and the chain.
+    """
+    bound = largest_group(entries, ["grp"]) if largest is None else largest
+    steps = plain_steps(entries, snapshots, policy, hot_rows, bound)
+    return chain_hash(_seeds(steps, headers), policy, segment_rows, bound).drop("engine", "target")
 
 
 def build_ledger(

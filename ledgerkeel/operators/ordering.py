@@ -48,13 +48,19 @@ def _with_edges(parts: DataFrame, edges: DataFrame, group: list[str], values: li
 
 
 def ordinal(
-    df: DataFrame, group: list[str], order: list[str], name: str = "idx", hot_rows: int = HOT_ROWS
+    df: DataFrame,
+    group: list[str],
+    order: list[str],
+    name: str = "idx",
+    hot_rows: int = HOT_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add the 1-based position of each row in its group (bigint).
 
-    ``order`` must be unique within a group for a stable result.
+    ``order`` must be unique within a group for a stable result. ``largest`` is
+    an upper bound on the group size where the caller knows one.
     """
-    if largest_group(df, group) <= hot_rows:
+    if (largest_group(df, group) if largest is None else largest) <= hot_rows:
         place = F.row_number().over(W.partitionBy(*group).orderBy(*order))
         return df.withColumn(name, place.cast("bigint"))
     parts = _in_parts(df, group, order)
