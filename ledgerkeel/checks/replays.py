@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.digests import ensure_newline
 from ..operators import history, ledger, publish, replay
+from ..operators.ordering import previous_value
 from ..session import written
 from . import inputs as I
 from .histories import _applied, _divergence, _relation
@@ -79,12 +79,9 @@ def checkpoint_sizes(spark: SparkSession, sf: str) -> DataFrame:
 def _inverses(spark: SparkSession, sf: str, changes: DataFrame) -> DataFrame:
     """An inverse per event: the row before it or a delete. Views have none; those
     of errors are wrong when the amount is above one hundred."""
-    earlier = W.partitionBy("grp", "event_type").orderBy("idx")
-    undo = changes.where(F.col("event_type") != "view").select(
-        "grp", "idx", "event_type",
-        F.lag("event_id").over(earlier).alias("event_id"),
-        F.lag("amount").over(earlier).alias("amount"),
-        F.col("amount").alias("_now"),
+    packed = changes.withColumn("_row", F.struct("event_id", "amount"))
+    undo = previous_value(packed, ["grp", "event_type"], ["idx"], "_row", "_old").where(F.col("event_type") != "view").select(
+        "grp", "idx", "event_type", "_old.event_id", "_old.amount", F.col("amount").alias("_now")
     )
     wrong = (F.col("event_type") == "error") & (F.col("_now") > 10000)
     return undo.select(

@@ -34,11 +34,11 @@ from ..functions.entries import (
     version_of,
 )
 from ..functions.sections import valid_text
-from ..session import written
+from ..session import scratch_path, written
 from . import findings as codes
 from .ordering import HOT_ROWS, largest_group, ordinal, with_first
 
-SEGMENT_ROWS = 1_000_000
+SEGMENT_ROWS = 20_000_000
 
 
 @dataclass(frozen=True)
@@ -146,24 +146,25 @@ def chain_hash(
     longest = steps.agg(F.max("idx")).first()[0] or 0
     if longest <= segment_rows:
         return _fold_segment(steps.withColumn("_carry", F.lit(None).cast("string")), policy)
-    source = written(steps.withColumn("_segment", F.floor((F.col("idx") - 1) / segment_rows)), "chain-in")
-    done: list[DataFrame] = []
-    carry: DataFrame | None = None
+    numbered = steps.withColumn("_segment", F.floor((F.col("idx") - 1) / segment_rows))
+    source = written(numbered, "chain-in", partition_by="_segment")
+    folder = scratch_path(steps.sparkSession, "chain-out")
     for segment in range((longest - 1) // segment_rows + 1):
         part = source.where(F.col("_segment") == segment).drop("_segment")
-        if carry is None:
+        if segment == 0:
             part = part.withColumn("_carry", F.lit(None).cast("string"))
         else:
-            part = part.join(carry, "grp")
-        folded = written(_fold_segment(part, policy), "chain-out")
-        carry = folded.where(F.col("idx") == (segment + 1) * segment_rows).select(
-            "grp", F.col("chain_hash").alias("_carry")
-        )
-        done.append(folded)
-    result = done[0]
-    for folded in done[1:]:
-        result = result.unionByName(folded)
-    return result
+            part = part.join(_last_hashes(done, segment * segment_rows), "grp")
+        folded = _fold_segment(part, policy)
+        path = f"{folder}/_segment={segment}"
+        folded.write.parquet(path)
+        done = steps.sparkSession.read.schema(folded.schema).parquet(path)
+    # One scan over the folder, however many segments were walked.
+    return steps.sparkSession.read.schema(folded.schema).parquet(f"{folder}/*")
+
+
+def _last_hashes(segment: DataFrame, idx: int) -> DataFrame:
+    return segment.where(F.col("idx") == idx).select("grp", F.col("chain_hash").alias("_carry"))
 
 
 def _fold_segment(steps: DataFrame, policy: LedgerPolicy) -> DataFrame:

@@ -18,6 +18,10 @@ from ..errors import DatasetError
 
 MODES = ("replace", "upsert", "insert")
 
+# A key side of at most this many fixed-width rows is small enough to broadcast.
+BROADCAST_KEYS = 1_000_000
+_FIXED_WIDTH = (T.IntegralType, T.FractionalType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
 
 def align(rows: DataFrame, schema: T.StructType) -> DataFrame:
     """The rows in the target's columns and types; omitted columns are null."""
@@ -64,9 +68,20 @@ def _unique_keys(rows: DataFrame, on: list[str]) -> DataFrame:
     )
 
 
-def delete_matching(target: DataFrame, rows: DataFrame, on: list[str]) -> DataFrame:
+def _without_keys(target: DataFrame, keys: DataFrame, on: list[str], source_rows: int | None) -> DataFrame:
+    """Anti join. Keys with a known small bound are broadcast, so that a huge
+    target is not shuffled; otherwise Spark decides by size."""
+    fixed = all(isinstance(keys.schema[c].dataType, _FIXED_WIDTH) for c in on)
+    if fixed and source_rows is not None and source_rows <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    return target.join(keys, on, "left_anti").select(*target.columns)
+
+
+def delete_matching(
+    target: DataFrame, rows: DataFrame, on: list[str], source_rows: int | None = None
+) -> DataFrame:
     """Target rows whose key is not among the rows; a null key matches nothing."""
-    return target.join(_known_keys(rows, on).distinct(), on, "left_anti").select(*target.columns)
+    return _without_keys(target, _known_keys(rows, on).distinct(), on, source_rows)
 
 
 def apply_upsert(
@@ -76,13 +91,15 @@ def apply_upsert(
     missing: str = "null",
     on_duplicate: str = "raise",
     present: str | None = None,
+    source_rows: int | None = None,
 ) -> DataFrame:
     """Rows replace the target rows that share their key, the others are added.
 
     ``missing="null"`` rewrites whole rows. ``missing="keep"`` keeps the old value
     of columns a row does not name; ``present`` is then the array column of names
     the row did give (an explicit null still overwrites). ``on_duplicate`` is
-    ``raise`` or ``insert_all``. Any number of key columns is fine.
+    ``raise`` or ``insert_all``. Any number of key columns is fine. ``source_rows``
+    is an upper bound on the number of rows where the caller has counted them.
     """
     if not on:
         raise DatasetError("upsert requires on")
@@ -96,9 +113,9 @@ def apply_upsert(
     if missing != "null":
         raise DatasetError(f"unknown missing {missing!r}")
     if on_duplicate == "raise":
-        kept = target.join(_unique_keys(rows, on), on, "left_anti").select(*target.columns)
+        kept = _without_keys(target, _unique_keys(rows, on), on, source_rows)
     else:
-        kept = delete_matching(target, rows, on)
+        kept = delete_matching(target, rows, on, source_rows)
     return kept.unionByName(align(rows, target.schema))
 
 

@@ -81,6 +81,38 @@ def ordinal(
     )
 
 
+def running_sum(
+    df: DataFrame,
+    group: list[str],
+    order: list[str],
+    value: str,
+    name: str,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Add the sum of ``value`` over the group's rows up to and including this one."""
+    if largest_group(df, group) <= hot_rows:
+        return df.withColumn(name, F.sum(value).over(_up_to_here(group, order)))
+    parts = _in_parts(df, group, order)
+    earlier = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (
+        parts.groupBy(*group, "_part")
+        .agg(F.sum(value).alias("_sum"))
+        .withColumn("_before", F.sum("_sum").over(earlier))
+        .where(F.col("_before").isNotNull())
+        .drop("_sum")
+    )
+    local = parts.withColumn("_local", F.sum(value).over(_up_to_here([*group, "_part"], order)))
+    return (
+        _with_edges(local, offsets, group, ["_before"])
+        .withColumn(name, F.col("_local") + F.coalesce("_before", F.lit(0)))
+        .drop("_part", "_local", "_before")
+    )
+
+
+def _up_to_here(group: list[str], order: list[str]):
+    return W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+
+
 def previous_value(
     df: DataFrame,
     group: list[str],

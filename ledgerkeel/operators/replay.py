@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..errors import StateError
 from .compare import equal_states
-from .ordering import HOT_ROWS, attach, nearest_flagged
+from .ordering import HOT_ROWS, attach, nearest_flagged, running_sum
 
 
 def change_sets(changes: DataFrame) -> DataFrame:
@@ -127,22 +127,19 @@ def capture_checkpoints(
     return validity_ranges(changes, key, anchor, sets, hot_rows)
 
 
-def checkpoint_sizes(ranges: DataFrame, sets: DataFrame) -> DataFrame:
+def checkpoint_sizes(ranges: DataFrame, sets: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """DataFrame[grp, idx, rows]: number of live rows after each change-set.
 
     Births and deaths are summed per step first; the running total then has one
     row per change-set, however many rows the sets hold.
     """
-    from pyspark.sql import Window as W
-
     born = ranges.select("grp", F.col("valid_from").alias("idx"), F.lit(1).alias("d"))
     died = ranges.where(F.col("valid_to").isNotNull()).select(
         "grp", F.col("valid_to").alias("idx"), F.lit(-1).alias("d")
     )
     steps = sets.select("grp", "idx", F.lit(0).alias("d"))
     deltas = born.unionByName(died).unionByName(steps).groupBy("grp", "idx").agg(F.sum("d").alias("d"))
-    running = F.sum("d").over(W.partitionBy("grp").orderBy("idx"))
-    counted = deltas.withColumn("rows", running)
+    counted = running_sum(deltas, ["grp"], ["idx"], "d", "rows", hot_rows)
     return counted.join(sets.select("grp", "idx").distinct(), ["grp", "idx"]).select("grp", "idx", "rows")
 
 

@@ -56,20 +56,32 @@ def file_rows(spark: SparkSession, data_file: DataFile) -> DataFrame:
 
 
 def apply_file(spark: SparkSession, data_file: DataFile, rows: int) -> None:
-    target = spark.table(data_file.table)
-    if data_file.mode == "insert":
-        if rows:
-            new = mutate.align(file_rows(spark, data_file), target.schema)
-            tables.append_rows(data_file.table, new)
-        return
+    """Write one checked data file of ``rows`` rows into its table."""
+    table = data_file.table
     if rows == 0:
         if data_file.mode == "replace":
-            tables.swap_snapshot(spark, data_file.table, mutate.apply_replace_empty(target))
+            tables.replace_content(spark, table, mutate.apply_replace_empty(spark.table(table)))
         return
-    content = mutate.apply_rows(
-        target, file_rows(spark, data_file), data_file.mode, list(data_file.on or ())
-    )
-    tables.swap_snapshot(spark, data_file.table, content)
+    target, source = spark.table(table), file_rows(spark, data_file)
+    if data_file.mode == "insert":
+        tables.append_rows(table, mutate.align(source, target.schema))
+    elif data_file.mode == "replace":
+        tables.replace_content(spark, table, mutate.apply_replace(target, source))
+    else:
+        _upsert_table(spark, table, target, source, list(data_file.on), rows)
+
+
+def _upsert_table(
+    spark: SparkSession, table: str, target: DataFrame, source: DataFrame, on: list[str], rows: int
+) -> None:
+    """Where the key contains the partition columns, a row can only meet target
+    rows of its own partition: only those partitions are read and rewritten."""
+    parts = tables.partition_columns(spark, table)
+    if parts and set(parts) <= set(on):
+        near = tables.in_touched_partitions(target, source, parts)
+        tables.overwrite_partitions(spark, table, mutate.apply_upsert(near, source, on, source_rows=rows))
+    else:
+        tables.replace_content(spark, table, mutate.apply_upsert(target, source, on, source_rows=rows))
 
 
 def apply_dataset(spark: SparkSession, data_set: DataSet, declared: dict[str, T.StructType] | None = None) -> DataFrame:

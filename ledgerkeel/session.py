@@ -44,12 +44,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/ledgerkeel/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Cut the lineage by writing the rows once to the shared folder.
 
     Parquet keeps later reads column-pruned, and the rows (with any partition
     ids computed from a sampled range split) stay the same when a task reruns.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import written
+
+# Most partition values a scan is filtered by.
+LISTED_PARTITIONS = 500
+
 _SNAPSHOT = re.compile(r"__snap_[0-9a-f]{32}\Z")
 
 
@@ -40,6 +45,64 @@ def table_location(spark: SparkSession, table: str) -> str:
     return rows.first()["data_type"]
 
 
+def partition_columns(spark: SparkSession, table: str) -> list[str]:
+    return [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+
+
+def replace_content(spark: SparkSession, table: str, content: DataFrame) -> None:
+    """Make ``content``, which may read the table itself, the table's whole content."""
+    if not partition_columns(spark, table):
+        swap_snapshot(spark, table, content)
+        return
+    # The catalog keeps a location per partition, so a partitioned table is
+    # overwritten in place from rows that are ready on shared storage.
+    _overwrite(spark, table, written(content, "content"), "static")
+
+
+def overwrite_partitions(spark: SparkSession, table: str, content: DataFrame) -> None:
+    """Replace the partitions that occur in ``content`` and leave all others alone.
+
+    The content is complete on shared storage before the first partition is
+    touched; running it again after a failure gives the same table.
+    """
+    _overwrite(spark, table, written(content, "partitions"), "dynamic")
+
+
+def _overwrite(spark: SparkSession, table: str, ready: DataFrame, mode: str) -> None:
+    setting = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(setting, "static")
+    spark.conf.set(setting, mode)
+    try:
+        ready.select(*spark.table(table).columns).write.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set(setting, before)
+
+
+def in_touched_partitions(target: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Target rows of the partitions the rows fall into.
+
+    Up to ``LISTED_PARTITIONS`` distinct values become a filter the scan prunes
+    by; more than that stay a semi join. Null is a partition of its own: its rows
+    match no key, but they are in the partition that will be rewritten.
+    """
+    touched = rows.select(*columns).distinct()
+    listed = touched.limit(LISTED_PARTITIONS + 1).collect()
+    if len(listed) <= LISTED_PARTITIONS:
+        inside = F.lit(False)
+        for values in listed:
+            own = F.lit(True)
+            for column in columns:
+                value = values[column]
+                own = own & (F.col(column).isNull() if value is None else F.col(column) == F.lit(value))
+            inside = inside | own
+        return target.where(inside)
+    renamed = touched.select(*[F.col(c).alias(f"_touched_{c}") for c in columns])
+    equal = F.lit(True)
+    for column in columns:
+        equal = equal & F.col(column).eqNullSafe(F.col(f"_touched_{column}"))
+    return target.join(renamed, equal, "left_semi")
+
+
 def swap_snapshot(spark: SparkSession, table: str, content: DataFrame) -> str:
     """Write the new content beside the table and point the table at it.
 

@@ -222,6 +222,67 @@ def test_guards(spark, roles, tmp_path):
     assert validate.schema_differences(SCHEMA, SCHEMA) == []
 
 
+@pytest.fixture
+def daily(spark, tmp_path):
+    name = f"daily_{tmp_path.name.replace('-', '_')}"
+    df = spark.createDataFrame([(d, i, "old") for d in ("d1", "d2", "d3") for i in (1, 2)], "day string, id bigint, v string")
+    df.write.partitionBy("day").option("path", str(tmp_path / "daily")).saveAsTable(name)
+    yield name
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_partitioned_upsert_rewrites_touched_partitions(spark, daily, tmp_path, rows):
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "daily").rglob("*.parquet")}
+    (tmp_path / "f.jsonl").write_text('{"day":"d2","id":1,"v":"new"}\n{"day":"d4","id":9,"v":"new"}')
+    data = DataFile("f", daily, "upsert", str(tmp_path / "f.jsonl"), on=("day", "id"))
+    dataset.apply_dataset(spark, DataSet("c", (data,)))
+    got = rows(spark.table(daily), "day", "id", "v")
+    assert got == [("d1", 1, "old"), ("d1", 2, "old"), ("d2", 1, "new"), ("d2", 2, "old"), ("d3", 1, "old"), ("d3", 2, "old"), ("d4", 9, "new")]
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "daily").rglob("*.parquet")}
+    assert {p for p in before if "day=d2" not in str(p)} <= set(after)
+    assert not any("day=d2" in str(p) for p in set(before) & set(after))
+
+
+@pytest.mark.parametrize("listed", [500, 0])
+def test_null_partition_keeps_its_rows(spark, daily, tmp_path, rows, monkeypatch, listed):
+    monkeypatch.setattr(tables, "LISTED_PARTITIONS", listed)
+    tables.append_rows(daily, spark.createDataFrame([(1, "null part", None)], "id bigint, v string, day string"))
+    (tmp_path / "f.jsonl").write_text('{"id":1,"v":"second"}\n{"day":"d1","id":1,"v":"new"}')
+    dataset.apply_dataset(spark, DataSet("c", (DataFile("f", daily, "upsert", str(tmp_path / "f.jsonl"), on=("day", "id")),)))
+    got = rows(spark.table(daily), "day", "id", "v")
+    assert [r for r in got if r[0] in (None, "d1")] == sorted(
+        [("d1", 1, "new"), ("d1", 2, "old"), (None, 1, "null part"), (None, 1, "second")], key=repr
+    )
+    assert len(got) == 8
+
+
+@pytest.mark.parametrize(
+    "mode,on,text,expected",
+    [
+        ("upsert", ("id",), '{"day":"d9","id":1,"v":"new"}', [("d1", 2, "old"), ("d2", 2, "old"), ("d3", 2, "old"), ("d9", 1, "new")]),
+        ("replace", None, '{"day":"d9","id":1,"v":"new"}', [("d9", 1, "new")]),
+        ("replace", None, "", []),
+    ],
+)
+def test_partitioned_replace(spark, daily, tmp_path, rows, mode, on, text, expected):
+    (tmp_path / "f.jsonl").write_text(text)
+    dataset.apply_dataset(spark, DataSet("c", (DataFile("f", daily, mode, str(tmp_path / "f.jsonl"), on=on),)))
+    assert rows(spark.table(daily), "day", "id", "v") == expected
+
+
+def test_small_key_side_is_broadcast(spark, target):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        new = spark.createDataFrame([(2, "B")], SCHEMA)
+        plans = [
+            mutate.apply_upsert(target, new, ["id"], source_rows=n)._jdf.queryExecution().executedPlan().toString()
+            for n in (1, None, mutate.BROADCAST_KEYS + 1)
+        ]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert ["BroadcastHashJoin" in p for p in plans] == [True, False, False]
+
+
 def test_swap_keeps_old_readers(spark, roles):
     before = tables.table_location(spark, roles)
     after = tables.swap_snapshot(spark, roles, spark.table(roles).where("id = 1"))

@@ -32,6 +32,11 @@ def test_previous_value(skewed, rows):
     assert rows(plain, "grp", "k", "before") == rows(split, "grp", "k", "before")
 
 
+def test_running_sum(skewed, rows):
+    sums = [ordering.running_sum(skewed, ["grp"], ["k"], "k", "s", h) for h in (10, 10**6)]
+    assert rows(sums[0], "grp", "k", "s") == rows(sums[1], "grp", "k", "s")
+
+
 @pytest.mark.parametrize("ahead", [True, False])
 def test_nearest_flagged(skewed, rows, ahead):
     def near(hot):

@@ -62,7 +62,7 @@ def test_replay_equals_simulation(spark, rows, seed, modes, hot_rows):
     assert rows(replay.replay_tail(frames[0], ["k"], frames[1], frames[2], hot_rows), "grp", "k", "v") == simulate(sets, changes, anchor)
     for k in (0, 1, 3, 30, 60):
         assert rows(replay.state_at(ranges, k), "grp", "k", "v") == simulate(sets, changes, anchor, lambda g: k)
-    sizes = {(r["grp"], r["idx"]): r["rows"] for r in replay.checkpoint_sizes(ranges, frames[2]).collect()}
+    sizes = {(r["grp"], r["idx"]): r["rows"] for r in replay.checkpoint_sizes(ranges, frames[2], hot_rows).collect()}
     for grp, idx in [(g, i) for g, i, _ in sets if i in (1, 2, 5, 40)]:
         state = simulate(sets, changes, anchor, lambda g: idx)
         assert sizes[grp, idx] == sum(1 for g, _, _ in state if g == grp)
