@@ -416,7 +416,7 @@ cte(
 @check("section_has_content", "SELECT doc_id, up_runs, down_runs FROM contents")
 def section_has_content(spark: SparkSession, sf: str) -> DataFrame:
     return sections.split_sections(I.corpus(spark, sf), "body").select(
-        "doc_id", sections.has_content(F.col("up")).alias("up_runs"), sections.has_content(F.col("down")).alias("down_runs")
+        "doc_id", sections.section_has_content(F.col("up")).alias("up_runs"), sections.section_has_content(F.col("down")).alias("down_runs")
     )
 
 

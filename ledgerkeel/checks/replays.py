@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.digests import ensure_newline
 from ..operators import history, ledger, publish, replay
-from ..operators.ordering import previous_value
-from ..session import written
+from ..operators.ordering import ordinal, previous_value
+from ..plans import live, publishing
+from ..session import scratch_path, written
 from . import inputs as I
-from .histories import _applied, _divergence, _relation
+from .histories import _applied, _divergence, _live, _relation
 from .registry import check, cte
 
 # -------------------------------------------------------------------- states over time
@@ -159,8 +162,8 @@ def apply_pending(spark: SparkSession, sf: str) -> DataFrame:
     changes = I.mixed_changes(spark, sf)
     applied = I.event_applied(spark, sf)
     ranges = replay.capture_checkpoints(changes, ["hr"])
-    live = replay.state_at(ranges.join(applied, "grp"), F.col("applied_count")).drop("applied_count")
-    return replay.apply_pending(live, changes, applied, ["hr"])
+    now = replay.state_at(ranges.join(applied, "grp"), F.col("applied_count")).drop("applied_count")
+    return replay.apply_pending(now, changes, applied, ["hr"])
 
 
 @check(
@@ -333,3 +336,77 @@ def desired_artifacts(spark: SparkSession, sf: str) -> DataFrame:
     plan = history.anchor_tail(steps, steps, clean=True)
     carried = publish.carry_forward(plan, steps, I.snapshots(spark, sf), snaps)
     return publish.desired_artifacts(carried, I.heads(spark, sf), headers, locked)
+
+
+# ------------------------------------------------------------- whole live operations
+
+cte(
+    "up_status",
+    """SELECT r.grp, r.applied_count, head_count, CASE WHEN head_count = 0 THEN 'no_steps' WHEN coalesce(p.status, 'ok') <> 'ok' THEN p.status WHEN relation = 'ahead' THEN 'ahead'
+      WHEN relation = 'equal' THEN 'up_to_date' ELSE 'applied' END AS s FROM relation r LEFT JOIN prefix p USING (grp)""",
+)
+cte("going_up", "SELECT * FROM up_status WHERE s = 'applied'")
+cte(
+    "going_down",
+    """SELECT r.grp, r.applied_count FROM relation r LEFT JOIN prefix p USING (grp)
+    WHERE coalesce(p.status, 'ok') = 'ok' AND relation <> 'ahead' AND r.applied_count > 0""",
+)
+cte("pending_rows", "SELECT p.grp, p.entry, p.payload FROM plain_in p JOIN going_up g USING (grp) WHERE p.idx > g.applied_count")
+
+
+def _entry_changes(spark: SparkSession, sf: str) -> DataFrame:
+    placed = ordinal(I.input_entries(spark, sf), ["grp"], ["entry"], "idx")
+    return placed.select("grp", "idx", F.lit("upsert").alias("mode"), "entry", "payload")
+
+
+def _live_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    return _live(spark, sf), _entry_changes(spark, sf), I.plain_input_steps(spark, sf), _applied(spark, sf)
+
+
+@check(
+    "live_up",
+    """SELECT grp, entry, payload FROM live_rows l WHERE NOT EXISTS (SELECT 1 FROM pending_rows p WHERE p.grp = l.grp AND p.entry = l.entry)
+    UNION ALL SELECT grp, entry, payload FROM pending_rows""",
+)
+def live_up(spark: SparkSession, sf: str) -> DataFrame:
+    """Every customer's rows after its pending entries ran, refused ones unchanged."""
+    own, changes, steps, applied = _live_inputs(spark, sf)
+    return live.up(own, changes, steps, applied, ["entry"]).state
+
+
+@check(
+    "live_down",
+    """SELECT grp, entry, payload FROM live_rows WHERE grp NOT IN (SELECT grp FROM going_down)
+    UNION ALL SELECT p.grp, p.entry, p.payload FROM plain_in p JOIN going_down g USING (grp) WHERE p.idx <= greatest(g.applied_count - 2, 0)""",
+)
+def live_down(spark: SparkSession, sf: str) -> DataFrame:
+    own, changes, steps, applied = _live_inputs(spark, sf)
+    ranges = replay.capture_checkpoints(changes, ["entry"])
+    return live.down(own, ranges, steps, applied, 2).state
+
+
+@check(
+    "live_bootstrap",
+    """SELECT grp, entry, payload FROM live_rows
+    UNION ALL SELECT grp, entry, payload FROM head_rows WHERE grp NOT IN (SELECT grp FROM applied_log)""",
+)
+def live_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    own, changes, steps, applied = _live_inputs(spark, sf)
+    return live.bootstrap(own, changes.select("grp", "entry", "payload"), steps, applied).state
+
+
+@check(
+    "publish_artifacts",
+    """SELECT grp, entry, payload, c_nationkey AS part FROM customer JOIN (
+      SELECT h.* FROM have_art h JOIN delta d ON d.grp = h.grp AND d.entry = h.entry AND d.action = 'keep'
+      UNION ALL SELECT w.* FROM want_art w JOIN delta d ON d.grp = w.grp AND d.entry = w.entry AND d.action = 'write') ON grp = c_custkey""",
+)
+def publish_artifacts(spark: SparkSession, sf: str) -> DataFrame:
+    """Publish into a table partitioned by the customer's nation."""
+    nations = I.table(spark, sf, "customer").select(F.col("c_custkey").alias("grp"), F.col("c_nationkey").alias("part"))
+    name = f"artifacts_{uuid.uuid4().hex[:12]}"
+    columns = ["grp", "entry", "payload", "part"]
+    start = _stored(spark, sf).join(nations, "grp").select(*columns)
+    start.write.partitionBy("part").option("path", scratch_path(spark, "artifacts")).saveAsTable(name)
+    publishing.publish_artifacts(spark, name, _wanted(spark, sf).join(nations, "grp").select(*columns))
+    return spark.table(name)

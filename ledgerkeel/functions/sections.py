@@ -89,7 +89,7 @@ def split_sections(
     return df.withColumn("_section_pieces", _pieces(F.col(text))).withColumns(added).drop("_section_pieces")
 
 
-def has_content(text: Column) -> Column:
+def section_has_content(text: Column) -> Column:
     """True when anything but blanks and comments is in the text.
 
     The first character outside comments decides. Texts with at most one block

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.entries import basename, version_of
 from ..functions.sections import (
-    has_content,
+    section_has_content,
     is_blank,
     split_sections,
     valid_text,
@@ -77,7 +77,7 @@ def content_findings(corpus: DataFrame, rules: tuple[str, ...] | None = None) ->
         {
             "_problem": directive_problem(F.col("_kinds")),
             "_down_blank": is_blank(F.col("_down")),
-            "_down_runs": has_content(F.col("_down")),
+            "_down_runs": section_has_content(F.col("_down")),
         }
     )
     readable = F.col("_text").isNotNull()
@@ -86,7 +86,7 @@ def content_findings(corpus: DataFrame, rules: tuple[str, ...] | None = None) ->
         "L004": [_rule(~readable, "L004", "payload is not UTF-8")],
         "L001": [_rule(F.col("_problem").isNotNull(), "L001", F.col("_problem"))],
         "L106": [_rule(F.col("_flagged"), "L106", "marker turns the transaction off")],
-        "L005": [_rule(readable & ~has_content(F.col("_up")), "L005", "up section has no content")],
+        "L005": [_rule(readable & ~section_has_content(F.col("_up")), "L005", "up section has no content")],
         "L101": [_rule(readable & blank, "L101", "no down section")],
         "L102": [_rule(readable & ~blank & ~runs, "L102", "down section has no content")],
         "L103": [_rule(readable & (blank | ~runs), "L103", "cannot be rolled back")],

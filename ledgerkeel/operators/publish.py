@@ -90,8 +90,8 @@ def desired_artifacts(
     return head.unionByName(ledger_lines(headers, locked)).unionByName(snapshots)
 
 
-def _digests(artifacts: DataFrame, name: str, algorithm: str) -> DataFrame:
-    return artifacts.select("grp", "entry", payload_digest(F.col("payload"), algorithm).alias(name))
+def _digests(artifacts: DataFrame, keys: list[str], name: str, algorithm: str) -> DataFrame:
+    return artifacts.select(*keys, payload_digest(F.col("payload"), algorithm).alias(name))
 
 
 def publish_delta(
@@ -99,19 +99,19 @@ def publish_delta(
     stored: DataFrame,
     prunable: str = DEFAULT_POLICY.checkpoints_dir,
     algorithm: str = SHA2,
+    extra: list[str] | None = None,
 ) -> DataFrame:
     """DataFrame[grp, entry, action]: write, delete or keep.
 
     ``write`` when an artifact is new or differs; ``delete`` for stored snapshots
     (entries below ``prunable``) that are no longer wanted; other stored entries
-    nobody asks for are kept.
+    nobody asks for are kept. ``extra`` columns that follow from the group (the
+    partition of a stored table) come along.
     """
-    want = _digests(desired, "_want", algorithm)
-    have = _digests(stored, "_have", algorithm)
-    return (
-        want.join(have, ["grp", "entry"], "full_outer")
-        .select("grp", "entry", _action(prunable).alias("action"))
-    )
+    keys = ["grp", "entry", *(extra or [])]
+    want = _digests(desired, keys, "_want", algorithm)
+    have = _digests(stored, keys, "_have", algorithm)
+    return want.join(have, keys, "full_outer").select(*keys, _action(prunable).alias("action"))
 
 
 def _action(prunable: str) -> Column:
@@ -129,7 +129,7 @@ def apply_delta(desired: DataFrame, stored: DataFrame, delta: DataFrame) -> Data
     touched = delta.where(F.col("action") != "keep").select("grp", "entry")
     kept = stored.join(touched, ["grp", "entry"], "left_anti")
     fresh = desired.join(written, ["grp", "entry"], "left_semi")
-    columns = ["grp", "entry", "payload"]
+    columns = stored.columns
     return kept.select(*columns).unionByName(fresh.select(*columns))
 
 

@@ -43,24 +43,35 @@ def resolve_order_by(data_file: DataFile) -> tuple[str, ...]:
     return columns
 
 
-def require_columns(data_file: DataFile, columns: list[str], wanted: tuple[str, ...] | None, role: str) -> None:
-    missing = [c for c in wanted or () if c not in columns]
+def missing_key_columns(data_file: DataFile, columns: list[str]) -> list[str]:
+    return [c for c in data_file.on or () if c not in columns]
+
+
+def missing_order_columns(data_file: DataFile, columns: list[str]) -> list[str]:
+    return [c for c in data_file.order_by or () if c not in columns]
+
+
+def require_upsert_key(data_file: DataFile) -> None:
+    if data_file.mode == "upsert" and not data_file.on:
+        raise DatasetError(f"data file {data_file.name!r}: upsert requires on")
+
+
+def _require_none(data_file: DataFile, missing: list[str], role: str) -> None:
     if missing:
         names = ", ".join(map(repr, missing))
         raise DatasetError(f"data file {data_file.name!r}: missing {role} column(s): {names}")
 
 
 def require_apply_columns(data_file: DataFile, columns: list[str]) -> None:
-    if data_file.mode == "upsert" and not data_file.on:
-        raise DatasetError(f"data file {data_file.name!r}: upsert requires on")
-    require_columns(data_file, columns, data_file.on, "upsert key")
-    require_columns(data_file, columns, data_file.order_by, "order_by")
+    require_upsert_key(data_file)
+    _require_none(data_file, missing_key_columns(data_file, columns), "upsert key")
+    _require_none(data_file, missing_order_columns(data_file, columns), "order_by")
 
 
 def require_export_columns(data_file: DataFile, columns: list[str]) -> tuple[str, ...]:
     order = resolve_order_by(data_file)
-    require_columns(data_file, columns, order, "order_by")
-    require_columns(data_file, columns, data_file.on, "upsert key")
+    _require_none(data_file, [c for c in order if c not in columns], "order_by")
+    _require_none(data_file, missing_key_columns(data_file, columns), "upsert key")
     return order
 
 

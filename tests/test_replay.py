@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerkeel.errors import StateError
 from ledgerkeel.operators import history, publish, replay
+from ledgerkeel.plans import live, publishing
 
 CHANGE = "grp string, idx bigint, mode string, k int, v int"
 ROW = "grp string, k int, v int"
@@ -174,3 +175,61 @@ def test_carry_forward_gap(spark, rows):
         publish.desired_artifacts(carried, heads, heads, empty).collect()
     good = publish.desired_artifacts(carried.where(F.col("payload").isNotNull()), heads, heads, empty)
     assert ("checkpoints/1.sql", "s1\n") in rows(good, "entry", "payload")
+
+
+@pytest.mark.parametrize("partitioned", [True, False])
+def test_publish_artifacts(spark, rows, tmp_path, partitioned):
+    name = f"artifacts_{tmp_path.name}"
+    schema = "entry string, payload string, grp string, part int"
+    data = [("schema.sql", "x", "g", 1), ("checkpoints/1.sql", "a", "g", 1), ("schema.sql", "y", "h", 2), ("checkpoints/1.sql", "gone", "i", 3)]
+    writer = spark.createDataFrame(data, schema).write.option("path", str(tmp_path / "t"))
+    (writer.partitionBy("part") if partitioned else writer).saveAsTable(name)
+
+    def publish_to(*wanted):
+        return rows(publishing.publish_artifacts(spark, name, spark.createDataFrame(list(wanted), schema)), "grp", "entry", "action")
+
+    kept = [("schema.sql", "x", "g", 1), ("schema.sql", "y", "h", 2)]
+    assert publish_to(("checkpoints/1.sql", "a", "g", 1), ("checkpoints/1.sql", "gone", "i", 3), *kept) == []
+    one = [("checkpoints/1.sql", "b", "g", 1), ("checkpoints/1.sql", "gone", "i", 3), *kept]
+    assert publish_to(*one) == [("g", "checkpoints/1.sql", "write")]
+    assert rows(spark.table(name), "entry", "payload", "grp", "part") == sorted(one, key=repr)
+    assert publish_to(*kept) == [("g", "checkpoints/1.sql", "delete"), ("i", "checkpoints/1.sql", "delete")]
+    assert rows(spark.table(name), "entry", "payload", "grp", "part") == sorted(kept, key=repr)
+    spark.sql(f"DROP TABLE {name}")
+
+
+def live_case(spark):
+    """Four groups: behind, not a prefix, ahead, and nothing applied yet."""
+    names = {g: [f"migrations/{i}.sql" for i in (1, 2, 3)] for g in "bpan"}
+    steps = [(g, i, n) for g, ns in names.items() for i, n in enumerate(ns, 1)]
+    changes = [(g, i, "upsert", i % 2, i) for g, i, _ in steps]
+    log = {"b": names["b"][:1], "p": ["migrations/9.sql"], "a": [*names["a"], "migrations/4.sql"]}
+    applied = [(g, i, e) for g, es in log.items() for i, e in enumerate(es, 1)]
+    live = [("b", 1, 1), ("p", 7, 7), ("a", 8, 8)]
+    frames = (live, ROW), (changes, CHANGE), (steps, "grp string, idx bigint, entry string"), (applied, "grp string, pos bigint, entry string")
+    return [spark.createDataFrame(d, s) for d, s in frames]
+
+
+def test_live_up_and_migrate(spark, rows):
+    own, changes, steps, applied = live_case(spark)
+    done = live.up(own, changes, steps, applied, ["k"])
+    assert rows(done.status) == [("a", 4, 4, "ahead"), ("b", 1, 3, "applied"), ("n", 0, 3, "applied"), ("p", 1, 1, "not_prefix")]
+    full = [("a", 8, 8), ("b", 0, 2), ("b", 1, 3), ("n", 0, 2), ("n", 1, 3), ("p", 7, 7)]
+    assert rows(done.state, "grp", "k", "v") == full
+    head = replay.replay_tail(changes, ["k"])
+    live.verify(done, head, "up")
+    with pytest.raises(StateError, match="differs"):
+        live.verify(done, head.withColumn("v", F.col("v") + 1), "up")
+    some = live.migrate(own, changes, steps, applied, ["k"])
+    assert rows(some.status, "grp", "status") == [("a", "ahead"), ("b", "applied"), ("n", "missing"), ("p", "not_prefix")]
+    assert rows(some.state, "grp", "k", "v") == [r for r in full if r[0] != "n"]
+
+
+def test_live_down_and_bootstrap(spark, rows):
+    own, changes, steps, applied = live_case(spark)
+    done = live.down(own, replay.capture_checkpoints(changes, ["k"]), steps, applied, 2)
+    assert rows(done.status) == [("a", 4, 4, "ahead"), ("b", 1, 0, "rolled_back"), ("n", 0, 0, "at_zero"), ("p", 1, 1, "not_prefix")]
+    assert rows(done.state, "grp", "k", "v") == [("a", 8, 8), ("p", 7, 7)]
+    loaded = live.bootstrap(own, replay.replay_tail(changes, ["k"]), steps, applied)
+    assert rows(loaded.status, "grp", "status") == [("a", "refused"), ("b", "refused"), ("n", "loaded"), ("p", "refused")]
+    assert rows(loaded.state, "grp", "k", "v") == [("a", 8, 8), ("b", 1, 1), ("n", 0, 2), ("n", 1, 3), ("p", 7, 7)]

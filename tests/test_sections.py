@@ -74,14 +74,14 @@ def test_has_content(spark):
     bits = ["/*", "*/", "--", "\n", " ", "'", '"', "x", "-", "/", "*", "`", "\u2003"]
     made = ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(4000)]
     df = spark.createDataFrame([(t,) for t in set(made)], "t string")
-    for r in df.select("t", S.has_content(F.col("t")).alias("c")).collect():
+    for r in df.select("t", S.section_has_content(F.col("t")).alias("c")).collect():
         assert r["c"] == content_plain(r["t"]), repr(r["t"])
 
 
 def test_long_text_is_fine(spark):
     long = "/* " + "word " * 200_000 + "*/" + "-- c\n" * 50_000
     df = spark.createDataFrame([(long,), (long + "x",)], "t string")
-    assert [r[0] for r in df.select(S.has_content(F.col("t"))).collect()] == [False, True]
+    assert [r[0] for r in df.select(S.section_has_content(F.col("t"))).collect()] == [False, True]
     assert S.split_sections(df, "t").select("up").first()[0] == long
 
 
