@@ -20,7 +20,7 @@ from ..functions.sections import (
 from ..session import written
 from . import findings as codes
 from .mutate import union_all
-from .ordering import HOT_ROWS, attach, previous_value, with_first
+from .ordering import HOT_ROWS, attach, previous_value, repeats
 
 # Levels of the audit rules.
 LEVELS = {
@@ -131,9 +131,9 @@ def _versions(corpus: DataFrame) -> DataFrame:
 
 def audit_duplicate_versions(corpus: DataFrame) -> DataFrame:
     """L002 on every entry whose version an earlier path already uses."""
-    versions = with_first(_versions(corpus), ["grp", "version"], "path", "first")
+    versions = repeats(_versions(corpus), ["grp", "version"], "path", "first")
     message = F.concat(F.lit("version "), F.col("version"), F.lit(" is already used by "), F.col("first"))
-    return _found(versions.where(F.col("path") > F.col("first")), "L002", message)
+    return _found(versions, "L002", message)
 
 
 def audit_version_order(corpus: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

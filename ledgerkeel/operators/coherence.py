@@ -18,7 +18,7 @@ from . import findings as codes
 from . import ledger
 from .ledger import DEFAULT_POLICY, LedgerPolicy
 from .mutate import union_all
-from .ordering import HOT_ROWS, largest_group, ordinal, with_first
+from .ordering import HOT_ROWS, largest_group, ordinal, repeats
 
 
 def _when(failed: Column, code: str, path: Column, detail: Column | str) -> Column:
@@ -217,21 +217,17 @@ def duplicate_ledger_steps(locked: DataFrame) -> tuple[DataFrame, DataFrame]:
     Each flag is "not the first row with this value in arrival order", whether
     or not that first row survives itself, so the two flags are independent.
     """
-    flagged = with_first(locked, ["grp", "entry"], "pos", "_entry_pos")
-    flagged = with_first(flagged, ["grp", "idx"], "pos", "_idx_pos")
-    again = F.col("pos") > F.col("_entry_pos")
-    index_again = F.col("pos") > F.col("_idx_pos")
-    checks = [
-        _when(again, codes.LOCKFILE_DUPLICATE_MIGRATION, F.col("entry"), "entry is repeated"),
-        _when(
-            index_again,
-            codes.LOCKFILE_DUPLICATE_STEP_INDEX,
-            F.col("entry"),
-            F.concat(F.lit("index "), F.col("idx").cast("string"), F.lit(" is repeated")),
-        ),
-    ]
-    kept = flagged.where(~again & ~index_again).drop("_entry_pos", "_idx_pos")
-    return kept, _explode(flagged, checks)
+    again = repeats(locked, ["grp", "entry"], "pos", "_first")
+    index_again = repeats(locked, ["grp", "idx"], "pos", "_first")
+    lost = again.select("grp", "pos").unionByName(index_again.select("grp", "pos")).distinct()
+    kept = locked.join(lost, ["grp", "pos"], "left_anti").select(*locked.columns)
+    numbered = index_again.select(
+        "grp",
+        F.lit(codes.LOCKFILE_DUPLICATE_STEP_INDEX).alias("code"),
+        F.col("entry").alias("path"),
+        F.concat(F.lit("index "), F.col("idx").cast("string"), F.lit(" is repeated")).alias("detail"),
+    )
+    return kept, _labelled(again, codes.LOCKFILE_DUPLICATE_MIGRATION, "entry", "entry is repeated").unionByName(numbered)
 
 
 def ledger_scan(locked: DataFrame, policy: LedgerPolicy = DEFAULT_POLICY) -> tuple[DataFrame, DataFrame]:

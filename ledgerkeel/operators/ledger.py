@@ -36,7 +36,7 @@ from ..functions.entries import (
 from ..functions.sections import valid_text
 from ..session import scratch_path, written
 from . import findings as codes
-from .ordering import HOT_ROWS, largest_group, ordinal, with_first
+from .ordering import HOT_ROWS, largest_group, ordinal, repeats
 
 SEGMENT_ROWS = 20_000_000
 
@@ -103,15 +103,11 @@ def filter_entries(
         .select("grp", F.col("path").alias("entry"), "_row.*")
     )
     rejected = _rejected_entries(entries, required_dir)
-    repeated = (
-        with_first(_named_entries(good, position, []), ["grp", "path"], "arrival", "first")
-        .where(F.col("arrival") > F.col("first"))
-        .select(
-            "grp",
-            F.lit(codes.INPUT_PATH_DUPLICATE).alias("code"),
-            "path",
-            F.lit("repeats the path of an earlier entry").alias("detail"),
-        )
+    repeated = repeats(_named_entries(good, position, []), ["grp", "path"], "arrival", "first").select(
+        "grp",
+        F.lit(codes.INPUT_PATH_DUPLICATE).alias("code"),
+        "path",
+        F.lit("repeats the path of an earlier entry").alias("detail"),
     )
     return kept, rejected.unionByName(repeated)
 

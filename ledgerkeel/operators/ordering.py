@@ -182,11 +182,17 @@ def _nearest(group: list[str], order: str, marked: Column, ahead: bool) -> Colum
     return (F.min if ahead else F.max)(marked).over(frame)
 
 
-def with_first(df: DataFrame, keys: list[str], position: str, name: str) -> DataFrame:
-    """Add the smallest ``position`` among the rows that share ``keys``.
+def repeats(df: DataFrame, keys: list[str], position: str, first: str) -> DataFrame:
+    """Rows that are not the first by ``position`` among those sharing ``keys``.
 
-    An aggregate with map-side partials, then an equi-join: a key with very many
-    copies shrinks before the shuffle and its probe side can be split.
+    ``first`` names a column for the first row's position, which must be unique
+    within the keys. An aggregate with map-side partials finds the keys that
+    repeat; only those meet the rows again, so the usual few repeats make a small
+    join side and a key with very many copies can be split by its probe side.
     """
-    first = df.groupBy(*keys).agg(F.min(position).alias(name))
-    return attach(df, first, keys, [name])
+    again = (
+        df.groupBy(*keys)
+        .agg(F.min(position).alias(first), F.count("*").alias("_copies"))
+        .where(F.col("_copies") > 1)
+    )
+    return attach(df, again, keys, [first], "inner").where(F.col(position) > F.col(first))

@@ -59,8 +59,11 @@ def test_nearest_flagged_with_equal_positions(spark, rows):
     assert rows(near[0]) == rows(near[1])
 
 
-def test_with_first(skewed, rows):
-    first = ordering.with_first(skewed, ["grp", "v"], "k", "first")
+def test_repeats(skewed, rows):
+    again = ordering.repeats(skewed, ["grp", "v"], "k", "first")
     data = [(r["grp"], r["v"], r["k"]) for r in skewed.collect()]
-    expected = [(g, v, k, min(x for a, b, x in data if (a, b) == (g, v))) for g, v, k in data]
-    assert rows(first, "grp", "v", "k", "first") == sorted(expected, key=repr)
+    firsts = {}
+    for grp, v, k in data:
+        firsts[grp, v] = min(k, firsts.get((grp, v), k))
+    expected = [(g, v, k, firsts[g, v]) for g, v, k in data if k > firsts[g, v]]
+    assert rows(again, "grp", "v", "k", "first") == sorted(expected, key=repr)
