@@ -100,8 +100,8 @@ def live_relation(spark: SparkSession, sf: str) -> DataFrame:
 
 cte(
     "anchors",
-    """SELECT grp, n AS step_count, divergence_index, coalesce(divergence_index - 1, n) AS anchor_index,
-      greatest(n - coalesce(divergence_index - 1, n), 0) AS tail_count FROM n_in LEFT JOIN divergence USING (grp)""",
+    """SELECT grp, coalesce(n, 0) AS step_count, divergence_index, coalesce(divergence_index - 1, n) AS anchor_index,
+      greatest(coalesce(n, 0) - coalesce(divergence_index - 1, n), 0) AS tail_count FROM n_in FULL JOIN divergence USING (grp)""",
 )
 
 

@@ -17,15 +17,14 @@ def _iso_timestamp(value: Column, suffix: str = "") -> Column:
 def render_json_value(value: Column, dtype: T.DataType) -> Column:
     """A column ``to_json`` prints the way the export contract asks for.
 
-    Dates and times become ISO text (zone-aware ones in UTC), decimals plain
-    text, binary lowercase hex; struct fields and map keys come out sorted.
+    Timestamps become ISO text (zone-aware ones in UTC), binary lowercase hex;
+    struct fields and map keys come out sorted; what JSON has no form for (dates,
+    times, decimals, intervals) is its text.
     """
     if isinstance(dtype, T.TimestampNTZType):
         return _iso_timestamp(value)
     if isinstance(dtype, T.TimestampType):
         return _iso_timestamp(F.to_utc_timestamp(value, F.current_timezone()), "+00:00")
-    if isinstance(dtype, (T.DateType, T.DecimalType, T.DayTimeIntervalType, T.YearMonthIntervalType)):
-        return value.cast("string")
     if isinstance(dtype, T.BinaryType):
         return F.lower(F.hex(value))
     if isinstance(dtype, T.ArrayType):
@@ -49,13 +48,16 @@ def render_json_value(value: Column, dtype: T.DataType) -> Column:
                 ),
             )
         )
+    if _needs_rendering(dtype):
+        return value.cast("string")
     return value
 
 
+_PLAIN = (T.StringType, T.NumericType, T.BooleanType, T.NullType, T.VariantType)
+
+
 def _needs_rendering(dtype: T.DataType) -> bool:
-    return not isinstance(dtype, (T.StringType, T.NumericType, T.BooleanType)) or isinstance(
-        dtype, T.DecimalType
-    )
+    return not isinstance(dtype, _PLAIN) or isinstance(dtype, T.DecimalType)
 
 
 def json_line(schema: T.StructType) -> Column:

@@ -193,20 +193,22 @@ def anchor_tail(steps: DataFrame, divergence: DataFrame, clean: bool = False) ->
     """DataFrame[grp, step_count, divergence_index, anchor_index, tail_count].
 
     Without divergence the anchor is the last step and the tail is empty;
-    ``clean`` replays every group from its first step.
+    ``clean`` replays every group from its first step. Groups that lost all their
+    steps are listed too, with nothing to replay.
     """
     counts = steps.groupBy("grp").agg(F.count("*").alias("step_count"))
     if clean:
         found = counts.withColumn("divergence_index", F.lit(1).cast("bigint"))
     else:
-        found = counts.join(divergence.select("grp", "divergence_index"), "grp", "left")
-    anchor = F.coalesce(F.col("divergence_index") - 1, F.col("step_count"))
+        found = counts.join(divergence.select("grp", "divergence_index"), "grp", "full_outer")
+    total = F.coalesce("step_count", F.lit(0))
+    anchor = F.coalesce(F.col("divergence_index") - 1, total)
     return found.select(
         "grp",
-        "step_count",
+        total.alias("step_count"),
         "divergence_index",
         anchor.alias("anchor_index"),
-        F.greatest(F.col("step_count") - anchor, F.lit(0)).alias("tail_count"),
+        F.greatest(total - anchor, F.lit(0)).alias("tail_count"),
     )
 
 

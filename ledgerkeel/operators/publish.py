@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import StateError
 from ..functions.digests import SHA2, ensure_newline, payload_digest
+from ..functions.entries import ENTRY_SUFFIX
 from .ledger import DEFAULT_POLICY, LedgerPolicy
 
 
@@ -115,7 +116,8 @@ def publish_delta(
 
 
 def _action(prunable: str) -> Column:
-    unwanted = F.when(F.startswith(F.col("entry"), F.lit(f"{prunable}/")), F.lit("delete")).otherwise(F.lit("keep"))
+    snapshot = F.startswith(F.col("entry"), F.lit(f"{prunable}/")) & F.endswith(F.col("entry"), F.lit(ENTRY_SUFFIX))
+    unwanted = F.when(snapshot, F.lit("delete")).otherwise(F.lit("keep"))
     return (
         F.when(F.col("_want").isNull(), unwanted)
         .when(F.col("_have").eqNullSafe(F.col("_want")), F.lit("keep"))

@@ -5,24 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.json_rows import stripped
+from ..operators.ordering import HOT_ROWS, ordinal
+
 # How a status line marks an applied or pending entry, and the count line.
 STATUS_LINE = r"^\[([ X])\]\s+(.+?)\s*$"
 COUNT_LINE = r"^(?i:applied:)(.*)$"
 
 
-def applied_scan(status: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def applied_scan(status: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Applied entries of status lines: DataFrame[grp, pos, entry].
 
     ``status`` has ``grp``, ``line_no`` and ``line``; ``pos`` counts the applied
     lines of a group from 1 in line order.
     """
-    from ..operators.ordering import HOT_ROWS, ordinal
-
-    applied = status.select("grp", "line_no", F.trim("line").alias("line")).where(
+    applied = status.select("grp", "line_no", stripped(F.col("line")).alias("line")).where(
         F.regexp_extract("line", STATUS_LINE, 1) == "X"
     )
     named = applied.select("grp", "line_no", F.regexp_extract("line", STATUS_LINE, 2).alias("entry"))
-    placed = ordinal(named, ["grp"], ["line_no"], "pos", hot_rows or HOT_ROWS)
+    placed = ordinal(named, ["grp"], ["line_no"], "pos", hot_rows)
     return placed.select("grp", "pos", "entry")
 
 
@@ -31,7 +32,7 @@ def status_check(status: DataFrame) -> DataFrame:
 
     ``status`` is ``ok``, ``mismatch`` or ``unreadable`` (the count is no number).
     """
-    line = F.trim(F.col("line"))
+    line = stripped(F.col("line"))
     marked = F.regexp_extract(line, STATUS_LINE, 1)
     counted = F.trim(F.regexp_extract(line, COUNT_LINE, 1))
     is_count = (marked == "") & F.rlike(line, F.lit(COUNT_LINE))

@@ -160,6 +160,17 @@ def test_multiset_difference_is_both_except_all(spark, rows):
     assert -sum(r["copies"] for r in found if r["copies"] < 0) == right.exceptAll(left).count()
 
 
+def test_equal_states_on_every_type(spark, rows):
+    """A null differs from the text "null", microseconds and map values count."""
+    base = "SELECT 'g' AS grp, TIMESTAMP_NTZ'2024-01-01 00:00:00.000001' AS t, map('a', 1, 'b', 2) AS m, CAST(NULL AS STRING) AS n, 1.50D AS x, X'00' AS b"
+    changed = [base.replace("000001'", "000002'"), base.replace("'b', 2", "'b', 3"), base.replace("CAST(NULL AS STRING)", "'null'"), base.replace("X'00'", "X'01'")]
+    live = spark.sql(base)
+    assert rows(compare.equal_states(live, spark.sql(base.replace("map('a', 1, 'b', 2)", "map('b', 2, 'a', 1)"))), "matches") == [(True,)]
+    for other in changed:
+        assert rows(compare.equal_states(live, spark.sql(other)), "missing_rows", "extra_rows", "matches") == [(1, 1, False)]
+    assert rows(compare.equal_states(live.union(live), live), "extra_rows", "matches") == [(1, False)]
+
+
 def test_keyed_difference(spark, rows):
     old = spark.createDataFrame([(1, "a", None), (2, "b", 1), (3, "c", 1)], "k int, v string, n int")
     new = spark.createDataFrame([(1, "a", None), (2, "b", None), (4, "d", 2)], "k int, v string, n int")
