@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,14 +17,18 @@ BLAKE2B = "blake2b-256"
 ALGORITHMS = (SHA2, BLAKE2B)
 
 
-def hexdigest(payload: bytes, algorithm: str = SHA2) -> str:
+def hasher(algorithm: str = SHA2) -> Callable[[bytes], "hashlib._Hash"]:
     if algorithm == SHA2:
-        return hashlib.sha256(payload).hexdigest()
+        return hashlib.sha256
     if algorithm == BLAKE2B:
-        return hashlib.blake2b(payload, digest_size=32).hexdigest()
+        return partial(hashlib.blake2b, digest_size=32)
     raise ValueError(f"unknown digest {algorithm!r}; known: {', '.join(ALGORITHMS)}")
 
 
+def hexdigest(payload: bytes, algorithm: str = SHA2) -> str:
+    return hasher(algorithm)(payload).hexdigest()
+
+
 @F.pandas_udf(T.StringType())
 def _blake2b(payload: pd.Series) -> pd.Series:
     return payload.map(lambda raw: None if raw is None else hexdigest(raw, BLAKE2B))

@@ -16,13 +16,13 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import LedgerError
-from ..functions.digests import SHA2, hexdigest, payload_digest, text_digest
+from ..functions.digests import SHA2, hasher, hexdigest, payload_digest, text_digest
 from ..functions.entries import (
     ENTRY_SUFFIX,
     PAYLOAD_DIR,
@@ -164,29 +164,40 @@ def _last_hashes(segment: DataFrame, idx: int) -> DataFrame:
 
 
 def _fold_segment(steps: DataFrame, policy: LedgerPolicy) -> DataFrame:
+    """Run the digest over each group's rows in order.
+
+    The JVM writes each step's JSON, so a row costs Python one concatenation and
+    one digest; all other columns pass through as the Arrow buffers they are.
+    """
     keep = [c for c in steps.columns if c != "_carry"]
     schema = T.StructType(
         [steps.schema[c] for c in keep] + [T.StructField("chain_hash", T.StringType())]
     )
-    prefix, algorithm = policy.chain_prefix, policy.hash_algorithm
+    prefix, digest = policy.chain_prefix, hasher(policy.hash_algorithm)
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = running = None
         for batch in batches:
             hashes = []
-            for grp, carry, engine, target, *parts in zip(
-                *[batch[c] for c in ("grp", "_carry", "engine", "target", "version", "entry", "payload_digest")]
-            ):
-                if grp != group:
+            links = zip(batch["grp"].to_pylist(), batch["_link"].to_pylist())
+            for row, (grp, link) in enumerate(links):
+                if running is None or grp != group:
                     group = grp
-                    start = _json_payload(prefix, engine, target)
-                    running = carry or hexdigest(start, algorithm)
-                running = hexdigest(_json_payload(running, *parts), algorithm)
+                    running = batch["_carry"][row].as_py()
+                    if running is None:
+                        start = [batch[c][row].as_py() for c in ("engine", "target")]
+                        running = digest(_json_payload(prefix, *start)).hexdigest()
+                if not link.isascii() or "\\u" in link or "\x7f" in link:
+                    # Escapes the two JSON writers spell differently.
+                    link = _json_payload(*json.loads(link)).decode("ascii")
+                running = digest(f'["{running}",{link[1:]}'.encode("ascii")).hexdigest()
                 hashes.append(running)
-            yield batch[keep].assign(chain_hash=hashes)
+            columns = [batch[c] for c in keep] + [pa.array(hashes, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "chain_hash"])
 
-    ordered = steps.repartition("grp").sortWithinPartitions("grp", "idx")
-    return ordered.mapInPandas(fold, schema)
+    link = F.to_json(F.array("version", "entry", "payload_digest"))
+    ordered = steps.withColumn("_link", link).repartition("grp").sortWithinPartitions("grp", "idx")
+    return ordered.mapInArrow(fold, schema)
 
 
 def _seeds(frame: DataFrame, headers: DataFrame | None) -> DataFrame:
