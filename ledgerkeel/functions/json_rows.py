@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,19 +15,26 @@ def stripped(line: Column) -> Column:
     return F.trim(line, F.lit(_BLANKS))
 
 
-def guarded_variant(line: Column) -> Column:
+def seal_of(line: Column) -> Column:
+    return F.md5(line)
+
+
+def sealed_variant(line: Column, seal: Column | None = None) -> Column:
     """Variant ``[line, seal]``, null unless the line and seal parse as one array.
 
     The JSON functions ignore text after the first value. Closing the line into
     an array with a seal the line cannot contain shows whether the whole line
     was read as exactly one value.
     """
-    return F.try_parse_json(F.concat(F.lit("["), line, F.lit(',"'), F.md5(line), F.lit('"]')))
+    end = seal_of(line) if seal is None else seal
+    return F.try_parse_json(F.concat(F.lit("["), line, F.lit(',"'), end, F.lit('"]')))
 
 
-def is_object(line: Column, variant: Column | None = None) -> Column:
-    seal = F.try_variant_get(guarded_variant(line) if variant is None else variant, "$[1]", "string")
-    return F.startswith(line, F.lit("{")) & F.coalesce(seal == F.md5(line), F.lit(False))
+def is_object(line: Column, seal: Column | None = None, variant: Column | None = None) -> Column:
+    end = seal_of(line) if seal is None else seal
+    whole = sealed_variant(line, end) if variant is None else variant
+    found = F.try_variant_get(whole, "$[1]", "string")
+    return F.startswith(line, F.lit("{")) & F.coalesce(found == end, F.lit(False))
 
 
 def object_keys(line: Column) -> Column:
@@ -36,26 +45,31 @@ def unknown_keys(keys: Column, columns: list[str]) -> Column:
     return F.array_except(keys, F.array(*[F.lit(c) for c in columns]).cast("array<string>"))
 
 
-def lost_columns(variant: Column, parsed: Column, schema: T.StructType) -> Column:
-    """Names present and not null in the text but null after typed parsing."""
-    lost = []
-    for field in schema.fields:
-        raw = F.try_variant_get(variant, f'$[0]["{field.name}"]', "string")
-        lost.append(
-            F.when(raw.isNotNull() & parsed[field.name].isNull(), F.lit(field.name))
-        )
-    return F.array_compact(F.array(*lost))
+def _lost(variant: Column, parsed: Column, schema: T.StructType) -> dict[str, Column]:
+    """Per column: present and not null in the text, but null after typed parsing.
+
+    The text is looked up only where the parsed value is null.
+    """
+    return {
+        name: parsed[name].isNull()
+        & F.try_variant_get(variant, f'$[0]["{name}"]', "string").isNotNull()
+        for name in schema.fieldNames()
+    }
 
 
 def row_error(
-    line: Column, variant: Column, keys: Column, parsed: Column, schema: T.StructType
+    line: Column, seal: Column, variant: Column, keys: Column, parsed: Column, schema: T.StructType
 ) -> Column:
     """Null for a good line, else what is wrong with it."""
     unknown = unknown_keys(keys, schema.fieldNames())
-    lost = lost_columns(variant, parsed, schema)
+    lost = _lost(variant, parsed, schema)
+    names = F.array_compact(F.array(*[F.when(failed, F.lit(name)) for name, failed in lost.items()]))
     return (
         F.when(~F.is_valid_utf8(line), F.lit("not UTF-8"))
-        .when(~is_object(line, variant), F.lit("not one JSON object"))
+        .when(~is_object(line, seal, variant), F.lit("not one JSON object"))
         .when(F.size(unknown) > 0, F.concat(F.lit("unknown columns: "), F.array_join(unknown, ", ")))
-        .when(F.size(lost) > 0, F.concat(F.lit("values not of the column type: "), F.array_join(lost, ", ")))
+        .when(
+            reduce(lambda a, b: a | b, lost.values()),
+            F.concat(F.lit("values not of the column type: "), F.array_join(names, ", ")),
+        )
     )

@@ -22,20 +22,21 @@ def checked_lines(lines: DataFrame, schema: T.StructType, value: str = "value")
     names) and ``error`` (null when the line is good). Each line is parsed once
     as a variant, once with the table's types, and scanned once for its keys.
     """
-    line = F.col("_line")
+    line, seal, variant = F.col("_line"), F.col("_seal"), F.col("_variant")
     parsed = (
         lines.withColumn("_line", json_rows.stripped(F.col(value)))
         .where(line != "")
+        .withColumn("_seal", json_rows.seal_of(line))
         .withColumns(
             {
-                "_variant": json_rows.guarded_variant(line),
+                "_variant": json_rows.sealed_variant(line, seal),
                 "present": json_rows.object_keys(line),
                 "row": F.from_json(line, schema),
             }
         )
     )
-    error = json_rows.row_error(line, F.col("_variant"), F.col("present"), F.col("row"), schema)
-    return parsed.withColumn("error", error).drop("_line", "_variant")
+    error = json_rows.row_error(line, seal, variant, F.col("present"), F.col("row"), schema)
+    return parsed.withColumn("error", error).drop("_line", "_seal", "_variant")
 
 
 def parse_lines(lines: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
