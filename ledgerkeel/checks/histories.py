@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import compare, history, validate
+from ..operators import compare, history, mutate, validate
 from ..operators.ordering import ordinal
 from ..session import written
 from . import inputs as I
@@ -228,24 +228,30 @@ cte(
 )
 
 
-@check(
-    "keyed_difference",
-    "\nUNION ALL ".join(
-        f"""SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN o.o_orderkey IS NULL THEN 'added' ELSE 'changed' END AS change,
-        '{c}' AS "column", CAST(o.{c} AS VARCHAR) AS old_value, CAST(n.{c} AS VARCHAR) AS new_value
-        FROM ord o FULL JOIN ord_after n ON o.o_orderkey = n.o_orderkey WHERE o.o_orderkey IS NULL OR o.{c} IS DISTINCT FROM n.{c}"""
-        for c in ("o_orderstatus", "o_cents", "o_day")
-    ),
+KEYED_SQL = "\nUNION ALL ".join(
+    f"""SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN o.o_orderkey IS NULL THEN 'added' ELSE 'changed' END AS change,
+    '{c}' AS "column", CAST(o.{c} AS VARCHAR) AS old_value, CAST(n.{c} AS VARCHAR) AS new_value
+    FROM ord o FULL JOIN ord_after n ON o.o_orderkey = n.o_orderkey WHERE o.o_orderkey IS NULL OR o.{c} IS DISTINCT FROM n.{c}"""
+    for c in ("o_orderstatus", "o_cents", "o_day")
 )
+
+
+def _before_and_after(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """What an upsert that names only the status does to the orders."""
+    old = I.orders(spark, sf).select("o_orderkey", "o_orderstatus", "o_cents", "o_day")
+    named = F.array(F.lit("o_orderkey"), F.lit("o_orderstatus"))
+    rows = I.corrections(spark, sf).drop("o_custkey").withColumn("present", named)
+    return old, mutate.apply_upsert(old, rows, ["o_orderkey"], missing="keep", present="present")
+
+
+@check("keyed_difference", KEYED_SQL)
 def keyed_difference(spark: SparkSession, sf: str) -> DataFrame:
-    """What an upsert that names only the status did to the orders."""
-    from ..operators import mutate
-
-    columns = ["o_orderkey", "o_orderstatus", "o_cents", "o_day"]
-    old = I.orders(spark, sf).select(*columns)
-    rows = I.corrections(spark, sf).drop("o_custkey").withColumn("present", F.array(F.lit("o_orderkey"), F.lit("o_orderstatus")))
-    new = mutate.apply_upsert(old, rows, ["o_orderkey"], missing="keep", present="present")
-    return compare.keyed_difference(old, new, ["o_orderkey"])
+    return compare.keyed_difference(*_before_and_after(spark, sf), ["o_orderkey"])
+
+
+@check("keyed_difference_narrow_first", KEYED_SQL)
+def keyed_difference_narrow_first(spark: SparkSession, sf: str) -> DataFrame:
+    return compare.keyed_difference(*_before_and_after(spark, sf), ["o_orderkey"], narrow_first=True)
 
 
 @check(

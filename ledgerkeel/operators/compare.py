@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..errors import StateError
 from ..functions.rendering import json_line
+from ..session import written
+from .mutate import BROADCAST_KEYS, all_fixed_width
 
 
 def multiset_difference(left: DataFrame, right: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -81,7 +83,11 @@ def plan_summary(live: DataFrame, head: DataFrame, relation: DataFrame) -> DataF
 
 
 def keyed_difference(
-    old: DataFrame, new: DataFrame, key: list[str], columns: list[str] | None = None
+    old: DataFrame,
+    new: DataFrame,
+    key: list[str],
+    columns: list[str] | None = None,
+    narrow_first: bool = False,
 ) -> DataFrame:
     """DataFrame[*key, change, column, old_value, new_value].
 
@@ -89,8 +95,16 @@ def keyed_difference(
     per column too. Values are text. Keys must be unique on each side; a repeated
     key fails the job. Both sides go into one aggregate by key, so there is one
     shuffle and a repeated key cannot pile up in a join.
+
+    ``narrow_first`` suits wide tables with few changes: keys and row digests are
+    compared first, and only rows of keys that differ are shuffled in full.
     """
     values = columns or [c for c in old.columns if c not in key]
+    if narrow_first:
+        changed = written(_changed_keys(old, new, key, values), "changed")
+        few = changed.count() <= BROADCAST_KEYS and all_fixed_width(changed, key)
+        side = F.broadcast(changed) if few else changed
+        old, new = _of_keys(old, side, key), _of_keys(new, side, key)
 
     def packed(df: DataFrame, side: str) -> DataFrame:
         row = F.struct(*[F.col(c).cast("string").alias(c) for c in values])
@@ -126,8 +140,42 @@ def keyed_difference(
     return grouped.select(*key, change.alias("change"), F.inline(F.array_compact(cells)))
 
 
+def _changed_keys(old: DataFrame, new: DataFrame, key: list[str], values: list[str]) -> DataFrame:
+    """Keys that are not exactly once on both sides with the same row."""
+
+    def digested(df: DataFrame, sign: int) -> DataFrame:
+        row = df.select(*values)
+        return df.select(*key, F.unhex(F.sha2(json_line(row.schema), 256)).alias("_digest"), F.lit(sign).alias("_sign"))
+
+    return (
+        digested(old, 1)
+        .unionByName(digested(new, -1))
+        .groupBy(*key)
+        .agg(
+            F.count("*").alias("_rows"),
+            F.sum("_sign").alias("_balance"),
+            F.min("_digest").alias("_low"),
+            F.max("_digest").alias("_high"),
+        )
+        .where((F.col("_rows") != 2) | (F.col("_balance") != 0) | (F.col("_low") != F.col("_high")))
+        .select(*key)
+    )
+
+
+def _of_keys(df: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
+    renamed = keys.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(key)])
+    equal = F.lit(True)
+    for i, k in enumerate(key):
+        equal = equal & F.col(k).eqNullSafe(F.col(f"_key_{i}"))
+    return df.join(renamed, equal, "left_semi")
+
+
 def plan_diff(
-    live: DataFrame, head: DataFrame, key: list[str], relation: DataFrame | None = None
+    live: DataFrame,
+    head: DataFrame,
+    key: list[str],
+    relation: DataFrame | None = None,
+    narrow_first: bool = False,
 ) -> DataFrame:
     """Keyed difference from the live to the head state.
 
@@ -137,7 +185,7 @@ def plan_diff(
     if relation is not None:
         ahead = relation.where(F.col("relation") == "ahead").select("grp")
         live = live.join(ahead, "grp", "left_anti").select(*live.columns)
-    return keyed_difference(live, head, key)
+    return keyed_difference(live, head, key, narrow_first=narrow_first)
 
 
 def line_diff(old: DataFrame, new: DataFrame, key: list[str], text: str) -> DataFrame:

@@ -96,11 +96,12 @@ def filter_entries(
     """
     content = [c for c in entries.columns if c not in ("grp", "entry", position)]
     good = entries.where(entry_within(F.col("entry"), required_dir, ENTRY_SUFFIX))
+    winner = F.min_by(F.struct("arrival", *content), "arrival").alias("_row")
     kept = (
         _named_entries(good, position, content)
         .groupBy("grp", "path")
-        .agg(F.min_by(F.struct(*content), "arrival").alias("_row"))
-        .select("grp", F.col("path").alias("entry"), "_row.*")
+        .agg(winner)
+        .select("grp", F.col("path").alias("entry"), *[f"_row.{c}" for c in content])
     )
     rejected = _rejected_entries(entries, required_dir)
     repeated = repeats(_named_entries(good, position, []), ["grp", "path"], "arrival", "first").select(

@@ -68,11 +68,14 @@ def _unique_keys(rows: DataFrame, on: list[str]) -> DataFrame:
     )
 
 
+def all_fixed_width(df: DataFrame, columns: list[str]) -> bool:
+    return all(isinstance(df.schema[c].dataType, _FIXED_WIDTH) for c in columns)
+
+
 def _without_keys(target: DataFrame, keys: DataFrame, on: list[str], source_rows: int | None) -> DataFrame:
     """Anti join. Keys with a known small bound are broadcast, so that a huge
     target is not shuffled; otherwise Spark decides by size."""
-    fixed = all(isinstance(keys.schema[c].dataType, _FIXED_WIDTH) for c in on)
-    if fixed and source_rows is not None and source_rows <= BROADCAST_KEYS:
+    if all_fixed_width(keys, on) and source_rows is not None and source_rows <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
     return target.join(keys, on, "left_anti").select(*target.columns)
 

@@ -171,18 +171,19 @@ def test_equal_states_on_every_type(spark, rows):
     assert rows(compare.equal_states(live.union(live), live), "extra_rows", "matches") == [(1, False)]
 
 
-def test_keyed_difference(spark, rows):
-    old = spark.createDataFrame([(1, "a", None), (2, "b", 1), (3, "c", 1)], "k int, v string, n int")
-    new = spark.createDataFrame([(1, "a", None), (2, "b", None), (4, "d", 2)], "k int, v string, n int")
-    assert rows(compare.keyed_difference(old, new, ["k"])) == sorted(
+@pytest.mark.parametrize("narrow_first", [False, True])
+def test_keyed_difference(spark, rows, narrow_first):
+    old = spark.createDataFrame([(1, "a", None), (2, "b", 1), (3, "c", 1), (None, "x", 1)], "k int, v string, n int")
+    new = spark.createDataFrame([(1, "a", None), (2, "b", None), (4, "d", 2), (None, "y", 1)], "k int, v string, n int")
+    assert rows(compare.keyed_difference(old, new, ["k"], narrow_first=narrow_first)) == sorted(
         [
             (2, "changed", "n", "1", None), (3, "removed", "v", "c", None), (3, "removed", "n", "1", None),
-            (4, "added", "v", None, "d"), (4, "added", "n", None, "2"),
+            (4, "added", "v", None, "d"), (4, "added", "n", None, "2"), (None, "changed", "v", "x", "y"),
         ],
         key=repr,
     )
     with pytest.raises(PySparkException, match="repeated key"):
-        compare.keyed_difference(old.union(old), new, ["k"]).collect()
+        compare.keyed_difference(old.union(old), new, ["k"], narrow_first=narrow_first).collect()
 
 
 def test_line_diff(spark, rows):
