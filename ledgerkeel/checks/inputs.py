@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.digests import payload_digest, text_digest
 from ..operators import ledger
 from ..operators.ordering import ordinal
+from ..session import written
 from .registry import cte
 
 ENGINE = "spark"
@@ -415,7 +416,7 @@ cte(
 
 
 def dirty_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    """Line items as a stored ledger full of repeats and bad paths."""
+    """Line items as a stored ledger, a written table, full of repeats and bad paths."""
     rows = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("grp"), "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
         "l_returnflag", "l_linestatus",
@@ -429,12 +430,13 @@ def dirty_ledger(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise("checkpoints/")
     )
     tail = F.concat(number, F.lit("_"), F.col("l_returnflag"), F.lit(".sql"))
-    return placed.select(
+    stored = placed.select(
         "grp", "pos", F.col("l_linenumber").cast("bigint").alias("idx"), number.alias("version"),
         F.concat(folder, tail).alias("entry"),
         payload_digest(F.col("l_partkey").cast("string")).alias("payload_digest"),
         F.concat(snap, tail).alias("snapshot_entry"),
     )
+    return written(stored, "dirty")
 
 
 cte(

@@ -350,7 +350,7 @@ def check_head(spark: SparkSession, sf: str) -> DataFrame:
 )
 def check_sequential(spark: SparkSession, sf: str) -> DataFrame:
     usable, _ = coherence.ledger_scan(I.dirty_ledger(spark, sf))
-    return coherence.check_sequential(usable)
+    return coherence.check_sequential(written(usable, "usable"))
 
 
 @check(

@@ -33,6 +33,8 @@ def local_session(cores: int | str = "*", app: str = "ledgerkeel") -> SparkSessi
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder name under the shared folder the session names.
 
+    All folders of an application lie below one of its own, so its owner can
+    remove that folder once the application and readers of its results are done.
     Only a local session without that setting falls back to a machine-local
     folder: on a cluster such a folder would be lost with its executor.
     """
@@ -41,7 +43,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise RuntimeError(f"{CHECKPOINT_DIR} must name a folder all executors share.")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/ledgerkeel/{label}-{uuid.uuid4().hex}"
+    application = spark.conf.get("spark.app.id", "session")
+    return f"{base.rstrip('/')}/ledgerkeel/{application}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
