@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import jaccard, mixing, sharding
 from .common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,31 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("doc.size") * F.size("draws")).alias("taken"),
         F.expr("transform(draws, d -> d.shard)").alias("shards"),
     )
+
+
+def shard_rows(sharded: DataFrame, text_crc32, doc_id="doc.doc_id") -> DataFrame:
+    return sharded.select(
+        doc_id,
+        "size",
+        text_crc32.alias("text_crc32"),
+        F.lit(sharding.LAW).alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query("op2_shard")
+def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        sharding.byte_size(F.col("text")).alias("bytes"),
+        sharding.text_crc32(F.col("text")).alias("crc"),
+    )
+    return shard_rows(sharding.shard(docs, 40, size=F.col("doc.bytes")), F.col("doc.crc"))
+
+
+@query("op8_jaccard_join")
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.classify(docs).select("doc_id", "n_shingles", "component_id")
