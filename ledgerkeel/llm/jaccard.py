@@ -9,6 +9,10 @@ distance 1, so the space is first cut where that loses nothing:
    ``n - ceil(t * n) + 1`` of each in any common order. The order here puts shingles
    seen often last. Which ones are seen often is an estimate over all documents; it
    steers cost only, never the result.
+   Every document also shows all its shingles up to a fixed point of that order. The
+   smaller of two linked sets has at least ``2t / (1 + t)`` of its shingles in common, so
+   it misses few of those shown; a document of which too few recur at all can only be
+   the larger of a linked pair, and buckets without a possible smaller side fall away.
 3. The smallest class of a shingle's bucket is its pivot, and buckets whose pivots
    meet in a document take the smaller one. A pivot's region is every class that
    meets it. Linked classes share a bucket, hence a region.
@@ -44,6 +48,8 @@ from .graph import components
 FREQUENT = 16
 #: At most so many of them, the most frequent, are sent to the tasks (8 bytes each).
 FREQUENT_LIMIT = 1_000_000
+#: All shingles up to this hash are shown, as long as they are not frequent.
+SHOWN = (1 << 64) // 5
 #: Members of a region block, and of a Voronoi cell that is joined at once.
 LEAF, CELL = 512, 96
 PIVOTS = 8
@@ -90,19 +96,22 @@ def _signatures(frequent: np.ndarray, similarity: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, firsts, lengths = [], [], [], []
+            sizes, keys, firsts, lengths, shown = [], [], [], [], []
             for own in kernels.shingle_sets(batch.column(2)):
                 n = len(own)
                 sizes.append(n)
                 keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                k = _prefix(n, similarity) if n else 0
+                visible = int(np.searchsorted(own, np.uint64(SHOWN), "right"))
+                k = max(_prefix(n, similarity), visible) if n else 0
                 first = own[:k]
-                late = _among(first, frequent)
-                if late.any():
+                if _among(first, frequent).any():
                     late = _among(own, frequent)
-                    first = np.concatenate([own[~late], own[late]])[:k]
+                    light = own[~late]
+                    visible = int(np.searchsorted(light, np.uint64(SHOWN), "right"))
+                    first = np.concatenate([light, own[late]])[: max(_prefix(n, similarity), visible)]
                 firsts.append(first)
                 lengths.append(len(first))
+                shown.append(visible)
             ends = np.zeros(len(lengths) + 1, np.int32)
             np.cumsum(lengths, out=ends[1:])
             flat = np.concatenate(firsts).view(np.int64) if firsts else np.zeros(0, np.int64)
@@ -112,9 +121,10 @@ def _signatures(frequent: np.ndarray, similarity: int):
                     batch.column(1),
                     pa.array(sizes, pa.int64()),
                     pa.array(keys, pa.binary()),
+                    pa.array(shown, pa.int32()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                 ],
-                names=["doc_id", "text_hash", "n", "set_key", "first"],
+                names=["doc_id", "text_hash", "n", "set_key", "shown", "first"],
             )
 
     return run
@@ -214,9 +224,9 @@ def _join_block(similarity: int):
     return run
 
 
-def _regions(classes: DataFrame) -> DataFrame:
+def _regions(classes: DataFrame, similarity: int) -> DataFrame:
     """Rows (pivot, class), pivot itself left out, for every class that shares a bucket."""
-    first = classes.select("class", F.explode("first").alias("shingle"))
+    first = classes.select("class", "n", "shown", F.posexplode("first").alias("at", "shingle"))
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bucket = Window.partitionBy("shingle")
     shared = (
@@ -224,9 +234,20 @@ def _regions(classes: DataFrame) -> DataFrame:
         .withColumn("pivot", F.min("class").over(bucket))
         .withColumn("last", F.max("class").over(bucket))
         .where("last != pivot")
-        .select("shingle", "class", "pivot")
+        .select("shingle", "class", "pivot", "n", "shown", (F.col("at") < F.col("shown")).cast("int").alias("seen"))
     )
     shared = written(shared, "jaccard-buckets")
+    missed = F.col("n") - F.ceil(F.col("n") * 2 * similarity / (100 + similarity))
+    smaller = shared.groupBy("class", "n", "shown").agg(F.sum("seen").alias("seen"))
+    smaller = smaller.select("class", (F.col("seen") >= F.col("shown") - missed).alias("smaller"))
+    shared = (
+        shared.select("shingle", "class", "pivot")
+        .join(smaller, "class")
+        .withColumn("smaller", F.max("smaller").over(bucket))
+        .where("smaller")
+        .select("shingle", "class", "pivot")
+    )
+    shared = written(shared, "jaccard-live-buckets")
     leader = shared.groupBy("class").agg(F.min("pivot").alias("leader"))
     met = shared.join(leader, "class").groupBy("pivot").agg(F.min("leader").alias("leader"))
     pairs = shared.select("class", "pivot").distinct().join(met, "pivot").select(F.col("leader").alias("pivot"), "class")
@@ -318,7 +339,7 @@ def classify(docs: DataFrame, similarity: int = 80) -> DataFrame:
     own = rows.select(held(rows, "doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text)
     frequent = _frequent(own)
     signed = own.mapInArrow(
-        _signatures(frequent, similarity), "doc_id long, text_hash long, n long, set_key binary, first array<long>"
+        _signatures(frequent, similarity), "doc_id long, text_hash long, n long, set_key binary, shown int, first array<long>"
     )
     signed = written(signed, "jaccard-signed")
     found = (
@@ -327,11 +348,13 @@ def classify(docs: DataFrame, similarity: int = 80) -> DataFrame:
         .agg(
             F.min("doc_id").alias("rep"),
             F.min(F.struct("doc_id", "text_hash")).alias("row"),
-            F.max("first").alias("first"),
+            F.first("n").alias("n"),
+            F.first("shown").alias("shown"),
+            F.first("first").alias("first"),
         )
     )
     classes = written(found.withColumn("class", F.monotonically_increasing_id()), "jaccard-classes")
-    regions = _regions(classes)
+    regions = _regions(classes, similarity)
     live = regions.select("class").union(regions.select("pivot")).distinct()
     live = written(live.join(classes.select("class", "row"), "class").select("class", "row.*"), "jaccard-live")
     texts = own.join(
