@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, sharding
+from . import boilerplate, decontaminate, jaccard, mixing, sharding, toxicity
 from .common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,59 @@ def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard.classify(docs).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, table(spark, sf_dir, "labels")).select("doc.doc_id", "score")
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+@query("op3_decontaminate")
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "overlap", "union")
+
+
+_BREAKING = boilerplate.BREAKING.removeprefix("(?i)").replace("'", "''")
+_HIDDEN = boilerplate.HIDDEN.removeprefix("(?is)")
+
+
+@query(
+    "op9_line_dedup",
+    f"""WITH texts AS (
+      SELECT page_id,
+        lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+        regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{_HIDDEN}', chr(10), 'gsi'),
+          '{_BREAKING}', chr(10), 'gi'), '<[^>]*>', '', 'g') AS body
+      FROM pages),
+    split AS (
+      SELECT page_id, host, list_filter(list_transform(string_split(body, chr(10)),
+        x -> trim(x, ' ' || chr(9) || chr(13) || chr(12) || chr(11))), x -> x != '') AS lines FROM texts),
+    common AS (
+      SELECT host, list(line) AS keys FROM (
+        SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM split WHERE host != '')
+        GROUP BY host, line)
+      JOIN (SELECT host, count(*) AS pages FROM split GROUP BY host) USING (host)
+      WHERE n > 1 AND pages >= {boilerplate.MIN_PAGES} AND n > pages * {boilerplate.RATIO}::DOUBLE GROUP BY host),
+    done AS (
+      SELECT page_id, lines, CASE WHEN keys IS NULL THEN lines
+        ELSE list_filter(lines, x -> NOT list_contains(keys, x)) END AS kept
+      FROM split LEFT JOIN common USING (host))
+    SELECT page_id, CAST(len(lines) AS INT) AS n_lines, CAST(len(lines) - len(kept) AS INT) AS n_dropped,
+      sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM done""",
+)
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = boilerplate.drop_boilerplate(table(spark, sf_dir, "pages"))
+    return done.select(
+        "doc.page_id",
+        F.size("lines").alias("n_lines"),
+        (F.size("lines") - F.size("kept")).alias("n_dropped"),
+        F.sha2(F.array_join("kept", "\n"), 256).alias("kept_sha256"),
+    )
