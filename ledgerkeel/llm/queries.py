@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, decontaminate, jaccard, mixing, sharding, toxicity
+from . import boilerplate, decontaminate, jaccard, mixing, quality, sharding, toxicity
 from .common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,15 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.size("lines") - F.size("kept")).alias("n_dropped"),
         F.sha2(F.array_join("kept", "\n"), 256).alias("kept_sha256"),
     )
+
+
+@query("op5_quality")
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, table(spark, sf_dir, "labels")).select("doc.doc_id", "score")
+    return scored.select(
+        "doc_id",
+        quality.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )

@@ -3,7 +3,8 @@
 Features are hashed character n-grams (3 to 5 code points of the lower-cased text,
 spaces included), each present or not in a document. Over all labelled training
 rows a count per feature and class gives its log-count ratio
-``log((p + a) / |p|) - log((q + a) / |q|)``. A logistic regression is fitted on
+``log((p + a) / (P + 2a)) - log((q + a) / (Q + 2a))``, of p among P toxic documents and q
+among Q clean ones. A logistic regression is fitted on
 features scaled by these ratios; a document's score is its probability.
 
 The counts cover every training row: tasks fold them into one vector per class of a
@@ -30,8 +31,9 @@ BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 #: Labelled rows that the regression is fitted on, at most.
 SAMPLE_ROWS = 12_000
-#: Features kept for the regression: those of the largest absolute ratio.
-KEPT_FEATURES = 60_000
+#: Features enter the regression if their ratio is this many standard errors from 0; of
+#: those, the strongest are kept, at most so many.
+STRENGTH, KEPT_FEATURES = 2.5, 60_000
 ALPHA, L2, STEPS = 1.0, 1e-4, 120
 THRESHOLD = 0.3
 _U = np.uint64
@@ -149,10 +151,10 @@ def train(labelled: DataFrame) -> Model | None:
     if not rows.all():
         return None
     smooth = counts + ALPHA
-    ratio = np.log(smooth[1] / smooth[1].sum()) - np.log(smooth[0] / smooth[0].sum())
-    ratio[counts.sum(0) < 3] = 0
-    limit = np.partition(np.abs(ratio), BUCKETS - KEPT_FEATURES)[BUCKETS - KEPT_FEATURES]
-    kept = (np.abs(ratio) >= limit) & (ratio != 0)
+    ratio = np.log(smooth[1] / (rows[1] + 2 * ALPHA)) - np.log(smooth[0] / (rows[0] + 2 * ALPHA))
+    strength = np.abs(ratio) / np.sqrt(1 / smooth[0] + 1 / smooth[1])
+    limit = np.partition(strength, BUCKETS - KEPT_FEATURES)[BUCKETS - KEPT_FEATURES]
+    kept = strength >= max(limit, STRENGTH)
     ratio = np.where(kept, ratio, 0)
     total = int(rows.sum())
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / float(1 << 53)
