@@ -13,9 +13,11 @@ distance 1, so the space is first cut where that loses nothing:
    smaller of two linked sets has at least ``2t / (1 + t)`` of its shingles in common, so
    it misses few of those shown; a document of which too few recur at all can only be
    the larger of a linked pair, and buckets without a possible smaller side fall away.
-3. The smallest class of a shingle's bucket is its pivot, and buckets whose pivots
-   meet in a document take the smaller one. A pivot's region is every class that
-   meets it. Linked classes share a bucket, hence a region.
+3. The smallest class of a shingle's bucket leads it, and buckets whose leaders
+   meet in a document take the smaller one. A leader's region is every class that
+   meets it. Linked classes share a bucket, hence a region. Members whose shown
+   shingles leave room for no partner in the region drop out, and the smallest of
+   the rest is the region's pivot.
 4. The distance of each member to its pivot is computed from the full sets. Members
    within the radius are linked to it and to each other's component: no pair inside
    that ball is looked at again.
@@ -224,34 +226,81 @@ def _join_block(similarity: int):
     return run
 
 
-def _regions(classes: DataFrame, similarity: int) -> DataFrame:
-    """Rows (pivot, class), pivot itself left out, for every class that shares a bucket."""
-    first = classes.select("class", "n", "shown", F.posexplode("first").alias("at", "shingle"))
+def _feasible(similarity: int):
+    """Members of a block pair that can be linked to another one, by the shown shingles alone.
+
+    Of the shown shingles of x at most ``n_x - o`` are not in y, where ``o`` is the overlap
+    that two sets of these sizes need.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("class")
+        tokens = [np.asarray(t, np.int64).view(np.uint64) for t in pdf["seen"]]
+        n, shown = pdf["n"].to_numpy(np.int64), pdf["shown"].to_numpy(np.int64)
+        some = np.zeros(len(pdf), bool)
+        for a in range(0, len(pdf), LEAF):
+            x = slice(a, a + LEAF)
+            inter = overlaps(tokens[x], tokens)
+            need = -(-similarity * (n[x, None] + n[None]) // (100 + similarity))
+            fits = (inter >= shown[x, None] - n[x, None] + need) & (inter >= shown[None] - n[None] + need)
+            fits &= 100 * np.minimum(n[x, None], n[None]) >= similarity * np.maximum(n[x, None], n[None])
+            fits[np.arange(fits.shape[0]), a + np.arange(fits.shape[0])] = False
+            some[x] = fits.any(1)
+        return pdf.loc[some, ["region", "class"]]
+
+    return run
+
+
+def _grid(members: DataFrame, group: list[str], counted: DataFrame, columns: list[str]) -> DataFrame:
+    """Deal the members of each group to pairs (low, high) of blocks of about LEAF members."""
+    grid = F.ceil(F.col("members") / LEAF).cast("int")
+    block = F.pmod(F.xxhash64("class"), F.col("grid")).cast("int")
+    return (
+        members.join(counted.select(*group, "members"), group)
+        .withColumn("grid", grid)
+        .withColumn("block", block)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("grid") - 1)))
+        .select(*group, *columns, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    )
+
+
+def _regions(signed: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
+    """Rows (pivot, class), pivot itself left out, of classes that may be linked inside a region."""
+    row = classes.select("class", "set_key", F.col("row.doc_id").alias("id"), F.col("row.text_hash").alias("h"))
+    at_row = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("h"))
+    first = signed.join(row, "set_key").where(at_row).select("class", "shown", F.posexplode("first").alias("at", "shingle"))
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bucket = Window.partitionBy("shingle")
     shared = (
-        first.repartition(n, "shingle")
+        first.select("class", "shingle", (F.col("at") < F.col("shown")).alias("seen"))
+        .repartition(n, "shingle")
         .withColumn("pivot", F.min("class").over(bucket))
         .withColumn("last", F.max("class").over(bucket))
         .where("last != pivot")
-        .select("shingle", "class", "pivot", "n", "shown", (F.col("at") < F.col("shown")).cast("int").alias("seen"))
+        .drop("last")
     )
     shared = written(shared, "jaccard-buckets")
+    sizes = classes.select("class", "n", "shown")
+    smaller = shared.groupBy("class").agg(F.sum(F.col("seen").cast("int")).alias("hits")).join(sizes, "class")
     missed = F.col("n") - F.ceil(F.col("n") * 2 * similarity / (100 + similarity))
-    smaller = shared.groupBy("class", "n", "shown").agg(F.sum("seen").alias("seen"))
-    smaller = smaller.select("class", (F.col("seen") >= F.col("shown") - missed).alias("smaller"))
+    smaller = smaller.select("class", (F.col("hits") >= F.col("shown") - missed).alias("smaller"))
     shared = (
-        shared.select("shingle", "class", "pivot")
-        .join(smaller, "class")
+        shared.join(smaller, "class")
         .withColumn("smaller", F.max("smaller").over(bucket))
         .where("smaller")
-        .select("shingle", "class", "pivot")
+        .select("class", "pivot", "shingle", "seen")
     )
     shared = written(shared, "jaccard-live-buckets")
     leader = shared.groupBy("class").agg(F.min("pivot").alias("leader"))
-    met = shared.join(leader, "class").groupBy("pivot").agg(F.min("leader").alias("leader"))
-    pairs = shared.select("class", "pivot").distinct().join(met, "pivot").select(F.col("leader").alias("pivot"), "class")
-    return written(pairs.where("pivot != class").distinct(), "jaccard-regions")
+    met = shared.join(leader, "class").groupBy("pivot").agg(F.min("leader").alias("region"))
+    regions = written(shared.select("class", "pivot").join(met, "pivot").select("region", "class").distinct(), "jaccard-regions")
+    tokens = shared.groupBy("class").agg(F.collect_set(F.when(F.col("seen"), F.col("shingle"))).alias("seen"))
+    counted = regions.groupBy("region").agg(F.count("*").alias("members")).where("members > 1")
+    dealt = _grid(regions, ["region"], counted, ["class"]).join(tokens, "class").join(sizes, "class")
+    fit = dealt.groupBy("region", "low", "high").applyInPandas(_feasible(similarity), "region long, class long")
+    fit = written(fit.distinct(), "jaccard-feasible")
+    pivots = fit.groupBy("region").agg(F.min("class").alias("pivot"))
+    return written(fit.join(pivots, "region").where("class != pivot").select("pivot", "class").distinct(), "jaccard-stars")
 
 
 def _linked(inter: Column, union: Column, similarity: int) -> Column:
@@ -300,21 +349,7 @@ def _region_links(regions: DataFrame, sets: DataFrame, similarity: int) -> DataF
         F.max((F.col("home") == F.col("ring")).cast("int")).alias("homes"),
     )
     open_rings = counted.where("members > 1 AND low != high AND homes = 1").select(*group, "members")
-    grid = F.ceil(F.col("members") / LEAF).cast("int")
-    block = F.pmod(F.xxhash64("class"), F.col("grid")).cast("int")
-    dealt = (
-        members.join(open_rings, group)
-        .withColumn("grid", grid)
-        .withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("grid") - 1)))
-        .select(
-            *group,
-            "class",
-            "root",
-            F.least("block", "other").alias("low"),
-            F.greatest("block", "other").alias("high"),
-        )
-    )
+    dealt = _grid(members, group, open_rings, ["class", "root"])
     dealt = written(dealt, "jaccard-blocks")
     more = (
         dealt.join(sets, "class")
@@ -350,11 +385,10 @@ def classify(docs: DataFrame, similarity: int = 80) -> DataFrame:
             F.min(F.struct("doc_id", "text_hash")).alias("row"),
             F.first("n").alias("n"),
             F.first("shown").alias("shown"),
-            F.first("first").alias("first"),
         )
     )
     classes = written(found.withColumn("class", F.monotonically_increasing_id()), "jaccard-classes")
-    regions = _regions(classes, similarity)
+    regions = _regions(signed, classes, similarity)
     live = regions.select("class").union(regions.select("pivot")).distinct()
     live = written(live.join(classes.select("class", "row"), "class").select("class", "row.*"), "jaccard-live")
     texts = own.join(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, decontaminate, jaccard, mixing, quality, sharding, toxicity
+from . import archives, boilerplate, chat, decontaminate, jaccard, mixing, quality, sharding, toxicity
 from .common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,57 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+_CASE = r"\### Assistant: </turn> ok"
+
+
+def conversation_events(turns: DataFrame) -> DataFrame:
+    """The event log that leads to each turn: two deltas, after a dropped draft for every
+    learned turn and an edit of every other third one. Rows equal in conversation and turn are
+    messages of their own."""
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    one, two = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
+    draft = F.reverse(text)
+
+    def event(seq: int, kind: str, value):
+        return F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), value.alias("text"))
+
+    streamed = [event(3, "delta", one), event(4, "delta", two)]
+    plain = F.array(*streamed)
+    regenerated = F.array(event(1, "delta", draft), event(2, "regenerate", F.lit("")), *streamed)
+    edited = F.array(event(1, "delta", draft), event(2, "edit", one), event(4, "delta", two))
+    log = F.when(F.col("role") == chat.LEARNED_ROLE, regenerated).when(F.col("turn") % 3 == 2, edited).otherwise(plain)
+    rows = turns.select("conv_id", "turn", "role", F.monotonically_increasing_id().alias("message"), log.alias("log"))
+    return rows.select(
+        "conv_id", "message", F.col("turn").alias("place"), F.col("role"), F.explode("log").alias("e")
+    ).select("conv_id", "message", "place", "role", "e.seq", "e.kind", "e.text")
+
+
+@query("op6_chat")
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    case = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(_CASE).alias("text"),
+    )
+    return chat.read_back(chat.render(chat.fold(conversation_events(turns.unionByName(case)))))
+
+
+@query(
+    "op7_warc",
+    """WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) || '0' AS hex FROM pages),
+    d AS (
+      SELECT page_id, strlen(html) AS bytes, array_to_string(list_transform(range(32), i ->
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(hex, CAST((5 * i) // 4 + 1 AS INT), 2) AS INT)
+          >> CAST(3 - (5 * i) % 4 AS INT)) & 31), 1)), '') AS digest FROM p)
+    SELECT page_id, bytes AS payload_bytes, digest AS payload_digest,
+      CASE WHEN page_id = max(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id < max(page_id) OVER w THEN max(page_id) OVER w END AS refers_to
+    FROM d WINDOW w AS (PARTITION BY digest)""",
+)
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.convert_pages(table(spark, sf_dir, "pages"))

@@ -30,10 +30,10 @@ GRAMS = (3, 4, 5)
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 #: Labelled rows that the regression is fitted on, at most.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 6_000
 #: Features enter the regression if their ratio is this many standard errors from 0; of
 #: those, the strongest are kept, at most so many.
-STRENGTH, KEPT_FEATURES = 2.5, 60_000
+STRENGTH, KEPT_FEATURES = 2.5, 15_000
 ALPHA, L2, STEPS = 1.0, 1e-4, 120
 THRESHOLD = 0.3
 _U = np.uint64
@@ -118,9 +118,9 @@ def _kept_features(kept: np.ndarray):
 
 def fit_regression(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray) -> Model:
     """Logistic regression on ratio-scaled features by accelerated gradient steps."""
-    at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    value = ratio[at]
+    at = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    value = ratio[at].astype(np.float32)
     square = np.bincount(doc, value**2, minlength=len(rows))
     rate = 4.0 / (square.mean() + 1.0)
     w, b = np.zeros(len(ratio)), float(np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1)))
@@ -164,7 +164,7 @@ def train(labelled: DataFrame) -> Model | None:
     labels = found.column("label").to_numpy().astype(float)
     if not 0 < labels.sum() < len(labels):
         return None
-    return fit_regression([np.asarray(x, np.int64) for x in found.column("features").to_numpy()], labels, ratio)
+    return fit_regression([np.asarray(x, np.int32) for x in found.column("features").to_numpy()], labels, ratio)
 
 
 def _scores(model: Model):
