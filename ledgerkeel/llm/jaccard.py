@@ -233,20 +233,36 @@ def _feasible(similarity: int):
     that two sets of these sizes need.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("class")
-        tokens = [np.asarray(t, np.int64).view(np.uint64) for t in pdf["seen"]]
-        n, shown = pdf["n"].to_numpy(np.int64), pdf["shown"].to_numpy(np.int64)
-        some = np.zeros(len(pdf), bool)
-        for a in range(0, len(pdf), LEAF):
+    def some_partner(tokens: list[np.ndarray], n: np.ndarray, shown: np.ndarray) -> np.ndarray:
+        some = np.zeros(len(n), bool)
+        for a in range(0, len(n), LEAF):
             x = slice(a, a + LEAF)
-            inter = overlaps(tokens[x], tokens)
+            if len(n) <= 8:
+                inter = np.array([[len(np.intersect1d(s, t, assume_unique=True)) for t in tokens] for s in tokens])
+            else:
+                inter = overlaps(tokens[x], tokens)
             need = -(-similarity * (n[x, None] + n[None]) // (100 + similarity))
             fits = (inter >= shown[x, None] - n[x, None] + need) & (inter >= shown[None] - n[None] + need)
             fits &= 100 * np.minimum(n[x, None], n[None]) >= similarity * np.maximum(n[x, None], n[None])
-            fits[np.arange(fits.shape[0]), a + np.arange(fits.shape[0])] = False
+            own = np.arange(fits.shape[0])
+            fits[own, a + own] = False
             some[x] = fits.any(1)
-        return pdf.loc[some, ["region", "class"]]
+        return some
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        region, class_ = pdf["region"].to_numpy(), pdf["class"].to_numpy()
+        order = np.lexsort((class_, region))
+        region, class_ = region[order], class_[order]
+        fresh = np.r_[True, (region[1:] != region[:-1]) | (class_[1:] != class_[:-1])]
+        order, region, class_ = order[fresh], region[fresh], class_[fresh]
+        seen = pdf["seen"].to_numpy()
+        tokens = [np.asarray(seen[i], np.int64).view(np.uint64) for i in order]
+        n, shown = pdf["n"].to_numpy(np.int64)[order], pdf["shown"].to_numpy(np.int64)[order]
+        some = np.zeros(len(order), bool)
+        edges = np.flatnonzero(np.r_[True, region[1:] != region[:-1], True])
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            some[a:b] = some_partner(tokens[a:b], n[a:b], shown[a:b])
+        return pd.DataFrame({"region": region[some], "class": class_[some]})
 
     return run
 
@@ -296,8 +312,16 @@ def _regions(signed: DataFrame, classes: DataFrame, similarity: int) -> DataFram
     regions = written(shared.select("class", "pivot").join(met, "pivot").select("region", "class").distinct(), "jaccard-regions")
     tokens = shared.groupBy("class").agg(F.collect_set(F.when(F.col("seen"), F.col("shingle"))).alias("seen"))
     counted = regions.groupBy("region").agg(F.count("*").alias("members")).where("members > 1")
-    dealt = _grid(regions, ["region"], counted, ["class"]).join(tokens, "class").join(sizes, "class")
-    fit = dealt.groupBy("region", "low", "high").applyInPandas(_feasible(similarity), "region long, class long")
+    dealt = _grid(regions, ["region"], counted, ["class", "members"]).join(tokens, "class").join(sizes, "class")
+    # Small regions share a task's group, by hash; blocks of large ones have their own.
+    runs = F.ceil(F.lit(regions.count()) / (4 * LEAF))
+    alone = F.col("members") > LEAF
+    key = F.when(alone, F.col("region")).otherwise(F.pmod(F.xxhash64("region"), runs)).alias("key")
+    fit = (
+        dealt.select("region", "class", "low", "high", "seen", "n", "shown", key, alone.alias("alone"))
+        .groupBy("key", "alone", "low", "high")
+        .applyInPandas(_feasible(similarity), "region long, class long")
+    )
     fit = written(fit.distinct(), "jaccard-feasible")
     pivots = fit.groupBy("region").agg(F.min("class").alias("pivot"))
     return written(fit.join(pivots, "region").where("class != pivot").select("pivot", "class").distinct(), "jaccard-stars")
