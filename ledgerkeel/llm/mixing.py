@@ -4,8 +4,8 @@ Each source gets a target (its weighted share of all words, at most
 ``max_repeats`` times its own words). Documents of a source lie in a random but
 reproducible order, the hash order; equal slices of that order are its blocks.
 A source's quota is the exact number of blocks its target needs: whole passes
-over all blocks, then the blocks up to the document at which the target is
-reached. The tree starts with all quotas at the root and halves the output
+over all blocks, then the blocks up to the last document that still fits (and one
+more document close behind, if it brings the source nearer to its target). The tree starts with all quotas at the root and halves the output
 shards at every level: the left half's quota vector is a multivariate
 hypergeometric draw, the right half gets the rest. So every leaf (shard) knows
 how many blocks of each source it holds, exactly, and those are disjoint ranges
@@ -28,6 +28,9 @@ from .common import WORD, bounded, held, whole, written
 
 #: Bits of the hash order, and of each step of the search for the last document taken.
 ORDER_BITS, STEP_BITS = 62, 12
+#: A document above this part of what a broken pass takes is left out of that pass, unless
+#: the others are not enough: one document must not decide how near a source comes.
+SMALL = 10
 #: A prime above any number of block draws, so that multiplying by it permutes them.
 PRIME = 4_294_967_291
 
@@ -77,11 +80,12 @@ def _block(order: Column, blocks: Column) -> Column:
 
 
 def _cuts(rows: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
-    """The last position each source's broken pass takes: (idx, cut), -1 for none.
+    """The last position each source's broken pass takes: (idx, cut, gap), -1 for none.
 
     A radix search: words per slot of 4096, then the slot in which the target is
     reached is opened again, so no window sees more than 4096 rows of a source
-    before the last step. A document is taken if its middle is within the target.
+    before the last step. Documents are taken as long as they fit; ``gap`` is what is then
+    left of the target.
     """
     open_slots = sources.where("rest > 0").select("idx", "rest", F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("slot"))
     shift = ORDER_BITS
@@ -113,12 +117,34 @@ def _cuts(rows: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
         .agg(F.sum("size").alias("sum"))
     )
     run = Window.partitionBy("idx").orderBy("order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    middle = F.col("base") + F.sum("sum").over(run) - F.col("sum") / 2
+    last = last.withColumn("upto", F.col("base") + F.sum("sum").over(run)).withColumn("taken", F.col("upto") <= F.col("rest"))
     return (
-        last.withColumn("taken", middle <= F.col("rest"))
+        last.groupBy("idx", "rest")
+        .agg(
+            F.max(F.when(F.col("taken"), F.struct("order", "upto"))).alias("cut"),
+            F.min(F.struct((F.shiftleft("slot", low) - 1).alias("order"), F.col("base").alias("upto"))).alias("none"),
+        )
+        .withColumn("cut", F.coalesce("cut", "none"))
+        .select("idx", F.col("cut.order").alias("cut"), (F.col("rest") - F.col("cut.upto")).alias("gap"))
+    )
+
+
+def _fillers(rows: DataFrame, cuts: DataFrame, n_sources: int) -> DataFrame:
+    """The place after the cut, up to the end of the next block, that fills the gap best: (idx, extra).
+
+    Documents in one place are taken together, so it is their sum that is held against the
+    gap. -1 where none brings the source nearer to its target.
+    """
+    side = bounded(cuts.where("gap > 0").select("idx", "cut", "gap", "n_blocks"), n_sources)
+    block = _block(F.col("order"), F.col("n_blocks"))
+    near = block <= F.when(F.col("cut") < 0, 0).otherwise(_block(F.col("cut"), F.col("n_blocks"))) + 1
+    places = rows.join(side, "idx").where((F.col("order") > F.col("cut")) & near).groupBy("idx", "gap", "order")
+    off = F.abs(F.col("size") - F.col("gap"))
+    return (
+        places.agg(F.sum("size").alias("size"))
+        .where(off < F.col("gap"))
         .groupBy("idx")
-        .agg(F.max(F.when(F.col("taken"), F.col("order"))).alias("cut"), F.min("slot").alias("slot"))
-        .select("idx", F.coalesce("cut", F.shiftleft("slot", low) - 1).alias("cut"))
+        .agg(F.min(F.struct(off.alias("off"), "order"))["order"].alias("extra"))
     )
 
 
@@ -249,8 +275,9 @@ def draw_plan(
     size = word_size(text) if size is None else size
     ident = F.xxhash64(held(rows, "doc_id"), text) if ident is None else ident
     order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), ident), 64 - ORDER_BITS)
-    keyed = rows.select("doc", *_key(held(rows, "source")), order.alias("order"))
-    narrow = written(keyed.select("no_source", "source_key", "order", F.coalesce(size, F.lit(0)).alias("size")), "mix-rows")
+    size = F.coalesce(size, F.lit(0)).alias("size")
+    keyed = rows.select("doc", *_key(held(rows, "source")), order.alias("order"), size)
+    narrow = written(keyed.drop("doc"), "mix-rows")
     sources = narrow.groupBy("no_source", "source_key").agg(
         F.sum("size").alias("source_size"), F.count("*").alias("n_rows")
     )
@@ -265,24 +292,34 @@ def draw_plan(
     n_sources = sources.count()
     by_source = ["no_source", "source_key"]
     of_source = bounded(sources.select("idx", "rest", *by_source), n_sources)
-    cuts = _cuts(narrow.join(of_source.drop("rest"), by_source).select("idx", "order", "size"), sources, n_sources)
-    cut = F.coalesce("cut", F.lit(-1))
+    located = narrow.join(of_source.drop("rest"), by_source).select("idx", "order", "size")
+    small = F.when(F.col("size") * SMALL <= F.col("rest"), F.col("size")).otherwise(0)
+    limits = located.join(bounded(sources.select("idx", "rest"), n_sources), "idx").groupBy("idx", "rest")
+    limits = limits.agg((F.sum(small) >= F.col("rest")).alias("enough"))
+    limit = F.when(F.col("enough"), F.col("rest") / SMALL).otherwise(F.lit(float("inf")))
+    limits = written(limits.select("idx", limit.alias("limit")), "mix-limits")
+    located = located.join(bounded(limits, n_sources), "idx").where("size <= limit").drop("limit")
+    cuts = _cuts(located, sources, n_sources).join(sources.select("idx", "n_blocks"), "idx")
+    cuts = written(cuts, "mix-cuts")
+    cuts = cuts.drop("n_blocks").join(_fillers(located, cuts, n_sources), "idx", "left")
+    end = F.greatest("cut", "extra")
     sources = (
         sources.join(cuts, "idx", "left")
-        .withColumn("cut", cut)
+        .join(limits, "idx", "left")
+        .withColumn("cut", F.coalesce("cut", F.lit(-1)))
+        .withColumn("extra", F.coalesce("extra", F.lit(-1)))
         .withColumn(
             "quota",
-            F.col("full") * F.col("n_blocks")
-            + F.when(F.col("cut") >= 0, _block(F.col("cut"), F.col("n_blocks")) + 1).otherwise(0),
+            F.col("full") * F.col("n_blocks") + F.when(end >= 0, _block(end, F.col("n_blocks")) + 1).otherwise(0),
         )
     )
     sources = written(sources, "mix-quotas")
     n_draws = sources.agg(F.sum("quota")).head()[0] or 0
     draws = bounded(_draws(sources, shards, seed), n_draws)
-    facts = sources.select(*by_source, "idx", "source_size", "target", "full", "cut", "n_blocks")
+    facts = sources.select(*by_source, "idx", "source_size", "target", "full", "cut", "extra", "limit", "n_blocks")
     placed = keyed.join(bounded(facts, n_sources), by_source).withColumn("block", _block(F.col("order"), F.col("n_blocks")))
     taken = F.expr(
-        "transform(filter(draws, d -> d.pass < full OR (d.pass = full AND order <= cut)), "
+        "transform(filter(draws, d -> d.pass < full OR (d.pass = full AND (order <= cut AND size <= limit OR order = extra))), "
         f"d -> named_struct('pass', d.pass, 'shard', d.shard, 'rank', d.rank, 'order', xxhash64({seed}L, d.shard, d.pass, order)))"
     )
     return placed.join(draws, ["idx", "block"], "left").select(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, boilerplate, chat, decontaminate, jaccard, mixing, quality, sharding, toxicity
+from . import archives, boilerplate, chat, decontaminate, fingerprints, jaccard, mixing, quality, sharding, toxicity
 from .common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,3 +188,8 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.convert_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op4_fingerprint")
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
