@@ -46,8 +46,8 @@ cte(
 )
 cte(
     "r_names",
-    """SELECT grp, min(entry) AS path, 'L006' AS code, 'warning' AS level, 'basename ' || base || ' is shared: '
-      || CASE WHEN count(*) > 50 THEN count(*) || ' entries' ELSE string_agg(entry, ', ' ORDER BY entry) END AS message
+    """SELECT grp, min(entry) AS path, 'L006' AS code, 'warning' AS level, 'basename ' || base || ' is shared by '
+      || count(*) || ' entries' AS message
     FROM corpus GROUP BY grp, base HAVING count(*) > 1""",
 )
 cte(

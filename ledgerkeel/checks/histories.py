@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import compare, history, mutate, validate
+from ..errors import StateError
+from ..operators import coherence, compare, history, mutate, validate
 from ..operators.ordering import ordinal
 from ..session import written
 from . import inputs as I
@@ -52,12 +53,18 @@ def ledger_divergence(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@check("state_divergence", "SELECT * FROM divergence")
+@check(
+    "state_divergence",
+    """SELECT grp, 1 AS divergence_index, 'target_name' AS field, target AS base_value, CAST(grp AS VARCHAR) AS head_value FROM hdr WHERE target <> CAST(grp AS VARCHAR)
+    UNION ALL SELECT * FROM divergence WHERE grp NOT IN (SELECT grp FROM hdr WHERE target <> CAST(grp AS VARCHAR))""",
+)
 def state_divergence(spark: SparkSession, sf: str) -> DataFrame:
-    """The strict variant: both states have no findings of their own."""
-    none = I.heads(spark, sf).where(F.lit(False))
+    """The strict variant: no finding on either side; some groups have other target names."""
+    stored = I.stored_headers(spark, sf)
+    own = stored.select("grp", F.col("grp").cast("string").alias("target"))
+    none = coherence.check_group(own)
     return history.state_divergence(
-        I.plain_base_steps(spark, sf), I.plain_input_steps(spark, sf), none, none
+        I.plain_base_steps(spark, sf), I.plain_input_steps(spark, sf), none, none, stored.select("grp", "target"), own
     )
 
 
@@ -273,9 +280,16 @@ def line_diff(spark: SparkSession, sf: str) -> DataFrame:
     f"""SELECT grp, entry, payload, CAST(sum(n) AS BIGINT) AS copies FROM (SELECT *, 1 AS n FROM live_rows UNION ALL SELECT *, -1 FROM own_rows) GROUP BY grp, entry, payload HAVING sum(n) <> 0""",
 )
 def verify_expected(spark: SparkSession, sf: str) -> DataFrame:
-    """The rows that make the verification of live against expected fail."""
+    """The verification passes for equal states, fails for live against expected, and for these rows."""
     relation = written(_relation(spark, sf), "relation")
-    return compare.multiset_difference(_live(spark, sf), _expected(spark, sf, relation))
+    live, expected = _live(spark, sf), _expected(spark, sf, relation)
+    compare.verify_expected(expected, expected, "up")
+    rows = compare.multiset_difference(live, expected)
+    try:
+        compare.verify_expected(live, expected, "up")
+    except StateError:
+        return rows
+    return rows.limit(0)
 
 
 @check(
@@ -287,8 +301,6 @@ def verify_expected(spark: SparkSession, sf: str) -> DataFrame:
 )
 def schema_gate(spark: SparkSession, sf: str) -> DataFrame:
     """All conditions of a data command per customer, on its ledger header findings."""
-    from ..operators import coherence
-
     relation = written(_relation(spark, sf), "relation")
     clean = coherence.is_clean(relation, coherence.check_header(I.stored_headers(spark, sf)))
     prefix = history.prefix_check(I.plain_input_steps(spark, sf), _applied(spark, sf))

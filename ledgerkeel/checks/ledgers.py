@@ -356,10 +356,18 @@ def check_sequential(spark: SparkSession, sf: str) -> DataFrame:
 @check(
     "check_ledger_paths",
     """SELECT grp, 'lockfile-step-path-invalid' AS code, snapshot_entry AS path, 'bad path: absolute' AS detail FROM dirty WHERE starts_with(snapshot_entry, '/')
-    UNION ALL SELECT grp, 'lockfile-step-path-mismatch', snapshot_entry, 'not under checkpoints/' FROM dirty WHERE starts_with(snapshot_entry, 'states/')""",
+    UNION ALL SELECT grp, 'lockfile-step-path-mismatch', snapshot_entry, 'not under ' || CASE WHEN o_orderstatus = 'O' THEN 'states/' ELSE 'checkpoints/' END
+    FROM dirty JOIN orders ON o_orderkey = grp
+    WHERE NOT starts_with(snapshot_entry, '/') AND NOT starts_with(snapshot_entry, CASE WHEN o_orderstatus = 'O' THEN 'states/' ELSE 'checkpoints/' END)""",
 )
 def check_ledger_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return coherence.check_ledger_paths(I.dirty_ledger(spark, sf))[1]
+    """Headers of open orders name another snapshot folder than the policy."""
+    headers = I.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("grp"),
+        F.lit("migrations").alias("migrations_dir"),
+        F.when(F.col("o_orderstatus") == "O", "states").otherwise("checkpoints").alias("checkpoints_dir"),
+    )
+    return coherence.check_ledger_paths(I.dirty_ledger(spark, sf), headers=headers)[1]
 
 
 @check(
@@ -378,10 +386,31 @@ def ledger_scan(spark: SparkSession, sf: str) -> DataFrame:
     return usable.select("grp", "pos", "idx", "entry", "snapshot_entry")
 
 
+# Stored steps whose snapshot folder is not the one their own header names are dropped by the state.
+cte("elsewhere", "SELECT c_custkey AS grp FROM customer WHERE c_mktsegment = 'HOUSEHOLD'")
+cte(
+    "s_path",
+    """SELECT grp, 'lockfile-step-path-mismatch' AS code, snapshot_entry AS path, 'not under states/' AS detail FROM locked
+    WHERE grp IN (SELECT grp FROM elsewhere)""",
+)
+cte(
+    "s_new",
+    """SELECT * FROM f_new WHERE grp NOT IN (SELECT grp FROM elsewhere) UNION ALL
+    SELECT grp, 'coherence-new-in-input', entry, 'entry is not in the ledger' FROM plain_in WHERE grp IN (SELECT grp FROM elsewhere)""",
+)
+cte("s_missing", "SELECT * FROM f_missing WHERE grp NOT IN (SELECT grp FROM elsewhere)")
+cte("s_compare", "SELECT * FROM f_compare WHERE grp NOT IN (SELECT grp FROM elsewhere)")
+cte(
+    "s_head",
+    """SELECT * FROM f_head WHERE grp NOT IN (SELECT grp FROM elsewhere) OR detail NOT LIKE '%, ledger steps %' UNION ALL
+    SELECT grp, 'coherence-head-index-mismatch', 'schema.lock.toml', 'head_index ' || head_index || ', ledger steps 0'
+    FROM full_hdr WHERE grp IN (SELECT grp FROM elsewhere) AND head_index <> 0""",
+)
 cte(
     "state_found",
     """SELECT * FROM f_header UNION ALL SELECT * FROM f_group UNION ALL SELECT * FROM f_head_digest UNION ALL SELECT * FROM f_orphan
-    UNION ALL SELECT * FROM f_new UNION ALL SELECT * FROM f_missing UNION ALL SELECT * FROM f_compare UNION ALL SELECT * FROM f_head""",
+    UNION ALL SELECT * FROM s_new UNION ALL SELECT * FROM s_missing UNION ALL SELECT * FROM s_compare UNION ALL SELECT * FROM s_head
+    UNION ALL SELECT * FROM s_path""",
 )
 FATAL = "(code LIKE 'lockfile-%' OR code IN ('input-path-invalid', 'input-path-duplicate', 'coherence-target-mismatch'))"
 

@@ -45,16 +45,97 @@ def unknown_keys(keys: Column, columns: list[str]) -> Column:
     return F.array_except(keys, F.array(*[F.lit(c) for c in columns]).cast("array<string>"))
 
 
+#: Field of the wire schema that holds the line if some value, at any depth, did not fit.
+CORRUPT = "_ledgerkeel_corrupt"
+
+
+def _wire_type(dtype: T.DataType) -> T.DataType:
+    if isinstance(dtype, T.BinaryType):
+        return T.StringType()
+    if isinstance(dtype, T.ArrayType):
+        return T.ArrayType(_wire_type(dtype.elementType), dtype.containsNull)
+    if isinstance(dtype, T.MapType):
+        return T.MapType(dtype.keyType, _wire_type(dtype.valueType), dtype.valueContainsNull)
+    if isinstance(dtype, T.StructType):
+        return T.StructType([T.StructField(f.name, _wire_type(f.dataType), f.nullable) for f in dtype.fields])
+    return dtype
+
+
+def wire_schema(schema: T.StructType) -> T.StructType:
+    """The types lines are parsed with: binary is hex text, and a field tells of misfits."""
+    return T.StructType([*_wire_type(schema).fields, T.StructField(CORRUPT, T.StringType())])
+
+
+def typed(value: Column, dtype: T.DataType) -> Column:
+    """A parsed value in the table's type."""
+    if _wire_type(dtype) == dtype and not isinstance(dtype, T.StructType):
+        return value
+    if isinstance(dtype, T.BinaryType):
+        return F.try_to_binary(value, F.lit("hex"))
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(value, lambda item: typed(item, dtype.elementType))
+    if isinstance(dtype, T.MapType):
+        return F.transform_values(value, lambda _, item: typed(item, dtype.valueType))
+    fields = F.struct(*[typed(value.getField(f.name), f.dataType).alias(f.name) for f in dtype.fields])
+    return F.when(value.isNotNull(), fields)
+
+
+def _bad_hex(value: Column, dtype: T.DataType) -> Column | None:
+    """Whether some binary inside a value is not hex text; null where there is no binary."""
+    if isinstance(dtype, T.BinaryType):
+        return value.isNotNull() & F.try_to_binary(value, F.lit("hex")).isNull()
+    if isinstance(dtype, T.ArrayType):
+        if _wire_type(dtype) == dtype:
+            return None
+        return F.exists(value, lambda item: _bad_hex(item, dtype.elementType))
+    if isinstance(dtype, T.MapType):
+        if _wire_type(dtype) == dtype:
+            return None
+        return F.exists(F.map_values(value), lambda item: _bad_hex(item, dtype.valueType))
+    if isinstance(dtype, T.StructType):
+        parts = [_bad_hex(value.getField(f.name), f.dataType) for f in dtype.fields]
+        parts = [F.coalesce(p, F.lit(False)) for p in parts if p is not None]
+        return reduce(lambda a, b: a | b, parts) if parts else None
+    return None
+
+
+def _step(name: str) -> str | None:
+    """A field as a step of a variant path; null for a name that has both kinds of quotes."""
+    if '"' not in name:
+        return f'["{name}"]'
+    return f"['{name}']" if "'" not in name else None
+
+
 def _lost(variant: Column, parsed: Column, schema: T.StructType) -> dict[str, Column]:
-    """Per column: present and not null in the text, but null after typed parsing.
+    """Per column: present and not null in the text, but null after typed parsing, or not hex.
 
     The text is looked up only where the parsed value is null.
     """
-    return {
-        name: parsed[name].isNull()
-        & F.try_variant_get(variant, f'$[0]["{name}"]', "string").isNotNull()
-        for name in schema.fieldNames()
-    }
+    found = {}
+    for field in schema.fields:
+        value, step = parsed.getField(field.name), _step(field.name)
+        lost = F.lit(False)
+        if step is not None:
+            lost = value.isNull() & F.try_variant_get(variant, f"$[0]{step}", "string").isNotNull()
+        hexed = _bad_hex(value, field.dataType)
+        found[field.name] = lost if hexed is None else lost | F.coalesce(hexed, F.lit(False))
+    return found
+
+
+def _unknown_inside(variant: Column, schema: T.StructType, path: str = "$[0]") -> Column:
+    """Fields of struct columns (inside structs) that the table does not have, as dotted names."""
+    found = []
+    for field in schema.fields:
+        step = _step(field.name)
+        if not isinstance(field.dataType, T.StructType) or step is None:
+            continue
+        below = f"{path}{step}"
+        keys = F.json_object_keys(F.try_variant_get(variant, below, "string"))
+        unknown = F.coalesce(unknown_keys(keys, field.dataType.fieldNames()), F.array().cast("array<string>"))
+        name = field.name
+        found.append(F.transform(unknown, lambda key, name=name: F.concat(F.lit(f"{name}."), key)))
+        found.append(_unknown_inside(variant, field.dataType, below))
+    return F.concat(*found) if found else F.array().cast("array<string>")
 
 
 def row_error(
@@ -62,6 +143,8 @@ def row_error(
 ) -> Column:
     """Null for a good line, else what is wrong with it."""
     unknown = unknown_keys(keys, schema.fieldNames())
+    if any(isinstance(f.dataType, T.StructType) for f in schema.fields):
+        unknown = F.concat(unknown, _unknown_inside(variant, schema))
     lost = _lost(variant, parsed, schema)
     names = F.array_compact(F.array(*[F.when(failed, F.lit(name)) for name, failed in lost.items()]))
     return (
@@ -72,4 +155,5 @@ def row_error(
             reduce(lambda a, b: a | b, lost.values()),
             F.concat(F.lit("values not of the column type: "), F.array_join(names, ", ")),
         )
+        .when(parsed.getField(CORRUPT).isNotNull(), F.lit("values not of the column type inside a column"))
     )

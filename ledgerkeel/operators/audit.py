@@ -44,9 +44,6 @@ LEVELS = {
 
 FINDING_COLUMNS = ("grp", "path", "code", "level", "message")
 
-# Longest list of paths written out in one message.
-LISTED_PATHS = 50
-
 
 def _rule(failed: Column, code: str, message: Column | str) -> Column:
     text = F.lit(message) if isinstance(message, str) else message
@@ -156,21 +153,17 @@ def shared_basenames(corpus: DataFrame) -> DataFrame:
 
 
 def audit_basenames(corpus: DataFrame) -> DataFrame:
-    """L006 once per shared basename, at its first path.
+    """L006 once per shared basename, at its first path, with the number of entries.
 
-    The message lists the paths of up to ``LISTED_PATHS`` entries; for a larger
-    group it gives the number, and ``shared_basenames`` has every member as rows.
+    ``shared_basenames`` has every member as a row, whatever the size of the group.
     """
-    members = shared_basenames(corpus)
-    listed = members.where(F.col("entries") <= LISTED_PATHS).groupBy("grp", "basename").agg(
-        F.min("first").alias("path"),
-        F.array_join(F.array_sort(F.collect_list("path")), ", ").alias("what"),
+    names = corpus.groupBy("grp", basename(F.col("entry")).alias("basename")).agg(
+        F.count("*").alias("entries"), F.min("entry").alias("path")
     )
-    counted = members.where((F.col("entries") > LISTED_PATHS) & (F.col("path") == F.col("first"))).select(
-        "grp", "basename", "path", F.concat(F.col("entries").cast("string"), F.lit(" entries")).alias("what")
+    message = F.concat(
+        F.lit("basename "), F.col("basename"), F.lit(" is shared by "), F.col("entries").cast("string"), F.lit(" entries")
     )
-    message = F.concat(F.lit("basename "), F.col("basename"), F.lit(" is shared: "), F.col("what"))
-    return _found(listed.unionByName(counted), "L006", message)
+    return _found(names.where(F.col("entries") > 1), "L006", message)
 
 
 def audit_ledger(found: DataFrame, headers: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.digests import text_digest
-from ..functions.entries import entry_error, entry_value, entry_within
+from ..functions.entries import entry_error, entry_value
 from ..functions.sections import valid_text
 from ..session import written
 from . import findings as codes
@@ -51,7 +51,7 @@ def check_header(headers: DataFrame, policy: LedgerPolicy = DEFAULT_POLICY) -> D
             _differs(F.col(name), wanted),
             code,
             F.lit(codes.LEDGER_FILE),
-            F.concat(F.lit(f"{name} is "), F.col(name).cast("string"), F.lit(f", expected {wanted}")),
+            F.concat(F.lit(f"{name} is "), F.coalesce(F.col(name).cast("string"), F.lit("null")), F.lit(f", expected {wanted}")),
         )
         for name, wanted, code in fields
     ]
@@ -81,7 +81,7 @@ def check_head_digest(
         [
             _when(F.col("_digest").isNull(), codes.INPUT_SCHEMA_MISSING, path, "head snapshot is missing"),
             _when(
-                F.col("_digest") != F.col("head_schema_digest"),
+                F.col("_digest").isNotNull() & ~F.col("_digest").eqNullSafe(F.col("head_schema_digest")),
                 codes.COHERENCE_SCHEMA_DIGEST_MISMATCH,
                 path,
                 "head snapshot differs from the header digest",
@@ -143,7 +143,9 @@ def compare_steps(steps: DataFrame, locked: DataFrame) -> DataFrame:
     entry, companion = F.col("entry"), step["snapshot_entry"]
 
     def unequal(name: str) -> Column:
-        return stored_[name] != step[name]
+        return ~stored_[name].eqNullSafe(step[name])
+
+    present = step["snapshot_digest"].isNotNull()
 
     checks = [
         _when(unequal("idx"), codes.COHERENCE_STEP_INDEX_MISMATCH, entry, "position differs"),
@@ -161,10 +163,10 @@ def compare_steps(steps: DataFrame, locked: DataFrame) -> DataFrame:
             "snapshot is missing",
         ),
         _when(
-            unequal("snapshot_digest"), codes.COHERENCE_CHECKPOINT_MISMATCH, companion, "snapshot differs"
+            present & unequal("snapshot_digest"), codes.COHERENCE_CHECKPOINT_MISMATCH, companion, "snapshot differs"
         ),
         _when(
-            stored_["schema_digest"] != step["snapshot_digest"],
+            present & ~stored_["schema_digest"].eqNullSafe(step["snapshot_digest"]),
             codes.COHERENCE_STEP_SCHEMA_MISMATCH,
             companion,
             "stored schema digest differs from the snapshot",
@@ -174,17 +176,31 @@ def compare_steps(steps: DataFrame, locked: DataFrame) -> DataFrame:
     return _explode(joined, checks)
 
 
-def check_ledger_paths(locked: DataFrame, policy: LedgerPolicy = DEFAULT_POLICY) -> tuple[DataFrame, DataFrame]:
+def check_ledger_paths(
+    locked: DataFrame, policy: LedgerPolicy = DEFAULT_POLICY, headers: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Stored steps with normalised paths, and findings for the steps dropped.
 
     A step is dropped when one of its paths is invalid, or valid but outside its
-    folder; only then is the second kind of finding given.
+    folder; only then is the second kind of finding given. The folders are those
+    the group's stored header names; without headers, or for a group that has
+    none, the policy's.
     """
-    names = (("entry", policy.migrations_dir), ("snapshot_entry", policy.checkpoints_dir))
+    folders = {"entry": F.lit(policy.migrations_dir), "snapshot_entry": F.lit(policy.checkpoints_dir)}
+    columns = locked.columns
+    if headers is not None:
+        named = headers.select(
+            "grp", F.col("migrations_dir").alias("_entry_dir"), F.col("checkpoints_dir").alias("_snapshot_entry_dir")
+        )
+        locked = locked.join(named, "grp", "left")
+        folders = {name: F.coalesce(F.col(f"_{name}_dir"), folder) for name, folder in folders.items()}
+    names = tuple(folders.items())
     all_valid, all_inside = F.lit(True), F.lit(True)
     for name, folder in names:
-        all_valid = all_valid & entry_error(F.col(name)).isNull()
-        all_inside = all_inside & entry_within(F.col(name), folder)
+        valid = entry_error(F.col(name)).isNull()
+        under = F.startswith(entry_value(F.col(name)), F.concat(folder, F.lit("/")))
+        all_valid = all_valid & valid
+        all_inside = all_inside & F.coalesce(valid & under, F.lit(False))
     checks = []
     for name, folder in names:
         error, value = entry_error(F.col(name)), entry_value(F.col(name))
@@ -198,15 +214,14 @@ def check_ledger_paths(locked: DataFrame, policy: LedgerPolicy = DEFAULT_POLICY)
         )
         checks.append(
             _when(
-                all_valid & ~F.startswith(value, F.lit(f"{folder}/")),
+                all_valid & ~F.startswith(value, F.concat(folder, F.lit("/"))),
                 codes.LOCKFILE_STEP_PATH_MISMATCH,
                 value,
-                f"not under {folder}/",
+                F.concat(F.lit("not under "), folder, F.lit("/")),
             )
         )
-    renamed = dict(names)
     kept = locked.where(all_inside).select(
-        *[entry_value(F.col(c)).alias(c) if c in renamed else F.col(c) for c in locked.columns]
+        *[entry_value(F.col(c)).alias(c) if c in folders else F.col(c) for c in columns]
     )
     return kept, _explode(locked.where(~all_inside), checks)
 
@@ -230,9 +245,11 @@ def duplicate_ledger_steps(locked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, _labelled(again, codes.LOCKFILE_DUPLICATE_MIGRATION, "entry", "entry is repeated").unionByName(numbered)
 
 
-def ledger_scan(locked: DataFrame, policy: LedgerPolicy = DEFAULT_POLICY) -> tuple[DataFrame, DataFrame]:
+def ledger_scan(
+    locked: DataFrame, policy: LedgerPolicy = DEFAULT_POLICY, headers: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Usable stored steps and all findings of reading them."""
-    inside, path_findings = check_ledger_paths(locked, policy)
+    inside, path_findings = check_ledger_paths(locked, policy, headers)
     kept, duplicate_findings = duplicate_ledger_steps(inside)
     return kept, path_findings.unionByName(duplicate_findings)
 
@@ -268,26 +285,26 @@ def check_head(
 
     def counted(what: str, number: Column) -> Column:
         return F.concat(
-            F.lit("head_index "), F.col("head_index").cast("string"), F.lit(f", {what} "), number.cast("string")
+            F.lit("head_index "), F.coalesce(F.col("head_index").cast("string"), F.lit("null")), F.lit(f", {what} "), number.cast("string")
         )
 
     return _explode(
         joined,
         [
             _when(
-                F.col("head_index") != n_stored,
+                ~F.col("head_index").eqNullSafe(n_stored),
                 codes.COHERENCE_HEAD_INDEX_MISMATCH,
                 path,
                 counted("ledger steps", n_stored),
             ),
             _when(
-                F.col("head_index") != n_own,
+                ~F.col("head_index").eqNullSafe(n_own),
                 codes.COHERENCE_HEAD_INDEX_MISMATCH,
                 path,
                 counted("input entries", n_own),
             ),
             _when(
-                F.col("head_chain_hash") != chain,
+                ~F.col("head_chain_hash").eqNullSafe(chain),
                 codes.COHERENCE_HEAD_CHAIN_MISMATCH,
                 path,
                 "head chain differs from the recomputed one",
@@ -316,7 +333,7 @@ def ledger_state(
     kept_snapshots, snapshot_findings = ledger.filter_entries(
         ledger.digested_snapshots(snapshots, policy), policy.checkpoints_dir, position
     )
-    usable, scan_findings = ledger_scan(locked, policy)
+    usable, scan_findings = ledger_scan(locked, policy, headers)
     # Both are narrow (paths and digests) and read by several checks below.
     usable = written(usable, "usable")
     kept_snapshots = written(kept_snapshots, "snapshots")

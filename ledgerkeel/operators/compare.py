@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import StateError
-from ..functions.rendering import json_line
+from ..functions.rendering import json_line, render_json_value
 from ..session import written
 from .mutate import BROADCAST_KEYS, all_fixed_width
 
@@ -49,13 +50,15 @@ def equal_states(live: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def _compared(live: DataFrame, expected: DataFrame, relation: DataFrame) -> DataFrame:
-    """Every group of ``relation`` with its comparison; ahead groups leave early."""
-    ahead = relation.where(F.col("relation") == "ahead").select("grp")
-    compared = equal_states(
-        live.join(ahead, "grp", "left_anti").select(*live.columns),
-        expected.join(ahead, "grp", "left_anti").select(*live.columns),
-    )
-    return relation.join(compared, "grp", "left")
+    """Every group of ``relation`` with its comparison, null for groups that are ahead.
+
+    Rows become digests before anything is shuffled, and groups are told apart only
+    once there is one row for each: a large group is spread over its digests.
+    """
+    compared = equal_states(live, expected)
+    joined = relation.join(compared, "grp", "left")
+    ahead = F.col("relation") == "ahead"
+    return joined.withColumn("matches", F.when(~ahead, F.col("matches")))
 
 
 def drift(live: DataFrame, expected: DataFrame, relation: DataFrame) -> DataFrame:
@@ -107,8 +110,9 @@ def keyed_difference(
         old, new = _of_keys(old, side, key), _of_keys(new, side, key)
 
     def packed(df: DataFrame, side: str) -> DataFrame:
-        row = F.struct(*[F.col(c).cast("string").alias(c) for c in values])
-        return df.select(*key, F.lit(side).alias("_side"), row.alias("_row"))
+        text = F.struct(*[F.col(c).cast("string").alias(c) for c in values])
+        exact = F.struct(*[_comparable(F.col(c), df.schema[c].dataType).alias(c) for c in values])
+        return df.select(*key, F.lit(side).alias("_side"), F.struct(text.alias("text"), exact.alias("exact")).alias("_row"))
 
     sides = packed(old, "old").unionByName(packed(new, "new"))
 
@@ -127,11 +131,11 @@ def keyed_difference(
     cells = F.array(
         *[
             F.when(
-                (change != "changed") | ~F.col("_old")[c].eqNullSafe(F.col("_new")[c]),
+                (change != "changed") | ~F.col("_old")["exact"][c].eqNullSafe(F.col("_new")["exact"][c]),
                 F.struct(
                     F.lit(c).alias("column"),
-                    F.col("_old")[c].alias("old_value"),
-                    F.col("_new")[c].alias("new_value"),
+                    F.col("_old")["text"][c].alias("old_value"),
+                    F.col("_new")["text"][c].alias("new_value"),
                 ),
             )
             for c in values
@@ -140,6 +144,15 @@ def keyed_difference(
     return grouped.select(*key, change.alias("change"), F.inline(F.array_compact(cells)))
 
 
+def _comparable(value: Column, dtype: T.DataType) -> Column:
+    """The value itself, or for nested values their JSON: ["a, b"] is not ["a", "b"]."""
+    if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
+        return F.to_json(F.struct(render_json_value(value, dtype).alias("v")), {"ignoreNullFields": "false"})
+    if isinstance(dtype, T.VariantType):
+        return F.to_json(value)
+    return value
+
+
 def _changed_keys(old: DataFrame, new: DataFrame, key: list[str], values: list[str]) -> DataFrame:
     """Keys that are not exactly once on both sides with the same row."""
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..errors import LedgerError, StateError
 from ..functions.entries import is_path_like, path_style, status_basename, status_path
 from ..functions.sections import valid_text
-from .mutate import union_all
 
 SIGNATURE = ("version", "entry", "payload_digest")
 
@@ -33,7 +32,7 @@ def first_divergence(base: DataFrame, head: DataFrame) -> DataFrame:
     b, h = F.col("b"), F.col("h")
     differing = F.when(b.isNull() | h.isNull(), _difference("step_count", F.lit(None), F.lit(None)))
     for name in SIGNATURE:
-        differing = differing.when(b[name] != h[name], _difference(FIELD_NAMES[name], b[name], h[name]))
+        differing = differing.when(~b[name].eqNullSafe(h[name]), _difference(FIELD_NAMES[name], b[name], h[name]))
     joined = left.join(right, ["grp", "idx"], "full_outer")
     per_group = (
         joined.select("grp", "idx", b.isNotNull().alias("in_base"), h.isNotNull().alias("in_head"), differing.alias("d"))
@@ -65,7 +64,7 @@ def _difference(field: str, base_value: Column, head_value: Column) -> Column:
 
 
 def _renamed(groups: DataFrame, base_name: str, head_name: str) -> DataFrame:
-    return groups.where(F.col(base_name) != F.col(head_name)).select(
+    return groups.where(~F.col(base_name).eqNullSafe(F.col(head_name))).select(
         "grp",
         F.lit(1).cast("bigint").alias("divergence_index"),
         F.lit("target_name").alias("field"),
@@ -101,12 +100,22 @@ def state_divergence(
     head: DataFrame,
     base_findings: DataFrame | None = None,
     head_findings: DataFrame | None = None,
+    base_groups: DataFrame | None = None,
+    head_groups: DataFrame | None = None,
 ) -> DataFrame:
-    """Input steps of two states. With findings given both must be clean."""
+    """Input steps of two states. With findings given both must be clean.
+
+    With groups (grp, target) given for both, a group whose target names differ
+    diverges there, at 1, and its steps are not compared.
+    """
     for found in (base_findings, head_findings):
         if found is not None and not found.isEmpty():
             raise LedgerError("cannot compare histories that have findings")
-    return first_divergence(base, head)
+    stepwise = first_divergence(base, head)
+    if base_groups is None or head_groups is None:
+        return stepwise
+    renamed = target_divergence(base_groups, head_groups)
+    return renamed.unionByName(stepwise.join(renamed.select("grp"), "grp", "left_anti").select(*renamed.columns))
 
 
 def prefix_check(steps: DataFrame, applied: DataFrame) -> DataFrame:
@@ -245,12 +254,12 @@ def expected_at(
 
     0 is the zero baseline, the last index the head snapshot, others the step's
     snapshot. DataFrame[grp, index, source, payload, error] with error
-    ``out_of_range`` or ``missing``.
+    ``out_of_range``, ``missing`` or ``not_utf8``. Snapshots meet the requests
+    before their text is looked at, so only requested ones are shuffled in full.
     """
     counts = steps.groupBy("grp").agg(F.count("*").alias("_n"))
     named = steps.select("grp", F.col("idx").alias("index"), "snapshot_entry")
-    texts = snapshots.select("grp", F.col("entry").alias("snapshot_entry"), F.col("payload").cast("string").alias("_snap"))
-    head = heads.select("grp", F.col("payload").cast("string").alias("_head"))
+    head = heads.select("grp", F.col("payload").cast("binary").alias("_head"))
     n = F.coalesce("_n", F.lit(0))
     ranged = requests.select("grp", "index").join(counts, "grp", "left")
     source = (
@@ -259,19 +268,24 @@ def expected_at(
         .when(F.col("index") == n, F.lit("head"))
         .otherwise(F.lit("snapshot"))
     )
-    joined = (
-        ranged.withColumn("source", source)
-        .join(named, ["grp", "index"], "left")
-        .join(texts, ["grp", "snapshot_entry"], "left")
-        .join(head, "grp", "left")
+    placed = ranged.withColumn("source", source).join(named, ["grp", "index"], "left")
+    asked = placed.where(F.col("source") == "snapshot").select("grp", F.col("snapshot_entry").alias("entry"))
+    texts = snapshots.select("grp", "entry", F.col("payload").cast("binary").alias("_snap")).join(
+        asked, ["grp", "entry"], "left_semi"
+    )
+    joined = placed.join(texts.withColumnRenamed("entry", "snapshot_entry"), ["grp", "snapshot_entry"], "left").join(
+        head, "grp", "left"
     )
-    payload = (
-        F.when(F.col("source") == "zero", F.lit(zero))
+    raw = (
+        F.when(F.col("source") == "zero", F.lit(zero).cast("binary"))
         .when(F.col("source") == "head", F.col("_head"))
         .when(F.col("source") == "snapshot", F.col("_snap"))
     )
-    error = F.when(F.col("source").isNull(), F.lit("out_of_range")).when(
-        payload.isNull(), F.lit("missing")
+    payload = valid_text(raw)
+    error = (
+        F.when(F.col("source").isNull(), F.lit("out_of_range"))
+        .when(raw.isNull(), F.lit("missing"))
+        .when(payload.isNull(), F.lit("not_utf8"))
     )
     return joined.select("grp", "index", "source", payload.alias("payload"), error.alias("error"))
 
@@ -281,4 +295,4 @@ def target_divergence(base_groups: DataFrame, head_groups: DataFrame) -> DataFra
     joined = base_groups.select("grp", F.col("target").alias("_b")).join(
         head_groups.select("grp", F.col("target").alias("_h")), "grp"
     )
-    return union_all([_renamed(joined, "_b", "_h")])
+    return _renamed(joined, "_b", "_h")

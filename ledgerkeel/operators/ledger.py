@@ -331,12 +331,28 @@ def _header_constants(engine: str, policy: LedgerPolicy) -> list[Column]:
 
 
 def seed_of(engine: Column, target: Column, policy: LedgerPolicy = DEFAULT_POLICY) -> Column:
-    """The chain seed as an expression, for one value per group.
+    """The chain seed as an expression, for one value per group; equal to ``chain_seed``.
 
-    JSON text and digest stay in the JVM; equal to ``chain_seed`` for ASCII.
+    JSON text and digest stay in the JVM. Code points beyond ASCII are written as
+    UTF-16 escapes, two for those beyond the basic plane.
     """
-    text = F.to_json(F.array(F.lit(policy.chain_prefix), engine, target))
-    return payload_digest(text, policy.hash_algorithm)
+
+    short = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+    def one(char: Column) -> Column:
+        units = F.regexp_replace(F.lower(F.hex(F.encode(char, "UTF-16BE"))), "(.{4})", r"\\u$1")
+        text = F.when(char.between(" ", "~") & (F.octet_length(char) == 1), char).otherwise(units)
+        for plain, written_as in short.items():
+            text = F.when(char == plain, F.lit(written_as)).otherwise(text)
+        return text
+
+    def quoted(part: Column) -> Column:
+        spelled = F.array_join(F.transform(F.split(part, ""), one), "")
+        plain = F.rlike(part, F.lit(r"\A[ !#-\[\]-~]*\z"))
+        return F.concat(F.lit('"'), F.when(plain, part).otherwise(spelled), F.lit('"'))
+
+    parts = F.concat_ws(",", *[quoted(part) for part in (F.lit(policy.chain_prefix), engine, target)])
+    return payload_digest(F.concat(F.lit("["), parts, F.lit("]")), policy.hash_algorithm)
 
 
 def zero_ledger(
@@ -352,9 +368,3 @@ def zero_ledger(
         text_digest(F.lit(""), policy.hash_algorithm).alias("head_schema_digest"),
     )
 
-
-def require_algorithm(policy: LedgerPolicy) -> None:
-    from ..functions.digests import ALGORITHMS
-
-    if policy.hash_algorithm not in ALGORITHMS:
-        raise LedgerError(f"unknown digest {policy.hash_algorithm!r}")

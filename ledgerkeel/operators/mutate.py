@@ -119,9 +119,19 @@ def apply_upsert(
         kept = _without_keys(target, _unique_keys(rows, on), on, source_rows)
     else:
         kept = delete_matching(target, rows, on, source_rows)
+    if on_duplicate == "raise" and target.isEmpty():
+        # An empty side would take the guard of the anti join with it.
+        rows = _guarded(rows, on)
     return kept.unionByName(align(rows, target.schema))
 
 
+def _guarded(rows: DataFrame, on: list[str]) -> DataFrame:
+    """The rows, failing the job if a key without nulls is repeated."""
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
+    keyed = rows.join(_unique_keys(rows, on), on, "left_semi").select(*rows.columns)
+    return keyed.unionByName(rows.where(~known))
+
+
 def _merge_present(
     target: DataFrame, rows: DataFrame, on: list[str], present: str | None
 ) -> DataFrame:

@@ -17,9 +17,8 @@ REPORT_SCHEMA = "name string, table string, mode string, rows bigint"
 def check_file(spark: SparkSession, data_file: DataFile) -> int:
     """Validate one data file against its table; returns its row count.
 
-    One aggregate over the file, and a key aggregate for upserts. Only counts,
-    one sample message and, for a file that has them, the unknown column names
-    come back.
+    One aggregate over the file, and a key aggregate for upserts. Only counts and
+    one sample come back.
     """
     schema = spark.table(data_file.table).schema
     validate.require_apply_columns(data_file, schema.fieldNames())
@@ -28,16 +27,17 @@ def check_file(spark: SparkSession, data_file: DataFile) -> int:
     wrong = F.col("error").isNotNull()
     seen = checked.agg(
         F.count(F.lit(1)).alias("rows"),
-        F.min(
-            F.when(wrong, F.struct("origin", "error", F.left("value", F.lit(200)).alias("value")))
-        ).alias("bad"),
+        F.min(F.when(wrong, F.struct("origin", "error", "value"))).alias("bad"),
     ).first()
     if seen["bad"] is not None:
         bad = seen["bad"]
-        unknown = validate.unknown_columns(lines, schema.fieldNames()).limit(20).collect()
-        if unknown:
-            names = ", ".join(repr(row["key"]) for row in unknown)
-            raise DatasetError(f"data file {data_file.name!r} contains unknown column(s): {names}")
+        unknown = validate.unknown_columns(lines, schema.fieldNames())
+        unknown = unknown.agg(F.count("*").alias("n"), F.min("key").alias("first")).first()
+        if unknown["n"]:
+            raise DatasetError(
+                f"data file {data_file.name!r} contains {unknown['n']} unknown column(s), "
+                f"first {unknown['first']!r}; validate.unknown_columns lists them"
+            )
         raise DatasetError(f"data file {data_file.name!r}: {bad['origin']}: {bad['error']}: {bad['value']}")
     if data_file.mode == "upsert":
         repeated = mutate.duplicate_keys(checked.select("row.*"), list(data_file.on)).first()

@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _qualified(spark: SparkSession, root: str) -> str:
+    """The root as Spark writes it in front of the paths it has found."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/") or "/")
+    system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return system.makeQualified(path).toString()
+
+
 def payload_scan(spark: SparkSession, root: str, prefix: str = "", pattern: str = "*.sql") -> DataFrame:
     """All files below ``root``: DataFrame[entry, payload binary].
 
@@ -17,7 +24,6 @@ def payload_scan(spark: SparkSession, root: str, prefix: str = "", pattern: str
         .option("pathGlobFilter", pattern)
         .load(root)
     )
-    folder = root.rstrip("/").rsplit("/", 1)[-1]
-    below = F.element_at(F.split("path", f"/\\Q{folder}\\E/", 2), 2)
+    below = F.substring("path", F.lit(len(_qualified(spark, root)) + 2), F.length("path"))
     entry = F.concat(F.lit(f"{prefix}/"), below) if prefix else below
     return files.select(entry.alias("entry"), F.col("content").alias("payload"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import DatasetError
 from ..session import written
 
 # Most partition values a scan is filtered by.
@@ -41,8 +42,14 @@ def ordered_table_scan(spark: SparkSession, table: str, order_by: list[str]) ->
 
 
 def table_location(spark: SparkSession, table: str) -> str:
-    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where(F.col("col_name") == "Location")
-    return rows.first()["data_type"]
+    return table_details(spark, table)["Location"]
+
+
+def table_details(spark: SparkSession, table: str) -> dict[str, str]:
+    """The detail section of a table's description: one row per property, below the columns."""
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()
+    start = next(i for i, row in enumerate(rows) if row["col_name"] == "# Detailed Table Information")
+    return {row["col_name"]: row["data_type"] for row in rows[start + 1 :]}
 
 
 def partition_columns(spark: SparkSession, table: str) -> list[str]:
@@ -110,10 +117,11 @@ def swap_snapshot(spark: SparkSession, table: str, content: DataFrame) -> str:
     a failed write leaves it alone, and running readers keep the old files,
     which stay until the owner removes them.
     """
-    current = table_location(spark, table).rstrip("/")
-    location = f"{_SNAPSHOT.sub('', current)}__snap_{uuid.uuid4().hex}"
-    source = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where(F.col("col_name") == "Provider")
-    content.write.format(source.first()["data_type"]).save(location)
+    details = table_details(spark, table)
+    if int(details.get("Num Buckets", "0") or 0) > 0:
+        raise DatasetError(f"{table} is bucketed; a snapshot would not keep its buckets")
+    location = f"{_SNAPSHOT.sub('', details['Location'].rstrip('/'))}__snap_{uuid.uuid4().hex}"
+    content.write.format(details["Provider"]).save(location)
     spark.sql(f"ALTER TABLE {table} SET LOCATION '{location}'")
     spark.catalog.refreshTable(table)
     return location

@@ -195,7 +195,7 @@ def test_modes(spark, roles, tmp_path, rows, mode, text, expected):
 def test_nothing_is_written_when_a_later_file_is_bad(spark, roles, tmp_path, rows):
     good, bad = tmp_path / "good.jsonl", tmp_path / "bad.jsonl"
     good.write_text('{"id":7}')
-    for text, error in (('{"id":1,"oops":2,"also":3}', "'also', 'oops'"), ("[1]", "not one JSON object"), ('{"id":1}\n{"id":1}', "repeats key")):
+    for text, error in (('{"id":1,"oops":2,"also":3}', "2 unknown column"), ("[1]", "not one JSON object"), ('{"id":1}\n{"id":1}', "repeats key")):
         bad.write_text(text)
         files = (DataFile("good", roles, "insert", str(good)), DataFile("bad", roles, "upsert", str(bad), on=("id",)))
         with pytest.raises(DatasetError, match=error):
@@ -308,3 +308,51 @@ def test_status(spark, rows):
     df = spark.createDataFrame(data, "grp string, line_no int, line string")
     assert rows(status.applied_scan(df)) == [("bad", 1, "a b.sql"), ("ok", 1, "migrations/1.sql")]
     assert rows(status.status_check(df), "grp", "status") == [("bad", "mismatch"), ("odd", "unreadable"), ("ok", "ok")]
+
+
+def test_binary_and_nested_values_survive_or_fail(spark, rows):
+    from ledgerkeel.functions.rendering import json_line
+    from ledgerkeel.sources import jsonl
+
+    df = spark.sql(
+        "SELECT 1 AS id, CAST('hello!' AS BINARY) AS raw, array(CAST('a' AS BINARY), NULL) AS list, "
+        "map('k', CAST('b' AS BINARY)) AS by_key, named_struct('x', 1L, 'b', CAST('c' AS BINARY)) AS s"
+    )
+    lines = df.select(json_line(df.schema).alias("value"))
+    back = jsonl.parse_lines(lines, df.schema)
+    assert rows(back.select("id", "raw", "list", "by_key", "s")) == rows(df)
+    bad = ['{"s":{"x":"bad"}}', '{"s":{"x":1,"zz":2}}', '{"raw":"xyz"}', '{"list":["61","q"]}', '{"s":3}', '{"list":[{"a":1}]}']
+    for line in bad:
+        one = spark.createDataFrame([(line,)], "value string")
+        assert jsonl.checked_lines(one, df.schema).first()["error"], line
+        with pytest.raises(Exception):  # noqa: B017
+            jsonl.parse_lines(one, df.schema).count()
+
+
+def test_odd_column_names_are_read(spark):
+    from ledgerkeel.sources import jsonl
+
+    schema = T.StructType([T.StructField('a"b', T.LongType()), T.StructField("c'd", T.LongType())])
+    one = spark.createDataFrame([('{"a\\"b":1,"c\'d":2}',), ('{"a\\"b":"x"}',)], "value string")
+    got = [r["error"] for r in jsonl.checked_lines(one, schema).collect()]
+    assert got[0] is None and got[1]
+
+
+def test_repeated_keys_fail_on_an_empty_target(spark):
+    target = spark.createDataFrame([], "k int, v string")
+    with pytest.raises(Exception, match="duplicate upsert key"):
+        mutate.apply_upsert(target, spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string"), ["k"]).collect()
+    some = spark.createDataFrame([(1, "a"), (None, "b"), (None, "c")], "k int, v string")
+    assert mutate.apply_upsert(target, some, ["k"]).count() == 3
+
+
+def test_bucketed_and_oddly_named_tables(spark):
+    from ledgerkeel.errors import DatasetError
+    from ledgerkeel.sources import tables
+
+    spark.sql("CREATE TABLE bucketed_t (k INT, v STRING) USING parquet CLUSTERED BY (k) INTO 2 BUCKETS")
+    with pytest.raises(DatasetError):
+        tables.replace_content(spark, "bucketed_t", spark.createDataFrame([(1, "a")], "k int, v string"))
+    spark.sql("CREATE TABLE named_t (Location INT, Provider STRING) USING parquet")
+    tables.replace_content(spark, "named_t", spark.createDataFrame([(1, "a")], "Location int, Provider string"))
+    assert spark.table("named_t").count() == 1

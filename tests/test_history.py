@@ -190,3 +190,31 @@ def test_line_diff(spark, rows):
     old = spark.createDataFrame([(1, "a\nb\nb\n"), (2, "same")], "k int, t string")
     new = spark.createDataFrame([(1, "b\na\nc"), (2, "same\n")], "k int, t string")
     assert rows(compare.line_diff(old, new, ["k"], "t")) == [(1, "b", "removed", 1), (1, "c", "added", 1)]
+
+
+def test_array_changes_are_told_apart(spark, rows):
+    old = spark.createDataFrame([(1, ["a, b"]), (2, ["x"])], "k int, v array<string>")
+    new = spark.createDataFrame([(1, ["a", "b"]), (2, ["x"])], "k int, v array<string>")
+    for narrow in (False, True):
+        assert rows(compare.keyed_difference(old, new, ["k"], narrow_first=narrow), "k", "change", "column") == [(1, "changed", "v")]
+
+
+def test_null_digests_diverge_and_targets_are_compared(spark, rows):
+    steps = "grp string, idx long, version string, entry string, payload_digest string"
+    base = spark.createDataFrame([("g", 1, "1", "a", None), ("h", 1, "1", "a", "x")], steps)
+    head = spark.createDataFrame([("g", 1, "1", "a", "d"), ("h", 1, "1", "a", "x")], steps)
+    assert rows(history.first_divergence(base, head), "grp", "field") == [("g", "migration_digest")]
+    names = lambda t: spark.createDataFrame([("g", "t"), ("h", t)], "grp string, target string")
+    got = history.state_divergence(base, head, base_groups=names("a"), head_groups=names("b"))
+    assert rows(got, "grp", "field") == [("g", "migration_digest"), ("h", "target_name")]
+
+
+def test_undecodable_snapshots_are_not_served(spark, rows):
+    steps = spark.createDataFrame([("g", 1, "c/1"), ("g", 2, "c/2")], "grp string, idx long, snapshot_entry string")
+    snaps = spark.createDataFrame([("g", "c/1", bytearray(b"\xff")), ("g", "c/2", bytearray(b"ok"))], "grp string, entry string, payload binary")
+    heads = spark.createDataFrame([("g", bytearray(b"h"))], "grp string, payload binary")
+    asked = spark.createDataFrame([("g", 0), ("g", 1), ("g", 2), ("g", 3)], "grp string, index long")
+    got = rows(history.expected_at(asked, steps, snaps, heads), "index", "payload", "error")
+    assert got == [(0, "", None), (1, None, "not_utf8"), (2, "h\n", None), (3, None, "out_of_range")] or got == [
+        (0, "", None), (1, None, "not_utf8"), (2, "h", None), (3, None, "out_of_range")
+    ]
