@@ -43,13 +43,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import bounded, held, whole, written
+from .common import batch_rows, bounded, held, whole, written
 from .graph import components
 
-#: A shingle seen this often (counting only what recurs within a batch) comes last in the order.
+#: A shingle seen this often (counting only what recurs within ``HELD``) comes last in the order.
 FREQUENT = 16
 #: At most so many of them, the most frequent, are sent to the tasks (8 bytes each).
 FREQUENT_LIMIT = 1_000_000
+#: Shingles a task holds while it looks for recurring ones, and the ranges it sorts them in.
+HELD, RANGES = 3_000_000, 4
+#: Texts that a task takes over from Spark at a time.
+BATCH_ROWS = 2_000
 #: All shingles up to this hash are shown, as long as they are not frequent.
 SHOWN = (1 << 64) // 5
 #: Members of a region block, and of a Voronoi cell that is joined at once.
@@ -61,21 +65,35 @@ def _prefix(n: int, similarity: int) -> int:
     return n - -(-similarity * n // 100) + 1
 
 
+def _repeats(sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Shingles in more than one of the sorted sets, a range of hashes at a time."""
+    edges = [(1 << 64) * k // RANGES for k in range(1, RANGES)]
+    cuts = [np.r_[0, np.searchsorted(own, np.array(edges, np.uint64)), len(own)] for own in sets]
+    for k in range(RANGES):
+        part = np.sort(np.concatenate([own[c[k] : c[k + 1]] for own, c in zip(sets, cuts, strict=True)]))
+        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+        counts = np.diff(np.r_[starts, len(part)])
+        more = counts > 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(part[starts[more]].view(np.int64)), pa.array(counts[more].astype(np.int64))], names=["shingle", "n"]
+        )
+
+
 def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles that recur among the distinct sets of a batch, with the number of sets."""
+    """Shingles that recur among ``HELD`` shingles of distinct sets, with the number of sets."""
+    seen, sets, size = set(), [], 0
     for batch in batches:
-        seen, sets = set(), []
         for own in kernels.shingle_sets(batch.column(0)):
             key = hash(own.tobytes())
             if key not in seen:
                 seen.add(key)
                 sets.append(own)
-        if sets:
-            shingles, counts = np.unique(np.concatenate(sets), return_counts=True)
-            more = counts > 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shingles[more].view(np.int64)), pa.array(counts[more].astype(np.int64))], names=["shingle", "n"]
-            )
+                size += len(own)
+            if size >= HELD:
+                yield from _repeats(sets)
+                seen, sets, size = set(), [], 0
+    if sets:
+        yield from _repeats(sets)
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
@@ -393,6 +411,11 @@ def classify(docs: DataFrame, similarity: int = 80) -> DataFrame:
     equal in everything stay separate rows of one class. Only ``doc_id`` and ``text``
     are read, so other columns may have any name. Empty input: no rows.
     """
+    with batch_rows(docs.sparkSession, BATCH_ROWS):
+        return _classify(docs, similarity)
+
+
+def _classify(docs: DataFrame, similarity: int) -> DataFrame:
     rows = whole(docs)
     text = F.coalesce(held(rows, "text"), F.lit("")).cast("string").alias("text")
     own = rows.select(held(rows, "doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text)
