@@ -209,16 +209,24 @@ def bootstrap(head: DataFrame, applied: DataFrame) -> DataFrame:
     return head.join(busy, "grp", "left_anti").select(*head.columns)
 
 
-def bootstrap_status(steps: DataFrame, applied: DataFrame) -> DataFrame:
-    """DataFrame[grp, before_index, after_index, status]: loaded or refused."""
-    heads = steps.groupBy("grp").agg(F.count("*").alias("_n"))
+def bootstrap_status(steps: DataFrame, applied: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """DataFrame[grp, before_index, after_index, status]: loaded, refused, or no_head.
+
+    With ``heads`` (grp), a group that is not among them has nothing to load.
+    """
+    sizes = steps.groupBy("grp").agg(F.count("*").alias("_n"))
     before = F.coalesce("applied_count", F.lit(0))
-    joined = heads.join(applied.select("grp", "applied_count"), "grp", "left")
+    joined = sizes.join(applied.select("grp", "applied_count"), "grp", "left")
+    known = F.lit(True)
+    if heads is not None:
+        joined = joined.join(heads.select("grp").distinct().withColumn("_head", F.lit(True)), "grp", "left")
+        known = F.col("_head").isNotNull()
+    status = F.when(before > 0, F.lit("refused")).when(known, F.lit("loaded")).otherwise(F.lit("no_head"))
     return joined.select(
         "grp",
         before.alias("before_index"),
-        F.when(before == 0, F.col("_n")).otherwise(before).alias("after_index"),
-        F.when(before == 0, F.lit("loaded")).otherwise(F.lit("refused")).alias("status"),
+        F.when(status == "loaded", F.col("_n")).otherwise(before).alias("after_index"),
+        status.alias("status"),
     )
 
 

@@ -24,6 +24,9 @@ class DataFile:
     path: str
     on: tuple[str, ...] | None = None
     order_by: tuple[str, ...] | None = None
+    # Options of an upsert, see ``mutate.apply_upsert``; a manifest cannot set them.
+    missing: str = "null"
+    on_duplicate: str = "raise"
 
     def __post_init__(self) -> None:
         if self.mode not in MODES:

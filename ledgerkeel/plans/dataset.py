@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import DatasetError
+from ..errors import DatasetError, StateError
 from ..operators import mutate, validate
 from ..sources import jsonl, tables
 from .config import DataFile, DataSet
@@ -39,7 +39,7 @@ def check_file(spark: SparkSession, data_file: DataFile) -> int:
                 f"first {unknown['first']!r}; validate.unknown_columns lists them"
             )
         raise DatasetError(f"data file {data_file.name!r}: {bad['origin']}: {bad['error']}: {bad['value']}")
-    if data_file.mode == "upsert":
+    if data_file.mode == "upsert" and data_file.on_duplicate == "raise":
         repeated = mutate.duplicate_keys(checked.select("row.*"), list(data_file.on)).first()
         if repeated is not None:
             raise DatasetError(f"data file {data_file.name!r} repeats key {repeated.asDict()}")
@@ -50,9 +50,13 @@ def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
 
+PRESENT = "_ledgerkeel_present"
+
+
 def file_rows(spark: SparkSession, data_file: DataFile) -> DataFrame:
     schema = _nullable(spark.table(data_file.table).schema)
-    return jsonl.jsonl_scan(spark, data_file.path, schema)
+    present = PRESENT if data_file.mode == "upsert" and data_file.missing == "keep" else None
+    return jsonl.jsonl_scan(spark, data_file.path, schema, present)
 
 
 def apply_file(spark: SparkSession, data_file: DataFile, rows: int) -> None:
@@ -68,28 +72,49 @@ def apply_file(spark: SparkSession, data_file: DataFile, rows: int) -> None:
     elif data_file.mode == "replace":
         tables.replace_content(spark, table, mutate.apply_replace(target, source))
     else:
-        _upsert_table(spark, table, target, source, list(data_file.on), rows)
+        _upsert_table(spark, data_file, target, source, rows)
 
 
-def _upsert_table(
-    spark: SparkSession, table: str, target: DataFrame, source: DataFrame, on: list[str], rows: int
-) -> None:
+def _upsert_table(spark: SparkSession, data_file: DataFile, target: DataFrame, source: DataFrame, rows: int) -> None:
     """Where the key contains the partition columns, a row can only meet target
     rows of its own partition: only those partitions are read and rewritten."""
+    table, on = data_file.table, list(data_file.on)
+    options = {"missing": data_file.missing, "on_duplicate": data_file.on_duplicate, "source_rows": rows}
+    if data_file.missing == "keep":
+        options["present"] = PRESENT
     parts = tables.partition_columns(spark, table)
     if parts and set(parts) <= set(on):
         near = tables.in_touched_partitions(target, source, parts)
-        tables.overwrite_partitions(spark, table, mutate.apply_upsert(near, source, on, source_rows=rows))
+        tables.overwrite_partitions(spark, table, mutate.apply_upsert(near, source, on, **options))
     else:
-        tables.replace_content(spark, table, mutate.apply_upsert(target, source, on, source_rows=rows))
+        tables.replace_content(spark, table, mutate.apply_upsert(target, source, on, **options))
 
 
-def apply_dataset(spark: SparkSession, data_set: DataSet, declared: dict[str, T.StructType] | None = None) -> DataFrame:
+def require_open(gate: DataFrame | None, context: str) -> None:
+    """Raise unless every group of a ``validate.schema_gate`` is open."""
+    if gate is None:
+        return
+    shut = gate.where(~F.col("open"))
+    first = shut.agg(F.count("*").alias("n"), F.min(F.struct(*[F.col(c) for c in gate.columns])).alias("row")).first()
+    if first["n"]:
+        raise StateError(f"{context} is refused for {first['n']} group(s), first {first['row'].asDict()}")
+
+
+def apply_dataset(
+    spark: SparkSession,
+    data_set: DataSet,
+    declared: dict[str, T.StructType] | None = None,
+    gate: DataFrame | None = None,
+) -> DataFrame:
     """Apply every file in manifest order; returns the report.
 
     All files are validated before the first one is written, so a bad file
-    leaves every table as it was. ``declared`` schemas gate the tables first.
+    leaves every table as it was. ``declared`` schemas gate the tables first, and
+    so does ``gate``, the conditions of ``validate.schema_gate``: a group whose
+    ledger is not clean, whose applied list is no prefix or ahead, or whose live
+    state is not its head refuses the whole set.
     """
+    require_open(gate, "data apply")
     for data_file in data_set.files:
         if declared and data_file.table in declared:
             live = spark.table(data_file.table).schema
@@ -100,8 +125,14 @@ def apply_dataset(spark: SparkSession, data_set: DataSet, declared: dict[str, T.
     return report(spark, data_set, counts)
 
 
-def export_dataset(spark: SparkSession, data_set: DataSet, declared: dict[str, T.StructType] | None = None) -> DataFrame:
-    """Export every file's table as ordered JSON lines; returns the report."""
+def export_dataset(
+    spark: SparkSession,
+    data_set: DataSet,
+    declared: dict[str, T.StructType] | None = None,
+    gate: DataFrame | None = None,
+) -> DataFrame:
+    """Export every file's table as ordered JSON lines, gated as ``apply_dataset``; returns the report."""
+    require_open(gate, "data export")
     orders = []
     for data_file in data_set.files:
         live = spark.table(data_file.table).schema

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import StateError
-from ..operators import compare, history, replay
+from ..operators import coherence, compare, history, replay
 from ..session import written
 
 
@@ -39,11 +39,12 @@ def up(
     key: list[str],
     sets: DataFrame | None = None,
     create_missing: bool = True,
+    findings: DataFrame | None = None,
 ) -> Outcome:
     """Run the pending steps of every group that passes its guards.
 
     Guards: the group has steps, its applied list is a prefix of them and not
-    ahead. With ``create_missing`` a group without any applied entry counts as a
+    ahead, and none of its ledger ``findings`` is fatal (``blocked``). With ``create_missing`` a group without any applied entry counts as a
     new, empty target; otherwise such a group is refused as ``missing``.
     """
     relation = history.live_relation(steps, applied)
@@ -52,7 +53,7 @@ def up(
         absent = (F.col("before_index") == 0) & (F.col("status") == "applied")
         status = status.withColumn("after_index", F.when(absent, F.lit(0)).otherwise(F.col("after_index")))
         status = status.withColumn("status", F.when(absent, F.lit("missing")).otherwise(F.col("status")))
-    status = written(status, "status")
+    status = written(_unless_fatal(status, findings), "status")
     going = status.where(F.col("status") == "applied")
     counts = going.select("grp", F.col("before_index").alias("applied_count"))
     own_sets = None if sets is None else _only(sets, going)
@@ -68,9 +69,10 @@ def migrate(
     applied: DataFrame,
     key: list[str],
     sets: DataFrame | None = None,
+    findings: DataFrame | None = None,
 ) -> Outcome:
     """``up`` for targets that exist already."""
-    return up(live, changes, steps, applied, key, sets, create_missing=False)
+    return up(live, changes, steps, applied, key, sets, create_missing=False, findings=findings)
 
 
 def down(
@@ -79,8 +81,12 @@ def down(
     steps: DataFrame,
     applied: DataFrame,
     count: int = 1,
+    findings: DataFrame | None = None,
 ) -> Outcome:
-    """Step every group that passes its guards back ``count`` steps, at most to zero."""
+    """Step every group that passes its guards back ``count`` steps, at most to zero.
+
+    A group with a fatal finding among ``findings`` is ``blocked``.
+    """
     if count <= 0:
         raise StateError("rollback needs a positive number of steps")
     relation = history.live_relation(steps, applied)
@@ -93,15 +99,13 @@ def down(
         .otherwise(F.lit("rolled_back"))
     )
     back = F.greatest(before - count, F.lit(0))
-    status = written(
-        relation.join(prefix, "grp", "left").select(
-            "grp",
-            before.alias("before_index"),
-            F.when(verdict == "rolled_back", back).otherwise(before).alias("after_index"),
-            verdict.alias("status"),
-        ),
-        "status",
+    status = relation.join(prefix, "grp", "left").select(
+        "grp",
+        before.alias("before_index"),
+        F.when(verdict == "rolled_back", back).otherwise(before).alias("after_index"),
+        verdict.alias("status"),
     )
+    status = written(_unless_fatal(status, findings), "status")
     going = status.where(F.col("status") == "rolled_back")
     counts = going.select("grp", F.col("before_index").alias("applied_count"))
     moved = replay.rollback(ranges, counts, count)
@@ -109,10 +113,38 @@ def down(
     return Outcome(rest.unionByName(moved.select(*live.columns)), status)
 
 
-def bootstrap(live: DataFrame, head: DataFrame, steps: DataFrame, applied: DataFrame) -> Outcome:
-    """Load the head state of groups with nothing applied; others are refused."""
+def _unless_fatal(status: DataFrame, findings: DataFrame | None) -> DataFrame:
+    """Groups that have a fatal finding do not move and are ``blocked``."""
+    if findings is None:
+        return status
+    fatal = coherence.fatal_diagnostics(findings).select("grp").distinct().withColumn("_fatal", F.lit(True))
+    joined = status.join(fatal, "grp", "left")
+    blocked = F.col("_fatal").isNotNull()
+    return joined.select(
+        "grp",
+        "before_index",
+        F.when(blocked, F.col("before_index")).otherwise(F.col("after_index")).alias("after_index"),
+        F.when(blocked, F.lit("blocked")).otherwise(F.col("status")).alias("status"),
+    )
+
+
+def bootstrap(
+    live: DataFrame,
+    head: DataFrame,
+    steps: DataFrame,
+    applied: DataFrame,
+    heads: DataFrame | None = None,
+    findings: DataFrame | None = None,
+) -> Outcome:
+    """Load the head state of groups with nothing applied; others are refused.
+
+    ``heads`` lists the groups that have a head snapshot; a group without one is
+    ``no_head`` and stays as it is. Without ``heads`` a group without head rows is
+    taken to have none. A group with a fatal finding is ``blocked``.
+    """
     relation = history.live_relation(steps, applied)
-    status = written(replay.bootstrap_status(steps, relation), "status")
+    status = replay.bootstrap_status(steps, relation, head if heads is None else heads)
+    status = written(_unless_fatal(status, findings), "status")
     loaded = status.where(F.col("status") == "loaded")
     rest = _only(live, loaded, "left_anti")
     return Outcome(rest.unionByName(_only(head, loaded).select(*live.columns)), status)

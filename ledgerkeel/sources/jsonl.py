@@ -43,17 +43,23 @@ def checked_lines(lines: DataFrame, schema: T.StructType, value: str = "value")
     return parsed.withColumns({"error": error, "row": row}).drop("_line", "_seal", "_variant", "_wire")
 
 
-def parse_lines(lines: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
-    """The table rows of JSON lines; reading a bad line fails the job."""
+def parse_lines(
+    lines: DataFrame, schema: T.StructType, value: str = "value", present: str | None = None
+) -> DataFrame:
+    """The table rows of JSON lines; reading a bad line fails the job.
+
+    ``present`` names a column to add that holds the keys each line gave.
+    """
     where = F.concat(F.col("origin"), F.lit(": ")) if "origin" in lines.columns else F.lit("")
     stop = F.raise_error(F.concat(where, F.col("error"), F.lit(": "), F.col(value)))
     # A filter holds even where no column is read, as in a count.
     good = F.when(F.col("error").isNull(), F.lit(True)).otherwise(stop.cast("boolean"))
-    return checked_lines(lines, schema, value).where(good).select("row.*")
+    named = [] if present is None else [F.col("present").alias(present)]
+    return checked_lines(lines, schema, value).where(good).select("row.*", *named)
 
 
-def jsonl_scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return parse_lines(read_lines(spark, path), schema)
+def jsonl_scan(spark: SparkSession, path: str, schema: T.StructType, present: str | None = None) -> DataFrame:
+    return parse_lines(read_lines(spark, path), schema, present=present)
 
 
 def jsonl_lines(df: DataFrame) -> DataFrame:

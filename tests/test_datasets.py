@@ -356,3 +356,36 @@ def test_bucketed_and_oddly_named_tables(spark):
     spark.sql("CREATE TABLE named_t (Location INT, Provider STRING) USING parquet")
     tables.replace_content(spark, "named_t", spark.createDataFrame([(1, "a")], "Location int, Provider string"))
     assert spark.table("named_t").count() == 1
+
+
+def test_upsert_options_of_a_data_file(spark, tmp_path, rows):
+    from ledgerkeel.plans import dataset
+    from ledgerkeel.plans.config import DataFile, DataSet
+
+    def applied(lines, **options):
+        name = f"options_{len(list(tmp_path.iterdir()))}"
+        spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "k int, v string, w string").write.saveAsTable(name)
+        path = tmp_path / f"{len(list(tmp_path.iterdir()))}.jsonl"
+        path.write_text(lines)
+        dataset.apply_dataset(spark, DataSet("s", (DataFile("f", name, "upsert", str(path), on=("k",), **options),)))
+        return rows(spark.table(name))
+
+    some = '{"k":1,"v":"n"}\n{"k":3,"w":null}'
+    assert applied(some) == [(1, "n", None), (2, "b", "y"), (3, None, None)]
+    assert applied(some, missing="keep") == [(1, "n", "x"), (2, "b", "y"), (3, None, None)]
+    twice = '{"k":1,"v":"n"}\n{"k":1,"v":"m"}'
+    assert applied(twice, on_duplicate="insert_all") == [(1, "m", None), (1, "n", None), (2, "b", "y")]
+
+
+def test_a_shut_gate_refuses_the_set(spark, tmp_path):
+    from ledgerkeel.errors import StateError
+    from ledgerkeel.plans import dataset
+    from ledgerkeel.plans.config import DataSet
+
+    gate = "grp string, is_clean boolean, prefix_ok boolean, not_ahead boolean, matches boolean, open boolean"
+    good = [("a", True, True, True, True, True)]
+    dataset.apply_dataset(spark, DataSet("s", ()), gate=spark.createDataFrame(good, gate))
+    shut = spark.createDataFrame([*good, ("b", False, True, True, True, False)], gate)
+    for call in (dataset.apply_dataset, dataset.export_dataset):
+        with pytest.raises(StateError, match="1 group"):
+            call(spark, DataSet("s", ()), gate=shut)

@@ -233,3 +233,17 @@ def test_live_down_and_bootstrap(spark, rows):
     loaded = live.bootstrap(own, replay.replay_tail(changes, ["k"]), steps, applied)
     assert rows(loaded.status, "grp", "status") == [("a", "refused"), ("b", "refused"), ("n", "loaded"), ("p", "refused")]
     assert rows(loaded.state, "grp", "k", "v") == [("a", 8, 8), ("b", 1, 1), ("n", 0, 2), ("n", 1, 3), ("p", 7, 7)]
+
+
+def test_fatal_findings_and_missing_heads_stop_groups(spark, rows):
+    steps = spark.createDataFrame([("a", 1, "m/1"), ("b", 1, "m/1"), ("c", 1, "m/1")], "grp string, idx long, entry string")
+    applied = spark.createDataFrame([], "grp string, pos long, entry string")
+    head = spark.createDataFrame([("a", 1, "v"), ("b", 1, "v")], "grp string, k int, v string")
+    found = spark.createDataFrame(
+        [("b", "lockfile-version-mismatch", "p", ""), ("a", "coherence-new-in-input", "p", "")],
+        "grp string, code string, path string, detail string",
+    )
+    out = live.bootstrap(head.limit(0), head, steps, applied, findings=found)
+    assert rows(out.status, "grp", "after_index", "status") == [("a", 1, "loaded"), ("b", 0, "blocked"), ("c", 0, "no_head")]
+    assert rows(out.state, "grp") == [("a",)]
+    assert rows(live.bootstrap(head.limit(0), head, steps, applied).status, "grp", "status")[1] == ("b", "loaded")
