@@ -8,14 +8,15 @@ becomes a WARC record: dates in ISO form, a record id from its contents, the med
 SHA-1 digests in base32, and the type ``response`` or, where another record with the same
 payload exists, ``revisit``.
 
-Archives are written by Spark as text with the record separators of the formats, about
-``ARCHIVE_BYTES`` each, and read as binary files, so any store that Spark reaches will do. A
+Archives are written by Spark as gzipped text with the record separators of the formats,
+about ``ARCHIVE_BYTES`` each before compression, and read as binary files, so any store that Spark reaches will do. A
 task holds one archive (or one larger record) at a time.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -91,10 +92,16 @@ def pages_to_arc(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES
         .select("archive", "value")
         .write.partitionBy("archive")
         .option("lineSep", "\n")
+        .option("compression", "gzip")
         .text(path)
     )
 
 
+def unpacked(data: bytes) -> bytes:
+    """An archive's bytes, whether it is compressed (in one member or many) or not."""
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+
+
 def parse_arc(data: bytes) -> Iterator[tuple[list[str], bytes]]:
     """(header fields, content) of each record of one ARC file but its ``filedesc``.
 
@@ -146,7 +153,7 @@ def _arc_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for data in pdf["content"]:
             out = []
-            for fields, content in parse_arc(data):
+            for fields, content in parse_arc(unpacked(data)):
                 head, payload = split_http(content)
                 day = fields[2]
                 date = f"{day[:4]}-{day[4:6]}-{day[6:8]}T{day[8:10]}:{day[10:12]}:{day[12:14]}Z"
@@ -177,7 +184,7 @@ def arc_to_warc(arc: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, m
     are all responses. Records that share the largest page id are responses all; without
     any page id so are all. Records repeated in everything stay as many records of one id.
     """
-    facts = arc.select("digest", "payload_bytes", "page_id", "record_id")
+    facts = written(arc.select("digest", "payload_bytes", "page_id", "record_id"), "warc-facts")
     stats = facts.agg(F.sum(F.col("payload_bytes") + 900)).head()[0] or 0
     n = int(-(-stats // archive_bytes)) or 1
     first = facts.where(F.col("page_id").isNotNull()).groupBy("digest").agg(
@@ -210,6 +217,7 @@ def arc_to_warc(arc: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, m
         .sortWithinPartitions("archive")
         .write.partitionBy("archive")
         .option("lineSep", CRLF)
+        .option("compression", "gzip")
         .text(path)
     )
 
@@ -235,7 +243,7 @@ def _warc_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for data in pdf["content"]:
             out = []
-            for fields, block in parse_warc(data):
+            for fields, block in parse_warc(unpacked(data)):
                 head, payload = split_http(block)
                 digest = fields["warc-payload-digest"].removeprefix("sha1:")
                 kind = fields["warc-type"]
