@@ -187,10 +187,9 @@ def arc_to_warc(arc: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, m
     facts = written(arc.select("digest", "payload_bytes", "page_id", "record_id"), "warc-facts")
     stats = facts.agg(F.sum(F.col("payload_bytes") + 900)).head()[0] or 0
     n = int(-(-stats // archive_bytes)) or 1
-    first = facts.where(F.col("page_id").isNotNull()).groupBy("digest").agg(
-        F.max(F.struct("page_id", "record_id")).alias("first"), F.count("*").alias("n")
-    )
-    first = written(first.where("n > 1").select("digest", "first.*"), "warc-firsts")
+    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "record_id"))
+    first = facts.groupBy("digest").agg(F.max(named).alias("first"), F.count("*").alias("n"))
+    first = written(first.where("n > 1 AND first IS NOT NULL").select("digest", "first.*"), "warc-firsts")
     first = first.select("digest", F.col("page_id").alias("first_page"), F.col("record_id").alias("first_id"))
     joined = arc.join(bounded(first, first.count(), BROADCAST_ROWS), "digest", "left")
     revisit = (F.col("first_page") != F.col("page_id")) | (F.col("first_page").isNotNull() & F.col("page_id").isNull())

@@ -59,7 +59,7 @@ COLUMNS = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_
 
 def test_edge_rows(spark, rows):
     pages = [(1, "http://a/", "x"), (2, "http://a/b c\n", "x"), (3, None, "x"), (4, "", None), (5, "u", ""), (6, "é", "é\r\n\r\nWARC/1.1\r\n")]
-    pages += [(None, "n", "x"), (None, "n", "alone"), (7, "u", "twice"), (7, "u", "twice"), (8, "u", "\n\n"), (9, "big", "z" * 3_000_000)]
+    pages += [(None, "n", "x"), (None, "n", "alone"), (11, "n", "one named"), (None, "n", "one named"), (7, "u", "twice"), (7, "u", "twice"), (8, "u", "\n\n"), (9, "big", "z" * 3_000_000)]
     pages += [(100 + i, "hot", "copied page") for i in range(500)]
     df = spark.createDataFrame([(*p, 1, "q") for p in pages], "page_id long, url string, html string, archive int, digest string")
     assert rows(A.convert_pages(df), *COLUMNS) == sorted(plain(pages), key=repr)
