@@ -100,7 +100,7 @@ _HIDDEN = boilerplate.HIDDEN.removeprefix("(?is)")
       FROM pages),
     split AS (
       SELECT page_id, host, list_filter(list_transform(string_split(body, chr(10)),
-        x -> trim(x, ' ' || chr(9) || chr(13) || chr(12) || chr(11))), x -> x != '') AS lines FROM texts),
+        lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(12) || chr(11))), lambda x: x != '') AS lines FROM texts),
     common AS (
       SELECT host, list(line) AS keys FROM (
         SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM split WHERE host != '')
@@ -109,7 +109,7 @@ _HIDDEN = boilerplate.HIDDEN.removeprefix("(?is)")
       WHERE n > 1 AND pages >= {boilerplate.MIN_PAGES} AND n > pages * {boilerplate.RATIO}::DOUBLE GROUP BY host),
     done AS (
       SELECT page_id, lines, CASE WHEN keys IS NULL THEN lines
-        ELSE list_filter(lines, x -> NOT list_contains(keys, x)) END AS kept
+        ELSE list_filter(lines, lambda x: NOT list_contains(keys, x)) END AS kept
       FROM split LEFT JOIN common USING (host))
     SELECT page_id, CAST(len(lines) AS INT) AS n_lines, CAST(len(lines) - len(kept) AS INT) AS n_dropped,
       sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM done""",
@@ -178,7 +178,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op7_warc",
     """WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) || '0' AS hex FROM pages),
     d AS (
-      SELECT page_id, strlen(html) AS bytes, array_to_string(list_transform(range(32), i ->
+      SELECT page_id, strlen(html) AS bytes, array_to_string(list_transform(range(32), lambda i:
         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(hex, CAST((5 * i) // 4 + 1 AS INT), 2) AS INT)
           >> CAST(3 - (5 * i) % 4 AS INT)) & 31), 1)), '') AS digest FROM p)
     SELECT page_id, bytes AS payload_bytes, digest AS payload_digest,
