@@ -1,8 +1,8 @@
 """Toxicity: a character n-gram linear classifier on naive Bayes log-count ratios.
 
-Features are hashed character n-grams (3 to 5 code points of the lower-cased text,
-spaces included), each present or not in a document. Over all labelled training
-rows a count per feature and class gives its log-count ratio
+Features are hashed character n-grams (3 to 7 code points of the lower-cased text between
+blanks, any other white space being a blank too), each present or not in a document. Over
+all labelled training rows a count per feature and class gives its log-count ratio
 ``log((p + a) / (P + 2a)) - log((q + a) / (Q + 2a))``, of p among P toxic documents and q
 among Q clean ones. A logistic regression is fitted on
 features scaled by these ratios; a document's score is its probability.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, bounded, held, whole
 from .kernels import mix64
 
-GRAMS = (3, 4, 5)
+GRAMS = (3, 4, 5, 6, 7)
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 #: Labelled rows that the regression is fitted on, at most.
@@ -36,6 +36,7 @@ SAMPLE_ROWS = 6_000
 STRENGTH, KEPT_FEATURES = 2.5, 15_000
 ALPHA, L2, STEPS = 1.0, 1e-4, 120
 THRESHOLD = 0.3
+_BLANKS = {ord(c): " " for c in "\t\n\v\f\r"}
 _U = np.uint64
 _PLACE = mix64(np.arange(101, 101 + max(GRAMS), dtype=np.uint64)) | _U(1)
 
@@ -55,9 +56,9 @@ class _Features:
         self.last = np.zeros(BUCKETS, np.int32)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        """Texts shorter than the shortest n-gram have no feature. Long texts go in pieces
+        """Texts that with their blanks are shorter than the shortest n-gram have no feature. Long texts go in pieces
         that overlap by the longest n-gram less one, so none is lost or cut."""
-        text = (text or "").lower()
+        text = f" {text or ''} ".lower().translate(_BLANKS)
         piece, found = 1 << 18, []
         for start in range(0, max(1, len(text)), piece):
             part = text[start : start + piece + max(GRAMS) - 1]
