@@ -118,19 +118,33 @@ def _kept_features(kept: np.ndarray):
 
 
 def fit_regression(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray) -> Model:
-    """Logistic regression on ratio-scaled features by accelerated gradient steps."""
+    """Logistic regression on ratio-scaled features by accelerated gradient steps; empties ``rows``."""
+    ends = np.cumsum([0, *(len(r) for r in rows)])
     at = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
-    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    value = ratio[at].astype(np.float32)
-    square = np.bincount(doc, value**2, minlength=len(rows))
-    rate = 4.0 / (square.mean() + 1.0)
+    rows.clear()
+    n = len(ends) - 1
+    # Runs of documents, so that intermediate vectors stay small.
+    runs = [(i, min(i + 500, n)) for i in range(0, n, 500)]
+
+    def run_of(i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = at[ends[i] : ends[j]]
+        return own, np.repeat(np.arange(j - i, dtype=np.int32), np.diff(ends[i : j + 1])), ratio[own]
+
+    square = 0.0
+    for i, j in runs:
+        square += float((run_of(i, j)[2] ** 2).sum())
+    rate = 4.0 / (square / max(n, 1) + 1.0)
     w, b = np.zeros(len(ratio)), float(np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1)))
     ahead_w, ahead_b = w, b
     for step in range(STEPS):
-        z = np.bincount(doc, value * ahead_w[at], minlength=len(rows)) + ahead_b
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / len(labels)
-        grad = np.bincount(at, value * error[doc], minlength=len(ratio)) + L2 * ahead_w
-        next_w, next_b = ahead_w - rate * grad, ahead_b - error.sum()
+        grad, error_sum = L2 * ahead_w, 0.0
+        for i, j in runs:
+            own, doc, value = run_of(i, j)
+            z = np.bincount(doc, value * ahead_w[own], minlength=j - i) + ahead_b
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[i:j]) / n
+            grad = grad + np.bincount(own, value * error[doc], minlength=len(ratio))
+            error_sum += error.sum()
+        next_w, next_b = ahead_w - rate * grad, ahead_b - error_sum
         pull = step / (step + 3)
         ahead_w, ahead_b = next_w + pull * (next_w - w), next_b + pull * (next_b - b)
         w, b = next_w, next_b
@@ -165,7 +179,9 @@ def train(labelled: DataFrame) -> Model | None:
     labels = found.column("label").to_numpy().astype(float)
     if not 0 < labels.sum() < len(labels):
         return None
-    return fit_regression([np.asarray(x, np.int32) for x in found.column("features").to_numpy()], labels, ratio)
+    column = found.column("features").combine_chunks()
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return fit_regression([values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], labels, ratio)
 
 
 def _scores(model: Model):
