@@ -3,11 +3,10 @@
 Texts are words with A-Z lower-cased; a text's features are its shingles of
 ``SHINGLE`` words with their multiplicities (a shorter text is one shingle).
 
-1. Windows: an item can only be similar to a window that holds some of its shingles.
-   Where a document holds a benchmark shingle, a window of each item size that has
-   this shingle is laid so that the shingle stands in its place. Windows cover whole
-   documents, at every position; none without a common shingle is needed, since its
-   similarity is 0.
+1. Windows: the places of a document that hold a shingle of some item of a size are
+   marked. A window of that size (the whole document, if it is shorter) is laid at every
+   start, up to both edges, where enough of its places are marked to reach the threshold;
+   overlap with an item cannot exceed their number, so no window left out is similar.
 2. SimHash: 64 signed sums over the weighted shingle hashes of the window.
 3. Index: fingerprints are cut into ``RADIUS + 1`` blocks. Two fingerprints that differ
    in at most ``RADIUS`` bits agree in some block whole, so the equi-join on (size,
@@ -16,8 +15,8 @@ Texts are words with A-Z lower-cased; a text's features are its shingles of
    multiplicities, must reach the threshold.
 
 The items are the stated query set. They are taken in blocks of ``ITEM_ROWS`` shingles,
-so what is broadcast is bounded; documents pass once for each block, row by row, and
-only windows with a common shingle are shuffled. Everything is built-in expressions.
+so what is broadcast is bounded; documents pass once for each block, row by row, and once
+more for their windows. Only marked places are grouped, by document and size. Everything is built-in expressions.
 """
 
 from __future__ import annotations
@@ -90,31 +89,89 @@ def item_shingles(benchmark: DataFrame, item_id: str = "item_id", text: str = "t
     return out
 
 
-def _windows(docs: DataFrame, places: DataFrame, size: int) -> DataFrame:
-    """Windows (doc_id, text_hash, n_words, start, shingles) where a benchmark shingle stands in place."""
+def _met(docs: DataFrame, places: DataFrame, size: int) -> DataFrame:
+    """Rows (doc_id, text_hash, n_own, n_shingles, at): where a shingle of an item of ``n_shingles`` stands."""
     hashed = docs.select("doc_id", "text_hash", F.flatten(shingle_hashes(F.col("text"), size)).alias("own"))
     at = hashed.select("*", F.posexplode("own").alias("at", "shingle"))
-    met = at.join(F.broadcast(places), "shingle").withColumn("start", F.col("at") - F.col("offset"))
-    inside = (F.col("start") >= 0) & (F.col("start") + F.col("n_shingles") <= F.size("own"))
+    at = at.select("doc_id", "text_hash", F.size("own").alias("n_own"), "at", "shingle")
+    return at.join(F.broadcast(places), "shingle").drop("shingle")
+
+
+def _ranges(met: DataFrame, similarity: int) -> DataFrame:
+    """Runs of starts (doc_id, text_hash, size, n_shingles, lo, hi) whose windows hold enough common shingles.
+
+    A window as long as the item, or the whole of a shorter document, is similar enough only
+    if at least ``least`` of its places are met. The run of mark i has the windows in which
+    it is the first mark, so runs do not overlap.
+    """
+    marks = met.groupBy("doc_id", "text_hash", "size", "n_shingles", "n_own").agg(
+        F.array_sort(F.collect_set("at")).alias("marks")
+    )
+    length = F.least("n_own", "n_shingles").alias("length")
+    enough = marks.select("*", length).withColumn(
+        "least",
+        F.expr(f"CAST(greatest(1, ((length + n_shingles) * {similarity} + {99 + similarity}) div {100 + similarity}) AS INT)"),
+    )
+    run = (
+        "named_struct('lo', greatest(0, marks[i + least - 1] - length + 1, CASE WHEN i > 0 THEN marks[i - 1] + 1 ELSE 0 END), "
+        "'hi', least(marks[i], n_own - length))"
+    )
+    runs = F.expr(f"filter(transform(sequence(0, size(marks) - least), i -> {run}), r -> r.lo <= r.hi)")
     return (
-        met.where(inside)
-        .select(
-            "doc_id",
-            "text_hash",
-            "n_shingles",
-            "start",
-            F.array_sort(F.slice("own", F.col("start") + 1, F.col("n_shingles"))).alias("shingles"),
-        )
-        .distinct()
+        enough.where("size(marks) >= least")
+        .select("doc_id", "text_hash", "size", "n_shingles", F.explode(runs).alias("r"))
+        .select("doc_id", "text_hash", "size", "n_shingles", "r.lo", "r.hi")
+    )
+
+
+def _windows(docs: DataFrame, ranges: DataFrame, size: int, rows: int) -> DataFrame:
+    """Windows (doc_id, text_hash, n_shingles, start, shingles) of the counted ``ranges`` of one size."""
+    laid = ranges.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("h")).agg(
+        F.collect_list(F.struct("n_shingles", "lo", "hi")).alias("laid")
+    )
+    match = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("h"))
+    hashed = docs.join(bounded(laid, rows), match).select(
+        "doc_id", "text_hash", "laid", F.flatten(shingle_hashes(F.col("text"), size)).alias("own")
     )
+    runs = hashed.select("doc_id", "text_hash", "own", F.explode("laid").alias("r"))
+    starts = runs.select("doc_id", "text_hash", "own", "r.n_shingles", F.explode(F.sequence("r.lo", "r.hi")).alias("start"))
+    return starts.select(
+        "doc_id",
+        "text_hash",
+        "n_shingles",
+        "start",
+        F.array_sort(F.slice("own", F.col("start") + 1, F.col("n_shingles"))).alias("shingles"),
+    )
+
+
+def _laid(docs: DataFrame, places: DataFrame, similarity: int) -> DataFrame | None:
+    """All windows (doc_id, text_hash, size, n_shingles, start, shingles) that may be similar to an item; None without items."""
+    met, counts = None, sorted((r["size"], r["count"]) for r in places.groupBy("size").count().collect())
+    for size, count in counts:
+        parts = -(-count // ITEM_ROWS)
+        own = places.where(F.col("size") == size).select("shingle", "n_shingles")
+        for part in range(parts):
+            block = own.where(F.pmod(F.xxhash64("shingle"), F.lit(parts)) == part) if parts > 1 else own
+            rows = _met(docs, block, size).withColumn("size", F.lit(size))
+            met = rows if met is None else met.unionByName(rows)
+    if met is None:
+        return None
+    ranges = written(_ranges(met, similarity), "leak-ranges")
+    held_by = {r["size"]: r["count"] for r in ranges.groupBy("size").count().collect()}
+    found = None
+    for size, _ in counts:
+        of_size = ranges.where(F.col("size") == size)
+        windows = _windows(docs, of_size, size, held_by.get(size, 0)).withColumn("size", F.lit(size))
+        found = windows if found is None else found.unionByName(windows)
+    return found
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: int = 80) -> DataFrame:
     """Rows (doc_id, text_hash, item_id, start, overlap, union): windows that repeat an item.
 
     One row per document and item: its most similar window, the first of equals; ``start``
-    counts words from 0. Null and blank texts and items have no window. Texts shorter than
-    an item have none of its size. Items with equal texts are all reported. Rows with
+    counts words from 0. Null and blank texts and items have no window. A text shorter than
+    an item is one window as a whole. Items with equal texts are all reported. Rows with
     equal doc_id and text give one row. Only doc_id and text (item_id and text) are read.
     """
     rows = whole(docs)
@@ -125,16 +182,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: int = 80) -> DataFr
         "item_id", "size", F.size("shingles").alias("n_shingles"), F.array_sort("shingles").alias("sorted"), "shingles"
     )
     items = written(items.withColumn("print", F.expr(simhash("shingles"))), "leak-items")
-    places = items.select("size", "n_shingles", F.posexplode("shingles").alias("offset", "shingle")).distinct()
-    places = written(places, "leak-places")
-    found = None
-    for size, count in sorted((r["size"], r["count"]) for r in places.groupBy("size").count().collect()):
-        parts = -(-count // ITEM_ROWS)
-        own = places.where(F.col("size") == size).select("shingle", "n_shingles", "offset")
-        for part in range(parts):
-            block = own.where(F.pmod(F.xxhash64("shingle"), F.lit(parts)) == part) if parts > 1 else own
-            windows = _windows(plain, block, size).withColumn("size", F.lit(size))
-            found = windows if found is None else found.unionByName(windows)
+    places = items.select("size", "n_shingles", F.explode("shingles").alias("shingle")).distinct()
+    found = _laid(plain, written(places, "leak-places"), similarity)
     if found is None:
         found = plain.limit(0).select(
             "doc_id", "text_hash", F.lit(0).alias("n_shingles"), F.lit(0).alias("start"),
@@ -157,7 +206,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: int = 80) -> DataFr
         bounded(index, items.count() * (RADIUS + 1)), ["size", "n_shingles", "block", "value"]
     ).where(near & (F.col("block") == agreeing))
     checked = pairs.withColumn("overlap", F.expr(weighted_overlap("shingles", "item"))).withColumn(
-        "union", 2 * F.col("n_shingles") - F.col("overlap")
+        "union", F.size("shingles") + F.size("item") - F.col("overlap")
     )
     best = (
         checked.where(F.col("overlap") * 100 >= F.col("union") * similarity)

@@ -124,3 +124,23 @@ def test_no_python_in_the_plan(spark):
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     plan = D.drop_leaks(docs, bench)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+ITEM = [f"i{k}" for k in range(44)]
+
+
+def found_pairs(spark, docs, items):
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    return {r.doc_id: (r.start, r.overlap, r.union) for r in D.leaks(df, bench).collect()}
+
+
+def test_passages_that_touch_an_edge(spark):
+    other = [f"o{k}" for k in range(60)]
+    got = found_pairs(spark, [(1, ITEM[1:] + other), (2, other + ITEM[:-3]), (3, other + ITEM)], [(9, ITEM)])
+    assert got == {1: (0, 39, 41), 2: (57, 37, 43), 3: (60, 40, 40)}
+
+
+def test_documents_shorter_than_the_item(spark):
+    docs = [(1, ITEM[1:]), (2, ITEM[4:-4]), (3, ITEM[4:-5]), (4, ITEM[:4])]
+    assert found_pairs(spark, docs, [(9, ITEM)]) == {1: (0, 39, 40), 2: (0, 32, 40)}
