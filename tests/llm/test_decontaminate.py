@@ -144,3 +144,42 @@ def test_passages_that_touch_an_edge(spark):
 def test_documents_shorter_than_the_item(spark):
     docs = [(1, ITEM[1:]), (2, ITEM[4:-4]), (3, ITEM[4:-5]), (4, ITEM[:4])]
     assert found_pairs(spark, docs, [(9, ITEM)]) == {1: (0, 39, 40), 2: (0, 32, 40)}
+
+
+def similar_windows(docs, items):
+    """All (doc, item shingles, start) at similarity 0.8; a shorter document is one window."""
+    found = set()
+    for doc_id, text in docs:
+        words = WORD.findall((text or "").translate(LOWER))
+        for _, item in items:
+            own = WORD.findall((item or "").translate(LOWER))
+            want = collections.Counter(grams(own)) if own else {}
+            for start in range(max(len(words) - len(own), 0) + 1) if own and words else ():
+                have = collections.Counter(grams(words[start : start + len(own)]))
+                if sum((want & have).values()) * 100 >= 80 * sum((want | have).values()):
+                    found.add((doc_id, sum(want.values()), start))
+    return found
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_no_similar_window_is_left_out(spark, seed):
+    docs, items = corpus(seed)
+    rng = random.Random(seed)
+    for i, (_, item) in enumerate(items[:27]):
+        own, half = item.split(), len(item.split()) // 2
+        docs += [(600 + i, " ".join(own[half:] + own[:half])), (700 + i, " ".join(own[1:])), (800 + i, " ".join(own[:-1]))]
+        docs.append((900 + i, " ".join(["q"] * rng.randrange(9) + own[half:] + own[:half] + ["q"] * rng.randrange(9))))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    plain = df.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    shingles = D.item_shingles(bench)
+    places = shingles.select("size", F.size("shingles").alias("n_shingles"), F.explode("shingles").alias("shingle")).distinct()
+    laid = D._laid(plain, places, 80).select("doc_id", "n_shingles", "start").collect()
+    assert len(set(laid)) == len(laid)
+    assert similar_windows(docs, items) <= {tuple(r) for r in laid}
+
+
+def test_swapped_halves(spark):
+    item, around = [*ITEM, "i44", "i45", "i46", "i47", "i48"], [f"o{k}" for k in range(60)]
+    got = found_pairs(spark, [(1, around + item[24:] + item[:24] + around)], [(9, item)])
+    assert got == {1: (60, 41, 49)}
