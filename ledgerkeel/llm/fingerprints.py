@@ -6,10 +6,10 @@ multisets of paragraphs have equal fingerprints, and a paragraph is put in or ta
 adding or subtracting its vector.
 
 The vector has two parts. ``STRONG`` lanes modulo 2**64 come from a 512-bit digest of the
-paragraph and tell multisets apart. ``LANES`` lanes modulo 2**16 hold, for each word of the
-paragraph, plus or minus one in the lane that the three words from there hash to; as long as
-sums stay small, differences of two documents' lanes estimate how many word sequences they
-do not share, and ``likeness`` is the estimated share that they do (standard error about 0.05).
+paragraph and tell multisets apart. ``LANES`` lanes modulo 2**32 hold, for each word of the
+paragraph, plus or minus one in the lane that the three words from there hash to. A text of
+2**31 bytes has too few words for a sum to wrap. Differences of two documents' lanes estimate
+how many word sequences they do not share, and ``likeness`` is the estimated share that they do (standard error about 0.05).
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,16 +57,16 @@ def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     sign = (h & _U(1)).astype(np.float64) * 2 - 1
     at = doc * LANES + (h >> _U(56)).astype(np.int64)
     sketch = np.bincount(at, sign, minlength=len(texts) * LANES).reshape(-1, LANES)
-    return strong, sketch.astype(np.int64).astype(np.int16)
+    return strong, sketch.astype(np.int32)
 
 
 def encode(strong: np.ndarray, sketch: np.ndarray) -> str:
-    return base64.b64encode(strong.astype("<u8").tobytes() + sketch.astype("<i2").tobytes()).decode()
+    return base64.b64encode(strong.astype("<u8").tobytes() + sketch.astype("<i4").tobytes()).decode()
 
 
 def decode(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     data = base64.b64decode(fingerprint)
-    return np.frombuffer(data[: 8 * STRONG], "<u8").copy(), np.frombuffer(data[8 * STRONG :], "<i2").copy()
+    return np.frombuffer(data[: 8 * STRONG], "<u8").copy(), np.frombuffer(data[8 * STRONG :], "<i4").copy()
 
 
 def fingerprint(text: str) -> str:
@@ -87,26 +88,26 @@ def remove(print_: str, paragraphs: str) -> str:
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated shared part of the word sequences of two sketches, by row, from 0 to 1."""
-    a, b = a.astype(np.int64), b.astype(np.int64)
+    a, b = a.astype(np.float64), b.astype(np.float64)
     own, apart = (a * a).sum(-1) + (b * b).sum(-1), ((a - b) ** 2).sum(-1)
     return np.where(own + apart > 0, np.clip((own - apart) / np.maximum(own + apart, 1), 0, 1), 1.0)
 
 
-def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, text in enumerate(texts):
-        if i > start and size + len(text) > SLICE:
+def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    start = total = 0
+    for i, size in enumerate(sizes):
+        if i > start and total + size > SLICE:
             yield start, i
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+            start, total = i, 0
+        total += size
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def _print_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         texts, out = list(texts), []
-        for a, b in _groups(texts):
+        for a, b in _groups([len(text) for text in texts]):
             out += [encode(s, k) for s, k in zip(*vectors(texts[a:b]), strict=True)]
         yield pd.Series(out, dtype=object)
 
@@ -128,10 +129,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held_part, held_id, held_text, held_vec = None, None, None, None
     for batch in batches:
         parts, tails = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        ids, texts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        for a, b in _groups(texts):
-            strong, sketch = vectors(texts[a:b])
-            own_part, own_id, own_text = parts[a:b], ids[a:b], texts[a:b]
+        ids, sizes = batch.column(2).to_pylist(), pc.binary_length(batch.column(3)).to_pylist()
+        for a, b in _groups(sizes):
+            own_part, own_id, own_text = parts[a:b], ids[a:b], batch.column(3).slice(a, b - a).to_pylist()
+            strong, sketch = vectors(own_text)
             tail = tails[a:b]
             if held_part is not None:
                 own_part, own_id, own_text = [held_part, *own_part], [held_id, *own_id], [held_text, *own_text]

@@ -85,3 +85,17 @@ def test_ranges(spark):
     df = spark.createDataFrame([(v,) for v in values], "v long")
     got = [r.x for r in df.select(P._range_of(F.col("v"), F.array(*map(F.lit, cuts)), 4).alias("x")).collect()]
     assert got == [int(np.searchsorted(cuts, v, "right")) if v is not None else 4 for v in values]
+
+
+def test_long_repetitive_texts_do_not_wrap(spark):
+    long, half = "x " * 140_000, "x " * 70_000
+    one, other = P.vectors([long])[1], P.vectors([half])[1]
+    assert np.abs(one).max() == 139_998 and np.abs(other).max() == 69_998
+    assert (P.decode(P.fingerprint(long))[1] == one[0]).all()
+    # Shares of a and b equal sequences: ab / (a^2 + b^2 - ab).
+    assert abs(float(P.likeness(one[0], other[0])) - 2 / 3) < 1e-3
+    assert P.remove(P.insert(P.fingerprint(half), half), half) == P.fingerprint(half)
+    df = spark.createDataFrame([(1, long), (2, half)], "doc_id long, text string")
+    got = {r.doc_id: (r.near_edited, r.near_next) for r in P.compare_with_next(df).collect()}
+    assert all(abs(x - y) < 1e-3 for x, y in zip(got[1], (1, 2 / 3), strict=True))
+    assert all(abs(x - y) < 1e-3 for x, y in zip(got[2], (1, 2 / 3), strict=True))
