@@ -231,13 +231,13 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     )
 
 
-def _draws(sources: DataFrame, shards: int, seed: int) -> DataFrame:
+def _draws(sources: DataFrame, n_sources: int, shards: int, seed: int) -> DataFrame:
     """One row per (idx, block): its draws as an array of (pass, shard, place)."""
     leaves = written(split_quotas(sources.where("quota > 0").select("idx", "quota"), shards, seed), "mix-tree")
     earlier = Window.partitionBy("idx").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     ranges = leaves.withColumn("begin", F.coalesce(F.sum("blocks").over(earlier), F.lit(0)))
     ranges = ranges.repartition("idx", "shard").join(
-        F.broadcast(sources.select("idx", "quota", "n_blocks", "no_source", "source_key")), "idx"
+        bounded(sources.select("idx", "quota", "n_blocks", "no_source", "source_key"), n_sources), "idx"
     )
     rank = F.explode(F.sequence("begin", F.col("begin") + F.col("blocks") - 1))
     draws = ranges.select(
@@ -315,7 +315,7 @@ def draw_plan(
     )
     sources = written(sources, "mix-quotas")
     n_draws = sources.agg(F.sum("quota")).head()[0] or 0
-    draws = bounded(_draws(sources, shards, seed), n_draws)
+    draws = bounded(_draws(sources, n_sources, shards, seed), n_draws)
     facts = sources.select(*by_source, "idx", "source_size", "target", "full", "cut", "extra", "limit", "n_blocks")
     placed = keyed.join(bounded(facts, n_sources), by_source).withColumn("block", _block(F.col("order"), F.col("n_blocks")))
     taken = F.expr(

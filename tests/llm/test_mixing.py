@@ -112,3 +112,10 @@ def test_empty_and_wordless_tables(spark):
 def test_written_mix_has_a_folder_per_shard(spark, tmp_path):
     mixing.write_mix(mixing.mix(docs(spark).drop("size"), shards=3), str(tmp_path / "mix"))
     assert {p.name for p in (tmp_path / "mix").iterdir() if p.is_dir()} == {"shard=0", "shard=1", "shard=2"}
+
+
+def test_sources_are_broadcast_only_while_bounded(spark):
+    columns = "idx long, quota long, n_blocks long, no_source boolean, source_key string"
+    sources = spark.createDataFrame([(0, 5, 3, False, "a"), (1, 2, 2, True, None)], columns)
+    hints = lambda n: mixing._draws(sources, n, 4, 1)._jdf.queryExecution().optimizedPlan().toString().count("broadcast")
+    assert hints(mixing.bounded.__defaults__[0]) == 1 and hints(mixing.bounded.__defaults__[0] + 1) == 0
