@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, boilerplate, chat, decontaminate, fingerprints, jaccard, mixing, quality, sharding, toxicity
+from . import (
+    archives,
+    boilerplate,
+    chat,
+    decontaminate,
+    fingerprints,
+    jaccard,
+    mixing,
+    pieces,
+    quality,
+    ranking,
+    resampling,
+    sharding,
+    toxicity,
+)
 from .common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +207,85 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_fingerprint")
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op11_pieces")
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts to ids and back; the library's own results are the test."""
+    vocabulary = pieces.load(pieces.model_path())
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    return encoded.select(
+        "doc.doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(pieces.decode(F.col("ids"), vocabulary), 256).alias("decoded_sha256"),
+    )
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
+_TERM = _TERMS.format(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+_WORD = _TERMS.format(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+@query(
+    "op12_ranking",
+    f"""WITH d AS (SELECT doc_id, {_TERM} AS terms FROM documents),
+    c AS (SELECT count(*) FILTER (len(terms) > 0) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d),
+    t AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY ALL),
+    df AS (SELECT term, count(*) AS holding FROM t GROUP BY term),
+    q AS (SELECT item_id, unnest(list_distinct({_TERM})) AS term FROM benchmark),
+    s AS (
+      SELECT item_id, doc_id, sum(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2 * holding + 1)))::BIGINT
+        * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+      FROM q JOIN df USING (term) JOIN t USING (term), c GROUP BY item_id, doc_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM r WHERE rank <= {ranking.TOP}""",
+)
+def op12_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("item.item_id", "rank", "doc_id", "score")
+
+
+def _crc32(feature: str) -> str:
+    """CRC-32 of a text in SQL, bit by bit of its UTF-8 bytes, lowest bit first."""
+    bits = f"encode({feature})::BIT::VARCHAR"
+    fed = f"list_transform(range(8 * octet_length(encode({feature}))), lambda i: CAST(substr({bits}, i // 8 * 8 + 8 - i % 8, 1) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {fed}), lambda x, b: xor(x >> 1, 3988292384 * (xor(x, b) & 1))), 4294967295)"
+
+
+def _features(of: str) -> str:
+    """Rows (doc_id, feature, n) of a table's words and pairs of neighbouring words."""
+    return f"""SELECT doc_id, unnest(list_concat(words, list_transform(range(1, len(words)),
+      lambda i: words[i] || ' ' || words[i + 1]))) AS feature FROM {of}"""
+
+
+@query(
+    "op13_resampling",
+    f"""WITH d AS (SELECT doc_id, {_WORD} AS words FROM documents),
+    b AS (SELECT item_id AS doc_id, {_WORD} AS words FROM benchmark),
+    df AS (SELECT doc_id, feature, count(*) AS n FROM ({_features("d")}) GROUP BY ALL),
+    bf AS (SELECT feature, count(*) AS n FROM ({_features("b")}) GROUP BY ALL),
+    f AS (SELECT feature, {_crc32("feature")} % 10000 AS bucket FROM (SELECT feature FROM df UNION SELECT feature FROM bf)),
+    own AS (SELECT bucket, sum(n) AS s FROM df JOIN f USING (feature) GROUP BY bucket),
+    aim AS (SELECT bucket, sum(n) AS t FROM bf JOIN f USING (feature) GROUP BY bucket),
+    sums AS (SELECT (SELECT coalesce(sum(n), 0) FROM df)::DOUBLE AS all_s, (SELECT coalesce(sum(n), 0) FROM bf)::DOUBLE AS all_t),
+    g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000) / ((s + 1)::DOUBLE * (all_t + 10000))))::BIGINT AS gain
+      FROM own LEFT JOIN aim USING (bucket), sums),
+    w AS (SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS total
+      FROM df JOIN f USING (feature) JOIN g USING (bucket) GROUP BY doc_id),
+    scored AS (
+      SELECT doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features,
+        CASE WHEN n_features > 0 THEN (total - ((total % n_features) + n_features) % n_features) // n_features ELSE 0 END AS weight,
+        floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296)))::BIGINT AS noise
+      FROM d LEFT JOIN w USING (doc_id)),
+    able AS (SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS place, count(*) OVER () AS able
+      FROM scored WHERE n_words >= {resampling.MIN_WORDS})
+    SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, (weight + noise)::BIGINT AS score,
+      CASE WHEN place <= able * {resampling.PERCENT} // 100 THEN place END AS rank
+    FROM scored LEFT JOIN able USING (doc_id)""",
+)
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = resampling.score(docs, table(spark, sf_dir, "benchmark"))
+    narrow = scored.select(F.struct("doc.doc_id").alias("doc"), "n_words", "n_features", "weight", "score")
+    return resampling.draw(narrow).select("doc.doc_id", "n_features", "weight", "score", "rank")
