@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.digests import ensure_newline
-from ..operators import history, ledger, publish, replay
+from ..operators import history, ledger, publish, replay, roundtrip
 from ..operators.ordering import ordinal, previous_value
 from ..plans import live, publishing
 from ..session import scratch_path, written
@@ -111,6 +111,80 @@ def rollback_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return _roundtrip(spark, sf)
 
 
+cte(
+    "state_rows",
+    """SELECT s.grp, s.idx, s.point, r.hr, r.event_id, r.amount, r.valid_to FROM (SELECT grp, idx, unnest([idx - 1, idx]) AS point FROM mixed) s
+    JOIN mixed_ranges r ON r.grp = s.grp AND r.valid_from <= s.point AND (r.valid_to IS NULL OR r.valid_to > s.point)""",
+)
+cte("step_facts", "SELECT m.*, e.event_type AS kind FROM mixed m JOIN ev e ON e.grp = m.grp AND e.idx = m.idx")
+cte(
+    "rolled_rows",
+    # Inserts: the row goes, unless its inverse names another amount. Upserts: the hour's rows go, the ended ones
+    # come back, but not for errors above one hundred. Replaces: the ended rows come back, large sign-ups a row short.
+    """SELECT f.grp, f.idx, r.event_id, r.hr, r.amount FROM step_facts f JOIN state_rows r ON r.grp = f.grp AND r.idx = f.idx AND r.point = f.idx
+      WHERE f.mode <> 'replace' AND NOT (f.mode = 'insert' AND r.event_id = f.event_id AND f.amount <= 10000) AND NOT (f.mode = 'upsert' AND r.hr = f.hr)
+    UNION ALL SELECT f.grp, f.idx, r.event_id, r.hr, r.amount FROM step_facts f JOIN mixed_ranges r ON r.grp = f.grp AND r.valid_to = f.idx
+      WHERE NOT (f.kind = 'error' AND f.amount > 10000) AND NOT (f.kind = 'signup' AND f.amount > 10000 AND r.hr = f.hr)""",
+)
+cte(
+    "mixed_roundtrips",
+    """SELECT f.grp, f.idx, f.mode, CASE WHEN f.kind = 'purchase' AND f.hr < 6 THEN 'skipped' WHEN d.grp IS NULL THEN 'checked' ELSE 'mismatch' END AS status,
+      CASE WHEN f.kind = 'purchase' AND f.hr < 6 THEN 0 ELSE coalesce(d.surplus, 0) END AS surplus_rows
+    FROM step_facts f LEFT JOIN (
+      SELECT grp, idx, CAST(sum(n) AS BIGINT) AS surplus FROM (
+        SELECT grp, idx, event_id, hr, amount, sum(n) AS n FROM (
+          SELECT grp, idx, event_id, hr, amount, 1 AS n FROM rolled_rows
+          UNION ALL SELECT grp, idx, event_id, hr, amount, -1 FROM state_rows WHERE point = idx - 1)
+        GROUP BY ALL HAVING sum(n) <> 0) GROUP BY grp, idx) d USING (grp, idx)""",
+)
+
+
+def _mixed_inverses(spark: SparkSession, sf: str, changes: DataFrame) -> DataFrame:
+    """Inverses of inserts, upserts and replaces with planted wrong ones; early purchases have none."""
+    kinds = I.table(spark, sf, "events").select("event_id", F.col("event_type").alias("kind"))
+    steps = changes.join(kinds, "event_id")
+    large = F.col("amount") > 10000
+    row = ["grp", "idx", "op", "hr", "event_id", "amount"]
+    own = steps.where(~((F.col("kind") == "purchase") & (F.col("hr") < 6)))
+    removed = own.where(F.col("mode") == "insert").withColumn("op", F.lit("remove"))
+    removed = removed.withColumn("amount", F.when(large, F.col("amount") + 1).otherwise(F.col("amount")))
+    deleted = own.where(F.col("mode") == "upsert").withColumn("op", F.lit("delete"))
+    cleared = own.where(F.col("mode") == "replace").withColumn("op", F.lit("clear"))
+    ended = replay.capture_checkpoints(changes, ["hr"]).where(F.col("valid_to").isNotNull()).select(
+        "grp", F.col("valid_to").alias("idx"), F.col("hr").alias("_hr"), F.col("event_id").alias("_id"), F.col("amount").alias("_amount")
+    )
+    lost = ((F.col("kind") == "error") & large) | ((F.col("kind") == "signup") & large & (F.col("_hr") == F.col("hr")))
+    back = own.join(ended, ["grp", "idx"]).where(~lost).select(
+        "grp", "idx", F.when(F.col("mode") == "replace", "replace").otherwise("insert").alias("op"),
+        F.col("_hr").alias("hr"), F.col("_id").alias("event_id"), F.col("_amount").alias("amount"),
+    )
+    return removed.select(*row).unionByName(deleted.select(*row)).unionByName(cleared.select(*row)).unionByName(back)
+
+
+@check("state_roundtrip", "SELECT * FROM mixed_roundtrips")
+def state_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Every replace, insert and upsert rolled back by its inverse."""
+    changes = written(I.mixed_changes(spark, sf), "mixed")
+    return roundtrip.state_roundtrip(changes, _mixed_inverses(spark, sf, changes), ["hr"])
+
+
+@check(
+    "state_digests",
+    """SELECT s.grp, s.idx, count(r.event_id) AS rows, true AS digest_holds
+    FROM mixed s LEFT JOIN state_rows r ON r.grp = s.grp AND r.idx = s.idx AND r.point = s.idx GROUP BY s.grp, s.idx""",
+)
+def state_digests(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes beside digests; a state's digest must be the sum over its rows, taken anew from the last one."""
+    changes = written(I.mixed_changes(spark, sf), "mixed")
+    ranges = replay.capture_checkpoints(changes, ["hr"])
+    digests = roundtrip.state_digests(ranges, ["hr", "event_id", "amount"], changes)
+    rows = replay.replay_tail(changes, ["hr"])
+    anew = rows.groupBy("grp").agg(F.sum(roundtrip.row_number(rows, ["hr", "event_id", "amount"])).alias("_anew"))
+    last = changes.groupBy("grp").agg(F.max("idx").alias("idx")).join(anew, "grp")
+    wrong = F.col("_anew").isNotNull() & (F.col("_anew") != F.col("digest"))
+    return digests.join(last, ["grp", "idx"], "left").select("grp", "idx", "rows", (~wrong).alias("digest_holds"))
+
+
 @check(
     "schema_plan",
     """SELECT e.grp, a.applied_count + 1 AS divergence_index, a.applied_count AS anchor_index, count(*) FILTER (WHERE e.idx > a.applied_count) AS tail_count, true AS matches,

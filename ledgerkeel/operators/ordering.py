@@ -90,22 +90,31 @@ def running_sum(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add the sum of ``value`` over the group's rows up to and including this one."""
+    return running_sums(df, group, order, {name: value}, hot_rows)
+
+
+def running_sums(
+    df: DataFrame, group: list[str], order: list[str], values: dict[str, str], hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Add, under each name, the sum of its column over the group's rows up to and including this one."""
     if largest_group(df, group) <= hot_rows:
-        return df.withColumn(name, F.sum(value).over(_up_to_here(group, order)))
+        here = _up_to_here(group, order)
+        return df.withColumns({name: F.sum(value).over(here) for name, value in values.items()})
     parts = _in_parts(df, group, order)
     earlier = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = {name: f"_before_{i}" for i, name in enumerate(values)}
     offsets = (
         parts.groupBy(*group, "_part")
-        .agg(F.sum(value).alias("_sum"))
-        .withColumn("_before", F.sum("_sum").over(earlier))
-        .where(F.col("_before").isNotNull())
-        .drop("_sum")
+        .agg(*[F.sum(value).alias(before[name]) for name, value in values.items()])
+        .withColumns({column: F.sum(column).over(earlier) for column in before.values()})
+        .where(" OR ".join(f"{column} IS NOT NULL" for column in before.values()))
     )
-    local = parts.withColumn("_local", F.sum(value).over(_up_to_here([*group, "_part"], order)))
+    here = _up_to_here([*group, "_part"], order)
+    local = parts.withColumns({name: F.sum(value).over(here) for name, value in values.items()})
     return (
-        _with_edges(local, offsets, group, ["_before"])
-        .withColumn(name, F.col("_local") + F.coalesce("_before", F.lit(0)))
-        .drop("_part", "_local", "_before")
+        _with_edges(local, offsets, group, list(before.values()))
+        .withColumns({name: F.col(name) + F.coalesce(before[name], F.lit(0)) for name in values})
+        .drop("_part", *before.values())
     )
 
 

@@ -48,7 +48,8 @@ def validity_ranges(
     replaces are looked for first; without any, nothing is joined for them. A
     null key matches no upsert, so such rows live until a replace.
     """
-    rows = _with_anchor(changes, anchor)
+    # Spread by key even where the input already lies by group: a group may be very large.
+    rows = _with_anchor(changes, anchor).repartition("grp", *key)
     has_key = ~_any_null(key)
     upserts = (F.col("mode") == "upsert") & has_key
     timed = nearest_flagged(rows, ["grp", *key], "idx", upserts, "_upsert", hot_rows=hot_rows)
@@ -93,14 +94,39 @@ def state_at(ranges: DataFrame, at: Column | int | None = None) -> DataFrame:
 
 
 def replay_tail(
-    changes: DataFrame,
-    key: list[str],
-    anchor: DataFrame | None = None,
-    sets: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
+    changes: DataFrame, key: list[str], anchor: DataFrame | None = None, sets: DataFrame | None = None
 ) -> DataFrame:
-    """State after the last change-set."""
-    return state_at(validity_ranges(changes, key, anchor, sets, hot_rows))
+    """State after the last change-set.
+
+    Only two facts decide about a row: the last replace of its group and the last upsert of
+    its key. Both are maxima with map-side partials, so a group or key with a third of all rows
+    collapses in every task. Rows from before the last replace leave first; the others meet the
+    last upsert of their key in an equi-join whose row side Spark may split, or which it turns
+    into a broadcast. There is no window and nothing is sorted by time.
+    """
+    rows = _with_anchor(changes, anchor)
+    replaces = changes if sets is None else sets
+    last = _latest(replaces.where(F.col("mode") == "replace"), ["grp"], "_replace")
+    rows = attach(rows, last, ["grp"], ["_replace"]).where(_not_before("_replace")).drop("_replace")
+    keyed = rows.where((F.col("mode") == "upsert") & ~_any_null(key))
+    last = _latest(keyed, ["grp", *key], "_upsert")
+    # A null key matches no upsert; plain equality keeps such rows out of the match, group by group.
+    same = F.col("grp").eqNullSafe(F.col("_of"))
+    for i, name in enumerate(key):
+        same = same & (F.col(name) == F.col(f"_key_{i}"))
+    other = last.select(
+        F.col("grp").alias("_of"), *[F.col(k).alias(f"_key_{i}") for i, k in enumerate(key)], "_upsert"
+    )
+    alive = rows.join(other, same, "left").where(_not_before("_upsert"))
+    return alive.select(*[c for c in rows.columns if c not in ("idx", "mode")])
+
+
+def _latest(rows: DataFrame, group: list[str], name: str) -> DataFrame:
+    return rows.groupBy(*group).agg(F.max("idx").alias(name))
+
+
+def _not_before(limit: str) -> Column:
+    return F.col(limit).isNull() | (F.col("idx") >= F.col(limit))
 
 
 def replay_upserts(changes: DataFrame, key: list[str], anchor: DataFrame | None = None) -> DataFrame:
@@ -237,7 +263,6 @@ def apply_pending(
     key: list[str],
     sets: DataFrame | None = None,
     create_missing: bool = True,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """State after running the steps beyond each group's applied count on its live rows.
 
@@ -252,7 +277,7 @@ def apply_pending(
         return joined.where(F.col("idx") > F.coalesce("applied_count", F.lit(0))).select(*df.columns)
 
     todo = pending(changes)
-    return replay_tail(todo, key, live, pending(change_sets(changes) if sets is None else sets), hot_rows)
+    return replay_tail(todo, key, live, None if sets is None else pending(sets))
 
 
 def pending_status(steps: DataFrame, relation: DataFrame, prefix: DataFrame) -> DataFrame:

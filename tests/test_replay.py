@@ -60,7 +60,7 @@ def test_replay_equals_simulation(spark, rows, seed, modes, hot_rows):
     sets, changes, anchor = make(seed, modes)
     frames = [spark.createDataFrame(d, s) for d, s in ((changes, CHANGE), (anchor, ROW), (sets, "grp string, idx bigint, mode string"))]
     ranges = replay.capture_checkpoints(frames[0], ["k"], frames[1], frames[2], hot_rows).cache()
-    assert rows(replay.replay_tail(frames[0], ["k"], frames[1], frames[2], hot_rows), "grp", "k", "v") == simulate(sets, changes, anchor)
+    assert rows(replay.replay_tail(frames[0], ["k"], frames[1], frames[2]), "grp", "k", "v") == simulate(sets, changes, anchor)
     for k in (0, 1, 3, 30, 60):
         assert rows(replay.state_at(ranges, k), "grp", "k", "v") == simulate(sets, changes, anchor, lambda g: k)
     sizes = {(r["grp"], r["idx"]): r["rows"] for r in replay.checkpoint_sizes(ranges, frames[2], hot_rows).collect()}
