@@ -38,7 +38,7 @@ from .common import held, whole
 
 MARK = "▁"
 #: Runs, and pairs of pieces, whose outcome a task remembers; longer runs are never remembered.
-MEMORY, MEMORY_CHARS = 200_000, 40
+MEMORY, MEMORY_CHARS = 250_000, 40
 #: Characters looked over at once.
 STRETCH = 1 << 18
 MODEL = "piece_bpe_32k.model"
@@ -110,9 +110,10 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
         kinds = vocabulary.kinds
-        self.ids = {p: i for i, p in enumerate(vocabulary.pieces) if kinds[i] == "n"}
+        # Within, the space mark is a plain space: texts then need no second copy of wider characters.
+        self.ids = {p.replace(MARK, " "): i for i, p in enumerate(vocabulary.pieces) if kinds[i] == "n"}
         self.scores = {p: vocabulary.scores[i] for p, i in self.ids.items()}
-        alphabet = set().union(*self.ids)
+        self.alphabet = alphabet = set().union(*self.ids)
         self.bytes = {vocabulary.pieces[i]: i for i, k in enumerate(kinds) if k == "b"}
         # Only what merging can yield takes part in the search; characters without a piece
         # of their own take part and are written as bytes.
@@ -122,7 +123,7 @@ class Encoder:
         self.matches = ahocorasick.Automaton()
         number = {p: i for i, p in enumerate(self.tokens)}
         for i, piece in enumerate(self.tokens):
-            self.matches.add_word(piece, (i, len(piece)))
+            self.matches.add_word(piece, (i, len(piece) - 1))
             self.shorter[i] = next((number[piece[:n]] for n in range(len(piece) - 1, 0, -1) if piece[:n] in number), -1)
         self.matches.make_automaton()
         self.output = [self._written(p) for p in self.tokens]
@@ -130,63 +131,83 @@ class Encoder:
         self.surfaces = [self._surface(p, k) for p, k in zip(vocabulary.pieces, kinds, strict=True)]
         self.controls = {i for i, k in enumerate(kinds) if k == "c"}
         self.fitting: dict[int, bool] = {}
-        self.known: dict[str, array] = {}
+        self.recent: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
 
     def _written(self, piece: str) -> tuple[int, ...]:
-        return (self.ids[piece],) if piece in self.ids else tuple(self.bytes[f"<0x{b:02X}>"] for b in piece.encode())
+        return (self.ids[piece],) if piece in self.ids else self._as_bytes(piece)
+
+    def _as_bytes(self, text: str) -> tuple[int, ...]:
+        return tuple(self.bytes[f"<0x{b:02X}>"] for b in text.encode())
 
     def _run_pattern(self, alphabet: set[str]) -> re.Pattern:
-        letters = "".join(map(re.escape, sorted(alphabet - {MARK})))
-        crossed = any(a != MARK and b == MARK for p in self.ids for a, b in zip(p, p[1:], strict=False))
-        inner = f"[{letters}{MARK}]+" if crossed else f"{MARK}*[{letters}]+|{MARK}+"
-        return re.compile(f"{inner}|[^{letters}{MARK}]+")
+        letters = "".join(map(re.escape, sorted(alphabet - {" "})))
+        crossed = any(a != " " and b == " " for p in self.ids for a, b in zip(p, p[1:], strict=False))
+        inner = f"[{letters} ]+" if crossed else f" *[{letters}]+| +"
+        return re.compile(f"{inner}|[^{letters} ]+")
 
     def _fits(self, left: int, right: int) -> bool:
         """Whether two neighbouring pieces stay as they are when their text is merged anew."""
-        key = left * len(self.tokens) + right
-        known = self.fitting.get(key)
-        if known is None:
-            pair = [self.tokens[left], self.tokens[right]]
-            if len(self.fitting) >= MEMORY:
-                self.fitting.clear()
-            known = self.fitting[key] = merge(pair[0] + pair[1], self.scores) == pair
-        return known
+        pair = [self.tokens[left], self.tokens[right]]
+        if len(self.fitting) >= MEMORY:
+            self.fitting.clear()
+        fits = self.fitting[left * len(self.tokens) + right] = merge(pair[0] + pair[1], self.scores) == pair
+        return fits
 
     def search(self, run: str) -> list[int]:
         """Token numbers of a run of characters of the alphabet."""
-        longest = array("i", bytes(4 * len(run)))
-        for end, (token, size) in self.matches.iter(run):
-            longest[end - size + 1] = token  # of one start, the longest ends last
-        failed = bytearray(len(run) // 8 + 1)
-        sizes, shorter, found, at, token = self.sizes, self.shorter, [], 0, longest[0]
+        longest = [0] * len(run)
+        for end, (token, reach) in self.matches.iter(run):
+            longest[end - reach] = token  # of one start, the longest ends last
+        failed, some_failed = bytearray(len(run) // 8 + 1), False
+        sizes, shorter, fitting, width = self.sizes, self.shorter, self.fitting, len(self.tokens)
+        found, last, at, token, stop = [], -1, 0, longest[0], len(run)
         while True:
             while token >= 0:
                 end = at + sizes[token]
-                if not failed[end >> 3] >> (end & 7) & 1 and (not found or self._fits(found[-1], token)):
-                    break
+                if not some_failed or not failed[end >> 3] >> (end & 7) & 1:
+                    if last < 0:
+                        break
+                    fits = fitting.get(last * width + token)
+                    if self._fits(last, token) if fits is None else fits:
+                        break
                 token = shorter[token]
             if token >= 0:
                 found.append(token)
-                at = end
-                if at == len(run):
+                last, at = token, end
+                if at == stop:
                     return found
                 token = longest[at]
             else:
                 failed[at >> 3] |= 1 << (at & 7)
+                some_failed = True
                 token = found.pop()
+                last = found[-1] if found else -1
                 at -= sizes[token]
 
-    def _run_ids(self, run: str) -> array:
-        if self.matches.longest_prefix(run[0]) == 0:
-            return array("i", [self.bytes[f"<0x{b:02X}>"] for b in run.encode()])
-        return array("i", [i for token in self.search(run) for i in self.output[token]])
-
-    def encode(self, text: str | None, into: array) -> None:
-        """Append the ids of a text."""
+    def _run_ids(self, run: str) -> bytes:
+        if run[0] not in self.alphabet:
+            return array("i", self._as_bytes(run)).tobytes()
+        return array("i", [i for token in self.search(run) for i in self.output[token]]).tobytes()
+
+    def _remembered(self, run: str) -> bytes:
+        """Ids of a run that did not occur lately; the runs of late make room for each other by halves."""
+        ids = self.earlier.get(run)
+        if ids is None:
+            ids = self._run_ids(run)
+        if len(run) <= MEMORY_CHARS:
+            if len(self.recent) >= MEMORY:
+                self.earlier = dict(self.recent)
+                self.recent.clear()
+            self.recent[run] = ids
+        return ids
+
+    def encode(self, text: str | None, into: bytearray) -> None:
+        """Append the ids of a text, four bytes each."""
         if not text:
             return
-        text = (MARK if self.vocabulary.prefix else "") + text.replace(" ", MARK)
-        known, start = self.known, 0
+        text = (" " if self.vocabulary.prefix else "") + text.replace(MARK, " ")
+        recent, remembered, start = self.recent.get, self._remembered, 0
         while start < len(text):
             stop = len(text)
             if start + STRETCH < stop:
@@ -194,14 +215,7 @@ class Encoder:
                 # A run found from its middle on has its true end.
                 stop = border.end() if border else stop
             for run in self.runs.findall(text, start, stop):
-                ids = known.get(run)
-                if ids is None:
-                    ids = self._run_ids(run)
-                    if len(run) <= MEMORY_CHARS:
-                        if len(known) >= MEMORY:
-                            known.clear()
-                        known[run] = ids
-                into.extend(ids)
+                into += recent(run) or remembered(run)
             start = stop
 
     def _surface(self, piece: str, kind: str) -> bytes:
@@ -257,11 +271,11 @@ def _encode(vocabulary: Vocabulary):
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(vocabulary)
         for batch in texts:
-            ids, ends = array("i"), array("i", [0])
+            ids, ends = bytearray(), array("i", [0])
             for text in batch:
                 encoder.encode(text.as_py(), ids)
-                ends.append(len(ids))
-            flat = pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)])
+                ends.append(len(ids) // 4)
+            flat = pa.Array.from_buffers(pa.int32(), len(ids) // 4, [None, pa.py_buffer(ids)])
             offsets = pa.Array.from_buffers(pa.int32(), len(ends), [None, pa.py_buffer(ends)])
             yield pa.ListArray.from_arrays(offsets, flat)
 

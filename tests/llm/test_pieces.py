@@ -18,9 +18,9 @@ def encoder():
 
 
 def ids_of(encoder, text):
-    found = array("i")
+    found = bytearray()
     encoder.encode(text, found)
-    return list(found)
+    return array("i", bytes(found)).tolist()
 
 
 def random_texts(encoder, n):
@@ -40,9 +40,9 @@ def test_equals_the_library(encoder):
 
 def test_search_without_cuts_is_the_same(encoder):
     for text in random_texts(encoder, 1_000):
-        covered = "".join(c for c in "▁" + text.replace(" ", "▁") if encoder.matches.longest_prefix(c))
+        covered = "".join(c for c in " " + text.replace("▁", " ") if c in encoder.alphabet)
         whole = [i for token in encoder.search(covered) for i in encoder.output[token]]
-        assert whole == LIBRARY.encode(covered[1:]) or covered == "▁"
+        assert whole == LIBRARY.encode(covered[1:]) or covered == " "
 
 
 def test_search_backs_off(encoder):
@@ -52,7 +52,7 @@ def test_search_backs_off(encoder):
     greedy = 0
     for text in texts:
         taken, at = [], 0
-        run = "▁" + text
+        run = " " + text
         while at < len(run):
             size = max(n for n in range(1, 20) if run[at : at + n] in encoder.ids)
             taken.append(encoder.ids[run[at : at + size]])
