@@ -50,7 +50,7 @@ CORRUPT = "_ledgerkeel_corrupt"
 
 
 def _wire_type(dtype: T.DataType) -> T.DataType:
-    if isinstance(dtype, T.BinaryType):
+    if isinstance(dtype, (T.BinaryType, T.DecimalType)):
         return T.StringType()
     if isinstance(dtype, T.ArrayType):
         return T.ArrayType(_wire_type(dtype.elementType), dtype.containsNull)
@@ -62,7 +62,8 @@ def _wire_type(dtype: T.DataType) -> T.DataType:
 
 
 def wire_schema(schema: T.StructType) -> T.StructType:
-    """The types lines are parsed with: binary is hex text, and a field tells of misfits."""
+    """The types lines are parsed with: binary is hex text, decimals are kept as text
+    so that no digit is rounded away unseen, and a field tells of misfits."""
     return T.StructType([*_wire_type(schema).fields, T.StructField(CORRUPT, T.StringType())])
 
 
@@ -72,6 +73,8 @@ def typed(value: Column, dtype: T.DataType) -> Column:
         return value
     if isinstance(dtype, T.BinaryType):
         return F.try_to_binary(value, F.lit("hex"))
+    if isinstance(dtype, T.DecimalType):
+        return value.try_cast(dtype)
     if isinstance(dtype, T.ArrayType):
         return F.transform(value, lambda item: typed(item, dtype.elementType))
     if isinstance(dtype, T.MapType):
@@ -80,25 +83,44 @@ def typed(value: Column, dtype: T.DataType) -> Column:
     return F.when(value.isNotNull(), fields)
 
 
-def _bad_hex(value: Column, dtype: T.DataType) -> Column | None:
-    """Whether some binary inside a value is not hex text; null where there is no binary."""
+_DECIMAL = r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
+
+
+def _inexact(text: Column, dtype: T.DecimalType) -> Column:
+    """Whether a text is no number, or one that the decimal type cannot hold digit for digit."""
+    digits = F.length(F.regexp_extract(text, r"^[^eE.]*\.([0-9]*?)0*$", 1))
+    wider = f"decimal(38,{38 - (dtype.precision - dtype.scale)})"
+    value = text.try_cast(dtype)
+    rounded = F.coalesce(text.try_cast(wider) != value.cast(wider), F.lit(False))
+    return text.isNotNull() & (~text.rlike(_DECIMAL) | value.isNull() | (digits > dtype.scale) | rounded)
+
+
+def _misfit(value: Column, dtype: T.DataType) -> Column | None:
+    """Whether some leaf of a parsed value is binary but no hex text, a decimal that would be
+    rounded, or a float that is no number or endless; null where no leaf can be."""
     if isinstance(dtype, T.BinaryType):
         return value.isNotNull() & F.try_to_binary(value, F.lit("hex")).isNull()
+    if isinstance(dtype, T.DecimalType):
+        return _inexact(value, dtype)
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return F.isnan(value) | (F.abs(value) == float("inf"))
     if isinstance(dtype, T.ArrayType):
-        if _wire_type(dtype) == dtype:
-            return None
-        return F.exists(value, lambda item: _bad_hex(item, dtype.elementType))
+        return _any_misfit(value, dtype.elementType)
     if isinstance(dtype, T.MapType):
-        if _wire_type(dtype) == dtype:
-            return None
-        return F.exists(F.map_values(value), lambda item: _bad_hex(item, dtype.valueType))
+        return _any_misfit(F.map_values(value), dtype.valueType)
     if isinstance(dtype, T.StructType):
-        parts = [_bad_hex(value.getField(f.name), f.dataType) for f in dtype.fields]
+        parts = [_misfit(value.getField(f.name), f.dataType) for f in dtype.fields]
         parts = [F.coalesce(p, F.lit(False)) for p in parts if p is not None]
         return reduce(lambda a, b: a | b, parts) if parts else None
     return None
 
 
+def _any_misfit(items: Column, dtype: T.DataType) -> Column | None:
+    if _misfit(F.lit(None), dtype) is None:
+        return None
+    return F.exists(items, lambda item: F.coalesce(_misfit(item, dtype), F.lit(False)))
+
+
 def _step(name: str) -> str | None:
     """A field as a step of a variant path; null for a name that has both kinds of quotes."""
     if '"' not in name:
@@ -107,7 +129,7 @@ def _step(name: str) -> str | None:
 
 
 def _lost(variant: Column, parsed: Column, schema: T.StructType) -> dict[str, Column]:
-    """Per column: present and not null in the text, but null after typed parsing, or not hex.
+    """Per column: present and not null in the text, but null after typed parsing, or a misfit.
 
     The text is looked up only where the parsed value is null.
     """
@@ -117,25 +139,46 @@ def _lost(variant: Column, parsed: Column, schema: T.StructType) -> dict[str, Co
         lost = F.lit(False)
         if step is not None:
             lost = value.isNull() & F.try_variant_get(variant, f"$[0]{step}", "string").isNotNull()
-        hexed = _bad_hex(value, field.dataType)
-        found[field.name] = lost if hexed is None else lost | F.coalesce(hexed, F.lit(False))
+        misfit = _misfit(value, field.dataType)
+        found[field.name] = lost if misfit is None else lost | F.coalesce(misfit, F.lit(False))
     return found
 
 
-def _unknown_inside(variant: Column, schema: T.StructType, path: str = "$[0]") -> Column:
-    """Fields of struct columns (inside structs) that the table does not have, as dotted names."""
+def _has_struct(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.ArrayType):
+        return _has_struct(dtype.elementType)
+    if isinstance(dtype, T.MapType):
+        return _has_struct(dtype.valueType)
+    return isinstance(dtype, T.StructType)
+
+
+def _unknown_in(text: Column, dtype: T.DataType, name: str) -> Column:
+    """Fields inside a nested value, given as its JSON text, that its type does not have."""
+    if isinstance(dtype, T.StructType):
+        keys = unknown_keys(F.json_object_keys(text), dtype.fieldNames())
+        found = [F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda key: F.concat(F.lit(f"{name}."), key))]
+        nested = [f for f in dtype.fields if _has_struct(f.dataType)]
+        if nested:
+            parts = F.from_json(text, T.StructType([T.StructField(f.name, T.StringType()) for f in nested]))
+            found += [_unknown_in(parts.getField(f.name), f.dataType, f"{name}.{f.name}") for f in nested]
+        return F.concat(*found)
+    if isinstance(dtype, T.ArrayType):
+        items, inner = F.from_json(text, "array<string>"), dtype.elementType
+    else:
+        items, inner = F.map_values(F.from_json(text, "map<string,string>")), dtype.valueType
+    each = F.flatten(F.transform(items, lambda item: _unknown_in(item, inner, name)))
+    return F.coalesce(each, F.array().cast("array<string>"))
+
+
+def _unknown_inside(variant: Column, schema: T.StructType) -> Column:
+    """Fields at any depth of nested columns that the table does not have, as dotted names."""
     found = []
     for field in schema.fields:
         step = _step(field.name)
-        if not isinstance(field.dataType, T.StructType) or step is None:
-            continue
-        below = f"{path}{step}"
-        keys = F.json_object_keys(F.try_variant_get(variant, below, "string"))
-        unknown = F.coalesce(unknown_keys(keys, field.dataType.fieldNames()), F.array().cast("array<string>"))
-        name = field.name
-        found.append(F.transform(unknown, lambda key, name=name: F.concat(F.lit(f"{name}."), key)))
-        found.append(_unknown_inside(variant, field.dataType, below))
-    return F.concat(*found) if found else F.array().cast("array<string>")
+        if step is not None and _has_struct(field.dataType):
+            text = F.try_variant_get(variant, f"$[0]{step}", "string")
+            found.append(_unknown_in(text, field.dataType, field.name))
+    return F.concat(*found)
 
 
 def row_error(
@@ -143,7 +186,7 @@ def row_error(
 ) -> Column:
     """Null for a good line, else what is wrong with it."""
     unknown = unknown_keys(keys, schema.fieldNames())
-    if any(isinstance(f.dataType, T.StructType) for f in schema.fields):
+    if any(_has_struct(f.dataType) and _step(f.name) is not None for f in schema.fields):
         unknown = F.concat(unknown, _unknown_inside(variant, schema))
     lost = _lost(variant, parsed, schema)
     names = F.array_compact(F.array(*[F.when(failed, F.lit(name)) for name, failed in lost.items()]))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import LedgerError, StateError
-from ..functions.entries import is_path_like, path_style, status_basename, status_path
+from ..functions.entries import is_path_like, status_basename, status_path
 from ..functions.sections import valid_text
 
 SIGNATURE = ("version", "entry", "payload_digest")
@@ -163,10 +163,6 @@ def prefix_check(steps: DataFrame, applied: DataFrame) -> DataFrame:
     )
 
 
-def style_of_applied(applied: DataFrame) -> DataFrame:
-    return applied.groupBy("grp").agg(path_style(F.col("entry")).alias("style"))
-
-
 def live_relation(steps: DataFrame, applied: DataFrame) -> DataFrame:
     """DataFrame[grp, head_count, applied_count, relation]: behind, equal or ahead.
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,20 +54,6 @@ def _known_keys(rows: DataFrame, on: list[str]) -> DataFrame:
     return rows.select(*on).dropna("any")
 
 
-def _unique_keys(rows: DataFrame, on: list[str]) -> DataFrame:
-    """Distinct keys; a repeated key fails the job with its value."""
-    repeated = F.raise_error(
-        F.concat(F.lit("duplicate upsert key: "), F.to_json(F.struct(*on)))
-    )
-    return (
-        _known_keys(rows, on)
-        .groupBy(*on)
-        .agg(F.count("*").alias("_copies"))
-        .where(F.when(F.col("_copies") > 1, repeated.cast("boolean")).otherwise(F.lit(True)))
-        .drop("_copies")
-    )
-
-
 def all_fixed_width(df: DataFrame, columns: list[str]) -> bool:
     return all(isinstance(df.schema[c].dataType, _FIXED_WIDTH) for c in columns)
 
@@ -112,50 +98,73 @@ def apply_upsert(
     if on_duplicate not in ("raise", "insert_all"):
         raise DatasetError(f"unknown on_duplicate {on_duplicate!r}")
     if missing == "keep":
-        return _merge_present(target, rows, on, present)
+        return _merge_present(target, rows, on, present, source_rows)
     if missing != "null":
         raise DatasetError(f"unknown missing {missing!r}")
-    if on_duplicate == "raise":
-        kept = _without_keys(target, _unique_keys(rows, on), on, source_rows)
-    else:
-        kept = delete_matching(target, rows, on, source_rows)
-    if on_duplicate == "raise" and target.isEmpty():
-        # An empty side would take the guard of the anti join with it.
-        rows = _guarded(rows, on)
-    return kept.unionByName(align(rows, target.schema))
+    kept = delete_matching(target, rows, on, source_rows)
+    return kept.unionByName(align(_guarded(rows, on) if on_duplicate == "raise" else rows, target.schema))
 
 
 def _guarded(rows: DataFrame, on: list[str]) -> DataFrame:
-    """The rows, failing the job if a key without nulls is repeated."""
+    """The rows, failing the job if a key without nulls is repeated.
+
+    Every keyed row comes out of the aggregate that counts its key, so no plan that
+    returns such a row can do without the check, whatever is filtered or joined later.
+    """
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
-    keyed = rows.join(_unique_keys(rows, on), on, "left_semi").select(*rows.columns)
-    return keyed.unionByName(rows.where(~known))
+    rest = [c for c in rows.columns if c not in on]
+    repeated = F.raise_error(F.concat(F.lit("duplicate upsert key: "), F.to_json(F.struct(*on))))
+    own = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(0)
+    keyed = (
+        rows.where(known)
+        .groupBy(*on)
+        .agg(F.first(own).alias("_row"), F.count("*").alias("_copies"))
+        .where(F.when(F.col("_copies") > 1, repeated.cast("boolean")).otherwise(F.lit(True)))
+    )
+    single = keyed.select(*[F.col("_row")[c].alias(c) if c in rest else F.col(c) for c in rows.columns])
+    return single.unionByName(rows.where(~known))
 
 
 def _merge_present(
-    target: DataFrame, rows: DataFrame, on: list[str], present: str | None
+    target: DataFrame, rows: DataFrame, on: list[str], present: str | None, source_rows: int | None
 ) -> DataFrame:
+    """One outer join of target and rows. With few rows, of a counted number and fixed width of
+    keys, only target rows they touch take part; the others stay where they lie."""
     if present is None:
         raise DatasetError("missing='keep' needs the present column")
+    if source_rows is not None and source_rows <= BROADCAST_KEYS and all_fixed_width(rows, on):
+        keys = F.broadcast(_known_keys(rows, on).distinct())
+        apart = target.join(keys, on, "left_anti").select(*target.columns)
+        near = target.join(keys, on, "left_semi").select(*target.columns)
+        return apart.unionByName(_merged(near, _guarded(rows, on), on, present))
+    return _merged(target, _guarded(rows, on), on, present)
+
+
+def _merged(target: DataFrame, rows: DataFrame, on: list[str], present: str) -> DataFrame:
     plain = align(rows.drop(present), target.schema)
-    _unique = _unique_keys(rows, on)
-    given = rows.select(
-        *on,
+    given = set(rows.columns) - {*on, present}
+    new = rows.select(
+        *[F.col(c).cast(plain.schema[c].dataType).alias(f"_on_{i}") for i, c in enumerate(on)],
         F.col(present).alias("_present"),
-        F.struct(*[F.col(c) for c in rows.columns if c not in (*on, present)]).alias("_new"),
-    ).join(_unique, on, "left_semi")
-    values = set(rows.columns) - {*on, present}
-    joined = target.join(given, on, "left")
-    updated = joined.select(
-        *[
-            F.when(F.array_contains("_present", c), F.col("_new")[c]).otherwise(F.col(c)).alias(c)
-            if c in values
-            else F.col(c)
-            for c in target.columns
-        ]
+        F.struct(*[F.col(c).cast(plain.schema[c].dataType).alias(c) for c in rows.columns if c in given]).alias("_new")
+        if given
+        else F.struct(F.lit(0)).alias("_new"),
+        F.lit(True).alias("_given"),
     )
-    added = plain.join(_known_keys(target, on).distinct(), on, "left_anti")
-    return updated.unionByName(added.select(*target.columns))
+    old = target.withColumn("_old", F.lit(True))
+    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_on_{i}") for i, c in enumerate(on)])
+    joined = old.join(new, same, "full_outer")
+    fresh = F.col("_old").isNull()
+
+    def merged(name: str) -> Column:
+        if name in on:
+            return F.when(fresh, F.col(f"_on_{on.index(name)}")).otherwise(F.col(name)).alias(name)
+        if name not in given:
+            return F.col(name)
+        named = fresh | F.coalesce(F.array_contains("_present", name), F.lit(False))
+        return F.when(named, F.col("_new")[name]).otherwise(F.col(name)).alias(name)
+
+    return joined.select(*[merged(c) for c in target.columns])
 
 
 def apply_rows(target: DataFrame, rows: DataFrame, mode: str, on: list[str] | None = None, **upsert) -> DataFrame:

@@ -40,7 +40,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """
     base = spark.conf.get(CHECKPOINT_DIR, None)
     if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError(f"{CHECKPOINT_DIR} must name a folder all executors share.")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     application = spark.conf.get("spark.app.id", "session")

@@ -389,3 +389,67 @@ def test_a_shut_gate_refuses_the_set(spark, tmp_path):
     for call in (dataset.apply_dataset, dataset.export_dataset):
         with pytest.raises(StateError, match="1 group"):
             call(spark, DataSet("s", ()), gate=shut)
+
+
+@pytest.mark.parametrize("options", [{}, {"missing": "keep", "present": "p"}, {"missing": "keep", "present": "p", "source_rows": 2}])
+@pytest.mark.parametrize("held", [[], [(2, "old", "w")], [(None, "n", "w")]])
+def test_no_plan_returns_a_repeated_key(spark, options, held):
+    target = spark.createDataFrame(held, "k int, v string, w string")
+    twice = spark.createDataFrame([(2, "x", ["k", "v"]), (2, "y", ["k", "v"])], "k int, v string, p array<string>")
+    rows = twice if options else twice.drop("p")
+    out = mutate.apply_upsert(target, rows, ["k"], **options)
+    for part in (out, out.where("v = 'x' OR v = 'y'"), out.select("k"), out.where("k = 2")):
+        # Spark wraps the error where two stages meet it.
+        with pytest.raises(Exception, match="duplicate upsert key"):
+            part.collect()
+
+
+@pytest.mark.parametrize("source_rows", [None, 6])
+def test_keep_mode_is_one_outer_join(spark, rows, source_rows):
+    held = [(1, "a", 1), (2, "b", 2), (2, "c", 3), (None, "n", 4)]
+    target = spark.createDataFrame(held, "k int, v string, w bigint")
+    given = [(1, None, ["k", "v"]), (2, None, ["k"]), (3, "new", ["k", "v"]), (4, None, ["k"]), (None, "m", ["v"])]
+    new = spark.createDataFrame(given, "k int, v string, p array<string>")
+    out = mutate.apply_upsert(target, new, ["k"], missing="keep", present="p", source_rows=source_rows)
+    want = [(1, None, 1), (2, "b", 2), (2, "c", 3), (None, "n", 4), (3, "new", None), (4, None, None), (None, "m", None)]
+    assert rows(out) == sorted(want, key=repr)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = out.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    if source_rows is None:
+        assert plan.count("SortMergeJoin") == 1 and "FullOuter" in plan
+    else:
+        assert plan.count("BroadcastHashJoin") == 2
+
+
+def test_values_are_never_rounded(spark):
+    from ledgerkeel.sources import jsonl
+
+    schema = T.StructType.fromDDL("d decimal(5,2), x double, a array<decimal(3,1)>, s struct<d: decimal(4,0), f: float>, m map<string, double>")
+    good = ['{"d":1.23}', '{"d":"1.20"}', '{"d":1.2300}', '{"d":123e-2}', '{"x":1e300,"m":{"k":null}}', '{"a":[1.5,"2.0",null]}', '{"s":{"d":12,"f":null}}', '{"d":null}']
+    bad = ['{"d":1.239}', '{"d":"1.239"}', '{"d":12345e-4}', '{"d":1234.5}', '{"d":"x"}', '{"d":true}', '{"d":{}}', '{"d":""}', '{"x":"NaN"}', '{"x":"Infinity"}', '{"x":"-INF"}', '{"a":[1.55]}', '{"s":{"d":1.5}}', '{"s":{"f":"NaN"}}', '{"m":{"k":"NaN"}}']
+    lines = spark.createDataFrame([(v,) for v in good + bad], "value string")
+    found = {r["value"]: r["error"] for r in jsonl.checked_lines(lines, schema).collect()}
+    assert [v for v in good if found[v]] == [] and [v for v in bad if not found[v]] == []
+    read = jsonl.parse_lines(lines.where(F.col("value").isin(good[:4])), schema)
+    assert sorted(str(r["d"]) for r in read.collect()) == ["1.20", "1.23", "1.23", "1.23"]
+
+
+def test_unknown_fields_inside_arrays_and_maps(spark):
+    from ledgerkeel.sources import jsonl
+
+    schema = T.StructType.fromDDL("a array<struct<k: int, n: array<struct<z: int>>>>, m map<string, struct<k: int>>")
+    cases = {
+        '{"a":[{"k":1},{"k":2,"q":3}]}': "unknown columns: a.q",
+        '{"a":[{"n":[{"z":1},{"y":1}]}]}': "unknown columns: a.n.y",
+        '{"m":{"one":{"k":1,"p":2}}}': "unknown columns: m.p",
+        '{"a":[{"k":1,"n":[]}],"m":{"one":{"k":1}}}': None,
+        '{"a":null,"m":null}': None,
+        '{"a":[null]}': None,
+    }
+    lines = spark.createDataFrame([(v,) for v in cases], "value string")
+    assert {r["value"]: r["error"] for r in jsonl.checked_lines(lines, schema).collect()} == cases
