@@ -7,10 +7,11 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import written
 
-__all__ = ["BROADCAST_ROWS", "WORD", "batch_rows", "bounded", "held", "lower_az", "table", "whole", "words", "written"]
+__all__ = ["BROADCAST_ROWS", "WORD", "batch_rows", "bounded", "held", "lower_az", "row_hash", "table", "whole", "words", "written"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -55,6 +56,21 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
+def row_hash(rows: DataFrame) -> Column:
+    """A hash of all columns inside ``doc``; maps and variants enter as their JSON."""
+
+    def hashable(dtype: T.DataType) -> bool:
+        if isinstance(dtype, T.ArrayType):
+            return hashable(dtype.elementType)
+        if isinstance(dtype, T.StructType):
+            return all(hashable(f.dataType) for f in dtype.fields)
+        return not isinstance(dtype, (T.MapType, T.VariantType))
+
+    fields = rows.schema["doc"].dataType.fields
+    own = [F.col(f"doc.`{f.name}`") for f in fields]
+    return F.xxhash64(*[c if hashable(f.dataType) else F.to_json(F.struct(c)) for f, c in zip(fields, own, strict=True)])
+
+
 def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a side whose counted rows are under the limit; else Spark joins by shuffle."""
     return F.broadcast(df) if rows <= limit else df

@@ -7,8 +7,9 @@ fitted by gradient ascent on the conditional likelihood (forward-backward gives
 expected counts). A document's score is the mean of its lines' marginal probabilities
 of being good, weighted by their lengths.
 
-The fit uses a bounded sample (``SAMPLE_ROWS`` labelled documents, chosen by hash, of which
-tasks return the line features only); every document is scored whole.
+The fit uses a bounded sample (``SAMPLE_ROWS`` different labelled documents, chosen by hash, with
+``SAMPLE_LINES`` lines at most, of which tasks return the line features only); every
+document is scored whole.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import samples
 from .common import held, whole
 from .toxicity import labelled_rows
 
-SAMPLE_ROWS = 4_000
+#: Different labelled documents in the sample, and lines of those the field is fitted on, at most.
+SAMPLE_ROWS, SAMPLE_LINES = 4_000, 400_000
 STEPS, RATE, L2 = 150, 0.05, 1e-3
 THRESHOLD = 0.3
 #: Code points handled at a time.
@@ -114,14 +117,17 @@ def _padded(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, reach
 
 
-def marginals(good: np.ndarray, link: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Forward-backward over all chains at once.
+def marginals(
+    good: np.ndarray, link: np.ndarray, first: np.ndarray, copies: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, float]:
+    """Forward-backward over all chains at once; chains count ``copies`` times in both sums.
 
     ``good`` is each line's log odds of good, ``link`` the 2 x 2 transition scores
     (bad, good). Returns P(good) per line, expected transitions, and the sum of log Z.
     """
     order, reach = _padded(first)
     head = first[:-1][order]
+    times = np.ones(len(order)) if copies is None else copies[order]
     steps = len(reach)
     emit = np.stack([np.zeros(len(good)), good], axis=1)
     forward, total = np.zeros((len(good), 2)), np.zeros(len(order))
@@ -143,11 +149,11 @@ def marginals(good: np.ndarray, link: np.ndarray, first: np.ndarray) -> tuple[np
         pair = forward[rows][:, :, None] + link[None] + ahead[:, None, :]
         top = pair.max((1, 2), keepdims=True)
         weight = np.exp(pair - top)
-        expected += (weight / weight.sum((1, 2), keepdims=True)).sum(0)
+        expected += (weight / weight.sum((1, 2), keepdims=True) * times[: reach[t + 1], None, None]).sum(0)
         back = np.logaddexp(link[:, 0] + ahead[:, :1], link[:, 1] + ahead[:, 1:])
         backward[rows] = back - back.max(1, keepdims=True)
     post = forward + backward
-    return 1 / (1 + np.exp(np.clip(post[:, 0] - post[:, 1], -500, 500))), expected, float(total.sum())
+    return 1 / (1 + np.exp(np.clip(post[:, 0] - post[:, 1], -500, 500))), expected, float(total @ times)
 
 
 @dataclass(frozen=True)
@@ -169,21 +175,27 @@ class Field:
         return np.add.reduceat(p * length, first[:-1]) / np.add.reduceat(length, first[:-1])
 
 
-def fit(x: np.ndarray, first: np.ndarray, labels: np.ndarray) -> Field:
-    """Maximise the conditional likelihood of chains whose lines all have their text's label (Adam)."""
-    mean, spread = x.mean(0), x.std(0) + 1e-6
+def fit(x: np.ndarray, first: np.ndarray, labels: np.ndarray, copies: np.ndarray | None = None) -> Field:
+    """Maximise the conditional likelihood of chains whose lines all have their text's label (Adam).
+
+    A chain counts ``copies`` times.
+    """
+    copies = np.ones(len(labels)) if copies is None else copies
+    times = np.repeat(copies, np.diff(first))
+    mean = (x * times[:, None]).sum(0) / times.sum()
+    spread = np.sqrt(((x - mean) ** 2 * times[:, None]).sum(0) / times.sum()) + 1e-6
     mean[-1], spread[-1] = 0.0, 1.0
     x = (x - mean) / spread
     y = np.repeat(labels, np.diff(first)).astype(float)
-    inner = np.diff(first) - 1
+    inner = (np.diff(first) - 1) * copies
     seen = np.array([[inner[labels == 0].sum(), 0.0], [0.0, inner[labels == 1].sum()]])
-    scale = 1.0 / len(y)
+    scale = 1.0 / times.sum()
     theta = np.zeros(x.shape[1] + 4)
     moment, square = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
         link = theta[-4:].reshape(2, 2)
-        p, expected, _ = marginals(x @ theta[:-4], link, first)
-        grad = np.r_[x.T @ (p - y), (expected - seen).ravel()] * scale + L2 * theta
+        p, expected, _ = marginals(x @ theta[:-4], link, first, copies)
+        grad = np.r_[x.T @ ((p - y) * times), (expected - seen).ravel()] * scale + L2 * theta
         moment = 0.9 * moment + 0.1 * grad
         square = 0.999 * square + 0.001 * grad**2
         theta -= RATE * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
@@ -211,23 +223,43 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = x.astype(np.float32)
             found += [x[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(found, pa.binary()), batch.column(1), batch.column(2)], names=["features", "label", "draw"]
+            [pa.array(found, pa.binary()), batch.column(1), batch.column(2)], names=["features", "label", "place"]
         )
 
 
 def train(labelled: DataFrame) -> Field | None:
-    """Fit on rows (doc_id, text, label 0 or 1); None if a class is missing in the sample."""
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / float(1 << 53)
-    rows = labelled.where("label IS NOT NULL").select(F.coalesce("text", F.lit("")).alias("text"), "label", draw.alias("draw"))
-    share = 1.2 * SAMPLE_ROWS / max(1, labelled.count())
-    found = rows.where(F.col("draw") <= share).mapInArrow(_sampled, "features binary, label int, draw double")
-    found = found.orderBy("draw", "label").limit(SAMPLE_ROWS).toArrow()
-    labels = found.column("label").to_numpy()
-    if not 0 < labels.sum() < len(labels):
+    """Fit on rows (doc_id, text, label 0 or 1); None if a class has no row.
+
+    Repeated rows are one chain, counted as often. Of the sample, documents of up to a twentieth of
+    ``SAMPLE_LINES`` lines take part, lowest places first, while they have no more lines together
+    than that; if a class has longer ones only, its shortest comes in its place.
+    """
+    rows = labelled.where("label IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    chosen = samples.plan(rows, SAMPLE_ROWS)
+    if chosen is None:
         return None
+    near = rows.select("text", "label", samples.place(chosen).alias("place")).where(F.col("place") <= 1.2)
+    lines = F.length("text") - F.length(F.translate("text", "\n", "")) + 1
+    sizes = samples.unique(near.select(lines.alias("lines"), "label", "place"), chosen, "lines").toArrow().to_pylist()
+    kept, room = [], SAMPLE_LINES
+    for own in sizes:
+        if own["lines"] <= min(room, SAMPLE_LINES // 20):
+            kept.append(own)
+            room -= own["lines"]
+    for label in (0, 1):
+        if not any(own["label"] == label for own in kept):
+            kept.append(min((own for own in sizes if own["label"] == label), key=lambda own: own["lines"]))
+    spark = labelled.sparkSession
+    wanted = spark.createDataFrame([(own["place"], own["label"]) for own in kept], "place double, label int")
+    sampled = near.join(F.broadcast(wanted), ["place", "label"]).select("text", "label", "place")
+    sampled = sampled.dropDuplicates(["place", "label"]).mapInArrow(_sampled, "features binary, label int, place double")
+    found = sampled.orderBy("place", "label").toArrow()
+    labels = found.column("label").to_numpy()
+    counted = {(own["place"], own["label"]): own["copies"] * chosen.weight[own["label"]] for own in kept}
+    copies = np.array([counted[key] for key in zip(found.column("place").to_pylist(), labels.tolist(), strict=True)])
     x = [np.frombuffer(b.as_buffer(), np.float32).reshape(-1, FEATURES) for b in found.column("features")]
     first = np.r_[0, np.cumsum([len(r) for r in x])]
-    return fit(np.vstack(x).astype(float), first, labels)
+    return fit(np.vstack(x).astype(float), first, labels, copies / copies.mean())
 
 
 def _scores(field: Field):

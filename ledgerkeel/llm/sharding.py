@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, held, whole, written
+from .common import bounded, held, row_hash, whole, written
 
 LAW = "bytes"
 #: Bytes counted for every row besides its text.
@@ -67,7 +67,7 @@ def shard(docs: DataFrame, shards: int = 40, *, size: Column | None = None) -> D
         size.alias("size"),
         doc_id.isNull().alias("last"),
         doc_id.alias("id"),
-        F.xxhash64("doc").alias("tie"),
+        row_hash(rows).alias("tie"),
         F.monotonically_increasing_id().alias("copy"),
     )
     spark = docs.sparkSession

@@ -9,7 +9,8 @@ features scaled by these ratios; a document's score is its probability.
 
 The counts cover every training row: tasks fold them into one vector per class of a
 fixed width, so that what is summed and sent to the driver does not grow. Only the
-regression sees a bounded sample (``SAMPLE_ROWS`` rows, chosen by hash).
+regression sees a bounded sample (``SAMPLE_ROWS`` different rows, chosen by hash, copies as
+weights, both classes).
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import samples
 from .common import BROADCAST_ROWS, bounded, held, whole
 from .kernels import mix64
 
 GRAMS = (3, 4, 5, 6, 7)
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
-#: Labelled rows that the regression is fitted on, at most.
+#: Different labelled rows that the regression is fitted on, at most; copies weigh.
 SAMPLE_ROWS = 6_000
 #: Features enter the regression if their ratio is this many standard errors from 0; of
 #: those, the strongest are kept, at most so many.
@@ -111,18 +113,24 @@ def _kept_features(kept: np.ndarray):
                 out.append(np.sort(found[kept[found]]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out, pa.list_(pa.int32())), batch.column(1), batch.column(2)],
-                names=["features", "label", "draw"],
+                names=["features", "label", "place"],
             )
 
     return run
 
 
-def fit_regression(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray) -> Model:
-    """Logistic regression on ratio-scaled features by accelerated gradient steps; empties ``rows``."""
+def fit_regression(
+    rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, weight: np.ndarray | None = None
+) -> Model:
+    """Logistic regression on ratio-scaled features by accelerated gradient steps; empties ``rows``.
+
+    ``weight`` (of mean 1) is what each row counts.
+    """
     ends = np.cumsum([0, *(len(r) for r in rows)])
     at = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
     rows.clear()
     n = len(ends) - 1
+    weight = np.ones(n) if weight is None else weight
     # Runs of documents, so that intermediate vectors stay small.
     runs = [(i, min(i + 500, n)) for i in range(0, n, 500)]
 
@@ -132,16 +140,18 @@ def fit_regression(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray
 
     square = 0.0
     for i, j in runs:
-        square += float((run_of(i, j)[2] ** 2).sum())
+        _, doc, value = run_of(i, j)
+        square += float((value**2 * weight[i:j][doc]).sum())
     rate = 4.0 / (square / max(n, 1) + 1.0)
-    w, b = np.zeros(len(ratio)), float(np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1)))
+    toxic = float(labels @ weight)
+    w, b = np.zeros(len(ratio)), float(np.log((toxic + 1) / (weight.sum() - toxic + 1)))
     ahead_w, ahead_b = w, b
     for step in range(STEPS):
         grad, error_sum = L2 * ahead_w, 0.0
         for i, j in runs:
             own, doc, value = run_of(i, j)
             z = np.bincount(doc, value * ahead_w[own], minlength=j - i) + ahead_b
-            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[i:j]) / n
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[i:j]) * weight[i:j] / n
             grad = grad + np.bincount(own, value * error[doc], minlength=len(ratio))
             error_sum += error.sum()
         next_w, next_b = ahead_w - rate * grad, ahead_b - error_sum
@@ -154,9 +164,10 @@ def fit_regression(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray
 def train(labelled: DataFrame) -> Model | None:
     """Fit on rows (doc_id, text, label 0 or 1); None if a class has no row.
 
-    Rows with a null label are passed over; a null text counts as empty.
+    Rows with a null label are passed over; a null text counts as empty. Repeated rows are
+    one row of the sample, with their number as weight.
     """
-    labelled = labelled.where("label IS NOT NULL")
+    labelled = labelled.where("label IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
     counted = labelled.select("text", "label").mapInArrow(_counts, "bucket long, clean long, toxic long")
     sums = counted.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
     bucket = sums.column("bucket").to_numpy()
@@ -171,17 +182,16 @@ def train(labelled: DataFrame) -> Model | None:
     limit = np.partition(strength, BUCKETS - KEPT_FEATURES)[BUCKETS - KEPT_FEATURES]
     kept = strength >= max(limit, STRENGTH)
     ratio = np.where(kept, ratio, 0)
-    total = int(rows.sum())
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / float(1 << 53)
-    sample = labelled.select("text", "label", draw.alias("draw")).where(F.col("draw") <= 1.2 * SAMPLE_ROWS / total)
-    found = sample.mapInArrow(_kept_features(kept), "features array<int>, label int, draw double")
-    found = found.orderBy("draw", "label").limit(SAMPLE_ROWS).toArrow()
+    chosen = samples.plan(labelled, SAMPLE_ROWS)
+    sample = labelled.select("text", "label", samples.place(chosen).alias("place")).where(F.col("place") <= 1.2)
+    sampled = sample.mapInArrow(_kept_features(kept), "features array<int>, label int, place double")
+    found = samples.unique(sampled, chosen, "features").toArrow()
     labels = found.column("label").to_numpy().astype(float)
-    if not 0 < labels.sum() < len(labels):
-        return None
+    weight = found.column("copies").to_numpy() * np.array(chosen.weight)[labels.astype(int)]
     column = found.column("features").combine_chunks()
     ends, values = column.offsets.to_numpy(), column.values.to_numpy()
-    return fit_regression([values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], labels, ratio)
+    each = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return fit_regression(each, labels, ratio, weight / weight.mean())
 
 
 def _scores(model: Model):

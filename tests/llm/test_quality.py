@@ -81,3 +81,32 @@ def test_edge_rows(spark):
     assert blank[70] == blank[71]
     assert {r.score for r in Q.score(table, labels.limit(0)).collect()} == {1.0}
     assert Q.score(table.limit(0), labels).count() == 0
+
+
+def test_repeated_rows_are_learned_from(spark):
+    docs = spark.createDataFrame([(1, "#### $$$ buy buy buy !!!\n%% %%"), (2, "A quiet day by the sea.\nWe read.")] * 20_000, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
+    out = Q.score(docs, labels).selectExpr("doc.doc_id", "score AS s").distinct().collect()
+    scores = {r.doc_id: r.s for r in out}
+    assert scores[2] > 0.8 and scores[1] < 0.2
+
+
+def test_copies_count_as_rows(spark):
+    rng = np.random.default_rng(2)
+    texts = ["\n".join("x" * int(n) for n in rng.integers(0, 30, 4)) for _ in range(12)]
+    labels, copies = (rng.random(12) < 0.5).astype(int), rng.integers(1, 4, 12)
+    x, _, first = Q.line_features(texts)
+    again, _, many = Q.line_features([t for t, c in zip(texts, copies, strict=True) for _ in range(c)])
+    one, other = Q.fit(x, first, labels, copies.astype(float)), Q.fit(again, many, np.repeat(labels, copies))
+    assert np.allclose(one.odds(x), other.odds(x), atol=1e-3) and np.allclose(one.link, other.link, atol=1e-3)
+
+
+def test_lines_of_the_sample_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(Q, "SAMPLE_LINES", 200)
+    docs = [(i, ("###\n" if i % 2 else "Good words here.\n") * (i % 9 + 1)) for i in range(1, 120)] + [(500, "###\n" * 5_000)]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i, _ in docs], "doc_id long, quality int")
+    seen = {}
+    plain = Q.fit
+    monkeypatch.setattr(Q, "fit", lambda x, *rest: seen.update(lines=len(x)) or plain(x, *rest))
+    Q.score(spark.createDataFrame(docs, "doc_id long, text string"), labels)
+    assert 100 < seen["lines"] <= 200

@@ -66,3 +66,37 @@ def test_edge_rows(spark):
     assert kept.columns == table.columns and kept.where("text LIKE '%scum%'").count() == 0
     assert T.keep_clean(table, labels.limit(0)).count() == len(docs)
     assert T.score(table.limit(0), labels).count() == 0
+
+
+def copied(spark):
+    """40,000 labelled rows of both classes, two documents."""
+    docs = [(1, "you scum of the earth"), (2, "a fine and quiet day")] * 20_000
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, toxic int, quality int")
+
+
+def test_repeated_rows_are_learned_from(spark):
+    docs, labels = copied(spark)
+    scores = {r.doc_id: r.s for r in T.score(docs, labels).select("doc.doc_id", F.col("score").alias("s")).distinct().collect()}
+    assert scores[1] > 0.9 and scores[2] < 0.1
+
+
+def test_copies_are_weights(spark):
+    """A fit on copies is the fit on rows with weights, by plain descent."""
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 12, 5)) for _ in range(40)]
+    labels = (rng.random(40) < 0.4).astype(float)
+    copies = rng.integers(1, 5, 40)
+    ratio = np.zeros(T.BUCKETS)
+    ratio[:12] = rng.normal(size=12)
+    weighted = T.fit_regression(list(rows), labels, ratio, copies / copies.mean())
+    repeated = T.fit_regression([r for r, c in zip(rows, copies, strict=True) for _ in range(c)], np.repeat(labels, copies), ratio)
+    assert np.allclose(weighted.weights[:12], repeated.weights[:12], atol=2e-2)
+
+
+def test_a_rare_class_is_in_the_sample(spark):
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "concat('word', id % 977, IF(id < 5, ' scum', ' fine')) AS text")
+    labels = spark.range(30_000).selectExpr("id AS doc_id", "CAST(id < 5 AS INT) AS toxic")
+    plan = T.samples.plan(T.labelled_rows(docs, labels, "toxic"), T.SAMPLE_ROWS)
+    assert plan.stretch[1] == 1.0 and plan.weight[1] < plan.weight[0] * 1.5
+    scores = T.score(docs.where("doc_id < 2000"), labels).where("doc.doc_id < 5").select("score").collect()
+    assert min(r[0] for r in scores) > 0
