@@ -8,9 +8,15 @@ becomes a WARC record: dates in ISO form, a record id from its contents, the med
 SHA-1 digests in base32, and the type ``response`` or, where another record with the same
 payload exists, ``revisit``.
 
-Archives are written by Spark as gzipped text with the record separators of the formats,
-about ``ARCHIVE_BYTES`` each before compression, and read as binary files, so any store that Spark reaches will do. A
-task holds one archive (or one larger record) at a time.
+Records of other schemes than HTTP, such as ``dns:``, become ``resource`` records with their own
+media type. A record that cannot be read is kept as a row that says why; only good rows
+are converted.
+
+Archives are written by Spark as gzipped text with the record separators of the formats. Each
+task cuts its rows into archives by a running sum of their bytes (``ARCHIVE_BYTES`` before
+compression, or one larger record), so neither copies nor a hot page gather anywhere and nothing is
+shuffled for it. Archives are read as binary files, so any store that Spark reaches will do; a
+task holds one at a time.
 """
 
 from __future__ import annotations
@@ -18,12 +24,16 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import scratch_path
 from .common import BROADCAST_ROWS, bounded, written
@@ -34,7 +44,7 @@ ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
-PAGE_FIELD = "X-Page-Id"
+PAGE_FIELD, LENGTH_FIELD = "X-Page-Id", "X-Payload-Length"
 
 
 def _header_url(url: Column) -> Column:
@@ -45,15 +55,48 @@ def _header_url(url: Column) -> Column:
     return F.when(safe == "", F.lit("about:blank")).otherwise(safe)
 
 
+def _dealt(sizes: str, archive_bytes: int):
+    """Add (archive, place): archives are cut where the bytes of a task's rows reach the limit.
+
+    A row larger than the limit has an archive of its own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive, filled, place = 0, 0, 0
+        for batch in batches:
+            archives, places = [], []
+            for size in batch.column(batch.schema.get_field_index(sizes)).to_pylist():
+                if place and filled + size > archive_bytes:
+                    archive, filled, place = archive + 1, 0, 0
+                filled, place = filled + size, place + 1
+                archives.append(archive)
+                places.append(place)
+            parts = batch.column(batch.schema.get_field_index("part")).to_pylist()
+            numbers = [part * _ARCHIVES_OF_A_TASK + own for part, own in zip(parts, archives, strict=True)]
+            columns = [*batch.columns, pa.array(numbers, pa.int64()), pa.array(places, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "archive", "place"])
+
+    return run
+
+
+_ARCHIVES_OF_A_TASK = 1 << 24
+
+
+def _deal(rows: DataFrame, archive_bytes: int) -> DataFrame:
+    """Rows with a column ``size``, dealt to archives within the task that has them."""
+    placed = rows.withColumn("part", F.spark_partition_id().cast("long"))
+    schema = T.StructType([*placed.schema.fields]).add("archive", "long").add("place", "long")
+    return placed.mapInArrow(_dealt("size", archive_bytes), schema).drop("part", "size")
+
+
 def pages_to_arc(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write pages (page_id, url, html) as ARC files of both versions, a folder per archive.
 
     Content is an HTTP response whose header carries the page id (empty for null). Null html
-    is an empty body, a null url ``about:blank``. Pages are dealt to archives by hash.
+    is an empty body, a null url ``about:blank``. No archive exceeds ``archive_bytes``, counted with
+    500 bytes a record for its headers, unless a single record does.
     """
     page = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    total = page.agg(F.sum(F.octet_length("html") + 400)).head()[0] or 0
-    n = int(-(-total // archive_bytes)) or 1
     body = F.concat(
         F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "),
         F.octet_length("html"),
@@ -62,36 +105,40 @@ def pages_to_arc(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES
         F.lit(CRLF + CRLF),
         F.col("html"),
     )
-    records = page.select(
-        F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(n)).cast("int").alias("archive"),
-        _header_url(F.col("url")).alias("url"),
-        body.alias("body"),
-    )
-    seconds = F.lit(1_577_836_800) + F.pmod(F.xxhash64("url"), F.lit(126_230_400))
-    date = F.date_format(F.timestamp_seconds(seconds), "yyyyMMddHHmmss")
+    size = (F.octet_length("html") + F.octet_length("url") + 500).cast("long")
+    records = page.select(_header_url(F.col("url")).alias("url"), body.alias("body"), F.coalesce(size, F.lit(500)).alias("size"))
+    dealt = _deal(records, archive_bytes)
+    # Days and seconds are put together as text: no session time zone takes part.
+    day = F.date_add(F.lit("2020-01-01").cast("date"), F.pmod(F.xxhash64("url"), F.lit(1_461)).cast("int"))
+    second = F.pmod(F.xxhash64("url", F.lit(1)), F.lit(86_400))
+    clock = [F.lpad(F.floor(part).cast("string"), 2, "0") for part in (second / 3_600, second % 3_600 / 60, second % 60)]
+    date = F.concat(F.replace(day.cast("string"), F.lit("-"), F.lit("")), *clock)
     one = F.concat_ws(" ", "url", F.lit("0.0.0.0"), date, F.lit("text/html"), F.octet_length("body").cast("string"))
     two = F.concat_ws(
         " ", "url", F.lit("0.0.0.0"), date, F.lit("text/html"), F.lit("200"), F.md5("body"), F.lit("-"), F.lit("0"),
         F.concat(F.lit("a"), F.col("archive").cast("string"), F.lit(".arc")), F.octet_length("body").cast("string"),
     )
-    header = F.when(F.col("archive") % 2 == 0, one).otherwise(two)
-    records = records.select("archive", F.lit(1).alias("rank"), F.concat(header, F.lit("\n"), "body").alias("value"))
-    first = pages.sparkSession.range(n).select(F.col("id").cast("int").alias("archive"), F.lit(0).alias("rank"))
-    version = F.when(F.col("archive") % 2 == 0, F.lit("1")).otherwise(F.lit("2"))
-    fields = F.when(F.col("archive") % 2 == 0, F.lit(ARC_FIELDS[1])).otherwise(F.lit(ARC_FIELDS[2]))
-    about = F.concat(version, F.lit(" 0 Archive\n"), fields, F.lit("\n"))
-    line = F.concat_ws(" ", F.lit("filedesc://a"), F.lit("0.0.0.0"), F.lit("20200101000000"), F.lit("text/plain"))
-    rest = F.when(F.col("archive") % 2 == 0, F.lit("")).otherwise(F.lit(" 200 - - 0 a"))
-    first = first.withColumn(
-        "value", F.concat(line, rest, F.lit(" "), F.octet_length(about).cast("string"), F.lit("\n"), about)
+    even = F.col("archive") % 2 == 0
+    about = F.when(even, F.lit(_about(1))).otherwise(F.lit(_about(2)))
+    value = F.concat(
+        F.when(F.col("place") == 1, about).otherwise(F.lit("")), F.when(even, one).otherwise(two), F.lit("\n"), F.col("body")
     )
+    _write(dealt.withColumn("value", value), path, "\n")
+
+
+def _about(version: int) -> str:
+    """The record that opens an archive and names its version, with the newline that ends it."""
+    content = f"{version} 0 Archive\n{ARC_FIELDS[version]}\n"
+    rest = "" if version == 1 else " 200 - - 0 a"
+    return f"filedesc://a 0.0.0.0 20200101000000 text/plain{rest} {len(content)}\n{content}\n"
+
+
+def _write(dealt: DataFrame, path: str, line_end: str) -> None:
     (
-        records.unionByName(first)
-        .repartition(n, "archive")
-        .sortWithinPartitions("archive", "rank")
+        dealt.sortWithinPartitions("archive", "place")
         .select("archive", "value")
         .write.partitionBy("archive")
-        .option("lineSep", "\n")
+        .option("lineSep", line_end)
         .option("compression", "gzip")
         .text(path)
     )
@@ -102,29 +149,45 @@ def unpacked(data: bytes) -> bytes:
     return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
 
 
-def parse_arc(data: bytes) -> Iterator[tuple[list[str], bytes]]:
-    """(header fields, content) of each record of one ARC file but its ``filedesc``.
+def _text(data: bytes) -> str:
+    """Header bytes as text: UTF-8, or else Latin-1, which reads anything."""
+    try:
+        return data.decode()
+    except UnicodeDecodeError:
+        return data.decode("latin-1")
 
-    The version comes from the ``filedesc`` content. A header line with a wrong number of
-    fields or a content shorter than declared is an error.
+
+def parse_arc(data: bytes) -> Iterator[tuple[list[str], bytes, str | None]]:
+    """(header fields, content, error) of each record of one ARC file but its ``filedesc``.
+
+    The version comes from the ``filedesc`` content. A record with a wrong number of fields, a bad
+    date, or a content shorter than declared comes with an error and all bytes that belong to it.
+    Without a length the next record cannot be found: the rest of the file is one bad record.
     """
     at, version = 0, 1
     while at < len(data):
-        end = data.index(b"\n", at)
-        fields = data[at:end].decode().split(" ")
+        end = data.find(b"\n", at)
+        fields = _text(data[at:end]).split(" ") if end >= 0 else []
+        if not fields or not (fields[-1].isascii() and fields[-1].isdigit()):
+            yield fields, data[at:], "no declared length"
+            return
         length = int(fields[-1])
         content = data[end + 1 : end + 1 + length]
-        if len(content) != length:
-            raise ValueError("An ARC record is shorter than it declares.")
         at = end + 1 + length
         if data[at : at + 1] == b"\n":
             at += 1
         if fields[0].startswith("filedesc://"):
-            version = int(content.split(b" ", 1)[0])
+            named = content.split(b" ", 1)[0]
+            version = int(named) if named in (b"1", b"2") else 1
             continue
-        if len(fields) != (5 if version == 1 else 10):
-            raise ValueError(f"An ARC header of version {version} has {len(fields)} fields.")
-        yield fields, content
+        error = None
+        if len(content) != length:
+            error = "shorter than declared"
+        elif len(fields) != (5 if version == 1 else 10):
+            error = f"{len(fields)} header fields in version {version}"
+        elif not (len(fields[2]) == 14 and fields[2].isascii() and fields[2].isdigit()):
+            error = "bad date"
+        yield fields, content, error
 
 
 def digest32(payload: bytes) -> str:
@@ -146,79 +209,93 @@ def http_field(head: bytes, name: str) -> str | None:
 
 
 def _number(text: str | None) -> int | None:
-    return int(text) if text else None
+    """A whole number that a header declares, or null."""
+    return int(text) if text and re.fullmatch(r"-?[0-9]{1,18}", text) else None
+
+
+_ARC_COLUMNS = (
+    "record_id string, url string, date string, media_type string, page_id long, digest string, payload_bytes long,"
+    " head binary, payload binary, error string"
+)
+
+
+def _arc_row(name: str, fields: list[str], content: bytes, error: str | None) -> tuple:
+    """An ARC record as a row; HTTP messages are split, anything else is payload as a whole."""
+    url = fields[0] if fields else None
+    head, payload = split_http(content) if error is None and content[:5] == b"HTTP/" else (b"", content)
+    digest = digest32(payload)
+    record = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name} {url} {digest}')}>"
+    if error is not None:
+        return record, url, None, None, None, digest, len(payload), head, payload, error
+    day = fields[2]
+    date = f"{day[:4]}-{day[4:6]}-{day[6:8]}T{day[8:10]}:{day[10:12]}:{day[12:14]}Z"
+    page = _number(http_field(head, PAGE_FIELD))
+    return record, url, date, fields[3], page, digest, len(payload), head, payload, None
 
 
 def _arc_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [column.split()[0] for column in _ARC_COLUMNS.split(",")]
     for pdf in batches:
-        for data in pdf["content"]:
-            out = []
-            for fields, content in parse_arc(unpacked(data)):
-                head, payload = split_http(content)
-                day = fields[2]
-                date = f"{day[:4]}-{day[4:6]}-{day[6:8]}T{day[8:10]}:{day[10:12]}:{day[12:14]}Z"
-                digest = digest32(payload)
-                name = f"{fields[0]} {day} {digest} {http_field(head, PAGE_FIELD)}"
-                record = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
-                out.append(
-                    (record, fields[0], date, _number(http_field(head, PAGE_FIELD)), digest, len(payload), head, payload)
-                )
-            names = ["record_id", "url", "date", "page_id", "digest", "payload_bytes", "head", "payload"]
+        for name, data in zip(pdf["name"], pdf["content"], strict=True):
+            try:
+                records = list(parse_arc(unpacked(data)))
+            except (OSError, EOFError, zlib.error) as broken:
+                records = [([], data, f"not an archive: {broken}")]
+            # A record's place makes its id its own, also where records are equal.
+            out = [_arc_row(f"{name}#{i}", *own) for i, own in enumerate(records)]
             yield pd.DataFrame(out, columns=names).astype({"page_id": "Int64"})
 
 
 def read_arc(spark, path: str) -> DataFrame:
-    """Rows (record_id, url, date, page_id, digest, payload_bytes, head, payload) of ARC files."""
+    """One row per record of ARC files: its WARC identity and date, digest, header and payload.
+
+    ``error`` is null for a good record; a bad one has its bytes as payload. ``media_type`` is the
+    header's. Ids come from the archive's folder and name, the record's place, URL and payload.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("content").mapInPandas(
-        _arc_rows,
-        "record_id string, url string, date string, page_id long, digest string, payload_bytes long, head binary, payload binary",
-    )
+    parts = F.split("path", "/")
+    name = F.concat_ws("/", F.element_at(parts, -2), F.regexp_replace(F.element_at(parts, -1), "-c[0-9]+.*|-[0-9a-f]{8}-.*", ""))
+    return files.select(name.alias("name"), "content").mapInPandas(_arc_rows, _ARC_COLUMNS)
 
 
 def arc_to_warc(arc: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, min_bytes: int = 0) -> None:
-    """Write the WARC form of ARC rows, a folder per archive.
+    """Write the WARC form of the good ARC rows, a folder per archive.
 
-    Of records with equal payloads of at least ``min_bytes`` the one with the largest page
-    id is the response, others revisit it and hold the HTTP header only; shorter payloads
-    are all responses. Records that share the largest page id are responses all; without
-    any page id so are all. Records repeated in everything stay as many records of one id.
+    Of HTTP messages with equal payloads of at least ``min_bytes`` one is the response: that with the
+    largest page id, of equal ones (or without any) that with the largest record id. Others
+    revisit it and hold the HTTP header only; shorter payloads are all responses. Rows
+    without an HTTP header are resources with their own media type.
     """
-    facts = written(arc.select("digest", "payload_bytes", "page_id", "record_id"), "warc-facts")
-    stats = facts.agg(F.sum(F.col("payload_bytes") + 900)).head()[0] or 0
-    n = int(-(-stats // archive_bytes)) or 1
-    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "record_id"))
-    first = facts.groupBy("digest").agg(F.max(named).alias("first"), F.count("*").alias("n"))
-    first = written(first.where("n > 1 AND first IS NOT NULL").select("digest", "first.*"), "warc-firsts")
-    first = first.select("digest", F.col("page_id").alias("first_page"), F.col("record_id").alias("first_id"))
-    joined = arc.join(bounded(first, first.count(), BROADCAST_ROWS), "digest", "left")
-    revisit = (F.col("first_page") != F.col("page_id")) | (F.col("first_page").isNotNull() & F.col("page_id").isNull())
-    revisit = F.coalesce(revisit, F.lit(False)) & (F.col("payload_bytes") >= min_bytes)
-    block = F.when(F.col("revisit"), F.col("head")).otherwise(F.concat("head", "payload"))
-    crlf = F.lit(CRLF)
+    good = arc.where("error IS NULL").select("record_id", "url", "date", "media_type", "page_id", "digest", "payload_bytes", "head", "payload")
+    http = F.octet_length("head") > 0
+    facts = written(good.select("digest", "payload_bytes", "page_id", "record_id", http.alias("http")), "warc-facts")
+    facts = facts.where(F.col("http") & (F.col("payload_bytes") >= min_bytes))
+    # A struct without page id is smaller than any with one.
+    first = facts.groupBy("digest").agg(F.max(F.struct("page_id", "record_id")).alias("first"), F.count("*").alias("n"))
+    first = written(first.where("n > 1").select("digest", F.col("first.record_id").alias("first_id")), "warc-firsts")
+    joined = good.join(bounded(first, first.count(), BROADCAST_ROWS), "digest", "left")
+    revisit = http & (F.col("payload_bytes") >= min_bytes) & (F.col("first_id") != F.col("record_id"))
+    kind = F.when(~http, "resource").when(F.coalesce(revisit, F.lit(False)), "revisit").otherwise("response")
+    typed = joined.withColumn("kind", kind)
+    again = F.col("kind") == "revisit"
+    block = F.when(again, F.col("head")).otherwise(F.concat("head", "payload"))
+    media = F.when(F.col("kind") == "resource", F.col("media_type")).otherwise("application/http; msgtype=response")
     lines = F.concat(
-        F.lit(f"WARC/1.1{CRLF}WARC-Type: "), F.when(F.col("revisit"), "revisit").otherwise("response"),
+        F.lit(f"WARC/1.1{CRLF}WARC-Type: "), F.col("kind"),
         F.lit(f"{CRLF}WARC-Record-ID: "), F.col("record_id"),
         F.lit(f"{CRLF}WARC-Date: "), F.col("date"),
         F.lit(f"{CRLF}WARC-Target-URI: "), F.col("url"),
         F.lit(f"{CRLF}WARC-Payload-Digest: sha1:"), F.col("digest"),
-        F.when(F.col("revisit"), F.concat(
+        F.lit(f"{CRLF}{LENGTH_FIELD}: "), F.col("payload_bytes").cast("string"),
+        F.when(again, F.concat(
             F.lit(f"{CRLF}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}WARC-Refers-To: "),
             F.col("first_id"))).otherwise(F.lit("")),
-        F.lit(f"{CRLF}Content-Type: application/http; msgtype=response{CRLF}Content-Length: "),
+        F.lit(f"{CRLF}Content-Type: "), media, F.lit(f"{CRLF}Content-Length: "),
         F.octet_length(block), F.lit(CRLF + CRLF),
     )
-    value = F.concat(lines.cast("binary"), block, crlf.cast("binary"))
-    (
-        joined.withColumn("revisit", revisit)
-        .select(F.pmod(F.xxhash64("record_id"), F.lit(n)).cast("int").alias("archive"), value.cast("string").alias("value"))
-        .repartition(n, "archive")
-        .sortWithinPartitions("archive")
-        .write.partitionBy("archive")
-        .option("lineSep", CRLF)
-        .option("compression", "gzip")
-        .text(path)
-    )
+    value = F.concat(lines.cast("binary"), block, F.lit(CRLF).cast("binary"))
+    records = typed.select(value.cast("string").alias("value"))
+    _write(_deal(records.withColumn("size", F.octet_length("value").cast("long")), archive_bytes), path, CRLF)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -226,7 +303,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode().split(CRLF)
+        version, *lines = _text(data[at:end]).split(CRLF)
         if not version.startswith("WARC/"):
             raise ValueError("A WARC record must start with its version.")
         fields = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
@@ -243,16 +320,19 @@ def _warc_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for data in pdf["content"]:
             out = []
             for fields, block in parse_warc(unpacked(data)):
-                head, payload = split_http(block)
-                digest = fields["warc-payload-digest"].removeprefix("sha1:")
                 kind = fields["warc-type"]
-                if kind == "response" and digest32(payload) != digest:
+                head, payload = (b"", block) if kind == "resource" else split_http(block)
+                digest = fields["warc-payload-digest"].removeprefix("sha1:")
+                if kind != "revisit" and digest32(payload) != digest:
                     raise ValueError(f"{fields['warc-record-id']} does not have the payload it declares.")
-                size = len(payload) if kind == "response" else int(http_field(head, "Content-Length"))
+                # Revisits have no payload; its length stands in the record or its HTTP header, or nowhere.
+                size = len(payload)
+                if kind == "revisit":
+                    size = _number(fields.get(LENGTH_FIELD.lower()) or http_field(head, "Content-Length"))
                 page = _number(http_field(head, PAGE_FIELD))
                 out.append((fields["warc-record-id"], page, size, digest, kind, fields.get("warc-refers-to")))
             names = ["record_id", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to_id"]
-            yield pd.DataFrame(out, columns=names).astype({"page_id": "Int64"})
+            yield pd.DataFrame(out, columns=names).astype({"page_id": "Int64", "payload_bytes": "Int64"})
 
 
 def read_warc(spark, path: str) -> DataFrame:
