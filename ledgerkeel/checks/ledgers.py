@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import entries as E
-from ..operators import coherence, ledger
+from ..operators import coherence, ledger, publish
 from ..operators.ordering import ordinal
 from ..session import written
-from ..sources import status
+from ..sources import ledgers, status
 from . import inputs as I
 from .registry import check, cte
 
@@ -428,6 +428,101 @@ def ledger_state(spark: SparkSession, sf: str) -> DataFrame:
     return state_findings(spark, sf)
 
 
+# Nations whose customers, but those of HOUSEHOLD, have one fault each, so that every code occurs.
+cte(
+    "planted",
+    "SELECT c_custkey AS grp, CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 0 ELSE c_nationkey END AS plant FROM customer",
+)
+cte("unread", "SELECT grp FROM planted WHERE plant = 7 OR (plant = 8 AND grp IN (SELECT grp FROM plain_base))")
+cte("unmatched", "SELECT grp FROM planted WHERE plant IN (4, 5)")
+cte(
+    "codes_found",
+    """SELECT s.* FROM state_found s WHERE grp NOT IN (SELECT grp FROM unread) AND NOT (grp IN (SELECT grp FROM unmatched) AND (
+        code IN ('coherence-new-in-input', 'coherence-missing-from-input', 'coherence-step-index-mismatch', 'coherence-migration-digest-mismatch',
+          'coherence-checkpoint-missing', 'coherence-checkpoint-mismatch', 'coherence-step-schema-mismatch', 'coherence-chain-hash-mismatch')
+        OR detail LIKE '%, ledger steps %'))
+      AND NOT (code = 'coherence-step-index-mismatch' AND grp IN (SELECT grp FROM planted WHERE plant = 3))
+    UNION ALL SELECT grp, code, path, detail FROM state_found WHERE grp IN (SELECT grp FROM unread) AND code = 'input-orphan-checkpoint'
+    UNION ALL SELECT grp, 'lockfile-parse-error', 'schema.lock.toml', CASE plant WHEN 7 THEN 'header without head_chain_hash' ELSE 'step without payload_digest' END
+      FROM planted WHERE grp IN (SELECT grp FROM unread)
+    UNION ALL SELECT grp, 'coherence-new-in-input', entry, 'entry is not in the ledger' FROM plain_in WHERE grp IN (SELECT grp FROM unmatched)
+    UNION ALL SELECT grp, 'coherence-head-index-mismatch', 'schema.lock.toml', 'head_index ' || head_index || ', ledger steps 0'
+      FROM full_hdr WHERE grp IN (SELECT grp FROM unmatched) AND head_index <> 0
+    UNION ALL SELECT grp, 'coherence-step-version-mismatch', entry, 'version differs' FROM matched JOIN planted USING (grp) WHERE plant = 1
+    UNION ALL SELECT grp, unnest(['lockfile-duplicate-migration', 'lockfile-duplicate-step-index']), entry,
+      unnest(['entry is repeated', 'index ' || idx || ' is repeated']) FROM locked JOIN planted USING (grp) WHERE plant = 2 AND st = 'F'
+    UNION ALL SELECT grp, 'lockfile-step-index-invalid', entry, 'index ' || (idx + 1) || ' at place ' || idx FROM locked JOIN planted USING (grp) WHERE plant = 3
+    UNION ALL SELECT grp, 'coherence-step-index-mismatch', entry, 'position differs' FROM matched JOIN planted USING (grp) WHERE plant = 3 AND i1 <> i2 + 1
+    UNION ALL SELECT grp, 'lockfile-step-path-invalid', '/' || snapshot_entry, 'bad path: absolute' FROM locked JOIN planted USING (grp) WHERE plant = 4
+    UNION ALL SELECT grp, 'lockfile-migrations-path-mismatch', 'schema.lock.toml', 'migrations_dir is moves, expected migrations' FROM planted WHERE plant = 5
+    UNION ALL SELECT grp, 'lockfile-step-path-mismatch', entry, 'not under moves/' FROM locked JOIN planted USING (grp) WHERE plant = 5
+    UNION ALL SELECT grp, 'lockfile-schema-path-mismatch', 'schema.lock.toml', 'schema_file is other.sql, expected schema.sql' FROM planted WHERE plant = 6
+    UNION ALL SELECT grp, 'input-path-invalid', '/abs.sql', 'bad path: absolute' FROM planted WHERE plant = 9
+    UNION ALL SELECT grp, 'input-path-duplicate', entry, 'repeats the path of an earlier entry' FROM plain_in JOIN planted USING (grp) WHERE plant = 10 AND st = 'F'""",
+)
+
+
+def _planted_state(spark: SparkSession, sf: str) -> DataFrame:
+    locked = written(I.locked_steps(spark, sf), "locked")
+    headers = I.full_headers(spark, sf, locked)
+    nation = F.when(F.col("c_mktsegment") == "HOUSEHOLD", 0).otherwise(F.col("c_nationkey"))
+    plants = I.table(spark, sf, "customer").select(F.col("c_custkey").alias("grp"), nation.alias("plant"))
+    plant = F.col("plant")
+
+    def fault(number: int, name: str, value) -> Column:
+        return F.when(plant == number, value).otherwise(F.col(name)).alias(name)
+
+    stored = locked.join(plants, "grp")
+    changed = {
+        "version": fault(1, "version", F.lit("x")),
+        "idx": fault(3, "idx", F.col("idx") + 1),
+        "snapshot_entry": fault(4, "snapshot_entry", F.concat(F.lit("/"), "snapshot_entry")),
+        "payload_digest": F.when((plant == 8) & (F.col("idx") == 1), F.lit(None)).otherwise(F.col("payload_digest")).alias("payload_digest"),
+    }
+    rows = stored.select(*[changed.get(c, F.col(c)) for c in locked.columns])
+    filled = I.table(spark, sf, "orders").where(F.col("o_orderstatus") == "F")
+    filled = filled.select(F.col("o_custkey").alias("grp"), I._entry("migrations/").alias("entry"))
+    again = stored.where(plant == 2).join(filled, ["grp", "entry"], "left_semi").withColumn("pos", F.col("pos") + 1_000_000)
+    rows = rows.unionByName(again.select(*locked.columns))
+
+    changed = {
+        "migrations_dir": fault(5, "migrations_dir", F.lit("moves")),
+        "schema_file": fault(6, "schema_file", F.lit("other.sql")),
+        "head_chain_hash": F.when(plant == 7, F.lit(None)).otherwise(F.col("head_chain_hash")).alias("head_chain_hash"),
+    }
+    tops = headers.join(plants, "grp").select(*[changed.get(c, F.col(c)) for c in headers.columns])
+
+    entries = I.input_entries(spark, sf)
+    outside = plants.where(plant == 9).select("grp", F.lit("/abs.sql").alias("entry"), F.lit("x").alias("payload"))
+    doubled = entries.join(plants.where(plant == 10), "grp").join(filled, ["grp", "entry"], "left_semi")
+    doubled = doubled.select("grp", F.concat(F.lit("./"), "entry").alias("entry"), "payload")
+    given = entries.unionByName(outside).unionByName(doubled)
+    return coherence.ledger_state(given, I.snapshots(spark, sf), I.heads(spark, sf), tops, rows)[2]
+
+
+@check("ledger_state_codes", "SELECT * FROM codes_found")
+def ledger_state_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """A state in which every code occurs."""
+    return _planted_state(spark, sf)
+
+
+@check("stored_ledgers", "SELECT grp, idx, entry, snapshot_entry, chain_hash, grp IN (SELECT grp FROM planted WHERE plant = 7) AS unreadable FROM locked")
+def stored_ledgers(spark: SparkSession, sf: str) -> DataFrame:
+    """Ledgers published as text and read back; the headers of one nation are torn."""
+    locked = written(I.locked_steps(spark, sf), "locked")
+    lines = publish.ledger_lines(I.full_headers(spark, sf, locked), locked.drop("pos"))
+    torn = I.table(spark, sf, "customer").where((F.col("c_nationkey") == 7) & (F.col("c_mktsegment") != "HOUSEHOLD"))
+    torn = torn.select(F.col("c_custkey").alias("grp"), F.lit(True).alias("_torn"))
+    broken = lines.join(torn, "grp", "left").withColumn(
+        "payload", F.when(F.col("_torn") & F.endswith("entry", F.lit("header.json")), F.substring("payload", 1, 40)).otherwise(F.col("payload"))
+    )
+    _, steps, unreadable = ledgers.stored_ledgers(broken.select("grp", "entry", "payload"))
+    bad = unreadable.select("grp").distinct().withColumn("_bad", F.lit(True))
+    return steps.join(bad, "grp", "left").select(
+        "grp", "idx", "entry", "snapshot_entry", "chain_hash", F.col("_bad").isNotNull().alias("unreadable")
+    )
+
+
 @check("fatal_diagnostics", f"SELECT * FROM state_found WHERE {FATAL}")
 def fatal_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
     return coherence.fatal_diagnostics(state_findings(spark, sf))

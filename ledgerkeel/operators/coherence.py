@@ -7,11 +7,15 @@ payload_digest, snapshot_entry, snapshot_digest, schema_digest, chain_hash.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.digests import text_digest
-from ..functions.entries import entry_error, entry_value
+from ..functions.entries import companion_entry, entry_error, entry_value, version_of
 from ..functions.sections import valid_text
 from ..session import written
 from . import findings as codes
@@ -36,8 +40,10 @@ def _differs(name: Column, expected: str | int) -> Column:
     return ~name.eqNullSafe(F.lit(expected))
 
 
-def check_header(headers: DataFrame, policy: LedgerPolicy = DEFAULT_POLICY) -> DataFrame:
-    """Header fields that differ from the policy."""
+At = Callable[[str], Column]
+
+
+def _header_rules(at: At, policy: LedgerPolicy) -> list[Column]:
     fields = (
         ("lock_version", policy.lock_version, codes.LOCKFILE_VERSION_MISMATCH),
         ("hash_algorithm", policy.hash_algorithm, codes.LOCKFILE_HASH_ALGORITHM_MISMATCH),
@@ -46,25 +52,44 @@ def check_header(headers: DataFrame, policy: LedgerPolicy = DEFAULT_POLICY) -> D
         ("migrations_dir", policy.migrations_dir, codes.LOCKFILE_MIGRATIONS_PATH_MISMATCH),
         ("checkpoints_dir", policy.checkpoints_dir, codes.LOCKFILE_CHECKPOINTS_PATH_MISMATCH),
     )
-    checks = [
+    return [
         _when(
-            _differs(F.col(name), wanted),
+            _differs(at(name), wanted),
             code,
             F.lit(codes.LEDGER_FILE),
-            F.concat(F.lit(f"{name} is "), F.coalesce(F.col(name).cast("string"), F.lit("null")), F.lit(f", expected {wanted}")),
+            F.concat(F.lit(f"{name} is "), F.coalesce(at(name).cast("string"), F.lit("null")), F.lit(f", expected {wanted}")),
         )
         for name, wanted, code in fields
     ]
-    return _explode(headers, checks)
+
+
+def check_header(headers: DataFrame, policy: LedgerPolicy = DEFAULT_POLICY) -> DataFrame:
+    """Header fields that differ from the policy."""
+    return _explode(headers, _header_rules(F.col, policy))
+
+
+def _group_rules(at: At) -> list[Column]:
+    detail = F.concat(F.lit("ledger target is "), at("target"))
+    wrong = ~at("target").eqNullSafe(F.col("grp").cast("string"))
+    return [_when(wrong, codes.COHERENCE_TARGET_MISMATCH, F.lit(codes.LEDGER_FILE), detail)]
 
 
 def check_group(headers: DataFrame) -> DataFrame:
     """Headers whose target is not the group they are stored for."""
-    detail = F.concat(F.lit("ledger target is "), F.col("target"))
-    wrong = ~F.col("target").eqNullSafe(F.col("grp").cast("string"))
-    return _explode(
-        headers, [_when(wrong, codes.COHERENCE_TARGET_MISMATCH, F.lit(codes.LEDGER_FILE), detail)]
-    )
+    return _explode(headers, _group_rules(F.col))
+
+
+def _head_digest_rules(at: At, digest: Column, policy: LedgerPolicy) -> list[Column]:
+    path = F.lit(policy.schema_file)
+    return [
+        _when(digest.isNull(), codes.INPUT_SCHEMA_MISSING, path, "head snapshot is missing"),
+        _when(
+            digest.isNotNull() & ~digest.eqNullSafe(at("head_schema_digest")),
+            codes.COHERENCE_SCHEMA_DIGEST_MISMATCH,
+            path,
+            "head snapshot differs from the header digest",
+        ),
+    ]
 
 
 def check_head_digest(
@@ -75,19 +100,7 @@ def check_head_digest(
         "grp", text_digest(valid_text(F.col("payload")), policy.hash_algorithm).alias("_digest")
     )
     joined = headers.select("grp", "head_schema_digest").join(digests, "grp", "left")
-    path = F.lit(policy.schema_file)
-    return _explode(
-        joined,
-        [
-            _when(F.col("_digest").isNull(), codes.INPUT_SCHEMA_MISSING, path, "head snapshot is missing"),
-            _when(
-                F.col("_digest").isNotNull() & ~F.col("_digest").eqNullSafe(F.col("head_schema_digest")),
-                codes.COHERENCE_SCHEMA_DIGEST_MISMATCH,
-                path,
-                "head snapshot differs from the header digest",
-            ),
-        ],
-    )
+    return _explode(joined, _head_digest_rules(F.col, F.col("_digest"), policy))
 
 
 def undecodable_snapshots(
@@ -139,15 +152,18 @@ def compare_steps(steps: DataFrame, locked: DataFrame) -> DataFrame:
     )
     own = steps.select("grp", "entry", F.struct(*[c for c in steps.columns if c not in ("grp", "entry")]).alias("s"))
     joined = own.join(stored, ["grp", "entry"])
-    stored_, step = F.col("l"), F.col("s")
-    entry, companion = F.col("entry"), step["snapshot_entry"]
+    return _explode(joined, _step_rules(F.col("s"), F.col("l"), F.col("entry")))
+
+
+def _step_rules(step: Column, stored: Column, entry: Column) -> list[Column]:
+    """Differences of a matched step."""
+    companion = step["snapshot_entry"]
 
     def unequal(name: str) -> Column:
-        return ~stored_[name].eqNullSafe(step[name])
+        return ~stored[name].eqNullSafe(step[name])
 
     present = step["snapshot_digest"].isNotNull()
-
-    checks = [
+    return [
         _when(unequal("idx"), codes.COHERENCE_STEP_INDEX_MISMATCH, entry, "position differs"),
         _when(unequal("version"), codes.COHERENCE_STEP_VERSION_MISMATCH, entry, "version differs"),
         _when(
@@ -156,24 +172,18 @@ def compare_steps(steps: DataFrame, locked: DataFrame) -> DataFrame:
         _when(
             unequal("snapshot_entry"), codes.COHERENCE_CHECKPOINT_MISMATCH, companion, "snapshot path differs"
         ),
-        _when(
-            step["snapshot_digest"].isNull(),
-            codes.COHERENCE_CHECKPOINT_MISSING,
-            companion,
-            "snapshot is missing",
-        ),
+        _when(~present, codes.COHERENCE_CHECKPOINT_MISSING, companion, "snapshot is missing"),
         _when(
             present & unequal("snapshot_digest"), codes.COHERENCE_CHECKPOINT_MISMATCH, companion, "snapshot differs"
         ),
         _when(
-            present & ~stored_["schema_digest"].eqNullSafe(step["snapshot_digest"]),
+            present & ~stored["schema_digest"].eqNullSafe(step["snapshot_digest"]),
             codes.COHERENCE_STEP_SCHEMA_MISMATCH,
             companion,
             "stored schema digest differs from the snapshot",
         ),
         _when(unequal("chain_hash"), codes.COHERENCE_CHAIN_HASH_MISMATCH, entry, "chain differs"),
     ]
-    return _explode(joined, checks)
 
 
 def check_ledger_paths(
@@ -194,6 +204,15 @@ def check_ledger_paths(
         )
         locked = locked.join(named, "grp", "left")
         folders = {name: F.coalesce(F.col(f"_{name}_dir"), folder) for name, folder in folders.items()}
+    inside, checks = _path_rules(folders)
+    kept = locked.where(inside).select(
+        *[entry_value(F.col(c)).alias(c) if c in folders else F.col(c) for c in columns]
+    )
+    return kept, _explode(locked.where(~inside), checks)
+
+
+def _path_rules(folders: dict[str, Column]) -> tuple[Column, list[Column]]:
+    """Whether all paths of a stored step are valid and inside, and the findings if not."""
     names = tuple(folders.items())
     all_valid, all_inside = F.lit(True), F.lit(True)
     for name, folder in names:
@@ -220,10 +239,7 @@ def check_ledger_paths(
                 F.concat(F.lit("not under "), folder, F.lit("/")),
             )
         )
-    kept = locked.where(all_inside).select(
-        *[entry_value(F.col(c)).alias(c) if c in folders else F.col(c) for c in columns]
-    )
-    return kept, _explode(locked.where(~all_inside), checks)
+    return all_inside, checks
 
 
 def duplicate_ledger_steps(locked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -254,9 +270,9 @@ def ledger_scan(
     return kept, path_findings.unionByName(duplicate_findings)
 
 
-def check_sequential(locked: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def check_sequential(locked: DataFrame, hot_rows: int = HOT_ROWS, largest: int | None = None) -> DataFrame:
     """Surviving steps whose index is not their 1-based place in ledger order."""
-    placed = ordinal(locked.select("grp", "pos", "idx", "entry"), ["grp"], ["pos"], "_place", hot_rows)
+    placed = ordinal(locked.select("grp", "pos", "idx", "entry"), ["grp"], ["pos"], "_place", hot_rows, largest)
     detail = F.concat(
         F.lit("index "), F.col("idx").cast("string"), F.lit(" at place "), F.col("_place").cast("string")
     )
@@ -279,38 +295,75 @@ def check_head(
         F.count("*").alias("_own"), F.max_by("chain_hash", "idx").alias("_chain")
     )
     joined = headers.join(stored, "grp", "left").join(own, "grp", "left")
-    n_stored, n_own = F.coalesce("_stored", F.lit(0)), F.coalesce("_own", F.lit(0))
-    chain = F.coalesce("_chain", ledger.seed_of(F.col("engine"), F.col("target"), policy))
+    return _explode(joined, _head_rules(F.col, F.col("_stored"), F.col("_own"), F.col("_chain"), policy))
+
+
+def _head_rules(at: At, stored: Column, own: Column, last: Column, policy: LedgerPolicy) -> list[Column]:
+    n_stored, n_own = F.coalesce(stored, F.lit(0)), F.coalesce(own, F.lit(0))
+    chain = F.coalesce(last, ledger.seed_of(at("engine"), at("target"), policy))
     path = F.lit(codes.LEDGER_FILE)
 
     def counted(what: str, number: Column) -> Column:
         return F.concat(
-            F.lit("head_index "), F.coalesce(F.col("head_index").cast("string"), F.lit("null")), F.lit(f", {what} "), number.cast("string")
+            F.lit("head_index "), F.coalesce(at("head_index").cast("string"), F.lit("null")), F.lit(f", {what} "), number.cast("string")
         )
 
-    return _explode(
-        joined,
-        [
-            _when(
-                ~F.col("head_index").eqNullSafe(n_stored),
-                codes.COHERENCE_HEAD_INDEX_MISMATCH,
-                path,
-                counted("ledger steps", n_stored),
-            ),
-            _when(
-                ~F.col("head_index").eqNullSafe(n_own),
-                codes.COHERENCE_HEAD_INDEX_MISMATCH,
-                path,
-                counted("input entries", n_own),
-            ),
-            _when(
-                ~F.col("head_chain_hash").eqNullSafe(chain),
-                codes.COHERENCE_HEAD_CHAIN_MISMATCH,
-                path,
-                "head chain differs from the recomputed one",
-            ),
-        ],
+    def index_differs(what: str, number: Column) -> Column:
+        differs = ~at("head_index").eqNullSafe(number)
+        return _when(differs, codes.COHERENCE_HEAD_INDEX_MISMATCH, path, counted(what, number))
+
+    return [
+        index_differs("ledger steps", n_stored),
+        index_differs("input entries", n_own),
+        _when(
+            ~at("head_chain_hash").eqNullSafe(chain),
+            codes.COHERENCE_HEAD_CHAIN_MISMATCH,
+            path,
+            "head chain differs from the recomputed one",
+        ),
+    ]
+
+
+#: Fields without which a stored header, or a stored step, cannot be read.
+HEADER_FIELDS = (
+    "lock_version", "hash_algorithm", "canonicalizer", "engine", "target", "schema_file", "migrations_dir",
+    "checkpoints_dir", "head_index", "head_chain_hash", "head_schema_digest",
+)
+STEP_FIELDS = (
+    "idx", "version", "entry", "payload_digest", "chain_hash", "snapshot_entry", "snapshot_digest", "schema_digest",
+)
+
+
+def _first_null(fields: tuple[str, ...]) -> Column:
+    return F.coalesce(*[F.when(F.col(name).isNull(), F.lit(name)) for name in fields])
+
+
+def stored_groups(headers: DataFrame, locked: DataFrame, unreadable: DataFrame | None = None) -> DataFrame:
+    """DataFrame[grp, header, reason]: one row per group that has a header or an unreadable part.
+
+    ``reason`` is null for a readable ledger. A header repeated for a group, a header or step with a
+    null in a required field, or a row of ``unreadable`` (grp, reason; ``sources.ledgers`` finds those
+    in stored text) makes the whole ledger of its group unreadable: ``header`` is null then,
+    and the ledger counts as absent. Steps of a group without any header stay what they are.
+    """
+    fields = F.struct(*[F.col(c) for c in HEADER_FIELDS]).alias("header")
+    none = F.lit(None).cast(T.StringType())
+    wrong = F.concat(F.lit("header without "), _first_null(HEADER_FIELDS))
+    parts = headers.select("grp", fields, F.lit(1).alias("n"), wrong.alias("reason"))
+    empty = F.lit(None).cast(parts.schema["header"].dataType).alias("header")
+
+    def only(df: DataFrame, reason: Column) -> DataFrame:
+        return df.select("grp", empty, F.lit(0).alias("n"), reason.alias("reason"))
+
+    torn = locked.where(_first_null(STEP_FIELDS).isNotNull())
+    parts = parts.unionByName(only(torn, F.concat(F.lit("step without "), _first_null(STEP_FIELDS))))
+    if unreadable is not None:
+        parts = parts.unionByName(only(unreadable, F.col("reason")))
+    grouped = parts.groupBy("grp").agg(
+        F.first("header", ignorenulls=True).alias("header"), F.sum("n").alias("n"), F.min("reason").alias("reason")
     )
+    reason = F.when(F.col("n") > 1, F.lit("header is repeated")).otherwise(F.coalesce("reason", none))
+    return grouped.select("grp", F.when(reason.isNull(), F.col("header")).alias("header"), reason.alias("reason"))
 
 
 def ledger_state(
@@ -321,43 +374,200 @@ def ledger_state(
     locked: DataFrame,
     policy: LedgerPolicy = DEFAULT_POLICY,
     position: str | None = None,
+    unreadable: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(steps, usable stored steps, all findings) of every group.
 
-    The step findings concern groups that have a ledger; the input findings all.
+    The step findings concern groups that have a readable ledger (``stored_groups``); the input findings
+    all. Stored steps are judged once, input steps are aligned with their snapshots by one
+    outer join and with the stored steps by a second one, and all rules of a pair are one
+    array; what concerns a whole group comes together in one aggregate.
     """
-    largest = largest_group(entries, ["grp"])
-    kept, entry_findings = ledger.filter_entries(
+    groups = written(stored_groups(headers, locked, unreadable), "groups")
+    largest = _largest_of(entries, locked)
+    judged = written(_judged_steps(locked, groups, policy), "judged")
+    usable = judged.where(F.size("_problems") == 0).select(*locked.columns)
+    kept, rejected = ledger.judged_entries(
         ledger.digested_entries(entries, policy), policy.migrations_dir, position
     )
-    kept_snapshots, snapshot_findings = ledger.filter_entries(
+    snapshots_kept, snapshots_rejected = ledger.judged_entries(
         ledger.digested_snapshots(snapshots, policy), policy.checkpoints_dir, position
     )
-    usable, scan_findings = ledger_scan(locked, policy, headers)
-    # Both are narrow (paths and digests) and read by several checks below.
-    usable = written(usable, "usable")
-    kept_snapshots = written(kept_snapshots, "snapshots")
-    steps = written(ledger.build_steps(kept, kept_snapshots, headers, policy, largest=largest), "steps")
+    sided = written(_with_snapshots(_chained(kept, groups, policy, largest), snapshots_kept), "sided")
+    steps = sided.where(F.col("step").isNotNull()).select("grp", *[f"step.{c}" for c in _STEP_COLUMNS])
     found = union_all(
         [
-            scan_findings,
-            entry_findings,
-            snapshot_findings,
-            undecodable_snapshots(steps, kept_snapshots, heads, policy),
-            check_header(headers, policy),
-            check_group(headers),
-            check_head_digest(headers, heads, policy),
-            orphan_snapshots(steps, kept_snapshots),
-            check_sequential(usable),
-            check_head(headers, usable, steps, policy),
-            new_in_input(steps, usable, headers),
-            compare_steps(steps, usable),
-            missing_from_input(steps, usable),
+            judged.select("grp", F.inline("_problems")),
+            check_sequential(usable, largest=largest),
+            rejected,
+            snapshots_rejected,
+            _repeated_inputs(sided),
+            _aligned(sided, usable),
+            _of_groups(groups, heads, sided, usable, policy),
         ]
     )
     return steps, usable, found
 
 
+_STEP_COLUMNS = ("idx", "version", "entry", "payload_digest", "snapshot_entry", "snapshot_digest", "chain_hash")
+
+
+def _largest_of(*frames: DataFrame) -> int:
+    """Rows of the largest group in any frame, in one job."""
+    tagged = [df.select("grp", F.lit(i).alias("of")) for i, df in enumerate(frames)]
+    return largest_group(union_all(tagged), ["of", "grp"])
+
+
+def _judged_steps(locked: DataFrame, groups: DataFrame, policy: LedgerPolicy) -> DataFrame:
+    """Stored steps of readable ledgers with normalised paths and an array ``_problems``."""
+    named = groups.select(
+        "grp",
+        F.col("header.migrations_dir").alias("_entry_dir"),
+        F.col("header.checkpoints_dir").alias("_snapshot_entry_dir"),
+        F.col("reason").alias("_reason"),
+    )
+    rows = locked.join(named, "grp", "left").where(F.col("_reason").isNull())
+    folders = {
+        "entry": F.coalesce("_entry_dir", F.lit(policy.migrations_dir)),
+        "snapshot_entry": F.coalesce("_snapshot_entry_dir", F.lit(policy.checkpoints_dir)),
+    }
+    inside, checks = _path_rules(folders)
+    paths = [F.when(inside, entry_value(F.col(c))).otherwise(F.col(c)).alias(c) if c in folders else F.col(c) for c in locked.columns]
+    placed = rows.select(*paths, inside.alias("_inside"), F.when(~inside, F.array_compact(F.array(*checks))).alias("_paths"))
+    again = _with_first(_with_first(placed, "entry"), "idx")
+    index = F.concat(F.lit("index "), F.col("idx").cast("string"), F.lit(" is repeated"))
+    repeated = [
+        _when(F.col("pos") > F.col("_first_entry"), codes.LOCKFILE_DUPLICATE_MIGRATION, F.col("entry"), "entry is repeated"),
+        _when(F.col("pos") > F.col("_first_idx"), codes.LOCKFILE_DUPLICATE_STEP_INDEX, F.col("entry"), index),
+    ]
+    problems = F.coalesce("_paths", F.array_compact(F.array(*repeated)))
+    return again.select(*locked.columns, problems.alias("_problems"))
+
+
+def _with_first(placed: DataFrame, name: str) -> DataFrame:
+    """Add ``_first_<name>``: the first position that shares the value, null if no other row does."""
+    first = (
+        placed.where("_inside")
+        .groupBy("grp", F.col(name).alias("_value"))
+        .agg(F.min("pos").alias(f"_first_{name}"), F.count("*").alias("_copies"))
+        .where(F.col("_copies") > 1)
+        .select(F.col("grp").alias("_of"), "_value", f"_first_{name}")
+    )
+    same = F.col("grp").eqNullSafe(F.col("_of")) & F.col(name).eqNullSafe(F.col("_value")) & F.col("_inside")
+    return placed.join(first, same, "left").drop("_of", "_value")
+
+
+def _chained(kept: DataFrame, groups: DataFrame, policy: LedgerPolicy, largest: int) -> DataFrame:
+    """Input steps with their chain under the stored header's seed, and whether there is one."""
+    placed = ordinal(kept, ["grp"], ["entry"], "idx", largest=largest)
+    steps = placed.select(
+        "grp", "idx", version_of(F.col("entry")).alias("version"), "entry", "payload_digest",
+        companion_entry(F.col("entry"), policy.migrations_dir, policy.checkpoints_dir).alias("snapshot_entry"), "copies",
+    )
+    stored = groups.select("grp", "header")
+    seeded = steps.join(stored, "grp", "left").withColumns(
+        {
+            "engine": F.coalesce("header.engine", F.lit("")),
+            "target": F.coalesce("header.target", F.col("grp").cast("string")),
+            "has_ledger": F.col("header").isNotNull(),
+        }
+    )
+    return ledger.chain_hash(seeded.drop("header"), policy, largest=largest).drop("engine", "target")
+
+
+def _with_snapshots(steps: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """DataFrame[grp, step, has_ledger, snapshot, copies, snapshot_copies]: steps and snapshots side by side.
+
+    ``step`` is null for a snapshot of no step, ``snapshot`` (a path) for a step without one.
+    """
+    own = snapshots.select(
+        F.col("grp").alias("_of"), F.col("entry").alias("snapshot"), "snapshot_digest", F.col("copies").alias("snapshot_copies")
+    )
+    same = (F.col("grp") == F.col("_of")) & (F.col("snapshot_entry") == F.col("snapshot"))
+    joined = steps.join(own, same, "full_outer")
+    step = F.when(F.col("entry").isNotNull(), F.struct(*[F.col(c) for c in _STEP_COLUMNS]))
+    return joined.select(
+        F.coalesce("grp", "_of").alias("grp"), step.alias("step"), "has_ledger", "snapshot", "copies", "snapshot_copies"
+    )
+
+
+def _repeated_inputs(sided: DataFrame) -> DataFrame:
+    """A finding for every row beyond the first that a path stands for."""
+    both = F.array(
+        F.struct(F.col("step.entry").alias("path"), F.col("copies").alias("n")),
+        F.struct(F.col("snapshot").alias("path"), F.col("snapshot_copies").alias("n")),
+    )
+    repeated = sided.select("grp", F.inline(F.filter(both, lambda x: x["n"] > 1)))
+    # Two bounded steps, so that a path with very many rows needs no array of that length.
+    chunk = 1 << 16
+    parts = repeated.select("grp", "path", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 2) / chunk))).alias("part"), "n")
+    size = F.least(F.lit(chunk), F.col("n") - 1 - F.col("part") * chunk)
+    each = parts.select("grp", "path", F.explode(F.array_repeat(F.lit(0), size.cast("int"))).alias("_"))
+    return _labelled(each, codes.INPUT_PATH_DUPLICATE, "path", "repeats the path of an earlier entry")
+
+
+def _aligned(sided: DataFrame, usable: DataFrame) -> DataFrame:
+    """All rules about a step, its snapshot and its stored form."""
+    stored = usable.select(
+        F.col("grp").alias("_of"), F.col("entry").alias("_entry"),
+        F.struct(*[F.col(c) for c in usable.columns if c not in ("grp", "entry")]).alias("stored"),
+    )
+    same = (F.col("grp") == F.col("_of")) & (F.col("step.entry") == F.col("_entry"))
+    joined = sided.join(stored, same, "full_outer").select(
+        F.coalesce("grp", "_of").alias("grp"), "step", "has_ledger", "snapshot", "stored",
+        F.coalesce("step.entry", "_entry").alias("entry"),
+    )
+    step, kept = F.col("step"), F.col("stored")
+    lone = step.isNull() & kept.isNull()
+    undecodable = step.isNotNull() & F.col("snapshot").isNotNull() & step["snapshot_digest"].isNull()
+    rules = [
+        _when(lone, codes.INPUT_ORPHAN_CHECKPOINT, F.col("snapshot"), "snapshot belongs to no entry"),
+        _when(undecodable, codes.INPUT_PATH_INVALID, F.col("snapshot"), "not UTF-8"),
+        _when(
+            step.isNotNull() & kept.isNull() & F.col("has_ledger"), codes.COHERENCE_NEW_IN_INPUT, F.col("entry"), "entry is not in the ledger"
+        ),
+        _when(step.isNull() & kept.isNotNull(), codes.COHERENCE_MISSING_FROM_INPUT, F.col("entry"), "ledger entry is not in the input"),
+        *[F.when(step.isNotNull() & kept.isNotNull(), rule) for rule in _step_rules(step, kept, F.col("entry"))],
+    ]
+    return _explode(joined, rules)
+
+
+def _of_groups(
+    groups: DataFrame, heads: DataFrame, sided: DataFrame, usable: DataFrame, policy: LedgerPolicy
+) -> DataFrame:
+    """All rules about a header, its head snapshot and the numbers of steps, from one aggregate by group."""
+    digest = text_digest(valid_text(F.col("payload")), policy.hash_algorithm)
+    bad_text = ~F.is_valid_utf8(F.col("payload").cast("string"))
+    own = sided.where(F.col("step").isNotNull()).groupBy("grp").agg(
+        F.count("*").alias("_own"), F.max_by("step.chain_hash", "step.idx").alias("_chain")
+    )
+    parts = [
+        groups,
+        heads.select("grp", digest.alias("_digest"), bad_text.alias("_bad_head")),
+        own,
+        usable.groupBy("grp").agg(F.count("*").alias("_stored")),
+    ]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    names = [c for c in every.columns if c != "grp"]
+    merged = every.groupBy("grp").agg(*[F.first(c, ignorenulls=True).alias(c) for c in names])
+    header = F.col("header")
+
+    def at(name: str) -> Column:
+        return header[name]
+
+    rules = [
+        *_header_rules(at, policy),
+        *_group_rules(at),
+        *_head_digest_rules(at, F.col("_digest"), policy),
+        *_head_rules(at, F.col("_stored"), F.col("_own"), F.col("_chain"), policy),
+    ]
+    always = [
+        _when(F.col("reason").isNotNull(), codes.LOCKFILE_PARSE_ERROR, F.lit(codes.LEDGER_FILE), F.col("reason")),
+        _when(F.coalesce("_bad_head", F.lit(False)), codes.INPUT_PATH_INVALID, F.lit(policy.schema_file), "not UTF-8"),
+    ]
+    return _explode(merged, [*always, *[F.when(header.isNotNull(), rule) for rule in rules]])
+
+
 def is_clean(groups: DataFrame, found: DataFrame) -> DataFrame:
     """DataFrame[grp, findings, is_clean]: clean means no finding at all."""
     counts = found.groupBy("grp").agg(F.count("*").alias("_n"))

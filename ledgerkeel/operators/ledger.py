@@ -94,16 +94,9 @@ def filter_entries(
     The winner is found by an aggregate, so very many copies of one path shrink
     before the shuffle.
     """
-    content = [c for c in entries.columns if c not in ("grp", "entry", position)]
+    counted, rejected = judged_entries(entries, required_dir, position)
+    kept = counted.drop("copies")
     good = entries.where(entry_within(F.col("entry"), required_dir, ENTRY_SUFFIX))
-    winner = F.min_by(F.struct("arrival", *content), "arrival").alias("_row")
-    kept = (
-        _named_entries(good, position, content)
-        .groupBy("grp", "path")
-        .agg(winner)
-        .select("grp", F.col("path").alias("entry"), *[f"_row.{c}" for c in content])
-    )
-    rejected = _rejected_entries(entries, required_dir)
     repeated = repeats(_named_entries(good, position, []), ["grp", "path"], "arrival", "first").select(
         "grp",
         F.lit(codes.INPUT_PATH_DUPLICATE).alias("code"),
@@ -113,6 +106,23 @@ def filter_entries(
     return kept, rejected.unionByName(repeated)
 
 
+def judged_entries(
+    entries: DataFrame, required_dir: str = PAYLOAD_DIR, position: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``filter_entries`` in one aggregate: good entries with the number of rows (``copies``)
+    each path stands for, and findings for rejected paths only."""
+    content = [c for c in entries.columns if c not in ("grp", "entry", position)]
+    good = entries.where(entry_within(F.col("entry"), required_dir, ENTRY_SUFFIX))
+    winner = F.min_by(F.struct("arrival", *content), "arrival").alias("_row")
+    kept = (
+        _named_entries(good, position, content)
+        .groupBy("grp", "path")
+        .agg(winner, F.count("*").alias("copies"))
+        .select("grp", F.col("path").alias("entry"), *[f"_row.{c}" for c in content], "copies")
+    )
+    return kept, _rejected_entries(entries, required_dir)
+
+
 def _json_payload(*parts: str) -> bytes:
     return json.dumps(list(parts), ensure_ascii=True, separators=(",", ":")).encode("ascii")
 
