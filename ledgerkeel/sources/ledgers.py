@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import written
 from . import jsonl
 
 LEDGER_DIR = "ledger"
@@ -51,8 +52,9 @@ def stored_ledgers(artifacts: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
         F.when(F.trim(F.col("payload").cast("string")) == "", F.lit("(empty)")).otherwise(F.col("payload").cast("string")).alias("value"),
     )
     number = F.regexp_extract("_name", _STEP_ENTRY, 1)
-    header = jsonl.checked_lines(mine.where(F.col("_name") == HEADER_ENTRY), HEADER_SCHEMA)
-    step = jsonl.checked_lines(mine.where(number != ""), STEP_SCHEMA)
+    # Written, so that what reads the parts several times does not parse them again.
+    header = written(jsonl.checked_lines(mine.where(F.col("_name") == HEADER_ENTRY), HEADER_SCHEMA), "headers")
+    step = written(jsonl.checked_lines(mine.where(number != ""), STEP_SCHEMA), "locked")
     good_header, good_step = (df.where(F.col("error").isNull()) for df in (header, step))
     reason = F.concat("_name", F.lit(": "), F.col("error"))
     bad = [df.where(F.col("error").isNotNull()).select("grp", reason.alias("reason")) for df in (header, step)]
