@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import StateError
-from ..operators import coherence, compare, history, mutate, validate
+from ..operators import coherence, compare, history, mutate, textdiff, validate
 from ..operators.ordering import ordinal
 from ..session import written
 from . import inputs as I
@@ -275,6 +275,23 @@ def line_diff(spark: SparkSession, sf: str) -> DataFrame:
     return compare.line_diff(old, new, ["doc_id"], "text")
 
 
+@check(
+    "ordered_diff",
+    """SELECT d.doc_id, sha256(replace(c.body, ' a ', ' the ')) AS rebuilt_sha256, d.text IS DISTINCT FROM replace(c.body, ' a ', ' the ') AS has_hunks
+    FROM documents d JOIN corpus c USING (doc_id)""",
+)
+def ordered_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents rebuilt into their sectioned and reworded texts by the hunks between them."""
+    old = I.table(spark, sf, "documents").select("doc_id", "text")
+    new = I.corpus(spark, sf).select("doc_id", F.replace("body", F.lit(" a "), F.lit(" the ")).alias("text"))
+    hunks = written(textdiff.ordered_diff(old, new, ["doc_id"], "text"), "hunks")
+    rebuilt = textdiff.apply_hunks(old, hunks, ["doc_id"], "text")
+    changed = hunks.select("doc_id").distinct().withColumn("_changed", F.lit(True))
+    return rebuilt.join(changed, "doc_id", "left").select(
+        "doc_id", F.sha2("text", 256).alias("rebuilt_sha256"), F.col("_changed").isNotNull().alias("has_hunks")
+    )
+
+
 @check(
     "verify_expected",
     f"""SELECT grp, entry, payload, CAST(sum(n) AS BIGINT) AS copies FROM (SELECT *, 1 AS n FROM live_rows UNION ALL SELECT *, -1 FROM own_rows) GROUP BY grp, entry, payload HAVING sum(n) <> 0""",
