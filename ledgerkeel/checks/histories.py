@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import StateError
-from ..operators import coherence, compare, history, mutate, textdiff, validate
+from ..operators import coherence, compare, digest_tree, history, mutate, textdiff, validate
 from ..operators.ordering import ordinal
-from ..session import written
+from ..session import scratch_path, written
 from . import inputs as I
 from .ledgers import STEP  # noqa: F401
 from .registry import check, cte
@@ -198,6 +198,21 @@ def drift(spark: SparkSession, sf: str) -> DataFrame:
     return compare.drift(_live(spark, sf), _expected(spark, sf, relation), relation)
 
 
+@check(
+    "drift_by_tree",
+    f"SELECT grp, grp NOT IN ({_differing('live_rows', 'own_rows')}) AS matches FROM (SELECT grp FROM live_rows UNION SELECT grp FROM own_rows)",
+)
+def drift_by_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Live and expected states stored with their trees; only rows below differing nodes are compared."""
+    relation = written(_relation(spark, sf), "relation")
+    stored = []
+    for state in (_live(spark, sf), _expected(spark, sf, relation).select("grp", "entry", "payload")):
+        path = scratch_path(spark, "state")
+        digest_tree.save(state, path)
+        stored.append(digest_tree.load(spark, path, state))
+    return digest_tree.equal_states(*stored).select("grp", "matches")
+
+
 @check(
     "plan_summary",
     f"SELECT grp, applied_count AS applied_index, head_count AS target_index, relation <> 'ahead' AND grp NOT IN ({_differing('live_rows', 'head_rows')}) AS matches FROM relation",
