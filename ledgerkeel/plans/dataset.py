@@ -2,33 +2,43 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import DatasetError, StateError
 from ..operators import mutate, validate
+from ..session import written
 from ..sources import jsonl, tables
 from .config import DataFile, DataSet
 
 REPORT_SCHEMA = "name string, table string, mode string, rows bigint"
 
 
-def check_file(spark: SparkSession, data_file: DataFile) -> int:
-    """Validate one data file against its table; returns its row count.
+@dataclass(frozen=True)
+class Checked:
+    """A data file's rows, parsed once and good, and their number."""
+
+    file: DataFile
+    rows: DataFrame
+    count: int
+
+
+def check_file(spark: SparkSession, data_file: DataFile) -> Checked:
+    """Parse one data file and validate it against its table.
 
-    One aggregate over the file, and a key aggregate for upserts. Only counts and
-    one sample come back.
+    The parsed rows are written once; checks and the apply read those. Only counts and one
+    sample come back.
     """
     schema = spark.table(data_file.table).schema
     validate.require_apply_columns(data_file, schema.fieldNames())
     lines = jsonl.read_lines(spark, data_file.path)
-    checked = jsonl.checked_lines(lines, _nullable(schema))
-    wrong = F.col("error").isNotNull()
-    seen = checked.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.min(F.when(wrong, F.struct("origin", "error", "value"))).alias("bad"),
-    ).first()
+    bad = F.when(F.col("error").isNotNull(), F.struct("origin", "error", "value")).alias("bad")
+    parsed = jsonl.checked_lines(lines, _nullable(schema)).select("row", F.col("present").alias(PRESENT), bad)
+    checked = written(parsed, "data-file")
+    seen = checked.agg(F.count(F.lit(1)).alias("rows"), F.min("bad").alias("bad")).first()
     if seen["bad"] is not None:
         bad = seen["bad"]
         unknown = validate.unknown_columns(lines, schema.fieldNames())
@@ -39,11 +49,13 @@ def check_file(spark: SparkSession, data_file: DataFile) -> int:
                 f"first {unknown['first']!r}; validate.unknown_columns lists them"
             )
         raise DatasetError(f"data file {data_file.name!r}: {bad['origin']}: {bad['error']}: {bad['value']}")
+    keeps = data_file.mode == "upsert" and data_file.missing == "keep"
+    rows = checked.select("row.*", PRESENT) if keeps else checked.select("row.*")
     if data_file.mode == "upsert" and data_file.on_duplicate == "raise":
-        repeated = mutate.duplicate_keys(checked.select("row.*"), list(data_file.on)).first()
+        repeated = mutate.duplicate_keys(rows, list(data_file.on)).first()
         if repeated is not None:
             raise DatasetError(f"data file {data_file.name!r} repeats key {repeated.asDict()}")
-    return seen["rows"]
+    return Checked(data_file, rows, seen["rows"])
 
 
 def _nullable(schema: T.StructType) -> T.StructType:
@@ -53,41 +65,37 @@ def _nullable(schema: T.StructType) -> T.StructType:
 PRESENT = "_ledgerkeel_present"
 
 
-def file_rows(spark: SparkSession, data_file: DataFile) -> DataFrame:
-    schema = _nullable(spark.table(data_file.table).schema)
-    present = PRESENT if data_file.mode == "upsert" and data_file.missing == "keep" else None
-    return jsonl.jsonl_scan(spark, data_file.path, schema, present)
-
-
-def apply_file(spark: SparkSession, data_file: DataFile, rows: int) -> None:
-    """Write one checked data file of ``rows`` rows into its table."""
-    table = data_file.table
-    if rows == 0:
-        if data_file.mode == "replace":
-            tables.replace_content(spark, table, mutate.apply_replace_empty(spark.table(table)))
-        return
-    target, source = spark.table(table), file_rows(spark, data_file)
+def stage_file(spark: SparkSession, checked: Checked, held: DataFrame | None = None) -> tables.Staged | None:
+    """Stage what one checked data file makes of its table, or of ``held``, its content staged so far."""
+    data_file, table = checked.file, checked.file.table
+    if checked.count == 0:
+        if data_file.mode != "replace":
+            return None
+        return tables.stage_replace(spark, table, mutate.apply_replace_empty(spark.table(table)))
+    target = spark.table(table) if held is None else held
     if data_file.mode == "insert":
-        tables.append_rows(table, mutate.align(source, target.schema))
-    elif data_file.mode == "replace":
-        tables.replace_content(spark, table, mutate.apply_replace(target, source))
-    else:
-        _upsert_table(spark, data_file, target, source, rows)
+        rows = mutate.align(checked.rows, target.schema)
+        if held is None:
+            return tables.stage_append(spark, table, rows)
+        return tables.stage_replace(spark, table, held.unionByName(rows))
+    if data_file.mode == "replace":
+        return tables.stage_replace(spark, table, mutate.apply_replace(target, checked.rows))
+    return _stage_upsert(spark, checked, target, held is not None)
 
 
-def _upsert_table(spark: SparkSession, data_file: DataFile, target: DataFrame, source: DataFrame, rows: int) -> None:
+def _stage_upsert(spark: SparkSession, checked: Checked, target: DataFrame, chained: bool) -> tables.Staged:
     """Where the key contains the partition columns, a row can only meet target
     rows of its own partition: only those partitions are read and rewritten."""
+    data_file, source = checked.file, checked.rows
     table, on = data_file.table, list(data_file.on)
-    options = {"missing": data_file.missing, "on_duplicate": data_file.on_duplicate, "source_rows": rows}
+    options = {"missing": data_file.missing, "on_duplicate": data_file.on_duplicate, "source_rows": checked.count}
     if data_file.missing == "keep":
         options["present"] = PRESENT
     parts = tables.partition_columns(spark, table)
-    if parts and set(parts) <= set(on):
+    if parts and set(parts) <= set(on) and not chained:
         near = tables.in_touched_partitions(target, source, parts)
-        tables.overwrite_partitions(spark, table, mutate.apply_upsert(near, source, on, **options))
-    else:
-        tables.replace_content(spark, table, mutate.apply_upsert(target, source, on, **options))
+        return tables.stage_partitions(spark, table, mutate.apply_upsert(near, source, on, **options), source)
+    return tables.stage_replace(spark, table, mutate.apply_upsert(target, source, on, **options))
 
 
 def require_open(gate: DataFrame | None, context: str) -> None:
@@ -108,8 +116,9 @@ def apply_dataset(
 ) -> DataFrame:
     """Apply every file in manifest order; returns the report.
 
-    All files are validated before the first one is written, so a bad file
-    leaves every table as it was. ``declared`` schemas gate the tables first, and
+    All files are validated before the first one is staged, and all are staged before the
+    first table changes, so a failure on the way leaves every table as it was. Files of one table
+    build on each other; only the last staged content becomes visible (``tables.switch``). ``declared`` schemas gate the tables first, and
     so does ``gate``, the conditions of ``validate.schema_gate``: a group whose
     ledger is not clean, whose applied list is no prefix or ahead, or whose live
     state is not its head refuses the whole set.
@@ -119,10 +128,15 @@ def apply_dataset(
         if declared and data_file.table in declared:
             live = spark.table(data_file.table).schema
             validate.require_schema(live, declared[data_file.table], "data apply")
-    counts = [check_file(spark, data_file) for data_file in data_set.files]
-    for data_file, rows in zip(data_set.files, counts, strict=True):
-        apply_file(spark, data_file, rows)
-    return report(spark, data_set, counts)
+    checked = [check_file(spark, data_file) for data_file in data_set.files]
+    staged: dict[str, tables.Staged] = {}
+    for one in checked:
+        before = staged.get(one.file.table)
+        after = stage_file(spark, one, None if before is None else before.content)
+        if after is not None:
+            staged[one.file.table] = after
+    tables.switch(spark, list(staged.values()))
+    return report(spark, data_set, [one.count for one in checked])
 
 
 def export_dataset(

@@ -34,11 +34,7 @@ def publish_artifacts(
         tables.replace_content(spark, table, publish.apply_delta(desired, stored, delta))
         return publish.apply_result(delta)
     near = [tables.in_touched_partitions(df, changed, parts) for df in (desired, stored)]
-    content = written(publish.apply_delta(*near, delta), "artifacts")
-    emptied = changed.select(*parts).distinct().exceptAll(content.select(*parts).distinct())
-    if emptied.isEmpty():
-        tables.overwrite_partitions(spark, table, content)
-    else:
-        # A partition that loses its last row cannot be overwritten by rows.
-        tables.replace_content(spark, table, publish.apply_delta(desired, stored, delta))
+    content = publish.apply_delta(*near, delta)
+    # A partition that loses its last row is emptied like any other touched one.
+    tables.switch(spark, [tables.stage_partitions(spark, table, content, changed)])
     return publish.apply_result(delta)

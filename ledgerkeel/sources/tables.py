@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 import uuid
+from dataclasses import dataclass
+from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,33 +59,143 @@ def partition_columns(spark: SparkSession, table: str) -> list[str]:
     return [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
 
 
-def replace_content(spark: SparkSession, table: str, content: DataFrame) -> None:
-    """Make ``content``, which may read the table itself, the table's whole content."""
-    if not partition_columns(spark, table):
-        swap_snapshot(spark, table, content)
-        return
-    # The catalog keeps a location per partition, so a partitioned table is
-    # overwritten in place from rows that are ready on shared storage.
-    _overwrite(spark, table, written(content, "content"), "static")
+@dataclass(frozen=True)
+class Staged:
+    """New content of a table, complete on shared storage but not yet visible.
+
+    ``content`` is what the whole table holds once switched. ``location`` is the new one of an
+    unpartitioned table, ``moves`` are the partitions (SQL clause) with their new locations,
+    ``appended`` are rows to add.
+    """
+
+    table: str
+    content: DataFrame
+    location: str | None = None
+    moves: tuple[tuple[str, str], ...] = ()
+    appended: DataFrame | None = None
+
+
+def _new_location(details: dict[str, str]) -> str:
+    return f"{_SNAPSHOT.sub('', details['Location'].rstrip('/'))}__snap_{uuid.uuid4().hex}"
+
+
+def stage_replace(spark: SparkSession, table: str, content: DataFrame) -> Staged:
+    """Stage ``content``, which may read the table itself, as the table's whole content."""
+    details = table_details(spark, table)
+    if int(details.get("Num Buckets", "0") or 0) > 0:
+        raise DatasetError(f"{table} is bucketed; a snapshot would not keep its buckets")
+    if partition_columns(spark, table):
+        return _stage_parts(spark, table, content, details, None)
+    location, schema = _new_location(details), spark.table(table).schema
+    content.write.format(details["Provider"]).save(location)
+    return Staged(table, spark.read.format(details["Provider"]).schema(schema).load(location), location)
 
 
-def overwrite_partitions(spark: SparkSession, table: str, content: DataFrame) -> None:
-    """Replace the partitions that occur in ``content`` and leave all others alone.
+def stage_partitions(spark: SparkSession, table: str, content: DataFrame, touched: DataFrame) -> Staged:
+    """Stage ``content`` as that of the partitions in ``touched``, all others staying as they are.
 
-    The content is complete on shared storage before the first partition is
-    touched; running it again after a failure gives the same table.
+    A touched partition without rows is emptied. Neither others' files nor their rows are read.
     """
-    _overwrite(spark, table, written(content, "partitions"), "dynamic")
+    return _stage_parts(spark, table, content, table_details(spark, table), touched)
+
+
+def _stage_parts(
+    spark: SparkSession, table: str, content: DataFrame, details: dict[str, str], touched: DataFrame | None
+) -> Staged:
+    parts, target = partition_columns(spark, table), spark.table(table)
+    location = _new_location(details)
+    content.select(*target.columns).write.format(details["Provider"]).partitionBy(*parts).save(location)
+    written_rows = spark.read.format(details["Provider"]).schema(target.schema).load(location)
+    # One row per partition comes to the driver, as many as the catalog is told of.
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/[^/]*$", 1)
+    filled = {_clause(parts, r): unquote(r["_folder"]) for r in written_rows.select(*parts, folder.alias("_folder")).distinct().collect()}
+    if touched is None:
+        names = [r["partition"] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()]
+        existing = {_clause_of_name(name) for name in names}
+        rest = target.where(F.lit(False))
+    else:
+        existing = {_clause(parts, r) for r in touched.select(*parts).distinct().collect()}
+        rest = target.join(_renamed(touched.select(*parts).distinct(), parts), _same(parts), "left_anti")
+    moves = filled | {clause: f"{location}/_empty" for clause in existing - set(filled)}
+    return Staged(table, rest.unionByName(written_rows), moves=tuple(sorted(moves.items())))
+
+
+def stage_append(spark: SparkSession, table: str, rows: DataFrame, content: DataFrame | None = None) -> Staged:
+    """Stage rows to add to the table, or to ``content`` where that is staged for it already."""
+    ready = written(rows, "appended")
+    held = spark.table(table) if content is None else content
+    return Staged(table, held.unionByName(ready.select(*held.columns)), appended=ready)
+
+
+def _clause(parts: list[str], row) -> str:
+    return ", ".join(f"`{c}` = {_literal(row[c])}" for c in parts)
+
 
+def _literal(value) -> str:
+    if value is None:
+        return "null"
+    text = str(value).lower() if isinstance(value, bool) else str(value)
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def _overwrite(spark: SparkSession, table: str, ready: DataFrame, mode: str) -> None:
-    setting = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(setting, "static")
-    spark.conf.set(setting, mode)
+
+def _clause_of_name(name: str) -> str:
+    """The clause of a partition as the catalog lists it: escaped ``column=value`` steps."""
+    steps = [step.split("=", 1) for step in name.split("/")]
+    values = {c: None if v == "__HIVE_DEFAULT_PARTITION__" else unquote(v) for c, v in steps}
+    return _clause(list(values), values)
+
+
+def switch(spark: SparkSession, staged: list[Staged]) -> None:
+    """Make staged contents visible: rows are appended first, then locations are changed in the catalog.
+
+    Nothing but catalog entries changes in the second part; if one change fails, the ones
+    before it are taken back. Each table, or each partition of a partitioned one, changes at
+    once. Running readers keep the old files, which stay until their owner removes them.
+    """
+    for one in staged:
+        if one.appended is not None:
+            append_rows(one.table, one.appended.select(*spark.table(one.table).columns))
+    undo: list[str] = []
     try:
-        ready.select(*spark.table(table).columns).write.insertInto(table, overwrite=True)
+        for one in staged:
+            if one.location is not None:
+                undo.append(f"ALTER TABLE {one.table} SET LOCATION {_literal(table_location(spark, one.table))}")
+                spark.sql(f"ALTER TABLE {one.table} SET LOCATION {_literal(one.location)}")
+            for clause, location in one.moves:
+                undo.append(_move(spark, one.table, clause, location))
+    except Exception:
+        for statement in reversed(undo):
+            spark.sql(statement)
+        raise
     finally:
-        spark.conf.set(setting, before)
+        for one in staged:
+            spark.catalog.refreshTable(one.table)
+
+
+def _move(spark: SparkSession, table: str, clause: str, location: str) -> str:
+    """Give a partition its new location; returns the statement that takes it back."""
+    name = f"{table} PARTITION ({clause})"
+    if spark.sql(f"SHOW PARTITIONS {name}").isEmpty():
+        spark.sql(f"ALTER TABLE {table} ADD PARTITION ({clause}) LOCATION {_literal(location)}")
+        return f"ALTER TABLE {name} SET LOCATION {_literal(f'{location}_undone')}"
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()
+    start = next(i for i, row in enumerate(rows) if row["col_name"] == "# Detailed Partition Information")
+    before = next(row["data_type"] for row in rows[start:] if row["col_name"] == "Location")
+    spark.sql(f"ALTER TABLE {name} SET LOCATION {_literal(location)}")
+    return f"ALTER TABLE {name} SET LOCATION {_literal(before)}"
+
+
+def replace_content(spark: SparkSession, table: str, content: DataFrame) -> None:
+    """Make ``content``, which may read the table itself, the table's whole content."""
+    switch(spark, [stage_replace(spark, table, content)])
+
+
+def _renamed(touched: DataFrame, parts: list[str]) -> DataFrame:
+    return touched.select(*[F.col(c).alias(f"_touched_{c}") for c in parts])
+
+
+def _same(parts: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_touched_{c}")) for c in parts])
 
 
 def in_touched_partitions(target: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -103,11 +216,7 @@ def in_touched_partitions(target: DataFrame, rows: DataFrame, columns: list[str]
                 own = own & (F.col(column).isNull() if value is None else F.col(column) == F.lit(value))
             inside = inside | own
         return target.where(inside)
-    renamed = touched.select(*[F.col(c).alias(f"_touched_{c}") for c in columns])
-    equal = F.lit(True)
-    for column in columns:
-        equal = equal & F.col(column).eqNullSafe(F.col(f"_touched_{column}"))
-    return target.join(renamed, equal, "left_semi")
+    return target.join(_renamed(touched, columns), _same(columns), "left_semi")
 
 
 def swap_snapshot(spark: SparkSession, table: str, content: DataFrame) -> str:
@@ -117,14 +226,9 @@ def swap_snapshot(spark: SparkSession, table: str, content: DataFrame) -> str:
     a failed write leaves it alone, and running readers keep the old files,
     which stay until the owner removes them.
     """
-    details = table_details(spark, table)
-    if int(details.get("Num Buckets", "0") or 0) > 0:
-        raise DatasetError(f"{table} is bucketed; a snapshot would not keep its buckets")
-    location = f"{_SNAPSHOT.sub('', details['Location'].rstrip('/'))}__snap_{uuid.uuid4().hex}"
-    content.write.format(details["Provider"]).save(location)
-    spark.sql(f"ALTER TABLE {table} SET LOCATION '{location}'")
-    spark.catalog.refreshTable(table)
-    return location
+    staged = stage_replace(spark, table, content)
+    switch(spark, [staged])
+    return staged.location
 
 
 def append_rows(table: str, rows: DataFrame) -> None:

@@ -238,9 +238,10 @@ def test_partitioned_upsert_rewrites_touched_partitions(spark, daily, tmp_path,
     dataset.apply_dataset(spark, DataSet("c", (data,)))
     got = rows(spark.table(daily), "day", "id", "v")
     assert got == [("d1", 1, "old"), ("d1", 2, "old"), ("d2", 1, "new"), ("d2", 2, "old"), ("d3", 1, "old"), ("d3", 2, "old"), ("d4", 9, "new")]
-    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "daily").rglob("*.parquet")}
-    assert {p for p in before if "day=d2" not in str(p)} <= set(after)
-    assert not any("day=d2" in str(p) for p in set(before) & set(after))
+    # Old files stay where they are; only the touched partitions have new ones, beside the table.
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "daily").rglob("*.parquet")} == before
+    new = {p.parent.name for folder in tmp_path.glob("daily__snap_*") for p in folder.rglob("*.parquet")}
+    assert new == {"day=d2", "day=d4"}
 
 
 @pytest.mark.parametrize("listed", [500, 0])
@@ -453,3 +454,65 @@ def test_unknown_fields_inside_arrays_and_maps(spark):
     }
     lines = spark.createDataFrame([(v,) for v in cases], "value string")
     assert {r["value"]: r["error"] for r in jsonl.checked_lines(lines, schema).collect()} == cases
+
+
+def test_all_files_or_none(spark, daily, roles, tmp_path, rows, monkeypatch):
+    """A failure while a later file is staged, or while locations change, leaves every table as it was."""
+    other = f"other_{daily}"
+    spark.createDataFrame([(1, "a")], "id bigint, v string").write.saveAsTable(other)
+    (tmp_path / "a.jsonl").write_text('{"day":"d2","id":1,"v":"new"}\n{"day":"d9","id":1,"v":"new"}')
+    (tmp_path / "b.jsonl").write_text('{"id":2,"v":"b"}')
+    files = (
+        DataFile("a", daily, "upsert", str(tmp_path / "a.jsonl"), on=("day", "id")),
+        DataFile("b", other, "replace", str(tmp_path / "b.jsonl")),
+    )
+    before = [rows(spark.table(t)) for t in (daily, other)]
+    for step in ("stage_replace", "_move"):
+        plain = getattr(tables, step)
+
+        def failing(*args, plain=plain, step=step):
+            if step == "stage_replace" or "d9" in args[2]:
+                raise RuntimeError("lost")
+            return plain(*args)
+
+        monkeypatch.setattr(tables, step, failing)
+        with pytest.raises(RuntimeError, match="lost"):
+            dataset.apply_dataset(spark, DataSet("s", files))
+        monkeypatch.setattr(tables, step, plain)
+        assert [rows(spark.table(t)) for t in (daily, other)] == before
+    dataset.apply_dataset(spark, DataSet("s", files))
+    assert rows(spark.table(other)) == [(2, "b")] and spark.table(daily).where("v = 'new'").count() == 2
+    spark.sql(f"DROP TABLE {other}")
+
+
+def test_files_of_one_table_build_on_each_other(spark, tmp_path, rows):
+    spark.createDataFrame([(1, "a")], "k int, v string").write.saveAsTable("chained_t")
+    texts = ['{"k":2,"v":"b"}', '{"k":2,"v":"c"}\n{"k":3,"v":"d"}', '{"k":4,"v":"e"}', '{"k":9,"v":"x"}']
+    for i, text in enumerate(texts):
+        (tmp_path / f"{i}.jsonl").write_text(text)
+
+    def data(i, mode, **options):
+        return DataFile(str(i), "chained_t", mode, str(tmp_path / f"{i}.jsonl"), **options)
+
+    dataset.apply_dataset(spark, DataSet("s", (data(0, "insert"), data(1, "upsert", on=("k",)), data(2, "insert"))))
+    assert rows(spark.table("chained_t")) == [(1, "a"), (2, "c"), (3, "d"), (4, "e")]
+    dataset.apply_dataset(spark, DataSet("s", (data(0, "insert"), data(3, "replace"), data(2, "insert"))))
+    assert rows(spark.table("chained_t")) == [(4, "e"), (9, "x")]
+    spark.sql("DROP TABLE chained_t")
+
+
+def test_odd_partition_values(spark, tmp_path, rows):
+    """Quotes, slashes, blanks, null and emptied partitions move like any other."""
+    values = ["it's", "a/b", "c d", "e=f", "g\\h", "é%", None]
+    start = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "k int, p string")
+    start.write.partitionBy("p").option("path", str(tmp_path / "odd")).saveAsTable("odd_t")
+    for _ in range(2):
+        content = spark.table("odd_t").withColumn("k", F.col("k") + 10)
+        tables.switch(spark, [tables.stage_partitions(spark, "odd_t", content, content)])
+    assert rows(spark.table("odd_t")) == sorted([(i + 20, v) for i, v in enumerate(values)], key=repr)
+    touched = spark.table("odd_t").where("p IS NULL OR p = 'a/b'")
+    tables.switch(spark, [tables.stage_partitions(spark, "odd_t", touched.where("p = 'a/b'"), touched)])
+    assert rows(spark.table("odd_t")) == sorted([(i + 20, v) for i, v in enumerate(values) if v is not None], key=repr)
+    tables.replace_content(spark, "odd_t", spark.createDataFrame([(5, "new")], "k int, p string"))
+    assert rows(spark.table("odd_t")) == [(5, "new")]
+    spark.sql("DROP TABLE odd_t")
