@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..errors import LedgerError, StateError
 from ..functions.entries import is_path_like, status_basename, status_path
 from ..functions.sections import valid_text
+from ..session import written
+from . import findings as codes
+from .fetch import requested_rows
 
 SIGNATURE = ("version", "entry", "payload_digest")
 
@@ -194,13 +197,22 @@ def require_prefix(checked: DataFrame, context: str) -> None:
         raise StateError(f"{context}: applied list of {bad['grp']!r} is not usable: {bad['status']}")
 
 
-def anchor_tail(steps: DataFrame, divergence: DataFrame, clean: bool = False) -> DataFrame:
+def anchor_tail(
+    steps: DataFrame, divergence: DataFrame, clean: bool = False, findings: DataFrame | None = None
+) -> DataFrame:
     """DataFrame[grp, step_count, divergence_index, anchor_index, tail_count].
 
+    With ``findings`` of the ledger state, groups that have a fatal one are not planned
+    and have no row; ``blocked_groups`` lists them.
+
     Without divergence the anchor is the last step and the tail is empty;
     ``clean`` replays every group from its first step. Groups that lost all their
     steps are listed too, with nothing to replay.
     """
+    if findings is not None:
+        blocked = blocked_groups(findings).select("grp")
+        steps = steps.join(blocked, "grp", "left_anti")
+        divergence = divergence.join(blocked, "grp", "left_anti")
     counts = steps.groupBy("grp").agg(F.count("*").alias("step_count"))
     if clean:
         found = counts.withColumn("divergence_index", F.lit(1).cast("bigint"))
@@ -217,6 +229,12 @@ def anchor_tail(steps: DataFrame, divergence: DataFrame, clean: bool = False) ->
     )
 
 
+def blocked_groups(findings: DataFrame) -> DataFrame:
+    """DataFrame[grp, code]: groups that must not be planned, with the first of their fatal codes."""
+    fatal = findings.where(F.col("code").isin(*codes.FATAL))
+    return fatal.groupBy("grp").agg(F.min("code").alias("code"))
+
+
 def tail_steps(steps: DataFrame, plan: DataFrame) -> DataFrame:
     """Steps after the anchor."""
     anchors = plan.select("grp", "anchor_index")
@@ -232,14 +250,15 @@ def select_anchor(plan: DataFrame, steps: DataFrame, snapshots: DataFrame) -> Da
     """
     wanted = plan.where(F.col("anchor_index") > 0).select("grp", "anchor_index")
     named = steps.select("grp", F.col("idx").alias("anchor_index"), "snapshot_entry")
-    texts = snapshots.select("grp", F.col("entry").alias("snapshot_entry"), valid_text(F.col("payload")).alias("payload"))
+    placed = written(wanted.join(named, ["grp", "anchor_index"], "left"), "anchors")
+    texts = snapshots.select("grp", F.col("entry").alias("snapshot_entry"), "payload")
+    texts = requested_rows(texts, placed, ["grp", "snapshot_entry"])
+    texts = texts.select("grp", "snapshot_entry", valid_text(F.col("payload")).alias("payload"))
     error = F.when(F.col("snapshot_entry").isNull(), F.lit("no_step")).when(
         F.col("payload").isNull(), F.lit("no_snapshot")
     )
-    return (
-        wanted.join(named, ["grp", "anchor_index"], "left")
-        .join(texts, ["grp", "snapshot_entry"], "left")
-        .select("grp", "anchor_index", "snapshot_entry", "payload", error.alias("error"))
+    return placed.join(texts, ["grp", "snapshot_entry"], "left").select(
+        "grp", "anchor_index", "snapshot_entry", "payload", error.alias("error")
     )
 
 
@@ -250,8 +269,8 @@ def expected_at(
 
     0 is the zero baseline, the last index the head snapshot, others the step's
     snapshot. DataFrame[grp, index, source, payload, error] with error
-    ``out_of_range``, ``missing`` or ``not_utf8``. Snapshots meet the requests
-    before their text is looked at, so only requested ones are shuffled in full.
+    ``out_of_range``, ``missing`` or ``not_utf8``. Requests are placed first, by
+    paths alone; snapshots and heads are filtered by them in their scans (``fetch``).
     """
     counts = steps.groupBy("grp").agg(F.count("*").alias("_n"))
     named = steps.select("grp", F.col("idx").alias("index"), "snapshot_entry")
@@ -264,11 +283,12 @@ def expected_at(
         .when(F.col("index") == n, F.lit("head"))
         .otherwise(F.lit("snapshot"))
     )
-    placed = ranged.withColumn("source", source).join(named, ["grp", "index"], "left")
+    placed = written(ranged.withColumn("source", source).join(named, ["grp", "index"], "left"), "requests")
     asked = placed.where(F.col("source") == "snapshot").select("grp", F.col("snapshot_entry").alias("entry"))
-    texts = snapshots.select("grp", "entry", F.col("payload").cast("binary").alias("_snap")).join(
-        asked, ["grp", "entry"], "left_semi"
+    texts = requested_rows(
+        snapshots.select("grp", "entry", F.col("payload").cast("binary").alias("_snap")), asked, ["grp", "entry"]
     )
+    head = requested_rows(head, placed.where(F.col("source") == "head"), ["grp"])
     joined = placed.join(texts.withColumnRenamed("entry", "snapshot_entry"), ["grp", "snapshot_entry"], "left").join(
         head, "grp", "left"
     )

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..errors import StateError
 from .compare import equal_states
+from .history import blocked_groups
 from .ordering import HOT_ROWS, attach, nearest_flagged, running_sum
 
 
@@ -320,13 +321,21 @@ def verified_equal(live: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def schema_plan(
-    plan: DataFrame, replayed: DataFrame, committed: DataFrame, roundtrip: DataFrame | None = None
+    plan: DataFrame,
+    replayed: DataFrame,
+    committed: DataFrame,
+    roundtrip: DataFrame | None = None,
+    findings: DataFrame | None = None,
 ) -> DataFrame:
     """Replayed against committed head state of each group of ``plan`` (``anchor_tail``).
 
+    Groups with a fatal finding among ``findings`` are left out, whatever ``plan`` holds.
+
     DataFrame[grp, divergence_index, anchor_index, tail_count, matches] and, with
     a round trip given, the numbers of checked, mismatching and skipped steps.
     """
+    if findings is not None:
+        plan = plan.join(blocked_groups(findings), "grp", "left_anti")
     compared = equal_states(replayed, committed).select("grp", "matches")
     summary = plan.join(compared, "grp", "left").select(
         "grp",
