@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..errors import StateError
 from ..operators import coherence, compare, digest_tree, history, mutate, textdiff, validate
 from ..operators.ordering import ordinal
+from ..plans import dataset
 from ..session import scratch_path, written
 from . import inputs as I
-from .ledgers import STEP  # noqa: F401
+from .ledgers import FATAL, STEP, planted_state  # noqa: F401
 from .registry import check, cte
 
 # ---------------------------------------------------------------------- divergence
@@ -338,3 +339,33 @@ def schema_gate(spark: SparkSession, sf: str) -> DataFrame:
     prefix = history.prefix_check(I.plain_input_steps(spark, sf), _applied(spark, sf))
     equal = compare.equal_states(_live(spark, sf), I.input_entries(spark, sf))
     return validate.schema_gate(clean, prefix, relation, equal)
+
+
+@check(
+    "ledger_gate",
+    f"""SELECT grp, is_clean, prefix_ok, not_ahead, matches, is_clean AND prefix_ok AND not_ahead AND matches AS open FROM (
+      SELECT r.grp, f.grp IS NULL AS is_clean, coalesce(p.status = 'ok', true) AS prefix_ok, r.relation <> 'ahead' AS not_ahead,
+        r.grp NOT IN ({_differing('live_rows', 'head_rows')}) AS matches
+      FROM relation r LEFT JOIN prefix p USING (grp) LEFT JOIN (SELECT DISTINCT grp FROM codes_found) f USING (grp)
+      UNION ALL SELECT DISTINCT grp, false, true, true, false FROM codes_found WHERE grp NOT IN (SELECT grp FROM relation))""",
+)
+def ledger_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """The gate of a data command from a whole ledger state."""
+    findings = written(planted_state(spark, sf), "findings")
+    steps = I.plain_input_steps(spark, sf)
+    return dataset.ledger_gate(findings, steps, _applied(spark, sf), _live(spark, sf), I.input_entries(spark, sf))
+
+
+@check(
+    "plan_unblocked",
+    f"""SELECT * REPLACE (coalesce(divergence_index, 0) AS divergence_index) FROM anchors
+    WHERE grp NOT IN (SELECT grp FROM codes_found WHERE {FATAL} AND NOT ends_with(code, '-mismatch'))""",
+)
+def plan_unblocked(spark: SparkSession, sf: str) -> DataFrame:
+    """Anchors and tails of the groups that no fatal finding blocks.
+
+    Every header here differs from the policy in some field, so those findings are left out."""
+    found = planted_state(spark, sf)
+    findings = written(found.where(~F.endswith("code", F.lit("-mismatch"))), "findings")
+    plan = history.anchor_tail(I.plain_input_steps(spark, sf), _divergence(spark, sf), findings=findings)
+    return plan.fillna(0, ["divergence_index"])

@@ -462,7 +462,7 @@ cte(
 )
 
 
-def _planted_state(spark: SparkSession, sf: str) -> DataFrame:
+def planted_state(spark: SparkSession, sf: str) -> DataFrame:
     locked = written(I.locked_steps(spark, sf), "locked")
     headers = I.full_headers(spark, sf, locked)
     nation = F.when(F.col("c_mktsegment") == "HOUSEHOLD", 0).otherwise(F.col("c_nationkey"))
@@ -503,7 +503,7 @@ def _planted_state(spark: SparkSession, sf: str) -> DataFrame:
 @check("ledger_state_codes", "SELECT * FROM codes_found")
 def ledger_state_codes(spark: SparkSession, sf: str) -> DataFrame:
     """A state in which every code occurs."""
-    return _planted_state(spark, sf)
+    return planted_state(spark, sf)
 
 
 @check("stored_ledgers", "SELECT grp, idx, entry, snapshot_entry, chain_hash, grp IN (SELECT grp FROM planted WHERE plant = 7) AS unreadable FROM locked")

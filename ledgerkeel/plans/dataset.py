@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import DatasetError, StateError
-from ..operators import mutate, validate
+from ..operators import coherence, compare, history, mutate, validate
 from ..session import written
 from ..sources import jsonl, tables
 from .config import DataFile, DataSet
@@ -98,6 +98,23 @@ def _stage_upsert(spark: SparkSession, checked: Checked, target: DataFrame, chai
     return tables.stage_replace(spark, table, mutate.apply_upsert(target, source, on, **options))
 
 
+def ledger_gate(
+    findings: DataFrame, steps: DataFrame, applied: DataFrame, live: DataFrame, head: DataFrame
+) -> DataFrame:
+    """The gate of ``apply_dataset`` and ``export_dataset`` from a ledger state.
+
+    ``findings`` and ``steps`` come from ``coherence.ledger_state``, ``applied`` is the applied log,
+    ``live`` and ``head`` the state as it is and as the last step leaves it. A group that any of
+    them knows is open if it has no finding, its applied list is a prefix of its steps and not
+    ahead, and its live state equals its head.
+    """
+    relation = written(history.live_relation(steps, applied), "relation")
+    groups = relation.select("grp").unionByName(findings.select("grp")).distinct()
+    clean = coherence.is_clean(groups, findings)
+    prefix = history.prefix_check(steps, applied)
+    return validate.schema_gate(clean, prefix, relation, compare.equal_states(live, head))
+
+
 def require_open(gate: DataFrame | None, context: str) -> None:
     """Raise unless every group of a ``validate.schema_gate`` is open."""
     if gate is None:

@@ -4,7 +4,8 @@ A state is grp, key columns, value columns; an applied log is grp, pos, entry;
 ``steps`` are a history's steps and ``changes`` its change-sets by the same
 index. Each operation works on all groups at once and returns the new state of
 every group with a status row per group: a group a guard refuses keeps its rows
-and says why, instead of stopping the others.
+and says why, instead of stopping the others. With ``expected``, a state per group, each
+operation ends with its check: the moved groups must be in that state (``verify``), or it raises.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ def up(
     sets: DataFrame | None = None,
     create_missing: bool = True,
     findings: DataFrame | None = None,
+    expected: DataFrame | None = None,
 ) -> Outcome:
     """Run the pending steps of every group that passes its guards.
 
@@ -59,7 +61,7 @@ def up(
     own_sets = None if sets is None else _only(sets, going)
     moved = replay.apply_pending(_only(live, going), _only(changes, going), counts, key, own_sets)
     rest = _only(live, going, "left_anti")
-    return Outcome(rest.unionByName(moved.select(*live.columns)), status)
+    return _checked(Outcome(rest.unionByName(moved.select(*live.columns)), status), expected, "up")
 
 
 def migrate(
@@ -70,9 +72,10 @@ def migrate(
     key: list[str],
     sets: DataFrame | None = None,
     findings: DataFrame | None = None,
+    expected: DataFrame | None = None,
 ) -> Outcome:
     """``up`` for targets that exist already."""
-    return up(live, changes, steps, applied, key, sets, create_missing=False, findings=findings)
+    return up(live, changes, steps, applied, key, sets, create_missing=False, findings=findings, expected=expected)
 
 
 def down(
@@ -82,6 +85,7 @@ def down(
     applied: DataFrame,
     count: int = 1,
     findings: DataFrame | None = None,
+    expected: DataFrame | None = None,
 ) -> Outcome:
     """Step every group that passes its guards back ``count`` steps, at most to zero.
 
@@ -110,7 +114,7 @@ def down(
     counts = going.select("grp", F.col("before_index").alias("applied_count"))
     moved = replay.rollback(ranges, counts, count)
     rest = _only(live, going, "left_anti")
-    return Outcome(rest.unionByName(moved.select(*live.columns)), status)
+    return _checked(Outcome(rest.unionByName(moved.select(*live.columns)), status), expected, "down")
 
 
 def _unless_fatal(status: DataFrame, findings: DataFrame | None) -> DataFrame:
@@ -135,6 +139,7 @@ def bootstrap(
     applied: DataFrame,
     heads: DataFrame | None = None,
     findings: DataFrame | None = None,
+    expected: DataFrame | None = None,
 ) -> Outcome:
     """Load the head state of groups with nothing applied; others are refused.
 
@@ -147,7 +152,16 @@ def bootstrap(
     status = written(_unless_fatal(status, findings), "status")
     loaded = status.where(F.col("status") == "loaded")
     rest = _only(live, loaded, "left_anti")
-    return Outcome(rest.unionByName(_only(head, loaded).select(*live.columns)), status)
+    return _checked(Outcome(rest.unionByName(_only(head, loaded).select(*live.columns)), status), expected, "bootstrap")
+
+
+def _checked(outcome: Outcome, expected: DataFrame | None, context: str) -> Outcome:
+    """The outcome, verified, and its state written so that what was checked is what is used."""
+    if expected is None:
+        return outcome
+    outcome = Outcome(written(outcome.state, "state"), outcome.status)
+    verify(outcome, expected, context)
+    return outcome
 
 
 def verify(outcome: Outcome, expected: DataFrame, context: str) -> None:

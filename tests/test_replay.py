@@ -247,3 +247,37 @@ def test_fatal_findings_and_missing_heads_stop_groups(spark, rows):
     assert rows(out.status, "grp", "after_index", "status") == [("a", 1, "loaded"), ("b", 0, "blocked"), ("c", 0, "no_head")]
     assert rows(out.state, "grp") == [("a",)]
     assert rows(live.bootstrap(head.limit(0), head, steps, applied).status, "grp", "status")[1] == ("b", "loaded")
+
+
+def test_operations_end_with_their_check(spark, rows):
+    """With an expected state, a moved group that is not in it fails the operation; others are not looked at."""
+    own, changes, steps, applied = live_case(spark)
+    head = replay.replay_tail(changes, ["k"])
+    done = live.up(own, changes, steps, applied, ["k"], expected=head)
+    assert rows(done.state) == rows(live.up(own, changes, steps, applied, ["k"]).state)
+    wrong = head.withColumn("v", F.col("v") + 1)
+    ranges = replay.capture_checkpoints(changes, ["k"])
+    assert live.down(own, ranges, steps, applied, 2, expected=head.where("grp = 'p'")).status.count() == 4
+    for call in (
+        lambda: live.up(own, changes, steps, applied, ["k"], expected=wrong),
+        lambda: live.migrate(own, changes, steps, applied, ["k"], expected=wrong),
+        lambda: live.down(own, ranges, steps, applied, 2, expected=wrong),
+        lambda: live.bootstrap(own, head, steps, applied, expected=wrong),
+    ):
+        with pytest.raises(StateError, match="differs"):
+            call()
+
+
+def test_fatal_findings_block_planning(spark, rows):
+    steps = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("c", 1)], "grp string, idx long")
+    divergence = spark.createDataFrame([("a", 2), ("b", 1)], "grp string, divergence_index long")
+    found = spark.createDataFrame(
+        [("b", "lockfile-parse-error", "p", ""), ("c", "coherence-new-in-input", "p", "")],
+        "grp string, code string, path string, detail string",
+    )
+    plan = history.anchor_tail(steps, divergence, findings=found)
+    assert rows(plan, "grp", "anchor_index") == [("a", 1), ("c", 1)]
+    state = spark.createDataFrame([("a", 1, 1)], ROW)
+    whole = history.anchor_tail(steps, divergence)
+    assert rows(replay.schema_plan(whole, state, state, findings=found), "grp") == [("a",), ("c",)]
+    assert rows(history.blocked_groups(found)) == [("b", "lockfile-parse-error")]
