@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import samples
-from .common import held, whole
+from .common import held, whole, written
 from .toxicity import labelled_rows
 
 #: Different labelled documents in the sample, and lines of those the field is fitted on, at most.
@@ -235,6 +235,7 @@ def train(labelled: DataFrame) -> Field | None:
     than that; if a class has longer ones only, its shortest comes in its place.
     """
     rows = labelled.where("label IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    rows = written(rows.withColumn("draw", samples.draw()).drop("doc_id"), "labelled")
     chosen = samples.plan(rows, SAMPLE_ROWS)
     if chosen is None:
         return None

@@ -26,12 +26,13 @@ class Plan:
 
 
 def draw() -> Column:
+    """The draw of a row (doc_id, text), below 1."""
     return F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / float(1 << 53)
 
 
 def plan(labelled: DataFrame, rows: int) -> Plan | None:
-    """Count the different draws per class over all rows (doc_id, text, label); None if a class has no row."""
-    drawn = labelled.select("label", draw().alias("draw")).distinct()
+    """Count the different draws per class over all rows (label, draw); None if a class has no row."""
+    drawn = labelled.select("label", "draw").distinct()
     found = {r.label: r.n for r in drawn.groupBy("label").agg(F.count("*").alias("n")).collect()}
     have = (found.get(0, 0), found.get(1, 0))
     total = sum(have)
@@ -44,7 +45,7 @@ def plan(labelled: DataFrame, rows: int) -> Plan | None:
 
 def place(of: Plan) -> Column:
     """A row's place in the sample: up to about 1 are in, rising with its draw."""
-    return draw() * F.when(F.col("label") == 1, of.stretch[1]).otherwise(of.stretch[0])
+    return F.col("draw") * F.when(F.col("label") == 1, of.stretch[1]).otherwise(of.stretch[0])
 
 
 def unique(sampled: DataFrame, of: Plan, features: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import samples
-from .common import BROADCAST_ROWS, bounded, held, whole
+from .common import BROADCAST_ROWS, bounded, held, whole, written
 from .kernels import mix64
 
 GRAMS = (3, 4, 5, 6, 7)
@@ -168,6 +168,8 @@ def train(labelled: DataFrame) -> Model | None:
     one row of the sample, with their number as weight.
     """
     labelled = labelled.where("label IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    # Joined once; counts, draws and the sample read the written rows.
+    labelled = written(labelled.withColumn("draw", samples.draw()).drop("doc_id"), "labelled")
     counted = labelled.select("text", "label").mapInArrow(_counts, "bucket long, clean long, toxic long")
     sums = counted.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
     bucket = sums.column("bucket").to_numpy()
@@ -190,7 +192,10 @@ def train(labelled: DataFrame) -> Model | None:
     weight = found.column("copies").to_numpy() * np.array(chosen.weight)[labels.astype(int)]
     column = found.column("features").combine_chunks()
     ends, values = column.offsets.to_numpy(), column.values.to_numpy()
-    each = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    each = [values[a:b].copy() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    # The driver holds one copy of the sample during the fit.
+    del found, column, values
+    pa.default_memory_pool().release_unused()
     return fit_regression(each, labels, ratio, weight / weight.mean())
 
 

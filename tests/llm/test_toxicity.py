@@ -96,7 +96,7 @@ def test_copies_are_weights(spark):
 def test_a_rare_class_is_in_the_sample(spark):
     docs = spark.range(30_000).selectExpr("id AS doc_id", "concat('word', id % 977, IF(id < 5, ' scum', ' fine')) AS text")
     labels = spark.range(30_000).selectExpr("id AS doc_id", "CAST(id < 5 AS INT) AS toxic")
-    plan = T.samples.plan(T.labelled_rows(docs, labels, "toxic"), T.SAMPLE_ROWS)
+    plan = T.samples.plan(T.labelled_rows(docs, labels, "toxic").withColumn("draw", T.samples.draw()), T.SAMPLE_ROWS)
     assert plan.stretch[1] == 1.0 and plan.weight[1] < plan.weight[0] * 1.5
     scores = T.score(docs.where("doc_id < 2000"), labels).where("doc.doc_id < 5").select("score").collect()
     assert min(r[0] for r in scores) > 0
