@@ -81,6 +81,7 @@ def apply_upsert(
     on_duplicate: str = "raise",
     present: str | None = None,
     source_rows: int | None = None,
+    buckets: tuple[int, list[str]] | None = None,
 ) -> DataFrame:
     """Rows replace the target rows that share their key, the others are added.
 
@@ -88,7 +89,10 @@ def apply_upsert(
     of columns a row does not name; ``present`` is then the array column of names
     the row did give (an explicit null still overwrites). ``on_duplicate`` is
     ``raise`` or ``insert_all``. Any number of key columns is fine. ``source_rows``
-    is an upper bound on the number of rows where the caller has counted them.
+    is an upper bound on the number of rows where the caller has counted them. ``buckets``
+    (number, columns) are those of a bucketed target: if its key is the bucket columns, rows are
+    dealt the same way, the target meets them bucket by bucket without a shuffle of its own, and the
+    result lies as the target does.
     """
     if not on:
         raise DatasetError("upsert requires on")
@@ -97,6 +101,9 @@ def apply_upsert(
         raise DatasetError(f"missing upsert key column(s): {', '.join(map(repr, absent))}")
     if on_duplicate not in ("raise", "insert_all"):
         raise DatasetError(f"unknown on_duplicate {on_duplicate!r}")
+    if buckets is not None and set(buckets[1]) == set(on):
+        typed = [F.col(c).cast(target.schema[c].dataType).alias(c) if c in on else F.col(c) for c in rows.columns]
+        rows = rows.select(*typed).repartition(buckets[0], *buckets[1])
     if missing == "keep":
         return _merge_present(target, rows, on, present, source_rows)
     if missing != "null":

@@ -91,6 +91,8 @@ def _stage_upsert(spark: SparkSession, checked: Checked, target: DataFrame, chai
     options = {"missing": data_file.missing, "on_duplicate": data_file.on_duplicate, "source_rows": checked.count}
     if data_file.missing == "keep":
         options["present"] = PRESENT
+    count, columns, _ = tables.bucket_columns(tables.table_details(spark, table))
+    options["buckets"] = (count, columns) if count and not chained else None
     parts = tables.partition_columns(spark, table)
     if parts and set(parts) <= set(on) and not chained:
         near = tables.in_touched_partitions(target, source, parts)

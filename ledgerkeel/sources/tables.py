@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import DatasetError
 from ..session import written
 
 # Most partition values a scan is filtered by.
@@ -82,15 +81,39 @@ def _new_location(details: dict[str, str]) -> str:
 def stage_replace(spark: SparkSession, table: str, content: DataFrame) -> Staged:
     """Stage ``content``, which may read the table itself, as the table's whole content."""
     details = table_details(spark, table)
-    if int(details.get("Num Buckets", "0") or 0) > 0:
-        raise DatasetError(f"{table} is bucketed; a snapshot would not keep its buckets")
     if partition_columns(spark, table):
         return _stage_parts(spark, table, content, details, None)
     location, schema = _new_location(details), spark.table(table).schema
-    content.write.format(details["Provider"]).save(location)
+    _write_files(spark, table, content.select(*schema.fieldNames()), details, [], location)
     return Staged(table, spark.read.format(details["Provider"]).schema(schema).load(location), location)
 
 
+def bucket_columns(details: dict[str, str]) -> tuple[int, list[str], list[str]]:
+    """(number of buckets, bucket columns, sort columns) from a table's description; 0 if it has none."""
+    names = [re.findall(r"`((?:[^`]|``)*)`", details.get(f"{kind} Columns", "")) for kind in ("Bucket", "Sort")]
+    return int(details.get("Num Buckets", "0") or 0), *[[n.replace("``", "`") for n in own] for own in names]
+
+
+def _write_files(
+    spark: SparkSession, table: str, content: DataFrame, details: dict[str, str], parts: list[str], location: str
+) -> None:
+    """Write files as the table has them. Buckets are kept: the writer deals each row to the file of its
+    bucket, under a second catalog entry for the new folder that is dropped again (its files stay)."""
+    count, columns, order = bucket_columns(details)
+    writer = content.write.format(details["Provider"])
+    writer = writer.partitionBy(*parts) if parts else writer
+    if not count:
+        writer.save(location)
+        return
+    writer = writer.bucketBy(count, *columns)
+    writer = writer.sortBy(*order) if order else writer
+    staging = f"{table}__staged_{uuid.uuid4().hex}"
+    try:
+        writer.option("path", location).saveAsTable(staging)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {staging}")
+
+
 def stage_partitions(spark: SparkSession, table: str, content: DataFrame, touched: DataFrame) -> Staged:
     """Stage ``content`` as that of the partitions in ``touched``, all others staying as they are.
 
@@ -104,7 +127,7 @@ def _stage_parts(
 ) -> Staged:
     parts, target = partition_columns(spark, table), spark.table(table)
     location = _new_location(details)
-    content.select(*target.columns).write.format(details["Provider"]).partitionBy(*parts).save(location)
+    _write_files(spark, table, content.select(*target.columns), details, parts, location)
     written_rows = spark.read.format(details["Provider"]).schema(target.schema).load(location)
     # One row per partition comes to the driver, as many as the catalog is told of.
     folder = F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/[^/]*$", 1)

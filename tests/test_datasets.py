@@ -348,12 +348,11 @@ def test_repeated_keys_fail_on_an_empty_target(spark):
 
 
 def test_bucketed_and_oddly_named_tables(spark):
-    from ledgerkeel.errors import DatasetError
     from ledgerkeel.sources import tables
 
     spark.sql("CREATE TABLE bucketed_t (k INT, v STRING) USING parquet CLUSTERED BY (k) INTO 2 BUCKETS")
-    with pytest.raises(DatasetError):
-        tables.replace_content(spark, "bucketed_t", spark.createDataFrame([(1, "a")], "k int, v string"))
+    tables.replace_content(spark, "bucketed_t", spark.createDataFrame([(1, "a")], "k int, v string"))
+    assert spark.table("bucketed_t").count() == 1
     spark.sql("CREATE TABLE named_t (Location INT, Provider STRING) USING parquet")
     tables.replace_content(spark, "named_t", spark.createDataFrame([(1, "a")], "Location int, Provider string"))
     assert spark.table("named_t").count() == 1
@@ -516,3 +515,42 @@ def test_odd_partition_values(spark, tmp_path, rows):
     tables.replace_content(spark, "odd_t", spark.createDataFrame([(5, "new")], "k int, p string"))
     assert rows(spark.table("odd_t")) == [(5, "new")]
     spark.sql("DROP TABLE odd_t")
+
+
+@pytest.mark.parametrize("options", [{}, {"missing": "keep"}])
+@pytest.mark.parametrize("parted", [False, True])
+def test_upsert_keeps_buckets(spark, tmp_path, rows, options, parted):
+    """The target is not shuffled, every row lies in the file of its bucket, and joins still use the buckets."""
+    name = f"buckets_{parted}_{len(options)}"
+    start = spark.range(1_000).selectExpr("CAST(id AS INT) AS k", "concat('v', id) AS v", "'w' AS w", "id % 2 AS p")
+    writer = start.write.bucketBy(4, "k").sortBy("k")
+    (writer.partitionBy("p") if parted else writer).saveAsTable(name)
+    lines = [f'{{"k":{k},"v":"new","p":{k % 2}}}' for k in range(0, 2_000, 7)]
+    (tmp_path / "f.jsonl").write_text("\n".join(lines))
+    data = DataFile("f", name, "upsert", str(tmp_path / "f.jsonl"), on=("k",), **options)
+    dataset.apply_dataset(spark, DataSet("s", (data,)))
+    kept = "w" if options else None
+    want = {k: (f"v{k}", "w") for k in range(1_000)} | {k: ("new", kept if k < 1_000 else None) for k in range(0, 2_000, 7)}
+    assert rows(spark.table(name), "k", "v", "w") == sorted(((k, *v) for k, v in want.items()), key=repr)
+    of_file = F.regexp_extract(F.input_file_name(), r"_([0-9]{5})\.", 1).cast("int")
+    placed = spark.table(name).select("k", of_file.alias("file"))
+    assert placed.where(F.pmod(F.hash("k"), F.lit(4)) != F.col("file")).count() == 0
+    assert tables.bucket_columns(tables.table_details(spark, name)) == (4, ["k"], ["k"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        new = spark.createDataFrame([(1, "x", ["k", "v"])], "k int, v string, p array<string>")
+        extra = {"missing": "keep", "present": "p"} if options else {}
+        source = new if options else new.drop("p")
+        plan = mutate.apply_upsert(spark.table(name), source, ["k"], buckets=(4, ["k"]), **extra)
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        join = spark.table(name).alias("a").join(spark.table(name).alias("b"), "k")
+        assert "Exchange" not in join._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    scan = text.splitlines().index(next(line for line in text.splitlines() if "FileScan" in line))
+    depth = [line.find("+-") if "+-" in line else line.find(":-") for line in text.splitlines()]
+    above = [text.splitlines()[i] for i in range(scan) if all(depth[i] < depth[j] for j in range(i + 1, scan + 1))]
+    assert not any("Exchange" in line for line in above) and any("SortMergeJoin" in line for line in above)
+    spark.sql(f"DROP TABLE {name}")
