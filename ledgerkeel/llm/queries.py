@@ -76,7 +76,21 @@ def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(sharding.shard(docs, 40, size=F.col("doc.bytes")), F.col("doc.crc"))
 
 
-@query("op8_jaccard_join")
+_SHINGLE_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+
+@query(
+    "op8_jaccard_join",
+    f"""WITH RECURSIVE w AS (SELECT doc_id, {_SHINGLE_WORDS} AS ws FROM documents),
+    s AS (
+      SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END)) AS shingle FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+    l AS (SELECT x, y FROM p JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id WHERE 100 * common >= 80 * (nx.n + ny.n - common)),
+    r(doc_id, reached) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.reached)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(reached) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id, n""",
+)
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard.classify(docs).select("doc_id", "n_shingles", "component_id")
@@ -176,7 +190,23 @@ def conversation_events(turns: DataFrame) -> DataFrame:
     ).select("conv_id", "message", "place", "role", "e.seq", "e.kind", "e.text")
 
 
-@query("op6_chat")
+def _escaped(text: str) -> str:
+    """Code points of a text once a backslash has gone into each of its control strings."""
+    return f"length({text}) + len(regexp_extract_all({text}, '</?\\\\*turn'))"
+
+
+@query(
+    "op6_chat",
+    f"""WITH t AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', '{chat.LEARNED_ROLE}']), '{_CASE}'),
+    e AS (SELECT *, replace(replace(role, '\\', '\\\\'), chr(10), '\\n') AS plain FROM t)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+      coalesce(sum(length(text)) FILTER (WHERE role = '{chat.LEARNED_ROLE}'), 0)::BIGINT AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (WHERE role = '{chat.LEARNED_ROLE}'), '')) AS loss_sha256,
+      sum({len(chat.OPEN) + len(chat.CLOSE) + 1} + {_escaped("plain")} + {_escaped("text")})::BIGINT AS formatted_chars
+    FROM e GROUP BY conv_id""",
+)
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     case = spark.range(2).select(
