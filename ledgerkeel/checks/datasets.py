@@ -311,6 +311,21 @@ def apply_dataset(spark: SparkSession, sf: str) -> DataFrame:
     return mutate.union_all([_as_text(spark.table(table), name) for name, table in names.items()])
 
 
+@check(
+    "apply_upsert_bucketed",
+    f"""SELECT * FROM ord o WHERE NOT EXISTS (SELECT 1 FROM corrections c WHERE c.o_orderkey = o.o_orderkey)
+    UNION ALL SELECT {NEW_ROW} FROM corrections""",
+)
+def apply_upsert_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    """Corrections into a table bucketed by its key, as a data file."""
+    name, path = _name("bucketed"), f"{scratch_path(spark, 'data')}/orders.jsonl"
+    start = I.orders(spark, sf).write.bucketBy(8, "o_orderkey").sortBy("o_orderkey")
+    start.option("path", scratch_path(spark, "bucketed")).saveAsTable(name)
+    jsonl.jsonl_sink(I.corrections(spark, sf), path)
+    dataset.apply_dataset(spark, DataSet("core", (DataFile("orders", name, "upsert", path, on=("o_orderkey",)),)))
+    return spark.table(name)
+
+
 @check(
     "apply_report",
     """SELECT 'orders' AS name, 'upsert' AS mode, count(*) AS rows FROM corrections
