@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.digests import payload_digest, text_digest
+from ..functions.digests import packed, payload_digest, text_digest, unpacked
 from ..operators import ledger
 from ..operators.ordering import ordinal
 from ..session import written
@@ -237,19 +237,21 @@ def _is(priority: str, status: str) -> Column:
     return (F.col("o_orderpriority") == priority) & (F.col("o_orderstatus") == status)
 
 
-def input_entries(spark: SparkSession, sf: str) -> DataFrame:
-    """Ledger input: the orders of a customer, without open low-priority ones."""
-    return table(spark, sf, "orders").where(~_is("5-LOW", "O")).select(
+def input_entries(spark: SparkSession, sf: str, status: str | None = None) -> DataFrame:
+    """Ledger input: the orders of a customer (of one status only), without open low-priority ones."""
+    asked = F.lit(True) if status is None else F.col("o_orderstatus") == status
+    return table(spark, sf, "orders").where(asked & ~_is("5-LOW", "O")).select(
         F.col("o_custkey").alias("grp"), _entry("migrations/").alias("entry"), _payload().alias("payload")
     )
 
 
-def base_entries(spark: SparkSession, sf: str) -> DataFrame:
+def base_entries(spark: SparkSession, sf: str, *others: Column) -> DataFrame:
     """What the stored ledger saw: no pending urgent orders, other high-priority payloads."""
     return table(spark, sf, "orders").where(~_is("1-URGENT", "P")).select(
         F.col("o_custkey").alias("grp"),
         _entry("migrations/").alias("entry"),
         F.when(_is("2-HIGH", "F"), F.concat(F.lit("was "), _payload())).otherwise(_payload()).alias("payload"),
+        *others,
     )
 
 
@@ -307,29 +309,26 @@ def stored_headers(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("grp"), *_header_fields())
 
 
-def locked_steps(spark: SparkSession, sf: str) -> DataFrame:
-    """Stored steps with their chain, under each header's seed."""
-    steps = ledger.build_steps(base_entries(spark, sf), None, stored_headers(spark, sf))
-    facts = table(spark, sf, "orders").select(
-        F.col("o_custkey").alias("grp"),
-        _entry("migrations/").alias("entry"),
-        text_digest(
-            F.concat(F.when(_is("3-MEDIUM", "O"), "old state ").otherwise("state "), _payload())
-        ).alias("snapshot_digest"),
-        text_digest(
-            F.concat(
-                F.when(_is("3-MEDIUM", "O"), "old state ").when(_is("4-NOT SPECIFIED", "O"), "other state ").otherwise("state "),
-                _payload(),
-            )
-        ).alias("schema_digest"),
-    )
-    return (
-        steps.drop("snapshot_digest")
-        .join(facts, ["grp", "entry"])
-        .select(
-            "grp", F.col("idx").alias("pos"), "idx", "version", "entry", "payload_digest",
-            "snapshot_entry", "snapshot_digest", "schema_digest", "chain_hash",
-        )
+def locked_steps(spark: SparkSession, sf: str, groups: DataFrame | None = None) -> DataFrame:
+    """Stored steps with their chain, under each header's seed, and the columns of ``groups`` (keyed by grp).
+
+    What belongs to an order goes along with its entry, so that the steps are not joined with the orders again.
+    """
+    older = F.when(_is("3-MEDIUM", "O"), "old state ")
+    facts = {
+        "_snapshot": older.otherwise("state "),
+        "_schema": older.when(_is("4-NOT SPECIFIED", "O"), "other state ").otherwise("state "),
+    }
+    digests = [packed(text_digest(F.concat(words, _payload()))).alias(name) for name, words in facts.items()]
+    entries = base_entries(spark, sf, *digests, F.col("o_orderstatus").alias("_status"))
+    own = () if groups is None else ("_status", *[c for c in groups.columns if c != "grp"])
+    if groups is not None:
+        entries = entries.join(groups, "grp")
+    steps = ledger.build_steps(entries, None, stored_headers(spark, sf), carry=(*facts, *own))
+    return steps.select(
+        "grp", F.col("idx").alias("pos"), "idx", "version", "entry", "payload_digest",
+        "snapshot_entry", unpacked(F.col("_snapshot")).alias("snapshot_digest"),
+        unpacked(F.col("_schema")).alias("schema_digest"), "chain_hash", *own,
     )
 
 

@@ -463,16 +463,16 @@ cte(
 
 
 def planted_state(spark: SparkSession, sf: str) -> DataFrame:
-    locked = written(I.locked_steps(spark, sf), "locked")
-    headers = I.full_headers(spark, sf, locked)
     nation = F.when(F.col("c_mktsegment") == "HOUSEHOLD", 0).otherwise(F.col("c_nationkey"))
     plants = I.table(spark, sf, "customer").select(F.col("c_custkey").alias("grp"), nation.alias("plant"))
+    stored = written(I.locked_steps(spark, sf, plants), "locked")
+    locked = stored.drop("plant", "_status")
+    headers = I.full_headers(spark, sf, locked)
     plant = F.col("plant")
 
     def fault(number: int, name: str, value) -> Column:
         return F.when(plant == number, value).otherwise(F.col(name)).alias(name)
 
-    stored = locked.join(plants, "grp")
     changed = {
         "version": fault(1, "version", F.lit("x")),
         "idx": fault(3, "idx", F.col("idx") + 1),
@@ -480,9 +480,7 @@ def planted_state(spark: SparkSession, sf: str) -> DataFrame:
         "payload_digest": F.when((plant == 8) & (F.col("idx") == 1), F.lit(None)).otherwise(F.col("payload_digest")).alias("payload_digest"),
     }
     rows = stored.select(*[changed.get(c, F.col(c)) for c in locked.columns])
-    filled = I.table(spark, sf, "orders").where(F.col("o_orderstatus") == "F")
-    filled = filled.select(F.col("o_custkey").alias("grp"), I._entry("migrations/").alias("entry"))
-    again = stored.where(plant == 2).join(filled, ["grp", "entry"], "left_semi").withColumn("pos", F.col("pos") + 1_000_000)
+    again = stored.where((plant == 2) & (F.col("_status") == "F")).withColumn("pos", F.col("pos") + 1_000_000)
     rows = rows.unionByName(again.select(*locked.columns))
 
     changed = {
@@ -494,7 +492,8 @@ def planted_state(spark: SparkSession, sf: str) -> DataFrame:
 
     entries = I.input_entries(spark, sf)
     outside = plants.where(plant == 9).select("grp", F.lit("/abs.sql").alias("entry"), F.lit("x").alias("payload"))
-    doubled = entries.join(plants.where(plant == 10), "grp").join(filled, ["grp", "entry"], "left_semi")
+    filled = I.input_entries(spark, sf, "F")
+    doubled = filled.join(plants.where(plant == 10), "grp")
     doubled = doubled.select("grp", F.concat(F.lit("./"), "entry").alias("entry"), "payload")
     given = entries.unionByName(outside).unionByName(doubled)
     return coherence.ledger_state(given, I.snapshots(spark, sf), I.heads(spark, sf), tops, rows)[2]

@@ -50,3 +50,19 @@ def ensure_newline(text: Column) -> Column:
 def text_digest(text: Column, algorithm: str = SHA2) -> Column:
     """Digest after the newline rule; null stays null."""
     return payload_digest(ensure_newline(text), algorithm)
+
+
+#: Before text that is no digest: longer than one, so that the two are never taken for each other.
+_NO_DIGEST = bytes(33)
+
+
+def packed(digest: Column) -> Column:
+    """A hex digest as its 32 bytes, for shuffles; any other text behind a mark. Equal only if the texts are."""
+    marked = F.concat(F.lit(_NO_DIGEST), digest.cast("binary"))
+    return F.when(F.rlike(digest, F.lit(r"\A[0-9a-f]{64}\z")), F.unhex(digest)).otherwise(marked)
+
+
+def unpacked(digest: Column) -> Column:
+    """The text that ``packed`` was given."""
+    text = F.substring(digest, len(_NO_DIGEST) + 1, (1 << 31) - 1).cast("string")
+    return F.when(F.octet_length(digest) == 32, F.lower(F.hex(digest))).otherwise(text)

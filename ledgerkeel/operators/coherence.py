@@ -11,11 +11,12 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.digests import text_digest
-from ..functions.entries import companion_entry, entry_error, entry_value, version_of
+from ..functions.digests import packed, text_digest, unpacked
+from ..functions.entries import ENTRY_SUFFIX, companion_entry, entry_error, entry_value, entry_within, version_of
 from ..functions.sections import valid_text
 from ..session import written
 from . import findings as codes
@@ -147,11 +148,14 @@ def missing_from_input(steps: DataFrame, locked: DataFrame) -> DataFrame:
 
 def compare_steps(steps: DataFrame, locked: DataFrame) -> DataFrame:
     """Differences between matched steps, up to seven findings per step."""
-    stored = locked.select(
-        "grp", "entry", F.struct(*[c for c in locked.columns if c not in ("grp", "entry")]).alias("l")
-    )
-    own = steps.select("grp", "entry", F.struct(*[c for c in steps.columns if c not in ("grp", "entry")]).alias("s"))
-    joined = own.join(stored, ["grp", "entry"])
+    names = ("idx", "version", "snapshot_entry")
+
+    def side(df: DataFrame, digests: tuple[str, ...], name: str) -> DataFrame:
+        fields = [*names, *[packed(F.col(c)).alias(c) for c in digests]]
+        return df.select("grp", "entry", F.struct(*fields).alias(name))
+
+    digests = ("payload_digest", "snapshot_digest", "chain_hash")
+    joined = side(steps, digests, "s").join(side(locked, (*digests, "schema_digest"), "l"), ["grp", "entry"])
     return _explode(joined, _step_rules(F.col("s"), F.col("l"), F.col("entry")))
 
 
@@ -375,16 +379,20 @@ def ledger_state(
     policy: LedgerPolicy = DEFAULT_POLICY,
     position: str | None = None,
     unreadable: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(steps, usable stored steps, all findings) of every group.
 
     The step findings concern groups that have a readable ledger (``stored_groups``); the input findings
-    all. Stored steps are judged once, input steps are aligned with their snapshots by one
-    outer join and with the stored steps by a second one, and all rules of a pair are one
+    all. Rows of groups up to ``hot_rows`` are dealt by group once (``_state_at_once``). With a larger
+    group, stored steps are judged once, input steps are aligned with their snapshots by one
+    outer join and with the stored steps by a second one. All rules of a pair are one
     array; what concerns a whole group comes together in one aggregate.
     """
     groups = written(stored_groups(headers, locked, unreadable), "groups")
-    largest = _largest_of(entries, locked)
+    largest = _largest_of(entries, snapshots, locked)
+    if largest <= hot_rows:
+        return _state_at_once(entries, snapshots, heads, locked, groups, policy, position, largest)
     judged = written(_judged_steps(locked, groups, policy), "judged")
     usable = judged.where(F.size("_problems") == 0).select(*locked.columns)
     kept, rejected = ledger.judged_entries(
@@ -403,12 +411,168 @@ def ledger_state(
             snapshots_rejected,
             _repeated_inputs(sided),
             _aligned(sided, usable),
-            _of_groups(groups, heads, sided, usable, policy),
+            _of_groups(groups, heads, steps, usable, policy),
         ]
     )
     return steps, usable, found
 
 
+def _state_at_once(
+    entries: DataFrame,
+    snapshots: DataFrame,
+    heads: DataFrame,
+    locked: DataFrame,
+    groups: DataFrame,
+    policy: LedgerPolicy,
+    position: str | None,
+    largest: int,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``ledger_state`` with one shuffle of all rows, digests packed, by group, and one written frame."""
+    aligned = written(_side_by_side(entries, snapshots, locked, groups, policy, position, largest), "aligned")
+    steps = aligned.where(F.col("step").isNotNull()).select(
+        "grp", *[_opened(c, F.col(f"step.{c}")) for c in _STEP_COLUMNS]
+    )
+    judged = aligned.select("grp", F.inline("stored"))
+    usable = judged.where(F.size("_problems") == 0).select("grp", *[_opened(c, F.col(c)) for c in locked.columns if c != "grp"])
+    rejected = [
+        ledger._rejected_entries(df, folder) for df, folder in ((entries, policy.migrations_dir), (snapshots, policy.checkpoints_dir))
+    ]
+    pairs = aligned.select(
+        "grp", "step", "has_ledger", "snapshot",
+        F.posexplode_outer(F.filter("stored", _is_usable)).alias("_at", "stored"),
+    )
+    # A snapshot of no step is one finding, however many stored steps share its path.
+    once = F.when(F.col("step").isNotNull() | (F.coalesce("_at", F.lit(0)) == 0), F.col("snapshot"))
+    pairs = pairs.withColumns({"entry": F.coalesce("step.entry", "stored.entry"), "snapshot": once})
+    met = F.col("step").isNotNull() | F.col("snapshot").isNotNull() | F.col("stored").isNotNull()
+    found = union_all(
+        [
+            judged.select("grp", F.inline("_problems")),
+            check_sequential(usable, largest=largest),
+            *rejected,
+            _repeated_inputs(aligned),
+            _explode(pairs.where(met), _pair_rules()),
+            _of_groups(groups, heads, steps, usable, policy),
+        ]
+    )
+    return steps, usable.select(*locked.columns), found
+
+
+_DIGESTS = ("payload_digest", "snapshot_digest", "schema_digest", "chain_hash")
+
+
+def _closed(name: str) -> Column:
+    return (packed(F.col(name)) if name in _DIGESTS else F.col(name)).alias(name)
+
+
+def _opened(name: str, value: Column) -> Column:
+    return (unpacked(value) if name in _DIGESTS else value).alias(name)
+
+
+def _is_usable(stored: Column) -> Column:
+    return F.size(stored["_problems"]) == 0
+
+
+def _side_by_side(
+    entries: DataFrame,
+    snapshots: DataFrame,
+    locked: DataFrame,
+    groups: DataFrame,
+    policy: LedgerPolicy,
+    position: str | None,
+    largest: int,
+) -> DataFrame:
+    """DataFrame[grp, step, has_ledger, snapshot, copies, snapshot_copies, stored], digests packed.
+
+    A row is a path: its step, its snapshot and its stored steps (an array, with ``_problems``).
+    A stored step with a problem has a row of its own. Everything after the one shuffle by group is
+    windows and aggregates that keep the rows where they are.
+    """
+
+    def given(df: DataFrame, folder: str, digest: str, name: str) -> DataFrame:
+        good = df.where(entry_within(F.col("entry"), folder, ENTRY_SUFFIX))
+        row = F.struct(F.col(position or "entry").alias("arrival"), packed(F.col(digest)).alias("digest")).alias(name)
+        tail = F.substring("path", len(folder) + 1, (1 << 31) - 1)
+        return good.withColumn("path", entry_value(F.col("entry"))).select("grp", tail.alias("path"), row)
+
+    fields = [c for c in locked.columns if c != "grp"]
+    rows = reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True),
+        [
+            given(ledger.digested_entries(entries, policy), policy.migrations_dir, "payload_digest", "own"),
+            given(ledger.digested_snapshots(snapshots, policy), policy.checkpoints_dir, "snapshot_digest", "state"),
+            locked.select("grp", F.struct(*[_closed(c) for c in fields]).alias("kept")),
+        ],
+    )
+    named = groups.select(
+        "grp", F.col("header.engine").alias("engine"), F.col("header.target").alias("target"),
+        F.col("header").isNotNull().alias("has_ledger"), F.col("header.migrations_dir").alias("_entry_dir"),
+        F.col("header.checkpoints_dir").alias("_snapshot_entry_dir"), F.col("reason").alias("_reason"),
+    )
+    kept = F.col("kept")
+    dealt = rows.repartition("grp").join(named, "grp", "left").where(kept.isNull() | F.col("_reason").isNull())
+    folders = {
+        "entry": F.coalesce("_entry_dir", F.lit(policy.migrations_dir)),
+        "snapshot_entry": F.coalesce("_snapshot_entry_dir", F.lit(policy.checkpoints_dir)),
+    }
+    inside, checks = _path_rules(folders)
+    inside = kept.isNotNull() & inside
+    dealt = dealt.withColumns({name: kept[name] for name in folders})
+    # The path of the input entry all kinds of rows meet at; a stored path may lie anywhere.
+    stored_entry = F.when(inside, entry_value(F.col("entry"))).otherwise(F.col("entry"))
+    placed = dealt.withColumns(
+        {
+            "_paths": F.when(kept.isNotNull() & ~inside, F.array_compact(F.array(*checks))),
+            "_pos": F.when(inside, kept["pos"]),
+            "path": F.when(kept.isNull(), F.concat(F.lit(policy.migrations_dir), "path")).otherwise(stored_entry),
+            "snapshot_entry": F.when(inside, entry_value(F.col("snapshot_entry"))).otherwise(F.col("snapshot_entry")),
+            "_idx": kept["idx"],
+        }
+    )
+    first_idx = F.min("_pos").over(W.partitionBy("grp", "_idx"))
+    first_entry = F.min("_pos").over(W.partitionBy("grp", "path"))
+    again = placed.withColumn("_first_idx", first_idx).withColumn("_first_entry", first_entry)
+    index = F.concat(F.lit("index "), F.col("_idx").cast("string"), F.lit(" is repeated"))
+    repeated = [
+        _when(F.col("_pos") > F.col("_first_entry"), codes.LOCKFILE_DUPLICATE_MIGRATION, F.col("path"), "entry is repeated"),
+        _when(F.col("_pos") > F.col("_first_idx"), codes.LOCKFILE_DUPLICATE_STEP_INDEX, F.col("path"), index),
+    ]
+    problems = F.coalesce("_paths", F.array_compact(F.array(*repeated)))
+    changed = {"entry": F.col("path"), "snapshot_entry": F.col("snapshot_entry")}
+    stored = F.struct(*[changed.get(c, kept[c]).alias(c) for c in fields], problems.alias("_problems"))
+    alone = (
+        F.when(kept.isNotNull() & (F.size(problems) > 0), F.concat(F.lit("at "), kept["pos"].cast("string")))
+        # A missing group matches nothing, itself neither.
+        .when(F.col("grp").isNull(), F.when(kept.isNotNull(), "kept").when(F.col("own").isNotNull(), "own").otherwise("state"))
+    )
+    met = again.withColumn("_alone", alone).groupBy("grp", "path", "_alone").agg(
+        F.min("own").alias("own"), F.count("own").alias("copies"),
+        F.min("state").alias("state"), F.count("state").alias("snapshot_copies"),
+        F.collect_list(F.when(kept.isNotNull(), stored)).alias("stored"),
+        *[F.first(c).alias(c) for c in ("engine", "target", "has_ledger")],
+    )
+    is_step = F.col("own").isNotNull()
+    here = W.partitionBy("grp").orderBy("path", "_alone").rowsBetween(W.unboundedPreceding, 0)
+    numbered = met.withColumn("idx", F.count("own").over(here)).select(
+        "grp", F.col("path").alias("entry"), "_alone", "idx", F.when(is_step, version_of(F.col("path"))).alias("version"),
+        unpacked(F.col("own.digest")).alias("payload_digest"), "state", "copies", "snapshot_copies", "stored", "has_ledger",
+        F.coalesce("engine", F.lit("")).alias("engine"), F.coalesce("target", F.col("grp").cast("string")).alias("target"),
+    )
+    chained = ledger.fold_steps(numbered, policy, ("entry", "_alone"), largest)
+    companion = companion_entry(F.col("entry"), policy.migrations_dir, policy.checkpoints_dir)
+    parts = {
+        "snapshot_entry": companion,
+        "payload_digest": packed(F.col("payload_digest")),
+        "snapshot_digest": F.col("state.digest"),
+        "chain_hash": packed(F.col("chain_hash")),
+    }
+    step = F.struct(*[parts.get(c, F.col(c)).alias(c) for c in _STEP_COLUMNS])
+    return chained.select(
+        "grp", F.when(F.col("version").isNotNull(), step).alias("step"), "has_ledger",
+        F.when(F.col("state").isNotNull(), companion).alias("snapshot"), "copies", "snapshot_copies", "stored",
+    )
+
+
 _STEP_COLUMNS = ("idx", "version", "entry", "payload_digest", "snapshot_entry", "snapshot_digest", "chain_hash")
 
 
@@ -517,10 +681,15 @@ def _aligned(sided: DataFrame, usable: DataFrame) -> DataFrame:
         F.coalesce("grp", "_of").alias("grp"), "step", "has_ledger", "snapshot", "stored",
         F.coalesce("step.entry", "_entry").alias("entry"),
     )
+    return _explode(joined, _pair_rules())
+
+
+def _pair_rules() -> list[Column]:
+    """The rules about columns step, has_ledger, snapshot, stored and entry, not all of them null."""
     step, kept = F.col("step"), F.col("stored")
-    lone = step.isNull() & kept.isNull()
+    lone = step.isNull() & F.col("snapshot").isNotNull()
     undecodable = step.isNotNull() & F.col("snapshot").isNotNull() & step["snapshot_digest"].isNull()
-    rules = [
+    return [
         _when(lone, codes.INPUT_ORPHAN_CHECKPOINT, F.col("snapshot"), "snapshot belongs to no entry"),
         _when(undecodable, codes.INPUT_PATH_INVALID, F.col("snapshot"), "not UTF-8"),
         _when(
@@ -529,18 +698,15 @@ def _aligned(sided: DataFrame, usable: DataFrame) -> DataFrame:
         _when(step.isNull() & kept.isNotNull(), codes.COHERENCE_MISSING_FROM_INPUT, F.col("entry"), "ledger entry is not in the input"),
         *[F.when(step.isNotNull() & kept.isNotNull(), rule) for rule in _step_rules(step, kept, F.col("entry"))],
     ]
-    return _explode(joined, rules)
 
 
 def _of_groups(
-    groups: DataFrame, heads: DataFrame, sided: DataFrame, usable: DataFrame, policy: LedgerPolicy
+    groups: DataFrame, heads: DataFrame, steps: DataFrame, usable: DataFrame, policy: LedgerPolicy
 ) -> DataFrame:
     """All rules about a header, its head snapshot and the numbers of steps, from one aggregate by group."""
     digest = text_digest(valid_text(F.col("payload")), policy.hash_algorithm)
     bad_text = ~F.is_valid_utf8(F.col("payload").cast("string"))
-    own = sided.where(F.col("step").isNotNull()).groupBy("grp").agg(
-        F.count("*").alias("_own"), F.max_by("step.chain_hash", "step.idx").alias("_chain")
-    )
+    own = steps.groupBy("grp").agg(F.count("*").alias("_own"), F.max_by("chain_hash", "idx").alias("_chain"))
     parts = [
         groups,
         heads.select("grp", digest.alias("_digest"), bad_text.alias("_bad_head")),

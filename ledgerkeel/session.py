@@ -53,8 +53,10 @@ def written(df: DataFrame, label: str, partition_by: str | None = None) -> DataF
 
     Parquet keeps later reads column-pruned, and the rows (with any partition
     ids computed from a sampled range split) stay the same when a task reruns.
+    Zstandard, since hex digests, which have no repeats, shrink to half by their alphabet only.
     """
     path = scratch_path(df.sparkSession, label)
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer = df.write.option("compression", "zstd")
+    writer = writer.partitionBy(partition_by) if partition_by else writer
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
