@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import entries as E
 from ..operators import coherence, ledger, publish
-from ..operators.ordering import ordinal
+from ..operators.ordering import largest_group, ordinal
 from ..session import written
 from ..sources import ledgers, status
 from . import inputs as I
@@ -349,8 +349,10 @@ def check_head(spark: SparkSession, sf: str) -> DataFrame:
       SELECT *, row_number() OVER (PARTITION BY grp ORDER BY pos) AS place FROM dirty_flags WHERE NOT entry_again AND NOT idx_again) WHERE idx <> place""",
 )
 def check_sequential(spark: SparkSession, sf: str) -> DataFrame:
-    usable, _ = coherence.ledger_scan(I.dirty_ledger(spark, sf))
-    return coherence.check_sequential(written(usable, "usable"))
+    dirty = I.dirty_ledger(spark, sf)
+    largest = largest_group(dirty, ["grp"])
+    usable, _ = coherence.ledger_scan(dirty, largest=largest)
+    return coherence.check_sequential(usable, largest=largest)
 
 
 @check(

@@ -246,12 +246,30 @@ def _path_rules(folders: dict[str, Column]) -> tuple[Column, list[Column]]:
     return all_inside, checks
 
 
-def duplicate_ledger_steps(locked: DataFrame) -> tuple[DataFrame, DataFrame]:
+def duplicate_ledger_steps(
+    locked: DataFrame, hot_rows: int = HOT_ROWS, largest: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Surviving steps, and findings for repeated entries or indices.
 
     Each flag is "not the first row with this value in arrival order", whether
-    or not that first row survives itself, so the two flags are independent.
+    or not that first row survives itself, so the two flags are independent. Rows of groups
+    up to ``hot_rows`` are dealt by group once for both; ``largest`` is an upper bound
+    on the group size where the caller knows one.
     """
+    if (largest_group(locked, ["grp"]) if largest is None else largest) <= hot_rows:
+        dealt = locked.repartition("grp")
+        for name in ("entry", "idx"):
+            first = F.min("pos").over(W.partitionBy("grp", name))
+            dealt = dealt.withColumn(f"_{name}_again", F.coalesce(F.col("pos") > first, F.lit(False)))
+        index = F.concat(F.lit("index "), F.col("idx").cast("string"), F.lit(" is repeated"))
+        found = _explode(
+            dealt,
+            [
+                _when(F.col("_entry_again"), codes.LOCKFILE_DUPLICATE_MIGRATION, F.col("entry"), "entry is repeated"),
+                _when(F.col("_idx_again"), codes.LOCKFILE_DUPLICATE_STEP_INDEX, F.col("entry"), index),
+            ],
+        )
+        return dealt.where("NOT _entry_again AND NOT _idx_again").select(*locked.columns), found
     again = repeats(locked, ["grp", "entry"], "pos", "_first")
     index_again = repeats(locked, ["grp", "idx"], "pos", "_first")
     lost = again.select("grp", "pos").unionByName(index_again.select("grp", "pos")).distinct()
@@ -266,11 +284,14 @@ def duplicate_ledger_steps(locked: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def ledger_scan(
-    locked: DataFrame, policy: LedgerPolicy = DEFAULT_POLICY, headers: DataFrame | None = None
+    locked: DataFrame,
+    policy: LedgerPolicy = DEFAULT_POLICY,
+    headers: DataFrame | None = None,
+    largest: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Usable stored steps and all findings of reading them."""
     inside, path_findings = check_ledger_paths(locked, policy, headers)
-    kept, duplicate_findings = duplicate_ledger_steps(inside)
+    kept, duplicate_findings = duplicate_ledger_steps(inside, largest=largest)
     return kept, path_findings.unionByName(duplicate_findings)
 
 
