@@ -19,10 +19,31 @@ from pyspark.sql import functions as F
 from ..session import written
 
 HOT_ROWS = 2_000_000
+#: Rows a task takes, about, of a frame that is dealt by group.
+TASK_ROWS = 250_000
 
 
 def largest_group(df: DataFrame, group: list[str]) -> int:
-    return df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    return group_sizes(df, group)[0]
+
+
+def group_sizes(df: DataFrame, group: list[str]) -> tuple[int, int]:
+    """Rows of the largest group, and all rows."""
+    found = df.groupBy(*group).count().agg(F.max("count"), F.sum("count")).first()
+    return found[0] or 0, found[1] or 0
+
+
+def dealt(df: DataFrame, keys: list[str], rows: int, always: bool = False) -> DataFrame:
+    """``df`` dealt by ``keys`` over as many tasks as ``rows`` need, ``TASK_ROWS`` each.
+
+    The number is fixed, so tasks do not grow with the input: by default it would stay that of the
+    session, and Spark joins parts until they have 64 MB, which packed rows exceed many times in a sort.
+    A frame that fits one task is left as it is, or (``always``) dealt as the session says.
+    """
+    parts = -(-rows // TASK_ROWS)
+    if parts <= 1:
+        return df.repartition(*keys) if always else df
+    return df.repartition(max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 def attach(df: DataFrame, other: DataFrame, keys: list[str], values: list[str], how: str = "left") -> DataFrame:
@@ -54,15 +75,18 @@ def ordinal(
     name: str = "idx",
     hot_rows: int = HOT_ROWS,
     largest: int | None = None,
+    rows: int = 0,
 ) -> DataFrame:
     """Add the 1-based position of each row in its group (bigint).
 
     ``order`` must be unique within a group for a stable result. ``largest`` is
-    an upper bound on the group size where the caller knows one.
+    an upper bound on the group size where the caller knows one, ``rows`` then the number of rows.
     """
-    if (largest_group(df, group) if largest is None else largest) <= hot_rows:
+    if largest is None:
+        largest, rows = group_sizes(df, group)
+    if largest <= hot_rows:
         place = F.row_number().over(W.partitionBy(*group).orderBy(*order))
-        return df.withColumn(name, place.cast("bigint"))
+        return dealt(df, group, rows).withColumn(name, place.cast("bigint"))
     parts = _in_parts(df, group, order)
     earlier = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
@@ -94,10 +118,18 @@ def running_sum(
 
 
 def running_sums(
-    df: DataFrame, group: list[str], order: list[str], values: dict[str, str], hot_rows: int = HOT_ROWS
+    df: DataFrame,
+    group: list[str],
+    order: list[str],
+    values: dict[str, str],
+    hot_rows: int = HOT_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
-    """Add, under each name, the sum of its column over the group's rows up to and including this one."""
-    if largest_group(df, group) <= hot_rows:
+    """Add, under each name, the sum of its column over the group's rows up to and including this one.
+
+    ``largest`` is an upper bound on the group size where the caller knows one.
+    """
+    if (largest_group(df, group) if largest is None else largest) <= hot_rows:
         here = _up_to_here(group, order)
         return df.withColumns({name: F.sum(value).over(here) for name, value in values.items()})
     parts = _in_parts(df, group, order)
@@ -159,11 +191,12 @@ def nearest_flagged(
     name: str,
     ahead: bool = True,
     hot_rows: int = HOT_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add the closest ``order`` value after (or before) the row's own one that
     belongs to a flagged row of the group; null if there is none."""
-    if largest_group(df, group) <= hot_rows:
-        return df.withColumn(name, _nearest(group, order, F.when(flag, F.col(order)), ahead))
+    if (largest_group(df, group) if largest is None else largest) <= hot_rows:
+        return df.withColumn(name, nearest(group, order, F.when(flag, F.col(order)), ahead))
     points = df.groupBy(*group, order).agg(F.bool_or(flag).alias("_flag"))
     parts = _in_parts(points, group, [order])
     marked = F.when(F.col("_flag"), F.col(order))
@@ -177,14 +210,14 @@ def nearest_flagged(
         .where(F.col("_edge").isNotNull())
         .drop("_best")
     )
-    placed = parts.withColumn("_near", _nearest([*group, "_part"], order, marked, ahead))
+    placed = parts.withColumn("_near", nearest([*group, "_part"], order, marked, ahead))
     points = _with_edges(placed, edges, group, ["_edge"]).select(
         *group, order, F.coalesce("_near", "_edge").alias(name)
     )
     return attach(df, points, [*group, order], [name])
 
 
-def _nearest(group: list[str], order: str, marked: Column, ahead: bool) -> Column:
+def nearest(group: list[str], order: str, marked: Column, ahead: bool) -> Column:
     # Always a frame that only grows: from the far end up to just before the row.
     by = F.col(order).desc() if ahead else F.col(order).asc()
     frame = W.partitionBy(*group).orderBy(by).rangeBetween(W.unboundedPreceding, -1)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..errors import StateError
 from .compare import equal_states
 from .history import blocked_groups
-from .ordering import HOT_ROWS, attach, nearest_flagged, running_sum
+from .ordering import HOT_ROWS, attach, dealt, group_sizes, nearest, nearest_flagged, running_sum
 
 
 def change_sets(changes: DataFrame) -> DataFrame:
@@ -46,17 +46,24 @@ def validity_ranges(
     """Every row version with ``valid_from`` and ``valid_to`` (exclusive, null = open).
 
     One shuffle by (grp, key) finds the next upsert of the key. Group-wide
-    replaces are looked for first; without any, nothing is joined for them. A
-    null key matches no upsert, so such rows live until a replace.
+    replaces are looked for first; with some, and groups up to ``hot_rows``, rows are dealt by
+    group instead, for both. A null key matches no upsert, so such rows live until a replace.
     """
-    # Spread by key even where the input already lies by group: a group may be very large.
-    rows = _with_anchor(changes, anchor).repartition("grp", *key)
+    rows = _with_anchor(changes, anchor)
     has_key = ~_any_null(key)
     upserts = (F.col("mode") == "upsert") & has_key
-    timed = nearest_flagged(rows, ["grp", *key], "idx", upserts, "_upsert", hot_rows=hot_rows)
-    ended = F.when(has_key, F.col("_upsert"))
     all_sets = change_sets(changes) if sets is None else sets
-    if all_sets.where(F.col("mode") == "replace").isEmpty():
+    largest, total = group_sizes(rows, ["grp"])
+    bound = largest if largest <= hot_rows else None
+    replaces = (changes if sets is None else sets).where(F.col("mode") == "replace")
+    none = replaces.isEmpty()
+    if not none and bound is not None and (sets is None or largest + group_sizes(replaces, ["grp"])[0] <= hot_rows):
+        return _ranges_by_group(rows, upserts, has_key, key, None if sets is None else replaces, total)
+    # Spread by key even where the input already lies by group: a group may be very large.
+    rows = dealt(rows, ["grp", *key], total, always=True)
+    timed = nearest_flagged(rows, ["grp", *key], "idx", upserts, "_upsert", hot_rows=hot_rows, largest=bound)
+    ended = F.when(has_key, F.col("_upsert"))
+    if none:
         dated = timed.withColumn("valid_to", ended)
     else:
         replaced = next_replace(all_sets, rows, hot_rows)
@@ -68,6 +75,24 @@ def validity_ranges(
     return dated.drop("_upsert").withColumnRenamed("idx", "valid_from")
 
 
+def _ranges_by_group(
+    rows: DataFrame, upserts: Column, has_key: Column, key: list[str], replaces: DataFrame | None, total: int
+) -> DataFrame:
+    """``validity_ranges`` where a group fits a task: one shuffle, two windows, no join.
+
+    ``replaces`` are change-sets, empty ones too; without them the rows' own modes say where replaces are.
+    """
+    own = rows.withColumn("_row", F.lit(True))
+    if replaces is not None:
+        own = own.unionByName(replaces.select("grp", "idx", "mode", F.lit(False).alias("_row")), allowMissingColumns=True)
+    lying = dealt(own, ["grp"], total, always=True)
+    by_key = nearest(["grp", *key], "idx", F.when(upserts, F.col("idx")), True)
+    by_group = nearest(["grp"], "idx", F.when(F.col("mode") == "replace", F.col("idx")), True)
+    timed = lying.withColumn("_upsert", F.when(has_key, by_key)).withColumn("_replace", by_group).where("_row")
+    dated = timed.withColumn("valid_to", F.least("_upsert", "_replace"))
+    return dated.drop("_upsert", "_replace", "_row").withColumnRenamed("idx", "valid_from")
+
+
 def _any_null(columns: list[str]) -> Column:
     found = F.lit(False)
     for name in columns:

@@ -28,7 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rendering import json_line
-from .ordering import HOT_ROWS, attach, running_sums
+from ..session import written
+from .ordering import HOT_ROWS, attach, dealt, group_sizes, largest_group, running_sums
 from .replay import change_sets, validity_ranges
 
 OPS = ("upsert", "delete", "insert", "remove", "replace", "clear")
@@ -56,10 +57,17 @@ def state_digests(
     numbers are, so any two points of a history compare by two of these rows.
     """
     number = ranges.select("grp", "valid_from", "valid_to", row_number(ranges, columns).alias("h"))
-    points = sets.select("grp", "idx").distinct()
-    deltas = _deltas(number).unionByName(_zero(points)).groupBy("grp", "idx").agg(F.sum("h").alias("h"), F.sum("n").alias("n"))
-    summed = running_sums(deltas, ["grp"], ["idx"], {"digest": "h", "rows": "n"}, hot_rows)
-    return attach(points, summed, ["grp", "idx"], ["rows", "digest"])
+    number = written(number, "numbers")
+    asked = _zero(sets).withColumn("_asked", F.lit(True))
+    every = _deltas(number).withColumn("_asked", F.lit(False)).unionByName(asked)
+    largest, total = group_sizes(number.select("grp").unionByName(sets.select("grp")), ["grp"])
+    bound = 2 * largest if 2 * largest <= hot_rows else None
+    if bound is not None:
+        # All of a group lies together, so that sums per step and running sums share one shuffle.
+        every = dealt(every, ["grp"], 2 * total, always=True)
+    deltas = every.groupBy("grp", "idx").agg(F.sum("h").alias("h"), F.sum("n").alias("n"), F.bool_or("_asked").alias("_asked"))
+    summed = running_sums(deltas, ["grp"], ["idx"], {"digest": "h", "rows": "n"}, hot_rows, bound)
+    return summed.where("_asked").select("grp", "idx", "rows", "digest")
 
 
 def _zero(points: DataFrame) -> DataFrame:
@@ -75,7 +83,9 @@ def _deltas(versions: DataFrame) -> DataFrame:
     )
 
 
-def _alive(versions: DataFrame, asked: DataFrame, by: list[str], hot_rows: int) -> DataFrame:
+def _alive(
+    versions: DataFrame, asked: DataFrame, by: list[str], hot_rows: int, largest: int | None = None
+) -> DataFrame:
     """``asked`` (by, idx) with digest sum and number of the rows alive there that share ``by``.
 
     Only versions whose ``by`` is asked for at all are looked at.
@@ -96,7 +106,7 @@ def _alive(versions: DataFrame, asked: DataFrame, by: list[str], hot_rows: int)
     merged = points.groupBy(*by, "idx").agg(
         F.sum("_h").alias("_h"), F.sum("_n").alias("_n"), F.bool_or("_asked").alias("_asked")
     )
-    summed = running_sums(merged, by, ["idx"], {"alive_h": "_h", "alive_n": "_n"}, hot_rows)
+    summed = running_sums(merged, by, ["idx"], {"alive_h": "_h", "alive_n": "_n"}, hot_rows, largest)
     return summed.where("_asked").select(*by, "idx", "alive_h", "alive_n")
 
 
@@ -114,16 +124,22 @@ def state_roundtrip(
     it, ``mismatch`` if not, ``skipped`` for a step without inverse. ``surplus_rows`` is the number of rows
     the rolled-back state has too many (negative: too few); a mismatch may have none. Inverses of
     steps that do not exist are passed over. Frames are those of ``replay``; a state may hold
-    equal rows and keys more than once, and null keys, which no key matches.
+    equal rows and keys more than once, and null keys, which no key matches. Versions and inverses, which
+    every part below reads, are written once, as keys and row numbers.
     """
     columns = [*key, *[c for c in changes.columns if c not in ("grp", "idx", "mode", *key)]]
     steps = change_sets(changes) if sets is None else sets.select("grp", "idx", "mode").distinct()
     ranges = validity_ranges(changes, key, anchor, steps, hot_rows)
     versions = ranges.select("grp", *key, "valid_from", "valid_to", row_number(ranges, columns).alias("h"))
+    versions = written(versions, "versions")
     op = F.when(F.col("op").isin(*OPS), F.col("op")).otherwise(
         F.raise_error(F.concat(F.lit("unknown op: "), F.coalesce("op", F.lit("null")))).cast("string")
     )
     undo = inverses.select("grp", "idx", op.alias("op"), *key, row_number(inverses, columns).alias("h"))
+    undo = written(undo, "inverses")
+    # Of any frame below whose sums run on: a version begins and ends, an inverse row asks once.
+    largest = 2 * largest_group(versions, ["grp"]) + largest_group(undo, ["grp"])
+    bound = largest if largest <= hot_rows else None
     undone = undo.groupBy("grp", "idx").agg(F.bool_or(F.col("op").isin("replace", "clear")).alias("_whole"))
     whole, partly = undone.where("_whole").select("grp", "idx"), undone.where("NOT _whole").select("grp", "idx", F.lit(True).alias("_partly"))
 
@@ -137,20 +153,20 @@ def state_roundtrip(
     by_key = ["grp", *key]
     partial = attach(undo, partly, ["grp", "idx"], ["_partly"], "inner").drop("_partly")
     gone_keys = partial.where(F.col("op").isin("upsert", "delete") & known).select(*by_key, "idx").distinct()
-    gone = _alive(versions, gone_keys, by_key, hot_rows).select("grp", "idx", "alive_h", "alive_n")
+    gone = _alive(versions, gone_keys, by_key, hot_rows, bound).select("grp", "idx", "alive_h", "alive_n")
 
     # Single rows of partial inverses: as many copies go as are asked for and live, of keys that stay.
     flagged = gone_keys.withColumn("_gone", F.lit(True))
     asked = attach(partial.where(F.col("op") == "remove"), flagged, [*by_key, "idx"], ["_gone"])
     asked = asked.where(F.col("_gone").isNull()).groupBy("grp", "h", "idx").agg(F.count("*").alias("_copies"))
-    live = _alive(versions, asked.select("grp", "h", "idx"), ["grp", "h"], hot_rows)
+    live = _alive(versions, asked.select("grp", "h", "idx"), ["grp", "h"], hot_rows, bound)
     taken = attach(asked, live, ["grp", "h", "idx"], ["alive_n"]).select(
         "grp", "idx", "h", F.least("_copies", "alive_n").alias("_taken")
     )
 
     # Whole states go: the running digest of the group at that step.
     running = deltas.unionByName(_zero(whole)).groupBy("grp", "idx").agg(F.sum("h").alias("h"), F.sum("n").alias("n"))
-    running = running_sums(running, ["grp"], ["idx"], {"state_h": "h", "state_n": "n"}, hot_rows)
+    running = running_sums(running, ["grp"], ["idx"], {"state_h": "h", "state_n": "n"}, hot_rows, bound)
     cleared = attach(whole, running, ["grp", "idx"], ["state_h", "state_n"])
 
     def part(df: DataFrame, h: Column, n: Column) -> DataFrame:

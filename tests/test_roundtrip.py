@@ -6,7 +6,8 @@ from collections import Counter
 import pytest
 from pyspark.errors import PySparkException
 
-from ledgerkeel.operators import replay, roundtrip
+from ledgerkeel.operators import ordering, replay, roundtrip
+from ledgerkeel.session import written
 
 CHANGE = "grp string, idx bigint, mode string, k int, v int"
 INVERSE = "grp string, idx bigint, op string, k int, v int"
@@ -132,3 +133,33 @@ def test_replay_has_no_window(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_inverses_are_read_once(spark):
+    changes = spark.createDataFrame([("g", 1, "insert", 1, 5), ("g", 2, "upsert", 1, 6)], CHANGE)
+    inverses = written(spark.createDataFrame([("g", 1, "remove", 1, 5), ("g", 2, "upsert", 1, 5)], INVERSE), "given")
+    got = roundtrip.state_roundtrip(changes, inverses, ["k"])
+    assert {r.status for r in got.collect()} == {"checked"}
+    assert inverses.inputFiles() and not set(inverses.inputFiles()) & set(got.inputFiles())
+
+
+def test_tasks_do_not_grow_with_the_history(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "TASK_ROWS", 50)
+    data = [(f"g{i % 40}", i, ("insert", "upsert", "replace")[i % 3], i % 7, i) for i in range(1_000)]
+    changes = spark.createDataFrame(data, CHANGE)
+    ranges = replay.capture_checkpoints(changes, ["k"])
+    digests = roundtrip.state_digests(ranges, ["k", "v"], changes)
+    assert ranges.rdd.getNumPartitions() == 20 and digests.rdd.getNumPartitions() >= 20
+    sizes = {(r.grp, r.idx): r.rows for r in replay.checkpoint_sizes(ranges, changes).collect()}
+    assert {(r.grp, r.idx): r["rows"] for r in digests.collect()} == sizes and len(sizes) == 1_000
+
+
+def test_ranges_by_group_equal_ranges_by_key(spark, rows):
+    """Groups that fit a task, and the same ones beyond the limit; null groups and keys, given empty replaces."""
+    rng = random.Random(5)
+    data = [(rng.choice(["a", "b", None]), i // 2, ("insert", "upsert", "replace")[i // 2 % 3], rng.choice([1, 2, None]), i) for i in range(60)]
+    changes = spark.createDataFrame(data, CHANGE)
+    sets = replay.change_sets(changes).unionByName(spark.createDataFrame([("a", 40, "replace")], "grp string, idx bigint, mode string"))
+    for given in (None, sets):
+        one, other = (replay.validity_ranges(changes, ["k"], sets=given, hot_rows=h) for h in (1_000, 3))
+        assert one.columns == other.columns and rows(one) == rows(other)
