@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rendering import json_line
-from .ordering import attach
+from ..session import written
+from .ordering import attach, dealt
 from .roundtrip import row_number
 
 BRANCHES, LEAVES = 64, 4_096
@@ -40,22 +41,28 @@ def _leaf(df: DataFrame, columns: list[str]) -> Column:
 
 
 def _levels(leaves: DataFrame) -> DataFrame:
-    """Sums per group and branch from those per leaf, all three levels as rows."""
+    """All three levels as rows, from the leaves."""
+    leaf = leaves.select(F.lit("leaf").alias("level"), "grp", "branch", "leaf", "rows", "digest")
+    return leaf.unionByName(_upper(leaves))
+
+
+def _upper(leaves: DataFrame) -> DataFrame:
+    """Sums per group and branch from those per leaf."""
     sums = (F.sum("rows").alias("rows"), F.sum("digest").cast("decimal(38,0)").alias("digest"))
     none = F.lit(None).cast("int")
     branch = leaves.groupBy("grp", "branch").agg(*sums)
     group = leaves.groupBy("grp").agg(*sums)
-    return (
-        leaves.select(F.lit("leaf").alias("level"), "grp", "branch", "leaf", "rows", "digest")
-        .unionByName(branch.select(F.lit("branch").alias("level"), "grp", "branch", none.alias("leaf"), "rows", "digest"))
-        .unionByName(group.select(F.lit("group").alias("level"), "grp", none.alias("branch"), none.alias("leaf"), "rows", "digest"))
-    )
+    upper = branch.select(F.lit("branch").alias("level"), "grp", "branch", none.alias("leaf"), "rows", "digest")
+    return upper.unionByName(group.select(F.lit("group").alias("level"), "grp", none.alias("branch"), none.alias("leaf"), "rows", "digest"))
 
 
 def _leaf_sums(state: DataFrame, sign: int = 1) -> DataFrame:
     columns = [c for c in state.columns if c != "grp"]
     leaf = _leaf(state, columns)
-    numbered = state.select("grp", leaf.alias("leaf"), (row_number(state, columns) * sign).alias("h"))
+    return _summed(state.select("grp", leaf.alias("leaf"), (row_number(state, columns) * sign).alias("h")), sign)
+
+
+def _summed(numbered: DataFrame, sign: int) -> DataFrame:
     return numbered.groupBy("grp", "leaf").agg(
         (F.count("*") * sign).alias("rows"), F.sum("h").cast("decimal(38,0)").alias("digest")
     ).withColumn("branch", _branch_of(F.col("leaf")))
@@ -81,13 +88,22 @@ def changed_tree(stored: DataFrame, added: DataFrame, removed: DataFrame) -> Dat
 
 
 def save(state: DataFrame, path: str) -> None:
-    """Write the rows in a folder per branch and the tree in a folder per level."""
+    """Write the rows in a folder per branch and the tree in a folder per level.
+
+    The state is computed once, with the rows' numbers; leaves come from the written rows, upper levels from the leaves.
+    """
     columns = [c for c in state.columns if c != "grp"]
-    placed = state.withColumn("_leaf", _leaf(state, columns)).withColumn("_branch", _branch_of(F.col("_leaf")))
+    placed = state.withColumns({"_leaf": _leaf(state, columns), "_h": row_number(state, columns)})
+    placed = written(placed.withColumn("_branch", _branch_of(F.col("_leaf"))), "state")
+    total = placed.count()
     # Spread by leaf and group: a branch or group may hold very many rows, a leaf of a group few.
-    spread = placed.repartition("_leaf", "grp").sortWithinPartitions("_branch", "grp")
+    spread = dealt(placed.drop("_h"), ["_leaf", "grp"], total, always=True).sortWithinPartitions("_branch", "grp")
     spread.write.partitionBy("_branch").parquet(f"{path}/rows")
-    tree(state).write.partitionBy("level").parquet(f"{path}/tree")
+    sums = _summed(placed.select("grp", F.col("_leaf").alias("leaf"), F.col("_h").alias("h")), 1)
+    lowest = f"{path}/tree/level=leaf"
+    sums.select("grp", "branch", "leaf", "rows", "digest").write.parquet(lowest)
+    leaves = state.sparkSession.read.schema(sums.schema).parquet(lowest)
+    _upper(leaves).write.mode("append").partitionBy("level").parquet(f"{path}/tree")
 
 
 def load(spark: SparkSession, path: str, state: DataFrame) -> Stored:

@@ -1,6 +1,7 @@
 """Stored states compared by their trees against the comparison of all rows."""
 
 import random
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -54,3 +55,12 @@ def test_a_tree_takes_changes(spark, rows):
     assert rows(D.changed_tree(D.tree(frame), added, removed)) == rows(D.tree(after))
     everything = D.changed_tree(D.tree(frame), added.limit(0), frame)
     assert everything.count() == 0 and D.tree(frame.where(F.lit(False))).count() == 0
+
+
+def test_a_state_is_computed_once(spark, tmp_path, rows):
+    """A state that is another one each time it is computed is still stored with its own tree."""
+    name = F.udf(lambda: uuid.uuid4().hex).asNondeterministic()
+    state = spark.range(300).select((F.col("id") % 3).cast("string").alias("grp"), F.col("id").cast("int").alias("k"), name().alias("v"))
+    D.save(state, str(tmp_path / "s"))
+    saved = D.load(spark, str(tmp_path / "s"), state)
+    assert rows(D.tree(saved.rows.select("grp", "k", "v"))) == rows(saved.tree, "level", "grp", "branch", "leaf", "rows", "digest")
