@@ -30,7 +30,9 @@ from functools import cache
 from itertools import groupby
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,8 @@ MARK = "▁"
 MEMORY, MEMORY_CHARS = 250_000, 40
 #: Characters looked over at once.
 STRETCH = 1 << 18
+#: Lists of ids decoded at once.
+LISTS = 256
 MODEL = "piece_bpe_32k.model"
 
 
@@ -104,12 +108,72 @@ def merge(text: str, scores: dict[str, float]) -> list[str]:
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
 
-class Encoder:
-    """Encoding and decoding by one vocabulary."""
+class Decoder:
+    """Decoding by one vocabulary."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
         kinds = vocabulary.kinds
+        self.surfaces = [self._surface(p, k) for p, k in zip(vocabulary.pieces, kinds, strict=True)]
+        self.surface_table = pa.array(self.surfaces, pa.large_binary())
+        self.controls = {i for i, k in enumerate(kinds) if k == "c"}
+
+    def _surface(self, piece: str, kind: str) -> bytes:
+        if kind == "n":
+            return piece.replace(MARK, " ").encode()
+        if kind == "b":
+            return bytes([int(piece[1:-1], 16)])
+        return self.vocabulary.unknown.encode() if kind == "u" else b""
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of any ids: control ids are silent, bytes that form no character become U+FFFD
+        each, and the space that encoding puts before a text is taken off."""
+        kinds = self.vocabulary.kinds
+        if self.controls.isdisjoint(ids):
+            text = self._joined(ids)
+        else:
+            # Bytes on both sides of a control id are never one character.
+            text = "".join(self._joined(part) for silent, part in groupby(ids, self.controls.__contains__) if not silent)
+        first = next((i for i in ids if kinds[i] != "c"), None)
+        return text[1:] if first is not None and self._drops_space(first) else text
+
+    def decode_all(self, lists: pa.ListArray) -> pa.Array:
+        """``decode`` of every list, ``LISTS`` of them at once."""
+        return pa.array([text for at in range(0, len(lists), LISTS) for text in self._texts(lists.slice(at, LISTS))], pa.string())
+
+    def _texts(self, lists: pa.ListArray) -> list[str]:
+        """The surfaces of all ids are looked up and laid one after the other, then cut."""
+        flat, ends = lists.flatten(), self._ends(lists)
+        if len(flat) and pc.any(pc.is_in(flat, pa.array(self.controls, pa.int32()))).as_py():
+            return [self.decode(ids or ()) for ids in lists.to_pylist()]
+        written = self.surface_table.take(flat)
+        sizes = np.frombuffer(written.buffers()[1], np.int64)[written.offset : written.offset + len(flat) + 1]
+        data = memoryview(written.buffers()[2] or b"")
+        texts = []
+        for first, last in zip(ends, ends[1:], strict=False):
+            start = sizes[first] + (first < last and self._drops_space(flat[first].as_py()))
+            texts.append(_text(bytes(data[start : sizes[last]])))
+        return texts
+
+    def _ends(self, lists: pa.ListArray) -> list[int]:
+        """Where each list begins among all ids, and the end of the last; a null one is empty."""
+        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        return [0, *np.cumsum(counts, dtype=np.int64).tolist()]
+
+    def _drops_space(self, first: int) -> bool:
+        spaced = self.vocabulary.kinds[first] == "n" and self.vocabulary.pieces[first].startswith(MARK)
+        return spaced and self.vocabulary.prefix
+
+    def _joined(self, ids: Iterable[int]) -> str:
+        return _text(b"".join(map(self.surfaces.__getitem__, ids)))
+
+
+class Encoder(Decoder):
+    """Encoding and decoding by one vocabulary."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        super().__init__(vocabulary)
+        kinds = vocabulary.kinds
         # Within, the space mark is a plain space: texts then need no second copy of wider characters.
         self.ids = {p.replace(MARK, " "): i for i, p in enumerate(vocabulary.pieces) if kinds[i] == "n"}
         self.scores = {p: vocabulary.scores[i] for p, i in self.ids.items()}
@@ -128,8 +192,6 @@ class Encoder:
         self.matches.make_automaton()
         self.output = [self._written(p) for p in self.tokens]
         self.runs = self._run_pattern(alphabet)
-        self.surfaces = [self._surface(p, k) for p, k in zip(vocabulary.pieces, kinds, strict=True)]
-        self.controls = {i for i, k in enumerate(kinds) if k == "c"}
         self.fitting: dict[int, bool] = {}
         self.recent: dict[str, bytes] = {}
         self.earlier: dict[str, bytes] = {}
@@ -218,32 +280,12 @@ class Encoder:
                 into += recent(run) or remembered(run)
             start = stop
 
-    def _surface(self, piece: str, kind: str) -> bytes:
-        if kind == "n":
-            return piece.replace(MARK, " ").encode()
-        if kind == "b":
-            return bytes([int(piece[1:-1], 16)])
-        return self.vocabulary.unknown.encode() if kind == "u" else b""
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of any ids: control ids are silent, bytes that form no character become U+FFFD
-        each, and the space that encoding puts before a text is taken off."""
-        kinds = self.vocabulary.kinds
-        if self.controls.isdisjoint(ids):
-            text = self._joined(ids)
-        else:
-            # Bytes on both sides of a control id are never one character.
-            text = "".join(self._joined(part) for silent, part in groupby(ids, self.controls.__contains__) if not silent)
-        first = next((i for i in ids if kinds[i] != "c"), None)
-        spaced = first is not None and kinds[first] == "n" and self.vocabulary.pieces[first].startswith(MARK)
-        return text[1:] if spaced and self.vocabulary.prefix else text
-
-    def _joined(self, ids: Iterable[int]) -> str:
-        data = b"".join(map(self.surfaces.__getitem__, ids))
-        try:
-            return data.decode()
-        except UnicodeDecodeError:
-            return _lenient(data)
+def _text(data: bytes) -> str:
+    try:
+        return data.decode()
+    except UnicodeDecodeError:
+        return _lenient(data)
 
 
 def _lenient(data: bytes) -> str:
@@ -267,6 +309,11 @@ def _encoder(vocabulary: Vocabulary) -> Encoder:
     return Encoder(vocabulary)
 
 
+@cache
+def _decoder(vocabulary: Vocabulary) -> Decoder:
+    return Decoder(vocabulary)
+
+
 def _encode(vocabulary: Vocabulary):
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(vocabulary)
@@ -285,9 +332,9 @@ def _encode(vocabulary: Vocabulary):
 
 def _decode(vocabulary: Vocabulary):
     def run(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = _encoder(vocabulary)
+        decoder = _decoder(vocabulary)
         for batch in lists:
-            yield pa.array([encoder.decode(ids.as_py() or ()) for ids in batch], pa.string())
+            yield decoder.decode_all(batch)
 
     run.__annotations__ = {"lists": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "string")

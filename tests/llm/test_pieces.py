@@ -3,6 +3,7 @@
 import random
 from array import array
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from ledgerkeel.llm import pieces as P
@@ -113,3 +114,16 @@ def test_query_equals_the_library(spark):
         ids = LIBRARY.encode(r.text or "")
         want.append((r.doc_id, len(ids), digest(",".join(map(str, ids))), digest(LIBRARY.decode(ids))))
     assert sorted(map(tuple, QUERIES["op11_pieces"](spark, sf).collect())) == sorted(want)
+
+
+def test_batches_decode_like_single_lists(encoder):
+    """Any ids, whole batches at once: with and without control ids, bytes that are no text, null and empty lists."""
+    rng = random.Random(11)
+    number = len(encoder.vocabulary.pieces)
+    lists = [[rng.randrange(number) for _ in range(rng.randrange(6))] for _ in range(500)] + [None, []]
+    silent = [[i for i in ids or () if i not in encoder.controls] for ids in lists]
+    low = [[rng.randrange(260) for _ in range(3)] for _ in range(200)]
+    for given in (lists, silent, low, [], [None]):
+        batch = pa.array(given, pa.list_(pa.int32()))
+        assert encoder.decode_all(batch).to_pylist() == [encoder.decode(ids or ()) for ids in given]
+        assert encoder.decode_all(batch.slice(1)).to_pylist() == [encoder.decode(ids or ()) for ids in given[1:]]
