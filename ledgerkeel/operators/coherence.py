@@ -23,7 +23,7 @@ from . import findings as codes
 from . import ledger
 from .ledger import DEFAULT_POLICY, LedgerPolicy
 from .mutate import union_all
-from .ordering import HOT_ROWS, largest_group, ordinal, repeats
+from .ordering import HOT_ROWS, dealt, group_sizes, largest_group, ordinal, repeats
 
 
 def _when(failed: Column, code: str, path: Column, detail: Column | str) -> Column:
@@ -257,19 +257,19 @@ def duplicate_ledger_steps(
     on the group size where the caller knows one.
     """
     if (largest_group(locked, ["grp"]) if largest is None else largest) <= hot_rows:
-        dealt = locked.repartition("grp")
+        lying = locked.repartition("grp")
         for name in ("entry", "idx"):
             first = F.min("pos").over(W.partitionBy("grp", name))
-            dealt = dealt.withColumn(f"_{name}_again", F.coalesce(F.col("pos") > first, F.lit(False)))
+            lying = lying.withColumn(f"_{name}_again", F.coalesce(F.col("pos") > first, F.lit(False)))
         index = F.concat(F.lit("index "), F.col("idx").cast("string"), F.lit(" is repeated"))
         found = _explode(
-            dealt,
+            lying,
             [
                 _when(F.col("_entry_again"), codes.LOCKFILE_DUPLICATE_MIGRATION, F.col("entry"), "entry is repeated"),
                 _when(F.col("_idx_again"), codes.LOCKFILE_DUPLICATE_STEP_INDEX, F.col("entry"), index),
             ],
         )
-        return dealt.where("NOT _entry_again AND NOT _idx_again").select(*locked.columns), found
+        return lying.where("NOT _entry_again AND NOT _idx_again").select(*locked.columns), found
     again = repeats(locked, ["grp", "entry"], "pos", "_first")
     index_again = repeats(locked, ["grp", "idx"], "pos", "_first")
     lost = again.select("grp", "pos").unionByName(index_again.select("grp", "pos")).distinct()
@@ -411,9 +411,9 @@ def ledger_state(
     array; what concerns a whole group comes together in one aggregate.
     """
     groups = written(stored_groups(headers, locked, unreadable), "groups")
-    largest = _largest_of(entries, snapshots, locked)
+    largest, total = _sizes_of(entries, snapshots, locked)
     if largest <= hot_rows:
-        return _state_at_once(entries, snapshots, heads, locked, groups, policy, position, largest)
+        return _state_at_once(entries, snapshots, heads, locked, groups, policy, position, largest, total)
     judged = written(_judged_steps(locked, groups, policy), "judged")
     usable = judged.where(F.size("_problems") == 0).select(*locked.columns)
     kept, rejected = ledger.judged_entries(
@@ -447,9 +447,10 @@ def _state_at_once(
     policy: LedgerPolicy,
     position: str | None,
     largest: int,
+    total: int,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``ledger_state`` with one shuffle of all rows, digests packed, by group, and one written frame."""
-    aligned = written(_side_by_side(entries, snapshots, locked, groups, policy, position, largest), "aligned")
+    aligned = written(_side_by_side(entries, snapshots, locked, groups, policy, position, largest, total), "aligned")
     steps = aligned.where(F.col("step").isNotNull()).select(
         "grp", *[_opened(c, F.col(f"step.{c}")) for c in _STEP_COLUMNS]
     )
@@ -502,6 +503,7 @@ def _side_by_side(
     policy: LedgerPolicy,
     position: str | None,
     largest: int,
+    total: int,
 ) -> DataFrame:
     """DataFrame[grp, step, has_ledger, snapshot, copies, snapshot_copies, stored], digests packed.
 
@@ -531,17 +533,18 @@ def _side_by_side(
         F.col("header.checkpoints_dir").alias("_snapshot_entry_dir"), F.col("reason").alias("_reason"),
     )
     kept = F.col("kept")
-    dealt = rows.repartition("grp").join(named, "grp", "left").where(kept.isNull() | F.col("_reason").isNull())
+    lying = dealt(rows, ["grp"], total, always=True)
+    lying = lying.join(named, "grp", "left").where(kept.isNull() | F.col("_reason").isNull())
     folders = {
         "entry": F.coalesce("_entry_dir", F.lit(policy.migrations_dir)),
         "snapshot_entry": F.coalesce("_snapshot_entry_dir", F.lit(policy.checkpoints_dir)),
     }
     inside, checks = _path_rules(folders)
     inside = kept.isNotNull() & inside
-    dealt = dealt.withColumns({name: kept[name] for name in folders})
+    lying = lying.withColumns({name: kept[name] for name in folders})
     # The path of the input entry all kinds of rows meet at; a stored path may lie anywhere.
     stored_entry = F.when(inside, entry_value(F.col("entry"))).otherwise(F.col("entry"))
-    placed = dealt.withColumns(
+    placed = lying.withColumns(
         {
             "_paths": F.when(kept.isNotNull() & ~inside, F.array_compact(F.array(*checks))),
             "_pos": F.when(inside, kept["pos"]),
@@ -597,10 +600,10 @@ def _side_by_side(
 _STEP_COLUMNS = ("idx", "version", "entry", "payload_digest", "snapshot_entry", "snapshot_digest", "chain_hash")
 
 
-def _largest_of(*frames: DataFrame) -> int:
-    """Rows of the largest group in any frame, in one job."""
+def _sizes_of(*frames: DataFrame) -> tuple[int, int]:
+    """Rows of the largest group in any frame, and all rows, in one job."""
     tagged = [df.select("grp", F.lit(i).alias("of")) for i, df in enumerate(frames)]
-    return largest_group(union_all(tagged), ["of", "grp"])
+    return group_sizes(union_all(tagged), ["of", "grp"])
 
 
 def _judged_steps(locked: DataFrame, groups: DataFrame, policy: LedgerPolicy) -> DataFrame:
