@@ -419,10 +419,9 @@ FATAL = "(code LIKE 'lockfile-%' OR code IN ('input-path-invalid', 'input-path-d
 
 def state_findings(spark: SparkSession, sf: str) -> DataFrame:
     locked = written(I.locked_steps(spark, sf), "locked")
-    _, _, found = coherence.ledger_state(
+    return coherence.ledger_findings(
         I.input_entries(spark, sf), I.snapshots(spark, sf), I.heads(spark, sf), I.full_headers(spark, sf, locked), locked
     )
-    return found
 
 
 @check("ledger_state", "SELECT * FROM state_found")
@@ -498,7 +497,7 @@ def planted_state(spark: SparkSession, sf: str) -> DataFrame:
     doubled = filled.join(plants.where(plant == 10), "grp")
     doubled = doubled.select("grp", F.concat(F.lit("./"), "entry").alias("entry"), "payload")
     given = entries.unionByName(outside).unionByName(doubled)
-    return coherence.ledger_state(given, I.snapshots(spark, sf), I.heads(spark, sf), tops, rows)[2]
+    return coherence.ledger_findings(given, I.snapshots(spark, sf), I.heads(spark, sf), tops, rows)
 
 
 @check("ledger_state_codes", "SELECT * FROM codes_found")
