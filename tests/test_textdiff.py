@@ -1,6 +1,7 @@
 """Hunks against the texts they must give, for random, odd and very long texts."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,3 +90,23 @@ def test_equal_texts_have_no_hunks(spark):
     old = spark.createDataFrame([("g", 1, "a\nb\n"), ("g", 2, None)], TEXT)
     assert D.ordered_diff(old, old, ["grp", "k"], "text").count() == 0
     assert D.ordered_diff(old.limit(0), old.limit(0), ["grp", "k"], "text").count() == 0
+
+
+def test_texts_are_dealt_once(spark, monkeypatch):
+    """Both texts of a key are dealt by it over as many tasks as they need; lines, gaps and hunks stay there."""
+    monkeypatch.setattr(D, "TASK_BYTES", 20_000)
+    old = spark.createDataFrame([(g, k, o) for g, k, o, _ in texts()], TEXT)
+    new = spark.createDataFrame([(g, k, n) for g, k, _, n in texts()], TEXT)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hunks = D.ordered_diff(old, new, ["grp", "k"], "text")
+        plan = hunks._jdf.queryExecution().executedPlan().toString()
+        got = {(r.grp, r.k): r.text for r in D.apply_hunks(old, hunks, ["grp", "k"], "text").collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got == {(g, k): n for g, k, _, n in texts()}
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "Reused" not in x]
+    # The keys, the texts of each side, the runs of anchors.
+    assert len(dealt) <= 5 and all(int(re.search(r"hashpartitioning\(.*?, (\d+)\)", x)[1]) > 8 for x in dealt), dealt
