@@ -167,9 +167,16 @@ def audit_basenames(corpus: DataFrame) -> DataFrame:
 
 
 def audit_ledger(found: DataFrame, headers: DataFrame) -> DataFrame:
-    """L201-L204 from the findings of a ledger state."""
+    """L201-L204 from the findings of a ledger state.
+
+    Only a missing head depends on whether its group has a ledger, so only those findings meet the
+    headers. All are written once before, so that the state's rules are not applied for either part.
+    """
     has_ledger = headers.select("grp").distinct().withColumn("_has", F.lit(True))
-    joined = found.join(has_ledger, "grp", "left")
+    found = written(found.select("grp", "code", "path", "detail"), "state-findings")
+    headless = F.col("code").eqNullSafe(F.lit(codes.INPUT_SCHEMA_MISSING))
+    others = found.where(~headless).withColumn("_has", F.lit(None).cast("boolean"))
+    joined = found.where(headless).join(has_ledger, "grp", "left").unionByName(others)
     code = (
         F.when(F.col("code") == codes.INPUT_ORPHAN_CHECKPOINT, F.lit("L202"))
         .when((F.col("code") == codes.INPUT_SCHEMA_MISSING) & F.col("_has"), F.lit("L203"))

@@ -80,6 +80,22 @@ def test_ledger_and_state_rules(spark, rows):
     assert rows(audit.audit_state(frame, frame, headers), "grp", "code") == [("h", "L205"), ("h", "L206")]
 
 
+def test_only_missing_heads_meet_the_headers(spark):
+    """However many groups there are, findings that need no header are neither shuffled nor sorted."""
+    code = f"if(id % 10 = 0, '{codes.INPUT_SCHEMA_MISSING}', '{codes.COHERENCE_NEW_IN_INPUT}') AS code"
+    found = spark.range(100).selectExpr("id AS grp", code, "'p' AS path", "'d' AS detail")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = audit.audit_ledger(found, spark.range(50).selectExpr("id AS grp"))
+        dealt = got._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning")[1]
+        assert f"<=> {codes.INPUT_SCHEMA_MISSING})" in dealt.splitlines()[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert {r.code: r["count"] for r in got.groupBy("code").count().collect()} == {"L201": 5, "L203": 5, "L204": 90}
+
+
 def test_report_order_and_exit(spark, rows):
     found = audit.audit_findings(corpus(spark, ("2_b.sql", b"x"), ("1_a.sql", b"\xff")))
     report = audit.audit_report(found).collect()
