@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import fetch
 from ..session import written
 
-__all__ = ["BROADCAST_ROWS", "WORD", "batch_rows", "bounded", "held", "lower_az", "row_hash", "table", "whole", "words", "written"]
+__all__ = [
+    "BROADCAST_ROWS", "WORD", "batch_rows", "bounded", "held", "lower_az", "matched", "may_match", "row_hash", "table", "whole", "words", "written",
+]
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -71,6 +74,27 @@ def row_hash(rows: DataFrame) -> Column:
     return F.xxhash64(*[c if hashable(f.dataType) else F.to_json(F.struct(c)) for f, c in zip(fields, own, strict=True)])
 
 
-def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+def bounded(df: DataFrame, rows: int, limit: int | None = None) -> DataFrame:
     """Broadcast a side whose counted rows are under the limit; else Spark joins by shuffle."""
-    return F.broadcast(df) if rows <= limit else df
+    return F.broadcast(df) if rows <= (BROADCAST_ROWS if limit is None else limit) else df
+
+
+def may_match(asked: DataFrame, keys: list[str], rows: int) -> Column | None:
+    """For rows with the same ``keys``: whether one of the counted rows of ``asked`` may equal them, null as a value.
+
+    It is asked before a join that ``bounded`` does not broadcast, so that the join shuffles the texts that have a
+    partner and about one in a hundred others, not all of them. None where the join broadcasts. ``asked`` should be written.
+    """
+    return None if rows <= BROADCAST_ROWS else fetch.in_bits(fetch.bloom_bits(asked, keys, rows), keys)
+
+
+def matched(wide: DataFrame, asked: DataFrame, keys: list[str], rows: int, how: str) -> DataFrame:
+    """Rows of ``wide`` whose ``keys`` a row of the written and counted ``asked`` equals (null as a value), by a
+    ``left_semi`` join, or does not, by a ``left_anti`` one. A large ``asked`` meets only the rows that its bits let pass."""
+    side = asked.select(*[F.col(k).alias(f"_asked_{i}") for i, k in enumerate(keys)])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_asked_{i}"))
+    passed = may_match(asked, keys, rows)
+    found = (wide if passed is None else wide.where(passed)).join(bounded(side, rows), same, how)
+    return found if passed is None or how == "left_semi" else wide.where(~passed).unionByName(found)

@@ -13,19 +13,25 @@ distance 1, so the space is first cut where that loses nothing:
    smaller of two linked sets has at least ``2t / (1 + t)`` of its shingles in common, so
    it misses few of those shown; a document of which too few recur at all can only be
    the larger of a linked pair, and buckets without a possible smaller side fall away.
+   A bucket ordered by set size is cut where the next size is too large for a link, so
+   documents of other sizes that meet by chance do not; what is alone then falls away.
 3. The smallest class of a shingle's bucket leads it, and buckets whose leaders
    meet in a document take the smaller one. A leader's region is every class that
-   meets it. Linked classes share a bucket, hence a region. Members whose shown
-   shingles leave room for no partner in the region drop out, and the smallest of
-   the rest is the region's pivot.
-4. The distance of each member to its pivot is computed from the full sets. Members
+   meets it. Linked classes share a bucket, hence a region. Regions above ``LEAF``
+   are cut into bands of set size. In each, the shown shingles say which pairs are not
+   ruled out; a spanning forest of those pairs is all that is kept of a region.
+4. The components of these forests are clusters; a class is in one, and no link leaves it.
+   Texts of a cluster of up to ``LEAF`` classes meet in one task, which joins
+   their full sets by recursive Voronoi cells (``link_cells``).
+5. Of a larger cluster, each region's smallest class is its pivot. The distance of each
+   member to its pivot is computed from the full sets. Members
    within the radius are linked to it and to each other's component: no pair inside
    that ball is looked at again.
-5. Where a region still holds several components, members go to rings of the radius'
+6. Where such a region still holds several components, members go to rings of the radius'
    width around the pivot and, as the triangle inequality asks, to the next ring too.
    Rings above ``LEAF`` members become a grid of blocks. Each task joins its block pair
-   by recursive Voronoi cells (``link_cells``) and returns at most a spanning forest.
-6. Links contract to components.
+   by ``link_cells`` and returns at most a spanning forest.
+7. Links contract to components.
 
 No task holds more than two blocks of sets, no pairs inside a group are emitted, and
 rows between the stages follow the number of documents.
@@ -34,6 +40,7 @@ rows between the stages follow the number of documents.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +50,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import batch_rows, bounded, held, whole, written
+from .common import batch_rows, bounded, held, matched, may_match, whole, written
 from .graph import components
 
 #: A shingle seen this often (counting only what recurs within ``HELD``) comes last in the order.
@@ -112,9 +119,10 @@ def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 
 def _signatures(frequent: np.ndarray, similarity: int):
-    """Tasks that give each row its set's size, digest and first shingles."""
+    """Tasks that give each row its set's size, digest and first shingles; of equal sets in a task, one row has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[bytes] = set()
         for batch in batches:
             sizes, keys, firsts, lengths, shown = [], [], [], [], []
             for own in kernels.shingle_sets(batch.column(2)):
@@ -129,6 +137,8 @@ def _signatures(frequent: np.ndarray, similarity: int):
                     light = own[~late]
                     visible = int(np.searchsorted(light, np.uint64(SHOWN), "right"))
                     first = np.concatenate([light, own[late]])[: max(_prefix(n, similarity), visible)]
+                first = first[:0] if keys[-1] in met else first
+                met.add(keys[-1])
                 firsts.append(first)
                 lengths.append(len(first))
                 shown.append(visible)
@@ -244,28 +254,45 @@ def _join_block(similarity: int):
     return run
 
 
+def _forest(fits: np.ndarray) -> tuple[list[int], list[int]]:
+    """Edges of a spanning forest of a symmetric matrix of pairs."""
+    a, b = [], []
+    fresh = np.ones(len(fits), bool)
+    for start in range(len(fits)):
+        if not fresh[start]:
+            continue
+        fresh[start] = False
+        ends = [start]
+        while ends:
+            at = ends.pop()
+            found = np.flatnonzero(fits[at] & fresh)
+            fresh[found] = False
+            a += [at] * len(found)
+            b += found.tolist()
+            ends += found.tolist()
+    return a, b
+
+
 def _feasible(similarity: int):
-    """Members of a block pair that can be linked to another one, by the shown shingles alone.
+    """A spanning forest, per region, of the pairs of a block pair that the shown shingles alone do not rule out.
 
     Of the shown shingles of x at most ``n_x - o`` are not in y, where ``o`` is the overlap
     that two sets of these sizes need.
     """
 
-    def some_partner(tokens: list[np.ndarray], n: np.ndarray, shown: np.ndarray) -> np.ndarray:
-        some = np.zeros(len(n), bool)
+    def pairs(tokens: list[np.ndarray], n: np.ndarray, shown: np.ndarray) -> np.ndarray:
+        every = np.zeros((len(n), len(n)), bool)
         for a in range(0, len(n), LEAF):
             x = slice(a, a + LEAF)
             if len(n) <= 8:
-                inter = np.array([[len(np.intersect1d(s, t, assume_unique=True)) for t in tokens] for s in tokens])
+                inter = np.array([[len(np.intersect1d(s, t, assume_unique=True)) for t in tokens] for s in tokens[x]])
             else:
                 inter = overlaps(tokens[x], tokens)
             need = -(-similarity * (n[x, None] + n[None]) // (100 + similarity))
             fits = (inter >= shown[x, None] - n[x, None] + need) & (inter >= shown[None] - n[None] + need)
             fits &= 100 * np.minimum(n[x, None], n[None]) >= similarity * np.maximum(n[x, None], n[None])
-            own = np.arange(fits.shape[0])
-            fits[own, a + own] = False
-            some[x] = fits.any(1)
-        return some
+            every[x] = fits
+        return every
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         region, class_ = pdf["region"].to_numpy(), pdf["class"].to_numpy()
@@ -276,11 +303,13 @@ def _feasible(similarity: int):
         seen = pdf["seen"].to_numpy()
         tokens = [np.asarray(seen[i], np.int64).view(np.uint64) for i in order]
         n, shown = pdf["n"].to_numpy(np.int64)[order], pdf["shown"].to_numpy(np.int64)[order]
-        some = np.zeros(len(order), bool)
+        low, high = [], []
         edges = np.flatnonzero(np.r_[True, region[1:] != region[:-1], True])
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            some[a:b] = some_partner(tokens[a:b], n[a:b], shown[a:b])
-        return pd.DataFrame({"region": region[some], "class": class_[some]})
+            x, y = _forest(pairs(tokens[a:b], n[a:b], shown[a:b]))
+            low += [a + i for i in x]
+            high += [a + i for i in y]
+        return pd.DataFrame({"region": region[low], "a": class_[low], "b": class_[high]}, dtype=np.int64)
 
     return run
 
@@ -298,29 +327,52 @@ def _grid(members: DataFrame, group: list[str], counted: DataFrame, columns: lis
     )
 
 
-def _regions(signed: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
-    """Rows (pivot, class), pivot itself left out, of classes that may be linked inside a region."""
-    row = classes.select("class", "set_key", F.col("row.doc_id").alias("id"), F.col("row.text_hash").alias("h"))
-    at_row = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("h"))
-    first = signed.join(row, "set_key").where(at_row).select("class", "shown", F.posexplode("first").alias("at", "shingle"))
-    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucket = Window.partitionBy("shingle")
-    shared = (
-        first.select("class", "shingle", (F.col("at") < F.col("shown")).alias("seen"))
-        .repartition(n, "shingle")
-        .withColumn("pivot", F.min("class").over(bucket))
-        .withColumn("last", F.max("class").over(bucket))
+def _buckets(signed: DataFrame, similarity: int) -> DataFrame:
+    """Rows (class, pivot, shingle, seen): classes that share a first shingle, without sizes that cannot be linked.
+
+    The copies of a set that other tasks have shown again stand beside each other, and one is kept.
+    """
+    first = signed.where("n > 0").select("class", "n", "shown", F.posexplode("first").alias("at", "shingle"))
+    # Size and mark travel in one number.
+    sized = (F.col("n") * 2 + (F.col("at") < F.col("shown")).cast("int")).alias("sized")
+    parts = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_size = Window.partitionBy("shingle").orderBy("sized", "class")
+    here, before, after = (F.shiftright(c, 1) for c in ("sized", "sized_before", "sized_after"))
+    near = F.coalesce(before * 100 >= here * similarity, F.lit(False))
+    close = (
+        first.select("class", sized, "shingle")
+        .repartition(parts, "shingle")
+        .withColumns(
+            {
+                "sized_before": F.lag("sized").over(by_size),
+                "class_before": F.lag("class").over(by_size),
+                "sized_after": F.lead("sized").over(by_size),
+            }
+        )
+        .withColumn("starts", (~near).cast("int"))
+        .where(F.col("class_before").isNull() | (F.col("class_before") != F.col("class")))
+        .where((F.col("starts") == 0) | (here * 100 >= after * similarity))
+    )
+    run = Window.partitionBy("shingle", "run")
+    return (
+        close.withColumn("run", F.sum("starts").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("pivot", F.min("class").over(run))
+        .withColumn("last", F.max("class").over(run))
         .where("last != pivot")
-        .drop("last")
+        .select("class", "pivot", "shingle", (F.col("sized") % 2 == 1).alias("seen"))
     )
-    shared = written(shared, "jaccard-buckets")
+
+
+def _regions(signed: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
+    """Rows (region, a, b): a spanning forest, in each region, of the pairs that may be linked."""
+    shared = written(_buckets(signed, similarity), "jaccard-buckets")
     sizes = classes.select("class", "n", "shown")
     smaller = shared.groupBy("class").agg(F.sum(F.col("seen").cast("int")).alias("hits")).join(sizes, "class")
     missed = F.col("n") - F.ceil(F.col("n") * 2 * similarity / (100 + similarity))
     smaller = smaller.select("class", (F.col("hits") >= F.col("shown") - missed).alias("smaller"))
     shared = (
         shared.join(smaller, "class")
-        .withColumn("smaller", F.max("smaller").over(bucket))
+        .withColumn("smaller", F.max("smaller").over(Window.partitionBy("shingle", "pivot")))
         .where("smaller")
         .select("class", "pivot", "shingle", "seen")
     )
@@ -330,19 +382,70 @@ def _regions(signed: DataFrame, classes: DataFrame, similarity: int) -> DataFram
     regions = written(shared.select("class", "pivot").join(met, "pivot").select("region", "class").distinct(), "jaccard-regions")
     tokens = shared.groupBy("class").agg(F.collect_set(F.when(F.col("seen"), F.col("shingle"))).alias("seen"))
     counted = regions.groupBy("region").agg(F.count("*").alias("members")).where("members > 1")
-    dealt = _grid(regions, ["region"], counted, ["class", "members"]).join(tokens, "class").join(sizes, "class")
+    # Linked sets differ in size by the width of a band at most; a class of a large region is in its own band and the next.
+    home = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / similarity) + 1e-9)).cast("int")
+    large = F.col("members") > LEAF
+    banded = (
+        regions.join(counted, "region")
+        .join(sizes, "class")
+        .withColumn("home", F.when(large, home).otherwise(F.lit(0)))
+        .withColumn("band", F.explode(F.when(large, F.array("home", F.col("home") + 1)).otherwise(F.array("home"))))
+        .drop("members")
+    )
+    group = ["region", "band"]
+    counted = banded.groupBy(group).agg(F.count("*").alias("members"), F.max((F.col("home") == F.col("band")).cast("int")).alias("homes"))
+    counted = counted.where("members > 1 AND homes = 1")
+    dealt = _grid(banded, group, counted, ["class", "members", "n", "shown"]).join(tokens, "class")
     # Small regions share a task's group, by hash; blocks of large ones have their own.
     runs = F.ceil(F.lit(regions.count()) / (4 * LEAF))
     alone = F.col("members") > LEAF
-    key = F.when(alone, F.col("region")).otherwise(F.pmod(F.xxhash64("region"), runs)).alias("key")
+    key = F.when(alone, F.col("region")).otherwise(F.pmod(F.xxhash64(*group), runs)).alias("key")
     fit = (
-        dealt.select("region", "class", "low", "high", "seen", "n", "shown", key, alone.alias("alone"))
-        .groupBy("key", "alone", "low", "high")
-        .applyInPandas(_feasible(similarity), "region long, class long")
+        dealt.select(*group, "class", "low", "high", "seen", "n", "shown", key, alone.alias("alone"))
+        .groupBy("key", F.when(F.col("alone"), F.col("band")).alias("own_band"), "alone", "low", "high")
+        .applyInPandas(_feasible(similarity), "region long, a long, b long")
     )
-    fit = written(fit.distinct(), "jaccard-feasible")
-    pivots = fit.groupBy("region").agg(F.min("class").alias("pivot"))
-    return written(fit.join(pivots, "region").where("class != pivot").select("pivot", "class").distinct(), "jaccard-stars")
+    return written(fit, "jaccard-feasible")
+
+
+def _stars(edges: DataFrame, large: DataFrame) -> DataFrame:
+    """Rows (pivot, class), pivot itself left out, of each region's classes whose cluster is a large one."""
+    own = edges.join(large.select(F.col("class").alias("a")), "a")
+    members = own.select("region", F.explode(F.array("a", "b")).alias("class")).distinct()
+    pivots = members.groupBy("region").agg(F.min("class").alias("pivot"))
+    return written(members.join(pivots, "region").where("class != pivot").select("pivot", "class").distinct(), "jaccard-stars")
+
+
+def _cluster_links(similarity: int):
+    """Links inside clusters whose rows (root, class, text) stand together; at most a spanning forest of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, ids, sets = None, [], []
+
+        def links() -> list[tuple[int, int]]:
+            found = link_cells(sets, np.arange(len(sets)), similarity) if len(sets) > 1 else []
+            return [(ids[i], ids[j]) for i, j in found]
+
+        def rows(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            a, b = zip(*found, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            found = []
+            names = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            for (own_root, class_), own in zip(names, kernels.shingle_sets(batch.column(2)), strict=True):
+                if own_root != root:
+                    found += links()
+                    root, ids, sets = own_root, [], []
+                if not ids or ids[-1] != class_:
+                    ids.append(class_)
+                    sets.append(own)
+            if found:
+                yield rows(found)
+        if found := links():
+            yield rows(found)
+
+    return run
 
 
 def _linked(inter: Column, union: Column, similarity: int) -> Column:
@@ -424,7 +527,7 @@ def _classify(docs: DataFrame, similarity: int) -> DataFrame:
         _signatures(frequent, similarity), "doc_id long, text_hash long, n long, set_key binary, shown int, first array<long>"
     )
     signed = written(signed, "jaccard-signed")
-    found = (
+    classes, number = _numbered(
         signed.where("n > 0")
         .groupBy("set_key")
         .agg(
@@ -434,22 +537,34 @@ def _classify(docs: DataFrame, similarity: int) -> DataFrame:
             F.first("shown").alias("shown"),
         )
     )
-    classes = written(found.withColumn("class", F.monotonically_increasing_id()), "jaccard-classes")
-    regions = _regions(signed, classes, similarity)
-    live = regions.select("class").union(regions.select("pivot")).distinct()
-    live = written(live.join(classes.select("class", "row"), "class").select("class", "row.*"), "jaccard-live")
-    texts = own.join(
-        bounded(live.withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "h"), live.count()),
-        F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("h")),
-    )
-    sets = texts.select("class", "text").mapInArrow(_full_sets, "class long, shingles binary")
-    sets = written(sets, "jaccard-sets").dropDuplicates(["class"])
-    links = components(_region_links(regions, sets, similarity))
-    joined = classes.select("class", "set_key", "rep").join(links.withColumnRenamed("node", "class"), "class", "left")
+    signed = signed.select("*", F.when(F.col("n") > 0, number).alias("class"))
+    edges = _regions(signed, classes, similarity)
+    clusters = components(edges)
+    counted = clusters.groupBy("root").agg((F.count("*") > LEAF).alias("large"))
+    live = clusters.withColumnRenamed("node", "class").join(counted, "root").join(classes.select("class", "row"), "class")
+    live = written(live.select("class", "root", "large", "row.*"), "jaccard-live")
+
+    def texts(part: DataFrame) -> DataFrame:
+        rows = part.count()
+        passed = may_match(part, ["doc_id", "text_hash"], rows)
+        named = part.withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "h")
+        match = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("h"))
+        return (own if passed is None else own.where(passed)).join(bounded(named, rows), match)
+
+    small = texts(live.where("NOT large")).select("root", "class", "text").repartition("root")
+    small = small.sortWithinPartitions("root", "class").mapInArrow(_cluster_links(similarity), "a long, b long")
+    links = written(small, "jaccard-links")
+    large = live.where("large")
+    if large.limit(1).count():
+        sets = texts(large).select("class", "text").mapInArrow(_full_sets, "class long, shingles binary")
+        sets = written(sets, "jaccard-sets").dropDuplicates(["class"])
+        links = links.unionByName(_region_links(_stars(edges, large), sets, similarity))
+    links = components(links)
+    joined = classes.select("class", "rep").join(links.withColumnRenamed("node", "class"), "class", "left")
     joined = joined.withColumn("root", F.coalesce("root", "class"))
     lowest = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = joined.join(lowest, "root").select("class", "set_key", "component_id")
-    return signed.join(named, "set_key", "left").select(
+    named = joined.join(lowest, "root").select("class", "component_id")
+    return signed.select("doc_id", "text_hash", "n", "class").join(named, "class", "left").select(
         "doc_id",
         "text_hash",
         F.col("n").alias("n_shingles"),
@@ -458,6 +573,20 @@ def _classify(docs: DataFrame, similarity: int) -> DataFrame:
     )
 
 
+def _numbered(found: DataFrame) -> tuple[DataFrame, Column]:
+    """The classes, written with their number, and how it is made of a set's key.
+
+    So a row knows its class without a join. Should two classes ever get one number, all are numbered anew.
+    """
+    salt = 0
+    while True:
+        number = F.xxhash64(F.col("set_key"), F.lit(salt))
+        classes = written(found.withColumn("class", number).drop("set_key"), "jaccard-classes")
+        if not classes.groupBy("class").count().where("count > 1").limit(1).count():
+            return classes, number
+        salt += 1
+
+
 def keep_one(docs: DataFrame, similarity: int = 80) -> DataFrame:
     """The rows of ``docs`` without near duplicates: one row of each component stays.
 
@@ -482,9 +611,8 @@ def keep_one(docs: DataFrame, similarity: int = 80) -> DataFrame:
     marks = written(marks.where("NOT kept OR copies > 1"), "jaccard-marks")
     rows = whole(docs)
     text = F.coalesce(held(rows, "text"), F.lit("")).cast("string")
-    keyed = rows.select("doc", held(rows, "doc_id").cast("long").alias("id"), F.xxhash64(text).alias("h"))
-    marks = bounded(marks, marks.count())
-    match = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash"))
-    clear = keyed.join(marks.select("doc_id", "text_hash"), match, "left_anti")
-    repeated = keyed.join(marks.where("kept").select("doc_id", "text_hash"), match, "left_semi").dropDuplicates(["id", "h"])
-    return clear.unionByName(repeated).select("doc.*")
+    keyed = rows.select("doc", held(rows, "doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"))
+
+    again = marks.where("kept")
+    repeated = matched(keyed, again, same, again.count(), "left_semi").dropDuplicates(same)
+    return matched(keyed, marks, same, marks.count(), "left_anti").unionByName(repeated).select("doc.*")

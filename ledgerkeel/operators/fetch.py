@@ -27,13 +27,11 @@ def requested_rows(wide: DataFrame, asked: DataFrame, keys: list[str], broadcast
     named = [f"_asked_{i}" for i in range(len(keys))]
     known = asked.select(*[F.col(k).alias(n) for k, n in zip(keys, named, strict=True)]).dropna("any").distinct()
     count = known.count()
-    one, two = _hashes(keys)
     if count <= broadcast_keys:
         hashed = known.select(F.xxhash64(*named).alias("_hash"))
-        near = wide.withColumn("_own", one).join(F.broadcast(hashed), F.col("_own") == F.col("_hash"), "left_semi").drop("_own")
+        near = wide.withColumn("_own", _hashes(keys)[0]).join(F.broadcast(hashed), F.col("_own") == F.col("_hash"), "left_semi").drop("_own")
     else:
-        bits = bloom_bits(known, named, count)
-        near = wide.where(_set(bits, one) & _set(bits, two))
+        near = wide.where(in_bits(bloom_bits(known, named, count), keys))
     same = F.lit(True)
     for k, n in zip(keys, named, strict=True):
         same = same & (F.col(k) == F.col(n))
@@ -51,6 +49,12 @@ def bloom_bits(known: DataFrame, keys: list[str], count: int) -> bytes:
     return filled.tobytes()
 
 
+def in_bits(bits: bytes, keys: list[str]) -> Column:
+    """Whether a row's keys may be in the filter; never false for one that is. Nulls are keys like others."""
+    one, two = _hashes(keys)
+    return _set(bits, one) & _set(bits, two)
+
+
 def _set(bits: bytes, own: Column) -> Column:
     """Whether the bit of a hash is set."""
     at = F.pmod(own, F.lit(8 * len(bits)))

@@ -5,7 +5,8 @@ import re
 
 import numpy as np
 import pytest
-from ledgerkeel.llm import jaccard, kernels
+from ledgerkeel.llm import common, jaccard, kernels
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -137,3 +138,37 @@ def test_kernel_words_and_shingles_match_plain_python():
     for i in range(len(texts)):
         for j in range(len(texts)):
             assert len(np.intersect1d(sets[i], sets[j])) == len(plain[i] & plain[j])
+
+
+def exchanged(df):
+    """Filters and scans below each exchange by hash of a plan without broadcasts."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return [part.split("Exchange hashpartitioning")[0] for part in text.split("Exchange hashpartitioning")[1:]]
+
+
+def test_more_near_copies_than_a_broadcast_holds_do_not_shuffle_all_texts(spark, rows, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    docs = corpus(3, 200) + [(None, "n n n n n n"), (None, "n n n n n n"), (7, "twice " * 9), (7, "twice " * 9)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert rows(jaccard.classify(df), "doc_id", "n_shingles", "component_id") == sorted(brute(docs), key=repr)
+    kept = jaccard.keep_one(df)
+    wide = [below for below in exchanged(kept) if "doc#" in below.splitlines()[0] + below.splitlines()[1]]
+    assert wide and all("getbit" in below for below in wide)
+    got = rows(kept.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 200_000)
+    assert got == rows(jaccard.keep_one(df).select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+
+
+def test_unlike_sizes_that_share_a_shingle_do_not_meet(spark, rows):
+    sizes = [10, 20, 40, 80, 81, 101, 500]
+    signed = [(i, n, 1, [7, 100 + i]) for i, n in enumerate(sizes)] + [(2, 40, 1, [7, 102])]
+    df = spark.createDataFrame(signed, "class long, n long, shown int, first array<long>")
+    assert rows(jaccard._buckets(df, 80)) == [(3, 3, 7, True), (4, 3, 7, True), (5, 3, 7, True)]
+    assert rows(jaccard._buckets(df, 40), "class", "pivot") == [(i, 0) for i in range(6)]
+
+
+def test_large_clusters_and_size_bands_lose_no_link(spark, rows, monkeypatch):
+    monkeypatch.setattr(jaccard, "LEAF", 4)
+    docs = corpus(4, 220)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert rows(jaccard.classify(df), "doc_id", "n_shingles", "component_id") == sorted(brute(docs), key=repr)
