@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, held, lower_az, whole, words, written
+from .common import bounded, held, lower_az, matched, may_match, whole, words, written
 
 SHINGLE = 5
 RADIUS = 15
@@ -130,7 +130,8 @@ def _windows(docs: DataFrame, ranges: DataFrame, size: int, rows: int) -> DataFr
         F.collect_list(F.struct("n_shingles", "lo", "hi")).alias("laid")
     )
     match = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("h"))
-    hashed = docs.join(bounded(laid, rows), match).select(
+    passed = may_match(ranges, ["doc_id", "text_hash"], rows)
+    hashed = (docs if passed is None else docs.where(passed)).join(bounded(laid, rows), match).select(
         "doc_id", "text_hash", "laid", F.flatten(shingle_hashes(F.col("text"), size)).alias("own")
     )
     runs = hashed.select("doc_id", "text_hash", "own", F.explode("laid").alias("r"))
@@ -221,9 +222,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: int = 80) -> DataFr
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, similarity: int = 80) -> DataFrame:
     """The rows of ``docs`` without a window that repeats a benchmark item."""
     bad = written(leaks(docs, benchmark, similarity).select("doc_id", "text_hash").distinct(), "leak-docs")
-    bad = bounded(bad, bad.count())
     rows = whole(docs)
     text = F.coalesce(held(rows, "text").cast("string"), F.lit(""))
-    keyed = rows.select("doc", held(rows, "doc_id").alias("id"), F.xxhash64(text).alias("h"))
-    match = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash"))
-    return keyed.join(bad, match, "left_anti").select("doc.*")
+    keyed = rows.select("doc", held(rows, "doc_id").alias("doc_id"), F.xxhash64(text).alias("text_hash"))
+    return matched(keyed, bad, ["doc_id", "text_hash"], bad.count(), "left_anti").select("doc.*")

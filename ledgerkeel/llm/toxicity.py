@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import samples
-from .common import BROADCAST_ROWS, bounded, held, whole, written
+from .common import bounded, held, may_match, whole, written
 from .kernels import mix64
 
 GRAMS = (3, 4, 5, 6, 7)
@@ -228,8 +228,11 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, held: Column |
         .groupBy("labelled_id")
         .agg((F.sum("label") * 2 >= F.count("*")).cast("int").alias("label"))
     )
-    votes = bounded(votes, labels.count(), BROADCAST_ROWS)
-    return docs.join(votes, F.col("doc_id") == F.col("labelled_id")).select("doc_id", "text", "label")
+    rows = labels.count()
+    if docs.schema["doc_id"].dataType == votes.schema["labelled_id"].dataType:
+        passed = may_match(votes.withColumnRenamed("labelled_id", "doc_id"), ["doc_id"], rows)
+        docs = docs if passed is None else docs.where(passed)
+    return docs.join(bounded(votes, rows), F.col("doc_id") == F.col("labelled_id")).select("doc_id", "text", "label")
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:

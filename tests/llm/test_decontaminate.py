@@ -4,6 +4,7 @@ import collections
 import random
 
 import pytest
+from ledgerkeel.llm import common
 from ledgerkeel.llm import decontaminate as D
 from pyspark.sql import functions as F
 
@@ -183,3 +184,14 @@ def test_swapped_halves(spark):
     item, around = [*ITEM, "i44", "i45", "i46", "i47", "i48"], [f"o{k}" for k in range(60)]
     got = found_pairs(spark, [(1, around + item[24:] + item[:24] + around)], [(9, item)])
     assert got == {1: (60, 41, 49)}
+
+
+def test_more_leaks_than_a_broadcast_holds_do_not_shuffle_all_texts(spark, rows, monkeypatch):
+    docs, items = corpus(4)
+    df = spark.createDataFrame([*docs, (None, docs[0][1])], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = rows(D.drop_leaks(df, bench))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    kept = D.drop_leaks(df, bench)
+    assert "getbit" in kept._jdf.queryExecution().executedPlan().toString()
+    assert rows(kept) == want and 0 < len(want) < len(docs)

@@ -1,6 +1,7 @@
 """Toxicity model: features, held-out accuracy, edge rows."""
 
 import numpy as np
+from ledgerkeel.llm import common
 from ledgerkeel.llm import toxicity as T
 from ledgerkeel.llm.queries import QUERIES
 from pyspark.sql import functions as F
@@ -100,3 +101,15 @@ def test_a_rare_class_is_in_the_sample(spark):
     assert plan.stretch[1] == 1.0 and plan.weight[1] < plan.weight[0] * 1.5
     scores = T.score(docs.where("doc_id < 2000"), labels).where("doc.doc_id < 5").select("score").collect()
     assert min(r[0] for r in scores) > 0
+
+
+def test_more_labels_than_a_broadcast_holds_do_not_shuffle_all_texts(spark, rows, monkeypatch):
+    docs = spark.range(300).selectExpr("IF(id = 7, NULL, id) AS doc_id", "concat('text ', id) AS text")
+    labels = spark.range(0, 300, 9).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
+    labels = labels.unionByName(spark.sql("SELECT CAST(NULL AS LONG) AS doc_id, 1 AS toxic"))
+    want = rows(T.labelled_rows(docs, labels, "toxic"))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    found = T.labelled_rows(docs, labels, "toxic")
+    assert "getbit" in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found) == want and want
+    assert rows(T.labelled_rows(docs.withColumn("doc_id", F.col("doc_id").cast("int")), labels, "toxic")) == want
