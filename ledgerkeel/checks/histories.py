@@ -34,8 +34,9 @@ cte(
 )
 
 
-def _divergence(spark: SparkSession, sf: str) -> DataFrame:
-    return history.first_divergence(I.plain_base_steps(spark, sf), I.plain_input_steps(spark, sf))
+def _divergence(spark: SparkSession, sf: str, steps: DataFrame | None = None) -> DataFrame:
+    own = I.plain_input_steps(spark, sf) if steps is None else steps
+    return history.first_divergence(I.plain_base_steps(spark, sf), own)
 
 
 @check("first_divergence", "SELECT * FROM divergence")

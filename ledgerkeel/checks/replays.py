@@ -281,8 +281,9 @@ def _recomputed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _carried(spark: SparkSession, sf: str) -> DataFrame:
-    steps = I.plain_input_steps(spark, sf)
-    plan = history.anchor_tail(steps, _divergence(spark, sf))
+    # Three joins read the steps, none of them their snapshots' digests.
+    steps = written(ledger.plain_steps(I.input_entries(spark, sf)).drop("snapshot_digest"), "steps")
+    plan = history.anchor_tail(steps, _divergence(spark, sf, steps))
     return publish.carry_forward(plan, steps, I.snapshots(spark, sf), _recomputed(spark, sf))
 
 
@@ -349,8 +350,9 @@ def publish_delta(spark: SparkSession, sf: str) -> DataFrame:
     UNION ALL SELECT w.* FROM want_art w JOIN delta d ON d.grp = w.grp AND d.entry = w.entry AND d.action = 'write'""",
 )
 def publish_applied(spark: SparkSession, sf: str) -> DataFrame:
-    delta = written(_delta(spark, sf), "delta")
-    return publish.apply_delta(_wanted(spark, sf), _stored(spark, sf), delta)
+    wanted = written(_wanted(spark, sf), "desired")
+    delta = written(publish.publish_delta(wanted, _stored(spark, sf)), "delta")
+    return publish.apply_delta(wanted, _stored(spark, sf), delta)
 
 
 @check("apply_result", "SELECT * FROM delta WHERE action <> 'keep'")

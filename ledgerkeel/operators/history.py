@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import LedgerError, StateError
+from ..functions.digests import packed, unpacked
 from ..functions.entries import is_path_like, status_basename, status_path
 from ..functions.sections import valid_text
 from ..session import written
@@ -30,12 +31,15 @@ def first_divergence(base: DataFrame, head: DataFrame) -> DataFrame:
     no task depends on the size of a group; the per-group minimum and the two
     lengths come from one aggregate with map-side partials.
     """
-    left = base.select("grp", "idx", F.struct(*SIGNATURE).alias("b"))
-    right = head.select("grp", "idx", F.struct(*SIGNATURE).alias("h"))
+    # Digests meet as their 32 bytes.
+    narrow = F.struct("version", "entry", packed(F.col("payload_digest")).alias("payload_digest"))
+    left = base.select("grp", "idx", narrow.alias("b"))
+    right = head.select("grp", "idx", narrow.alias("h"))
     b, h = F.col("b"), F.col("h")
     differing = F.when(b.isNull() | h.isNull(), _difference("step_count", F.lit(None), F.lit(None)))
     for name in SIGNATURE:
-        differing = differing.when(~b[name].eqNullSafe(h[name]), _difference(FIELD_NAMES[name], b[name], h[name]))
+        texts = [unpacked(side[name]) if name == "payload_digest" else side[name] for side in (b, h)]
+        differing = differing.when(~b[name].eqNullSafe(h[name]), _difference(FIELD_NAMES[name], *texts))
     joined = left.join(right, ["grp", "idx"], "full_outer")
     per_group = (
         joined.select("grp", "idx", b.isNotNull().alias("in_base"), h.isNotNull().alias("in_head"), differing.alias("d"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import StateError
-from ..functions.digests import SHA2, ensure_newline, payload_digest
+from ..functions.digests import SHA2, ensure_newline, packed, payload_digest
 from ..functions.entries import ENTRY_SUFFIX
 from .ledger import DEFAULT_POLICY, LedgerPolicy
 
@@ -92,7 +92,7 @@ def desired_artifacts(
 
 
 def _digests(artifacts: DataFrame, keys: list[str], name: str, algorithm: str) -> DataFrame:
-    return artifacts.select(*keys, payload_digest(F.col("payload"), algorithm).alias(name))
+    return artifacts.select(*keys, packed(payload_digest(F.col("payload"), algorithm)).alias(name))
 
 
 def publish_delta(

@@ -198,6 +198,29 @@ def test_publish_artifacts(spark, rows, tmp_path, partitioned):
     spark.sql(f"DROP TABLE {name}")
 
 
+def test_published_inputs_are_derived_once(spark, monkeypatch):
+    from ledgerkeel.checks import inputs, replays
+
+    made = []
+    for module, name in ((replays, "_wanted"), (inputs, "input_entries")):
+        plain = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, plain=plain, name=name: made.append(name) or plain(*a))
+    replays.publish_applied(spark, "/root/testdata/sf0.001").count()
+    assert made.count("_wanted") == 1 and made.count("input_entries") == 2  # its steps, and the recomputed snapshots
+
+
+def test_digests_are_compared_as_bytes(spark, rows):
+    delta = publish.publish_delta(art(spark, ("a", "x")), art(spark, ("a", "x")))
+    assert "unhex" in delta._jdf.queryExecution().optimizedPlan().toString() and rows(delta, "action") == [("keep",)]
+    step = "grp string, idx bigint, version string, entry string, payload_digest string"
+    base = spark.createDataFrame([("g", 1, "1", "e", "0" * 64), ("h", 1, "1", "e", "f" * 64), ("i", 1, "1", "e", "odd")], step)
+    head = spark.createDataFrame([("g", 1, "1", "e", "0" * 64), ("h", 1, "1", "e", "a" * 64), ("i", 1, "1", "e", "f" * 64)], step)
+    found = history.first_divergence(base, head)
+    assert "unhex" in found._jdf.queryExecution().optimizedPlan().toString()
+    digests = [("h", "migration_digest", "f" * 64, "a" * 64), ("i", "migration_digest", "odd", "f" * 64)]
+    assert rows(found, "grp", "field", "base_value", "head_value") == digests
+
+
 def live_case(spark):
     """Four groups: behind, not a prefix, ahead, and nothing applied yet."""
     names = {g: [f"migrations/{i}.sql" for i in (1, 2, 3)] for g in "bpan"}
