@@ -25,7 +25,8 @@ def publish_artifacts(
     """
     stored = spark.table(table)
     parts = tables.partition_columns(spark, table)
-    desired = desired.select(*stored.columns)
+    # Both the delta and what it writes read the desired rows: they are computed once.
+    desired = written(desired.select(*stored.columns), "desired")
     delta = written(publish.publish_delta(desired, stored, prunable, extra=parts), "delta")
     changed = delta.where(F.col("action") != "keep")
     if changed.isEmpty():

@@ -198,6 +198,22 @@ def test_publish_artifacts(spark, rows, tmp_path, partitioned):
     spark.sql(f"DROP TABLE {name}")
 
 
+def test_desired_artifacts_are_computed_once(spark, tmp_path):
+    name, asked = f"artifacts_once_{tmp_path.name}", spark.sparkContext.accumulator(0)
+    have = spark.createDataFrame([("g", f"checkpoints/{i}.sql", "old") for i in range(20)], ART)
+    have.write.option("path", str(tmp_path / "t")).saveAsTable(name)
+
+    @F.udf("string")
+    def payload(i):
+        asked.add(1)
+        return "old" if i % 2 else "new"
+
+    wanted = spark.range(20).select(F.lit("g").alias("grp"), F.format_string("checkpoints/%d.sql", "id").alias("entry"), payload("id").alias("payload"))
+    assert publishing.publish_artifacts(spark, name, wanted).count() == 10
+    assert spark.table(name).where("payload = 'new'").count() == 10 and asked.value == 20
+    spark.sql(f"DROP TABLE {name}")
+
+
 def test_published_inputs_are_derived_once(spark, monkeypatch):
     from ledgerkeel.checks import inputs, replays
 
